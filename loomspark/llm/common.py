@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def text_or_empty(col: str = "text"):
 
 def bounded_batches(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array of at most ``limit`` bytes each (a longer single text stands alone)."""
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held + n > limit and i > start:

@@ -15,6 +15,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_media_columns": op8_media_columns}
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.shingle_join import shingle_components
+
+    return shingle_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_shingle_join": op6_shingle_join,
+    "op8_media_columns": op8_media_columns,
+}
 
 ORACLE_SQL: dict[str, str] = {}
