@@ -21,9 +21,23 @@ def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.token_counts import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shingle_join": op6_shingle_join,
     "op8_media_columns": op8_media_columns,
+    "op9_token_counts": op9_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

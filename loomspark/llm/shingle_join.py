@@ -6,10 +6,11 @@ of fewer words is one shingle, a text without words has the empty set and links
 
 1. one pass over the texts gives each row's set size and 128-bit set hash (documents with equal sets form a class, which
    stands for all its rows afterwards) and a count sketch of ``2^20`` cells of all shingles;
-2. shingles are ordered rarest cell first, ties by hash. Two linked sets share a shingle among the first
-   ``n - ceil(percent * n / 100) + 1`` of each (the prefix bound, true of any order; the sketch only makes lists short).
-   Prefix postings (shingle, class, size) are shuffled by shingle; a list of up to ``PAIRS`` classes gives all its pairs
-   that sizes allow, a longer one a chain, which keeps all its classes connected;
+2. shingles are ordered rarest cell first, ties by hash. Two linked sets share at least ``s`` shingles among the first
+   ``n - ceil(percent * n / 100) + s`` of each, for any ``s`` up to the needed overlap (true of any order; the sketch only
+   makes lists short). Such prefix postings (shingle, class, size) are shuffled by shingle; a list of up to ``PAIRS``
+   classes gives all its pairs that sizes allow, which must then meet ``s = SHARED`` times in all; a longer list gives a
+   chain, which keeps all its classes connected whatever else they share;
 3. components of that candidate graph hold every link within themselves, so each is searched alone: its sets, once
    per class, meet in a task, and documents in the order of size query the inverted lists of those before them.
    ``divide_skip`` heap-merges the short lists, binary-probes the long ones and keeps whoever reaches the required
@@ -39,7 +40,8 @@ from loomspark.llm.textbytes import mix, shingle_sets
 
 CELLS = 1 << 20
 CHUNK = 1 << 12
-PAIRS = 8
+PAIRS = 24
+SHARED = 16
 BLOCK = 3_000_000
 LARGE = 64
 
@@ -128,7 +130,8 @@ def _postings(k: int, percent: int, sketch):
                 if node in seen:  # an exact copy in the same task adds nothing
                     continue
                 seen.add(node)
-                p = len(s) - least_overlap(len(s), percent) + 1
+                need = least_overlap(len(s), percent)
+                p = len(s) - need + min(SHARED, need)
                 toks.append(s[np.lexsort((s, cells[s & (CELLS - 1)]))[:p]])
                 nodes.append(node)
                 sizes.append(len(s))
@@ -144,10 +147,8 @@ def _postings(k: int, percent: int, sketch):
 
 def _candidate_edges(percent: int):
     """Edges from postings sorted by (token, n, node); a list may span batches."""
-    names = ["a", "b"]
-
     def pairs(tok, n, node, length):
-        """Pairs of equal token: all within lists of up to PAIRS, neighbours in longer ones, as far as sizes allow."""
+        """Pairs of equal token as (larger node, smaller node, times met, times to meet)."""
         out = []
         for lag in range(1, PAIRS):
             if len(tok) <= lag:
@@ -156,8 +157,16 @@ def _candidate_edges(percent: int):
             if lag > 1:
                 ok &= length[lag:] <= PAIRS
             if ok.any():
-                out.append(np.stack((node[lag:][ok], node[:-lag][ok])))
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+                x, y = node[lag:][ok], node[:-lag][ok]
+                need = np.minimum(SHARED, -(-percent * n[:-lag][ok] // 100))
+                met = np.where(length[lag:][ok] <= PAIRS, 1, SHARED)
+                out.append(np.stack((np.maximum(x, y), np.minimum(x, y), met, need)))
+        if not out:
+            return None
+        e = np.concatenate(out, axis=1)
+        e = e[:, np.lexsort((e[1], e[0]))]
+        first = np.flatnonzero(np.concatenate(([True], (e[0][1:] != e[0][:-1]) | (e[1][1:] != e[1][:-1]))))
+        return pa.RecordBatch.from_arrays([pa.array(e[0][first]), pa.array(e[1][first]), pa.array(np.add.reduceat(e[2], first)), pa.array(e[3][first])], names=["a", "b", "met", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, n, node = (np.zeros(0, dtype=np.int64) for _ in range(3))
@@ -178,20 +187,19 @@ def _candidate_edges(percent: int):
             tok, n, node = tok[tail:], n[tail:], node[tail:]
             return got
 
+        held = 0
         for batch in batches:
             b = [batch.column(i).to_numpy().astype(np.int64) for i in range(3)]
             tok, n, node = np.concatenate((tok, b[0])), np.concatenate((n, b[1])), np.concatenate((node, b[2]))
-            if len(tok):
-                a, c = edges(False)
-                if len(a):
-                    u = np.unique(np.stack((np.maximum(a, c), np.minimum(a, c)), axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], names=names)
-        if len(tok):
-            a, c = edges(True)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=names)
+            held += batch.num_rows
+            if held >= 100_000:
+                held = 0
+                if (got := edges(False)) is not None:
+                    yield got
+        if len(tok) and (got := edges(True)) is not None:
+            yield got
 
-    return run, "a bigint, b bigint"
+    return run, "a bigint, b bigint, met bigint, need bigint"
 
 
 def divide_skip(index: dict[int, list[int]], tokens: list[int], need: int, skip: Callable[[int], bool] = lambda _: False) -> Iterator[tuple[int, int]]:
@@ -350,7 +358,8 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     cells = spark.sparkContext.broadcast(sketch)
 
     postings = rows.select("text").mapInArrow(*_postings(k, percent, cells))
-    edges = postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(*_candidate_edges(percent)).distinct()
+    edges = postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(*_candidate_edges(percent))
+    edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
     cand = write_out(connected_components(edges).withColumnsRenamed({"id": "node", "component": "comp"}), "candidates")
 
     classes = docs_seen.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
