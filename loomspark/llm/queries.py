@@ -15,6 +15,13 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.shingle_join import shingle_components
 
@@ -34,6 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op6_shingle_join": op6_shingle_join,
     "op8_media_columns": op8_media_columns,
     "op9_token_counts": op9_token_counts,
