@@ -31,7 +31,7 @@ def spanning_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
         label = new
 
 
-#: Edges that are contracted at once, in memory.
+#: Edges that are contracted at once, in memory; a graph of no more is left to one task.
 HELD = 500_000
 
 
@@ -46,7 +46,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        if sum(len(x) for x, _ in held) >= HELD:
+        if sum(len(x) for x, _ in held) > HELD:
             yield stars()
             held = []
     if held:
@@ -66,16 +66,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Edges are (v, u) with v > u. Large star: each vertex hands its larger neighbours its smallest neighbour; small star:
     each vertex hands its smaller neighbours, and itself, the smallest. Both keep connectivity; at the fixed point every
     vertex points at its component's smallest. A vertex's minimum is a partial aggregate and the join that follows can be
-    split, so that a star with very many rays does not meet in one task.
+    split, so that a star with very many rays does not meet in one task. Once no more than ``HELD`` edges are left, one
+    task contracts them.
     """
     flat = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    stars = write_out(flat.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).mapInArrow(_contract, "v bigint, u bigint").distinct().mapInArrow(_contract, "v bigint, u bigint"), "stars")
-    while not _are_stars(stars):
+    contracted = flat.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).mapInArrow(_contract, "v bigint, u bigint")
+    stars = write_out(contracted.distinct(), "stars")
+    while True:
+        if stars.count() <= HELD:
+            stars = write_out(stars.coalesce(1).mapInArrow(_contract, "v bigint, u bigint"), "stars")
+            break
+        if _are_stars(stars):
+            break
         both = stars.select(F.col("v").alias("x"), F.col("u").alias("y")).union(stars.select("u", "v"))
         low = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").mapInArrow(_contract, "v bigint, u bigint")
         large = write_out(large.distinct(), "stars")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", "m"))
-        stars = write_out(small.distinct().mapInArrow(_contract, "v bigint, u bigint"), "stars")
+        stars = write_out(small.distinct().mapInArrow(_contract, "v bigint, u bigint").distinct(), "stars")
     return stars.select(F.col("v").alias("id"), F.col("u").alias("component")).union(stars.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())

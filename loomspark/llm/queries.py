@@ -22,6 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.url_reputation import judge_pages
+
+    return judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.ego_join import cosine_components
+
+    return cosine_components(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.shingle_join import shingle_components
 
@@ -42,6 +54,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_url_reputation": op3_url_reputation,
+    "op4_epsilon_grid_join": op4_epsilon_grid_join,
     "op6_shingle_join": op6_shingle_join,
     "op8_media_columns": op8_media_columns,
     "op9_token_counts": op9_token_counts,

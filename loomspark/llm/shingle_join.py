@@ -367,7 +367,8 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     weight = placed.groupBy("comp").agg(F.sum("n").alias("w"), F.count("*").alias("members")).where("members > 1")
     picked = write_out(placed.join(weight, "comp").select("comp", "node", "doc_id", F.when(F.col("w") > BLOCK, F.ceil(F.col("w") * 2 / BLOCK)).otherwise(1).cast("int").alias("parts")), "picked")
 
-    texts = picked.join(rows, "doc_id").select("comp", "node", "doc_id", "parts", "text")
+    # ``picked`` grows with the corpus, so it is never broadcast: one plan at every size.
+    texts = rows.join(picked.hint("merge"), "doc_id").select("comp", "node", "doc_id", "parts", "text")
     own = texts.mapInArrow(*_own_sets(k))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     spread = own.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
