@@ -25,6 +25,7 @@ gives an empty table.
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -44,6 +45,7 @@ PAIRS = 24
 SHARED = 16
 BLOCK = 3_000_000
 LARGE = 64
+ARRAYS_FROM = 1024
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -202,31 +204,52 @@ def _candidate_edges(percent: int):
     return run, "a bigint, b bigint, met bigint, need bigint"
 
 
-def divide_skip(index: dict[int, list[int]], tokens: list[int], need: int, skip: Callable[[int], bool] = lambda _: False) -> Iterator[tuple[int, int]]:
+def divide_skip(index: dict[int, array], tokens: list[int], need: int, skip: Callable[[int], bool] = lambda _: False) -> Iterator[tuple[int, int]]:
     """Entries that occur on at least ``need`` of the lists of ``tokens``, with their exact number of occurrences.
 
     The longest lists are set aside (fewer than ``need`` of them); an entry must then occur on the short lists at least
     ``need`` less their number. Short lists are heap-merged, long ones probed by binary search while the need can be met.
-    Entries for which ``skip`` holds are passed over.
+    Where the short lists are long too, the same is done on whole arrays: their entries are counted at once, and all
+    entries that may still meet the need are probed together. Entries for which ``skip`` holds are passed over.
     """
     lists = [x for t in tokens if (x := index.get(t))]
     if need < 1 or len(lists) < need:
         return
     lists.sort(key=len)
-    n_long = need - 1 if len(lists[-1]) >= LARGE else int((need - 1) / (0.01 * len(lists[-1]).bit_length() + 1))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    for entry, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
-        if count < need - n_long or skip(entry):
-            continue
-        left = n_long
-        for x in long:
-            if count + left < need:
-                break
-            left -= 1
-            at = bisect_left(x, entry)
-            count += at < len(x) and x[at] == entry
-        if count >= need:
+    scale = len(lists[-1]).bit_length()
+    n_long = int((need - 1) / (0.01 * scale + 1))
+    short = lists[: len(lists) - n_long]
+    if sum(map(len, short)) <= ARRAYS_FROM:
+        long = lists[len(short) :]
+        for entry, run in groupby(heapq.merge(*short)):
+            count = sum(1 for _ in run)
+            if count < need - n_long or skip(entry):
+                continue
+            left = n_long
+            for x in long:
+                if count + left < need:
+                    break
+                left -= 1
+                at = bisect_left(x, entry)
+                count += at < len(x) and x[at] == entry
+            if count >= need:
+                yield entry, count
+        return
+    left = int((need - 1) / (0.5 * scale + 1))  # counting costs less here than probing
+    short, long = lists[: len(lists) - left], lists[len(lists) - left :]
+    counts = np.bincount(np.concatenate([np.frombuffer(x, dtype=np.int32) for x in short]))
+    entries = np.flatnonzero(counts >= need - left)
+    counts = counts[entries]
+    for x in long:
+        if not len(entries):
+            return
+        left -= 1
+        own = np.frombuffer(x, dtype=np.int32)
+        counts = counts + (own[np.minimum(np.searchsorted(own, entries), len(own) - 1)] == entries)
+        keep = counts + left >= need
+        entries, counts = entries[keep], counts[keep]
+    for entry, count in zip(entries.tolist(), counts.tolist(), strict=True):
+        if not skip(entry):
             yield entry, count
 
 
@@ -251,9 +274,9 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
     def linked(common: int, x: int, y: int) -> bool:
         return 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common)
 
-    small: dict[int, list[int]] = {}
+    small: dict[int, array] = {}
     members: dict[int, list[int]] = {}
-    large: list[tuple[int, dict[int, list[int]]]] = []
+    large: list[tuple[int, dict[int, array]]] = []
     for q, s in enumerate(sets):
         for hub, _ in large:
             if find(hub) != find(q) and linked(len(np.intersect1d(s, sets[hub], assume_unique=True)), q, hub):
@@ -268,7 +291,10 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
                             break
         home = next((index for hub, index in large if find(hub) == find(q)), small)
         for t in tokens:
-            home.setdefault(t, []).append(q)
+            if t in home:
+                home[t].append(q)
+            else:
+                home[t] = array("i", (q,))
         if home is small:
             root = find(q)
             own = [x for r in {r for r in members if find(r) == root} for x in members.pop(r)] + [q]
@@ -277,10 +303,10 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
                 moved, index = set(members.pop(root)), {}
                 for x in sorted(moved):
                     for t in sets[x].tolist():
-                        index.setdefault(t, []).append(x)
+                        index.setdefault(t, array("i")).append(x)
                 for t in index:
                     if rest := [x for x in small[t] if x not in moved]:
-                        small[t] = rest
+                        small[t] = array("i", rest)
                     else:
                         del small[t]
                 large.append((min(moved), index))
