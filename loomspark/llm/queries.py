@@ -22,6 +22,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.pii import replace_entities
+
+    return replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.url_reputation import judge_pages
 
@@ -54,6 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_url_reputation": op3_url_reputation,
     "op4_epsilon_grid_join": op4_epsilon_grid_join,
     "op6_shingle_join": op6_shingle_join,
