@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspark.llm.common import read_table
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.mixing import document_rates
+
+    return document_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.media import media_digest
 
@@ -40,6 +46,12 @@ def op4_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_components(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.language_id import identify_languages
+
+    return identify_languages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.shingle_join import shingle_components
 
@@ -63,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_url_reputation": op3_url_reputation,
     "op4_epsilon_grid_join": op4_epsilon_grid_join,
+    "op5_language_id": op5_language_id,
     "op6_shingle_join": op6_shingle_join,
+    "op7_soft_mixing": op7_soft_mixing,
     "op8_media_columns": op8_media_columns,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
