@@ -1,0 +1,116 @@
+import math
+import sqlite3
+
+from pyspark.sql import functions as F
+
+from loomspark.operators import chunking, graph, search, tables
+from loomspark.streaming.ingest import ingest_stream, tumbling_counts
+
+
+def test_heading_sections(spark):
+    text = "# Title\nintro\n## Alpha\nx\n```\n# not a heading\n```\n### Alpha child\ny\n## Beta\nz"
+    rows = chunking.heading_sections(spark.createDataFrame([(1, text), (2, "plain"), (3, "")], "id long, text string")).orderBy("id", "section_no").collect()
+    assert [(r.id, r.heading, r.start_line, r.end_line) for r in rows] == [
+        (1, "Title", 1, 2),
+        (1, "Title > Alpha", 3, 7),
+        (1, "Title > Alpha > Alpha child", 8, 9),
+        (1, "Title > Beta", 10, 11),
+        (2, "", 1, 1),
+    ]
+
+
+def test_line_windows_cover_every_line_once(spark):
+    text = "\n".join("word " * (3 + i % 40) for i in range(300))
+    rows = chunking.line_windows(spark.createDataFrame([(1, text), (2, "short")], "id long, text string"), target=100, most=120).orderBy("id", "window_no").collect()
+    own = [r for r in rows if r.id == 1]
+    assert [r.start_line for r in own] == [1] + [r.end_line + 1 for r in own[:-1]] and own[-1].end_line == 300
+    assert len(own) > 1 and len([r for r in rows if r.id == 2]) == 1
+
+
+def test_bm25_equals_fts5(spark):
+    docs = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(5 + i % 9))) for i in range(60)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(text, tokenize='unicode61')")
+    db.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", docs)
+    chunks = spark.createDataFrame(docs, "id long, text string")
+    terms = search.question_terms(spark.createDataFrame([(1, "w11 w13 w22")], "qid long, text string"), "qid")
+    got = {r.id: r.score for r in search.bm25(search.postings(chunks, "id", ("text",)), terms).collect()}
+    want = {i: -s for i, s in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH 'w11 OR w13 OR w22'")}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_rank_fusion(spark):
+    lists = [spark.createDataFrame([(1, d, r) for r, d in enumerate(ids, 1)], "query_id long, id long, rank int") for ids in ([1, 2, 3], [3, 1, 4])]
+    got = search.reciprocal_rank_fusion([(x, 1.0) for x in lists]).orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 3, 2, 4] and got[0].score > got[1].score > got[2].score
+
+
+def test_pack_decisions(spark):
+    hits = [(1, 1, 1, "a", "h1", 50), (1, 2, 2, "b", "h1", 10), (1, 3, 3, "a", "h2", 60), (1, 4, 4, "a", "h3", 20), (1, 5, 5, "a", "h4", 5), (1, 6, 6, "c", "h2", 1)]
+    rows = spark.createDataFrame(hits, "query_id long, rank int, id long, path string, hash string, tokens long")
+    got = [r.decision for r in search.pack_hits(rows, budget=100).orderBy("rank").collect()]
+    assert got == ["included", "duplicate", "over_budget", "included", "file_cap", "duplicate"]
+
+
+def test_near_duplicates_keep_the_first(spark):
+    rows = [(1, 1, 10, [1.0, 0.0]), (1, 2, 11, [0.99, 0.01]), (1, 3, 12, [0.0, 1.0])]
+    got = search.drop_near_duplicates(spark.createDataFrame(rows, "query_id long, rank int, id long, vector array<float>"), 0.95).orderBy("rank").collect()
+    assert [(r.id, r.rank) for r in got] == [(10, 1), (12, 2)]
+
+
+def test_upsert_is_idempotent_and_drops_what_vanished(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    new = spark.createDataFrame([("b", 9), ("c", 3), ("c", 3)], "id string, v int")
+    once = tables.upsert(old, new)
+    assert sorted(map(tuple, once.collect())) == [("b", 2), ("c", 3)]
+    assert sorted(map(tuple, tables.upsert(once, new).collect())) == [("b", 2), ("c", 3)]
+    assert {r.id: r.status for r in tables.content_diff(old, new).collect()} == {"a": "removed", "b": "unchanged", "c": "added"}
+
+
+def test_nearest_rank(spark):
+    r = tables.nearest_rank(spark.createDataFrame([(v,) for v in (1, 2, 3, 4)], "v long"), "v", {"p50": 0.5, "p90": 0.9}).first()
+    assert (r.n, r.p50, r.p90, r["max"], r.total) == (4, 3, 4, 4, 10)
+
+
+def test_graph(spark):
+    touches = spark.createDataFrame([(c, f) for c in range(3) for f in "ab"] + [(9, f"f{i}") for i in range(40)] + [(8, f"f{i}") for i in range(40)], "commit long, file string")
+    assert [tuple(r) for r in graph.co_changes(touches).collect()] == [("a", "b", 3)]
+    edges = spark.createDataFrame([("a", "b", "r", 1, 1, "x"), ("a", "b", "r", 0, 2, "y"), ("a", "a", "r", 2, 1, "z")], "src string, dst string, kind string, seq int, n int, via string")
+    assert [tuple(r) for r in graph.merge_edges(edges).collect()] == [("a", "b", "r", 3, "y")]
+    path = spark.createDataFrame([(str(i), str(i + 1), "k") for i in range(5)], "src string, dst string, kind string")
+    got = graph.neighbourhood(path, spark.createDataFrame([("2",)], "start string"), 2).collect()
+    assert {r.id: r.depth for r in got} == {"2": 0, "1": 1, "3": 1, "0": 2, "4": 2}
+    cand = spark.createDataFrame([("t1", "k", "api"), ("t2", "k", "model"), ("t3", "u", "x")], "target string, key string, scope string")
+    refs = spark.createDataFrame([(1, "k", "api"), (2, "k", "none"), (3, "u", "none")], "ref int, key string, scope string")
+    assert {r.ref: r.target for r in graph.resolve_unique(refs, cand).collect()} == {1: "t1", 2: None, 3: "t3"}
+
+
+def test_streams(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = spark.createDataFrame([("s", "p", "one"), ("s", "p", "two"), ("s", "p", "one")], "source_id string, path string, text string")
+    rows.write.parquet(src)
+    for _ in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+        rows.limit(2).write.mode("append").parquet(src)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1.0D AS value UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 2.0D")
+    assert [(r.n, r.total) for r in tumbling_counts(events).collect()] == [(2, 3.0)]
+
+
+def test_repository_files(spark, tmp_path):
+    from loomspark.sources.tables import repository_files
+
+    (tmp_path / "a.py").write_text("x = 1")
+    (tmp_path / "b.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "c.md").write_text("y" * 3000)
+    got = {r.path.rsplit("/", 1)[-1]: (r.language, r.skipped) for r in repository_files(spark, str(tmp_path), max_kb=2).collect()}
+    assert got == {"a.py": ("python", None), "b.bin": (None, "binary"), "c.md": (None, "too large")}
+
+
+def test_codeowners(spark):
+    files = spark.createDataFrame([("src/a.py",), ("docs/x.md",), ("other",)], "path string")
+    got = {r[0]: r[1] for r in files.select("path", graph.last_match(files, [("src/**", "one"), ("**/*.py", "two"), ("docs", "three")])).collect()}
+    assert got == {"src/a.py": "two", "docs/x.md": "three", "other": None}
+    got = {r[0]: r[1] for r in files.select("path", graph.first_claim(files, [("one", "src/**"), ("two", "**/*.py")]).alias("x")).collect()}
+    assert got == {"src/a.py": "one", "docs/x.md": None, "other": None}
