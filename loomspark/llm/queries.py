@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm.common import read_table
+from loomspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-
-ORACLE_SQL: dict[str, str] = {}

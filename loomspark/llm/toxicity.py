@@ -61,21 +61,23 @@ def toxic_wording(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, int]
 
     Contexts, not rows, are counted, so that copies of one text do not make its own words look like wording.
     """
-    rows: Counter = Counter()
+    rows, usual = Counter(), Counter()
+    for counts, texts in ((rows, toxic), (usual, ordinary)):
+        for t in texts:
+            counts.update(set(t.split()))
+    share = len(toxic) / max(1, len(ordinary))
+    least = max(2, math.ceil(len(toxic) / 400))
+    enough = lambda w, n: n >= least and n > 10 * (usual[w] + 0.5) * share
+    likely = {w for w, n in rows.items() if enough(w, n)}
     before, after = defaultdict(set), defaultdict(set)
     for t in toxic:
         words = t.split()
-        rows.update(set(words))
         for i, w in enumerate(words):
-            before[w].add(words[i - 1] if i else b"")
-            after[w].add(words[i + 1] if i + 1 < len(words) else b"")
-    usual: Counter = Counter()
-    for t in ordinary:
-        usual.update(set(t.split()))
-    share = len(toxic) / max(1, len(ordinary))
-    count = {w: min(n, len(before[w]), len(after[w])) for w, n in rows.items() if n >= 2}
-    least = max(2, math.ceil(len(toxic) / 400))
-    return {w: n for w, n in count.items() if n >= least and n > 10 * (usual[w] + 0.5) * share}
+            if w in likely:
+                before[w].add(words[i - 1] if i else b"")
+                after[w].add(words[i + 1] if i + 1 < len(words) else b"")
+    count = {w: min(rows[w], len(before[w]), len(after[w])) for w in likely}
+    return {w: n for w, n in count.items() if enough(w, n)}
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
