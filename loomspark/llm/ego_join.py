@@ -27,7 +27,7 @@ from loomspark.llm.common import write_out
 from loomspark.llm.components import connected_components, spanning_roots
 
 DIRECTIONS = 8
-BLOCK = 2048
+BLOCK = 4096
 FAN = 6  # bits: 64 children an interval
 LEAF = 64
 
