@@ -115,4 +115,7 @@ ORACLE_SQL: dict[str, str] = {
     "eval_recall": _LOOSE + f", b AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS passage FROM benchmark), top AS {_top('hits', 10)}, h AS (SELECT query_id, max(CAST(contains(text, passage) AS INTEGER)) AS hit, min(CASE WHEN contains(text, passage) THEN rank END) AS first FROM top JOIN c USING (id) JOIN b USING (query_id) GROUP BY 1) SELECT count(*) AS questions, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit), 6) AS recall, round(avg(1 / first), 6) AS mean_reciprocal FROM h",
     "grep_baseline": f"WITH {_CORPUS}, {_POSTS}, {_SEARCH_TERMS}, q AS (SELECT DISTINCT item_id AS query_id, lower(term) AS term FROM st), cover AS (SELECT query_id, id, count(*) AS terms FROM q JOIN posts USING (term) WHERE col = 'text' GROUP BY 1, 2), best AS (SELECT * FROM cover QUALIFY terms = max(terms) OVER (PARTITION BY query_id)) SELECT query_id, id, terms, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INTEGER) AS rank FROM best QUALIFY rank <= 20",
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "page_structure": """SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+      len(regexp_extract_all(html, '<a href=')) AS n_links, len(regexp_extract_all(html, '<p>')) AS n_paragraphs FROM pages""",
+    "page_links": """SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""",
 }

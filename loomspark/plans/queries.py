@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import chunking, graph, search, tables
+from loomspark.functions.embedding import hash_embeddings
+from loomspark.functions.stemming import stemmed
+from loomspark.operators import chunking, graph, render, search, tables
 from loomspark.sources.tables import corpus, table
 from loomspark.streaming.ingest import tumbling_counts
 
@@ -207,6 +209,42 @@ def pack_decisions(spark, d):
     return search.pack_hits(top.select("query_id", "rank", "id", "path", "hash", "tokens"), budget=3000)
 
 
+@query
+def bm25_stemmed(spark, d):
+    posts, terms = stemmed(_posts(spark, d)), stemmed(_terms(spark, d))
+    posts = posts.groupBy("id", "col", "term").agg(F.sum("tf").alias("tf"))
+    return _shown(search.ranked(search.bm25(posts, terms), limit=10))
+
+
+@query
+def hash_embed(spark, d):
+    v = hash_embeddings(corpus(spark, d))
+    return v.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("square"))
+
+
+@query
+def render_pack_markdown(spark, d):
+    c = corpus(spark, d).select("id", "bucket", "path", "text", "tokens", "hash")
+    top = search.ranked(_hits(spark, d), limit=30).join(c, "id")
+    packed = search.pack_hits(top.select("query_id", "rank", "id", "path", "hash", "tokens"), budget=3000).where("decision = 'included'")
+    lines = F.size(chunking.split_lines(F.col("text")))
+    rows = packed.join(c.select("id", "bucket", "text"), "id").select("query_id", "rank", "bucket", "path", F.lit(1).alias("start_line"), lines.alias("end_line"), "text")
+    return render.markdown_packs(rows)
+
+
+# Markup
+
+
+@query
+def page_structure(spark, d):
+    return render.page_structure(table(spark, d, "pages"))
+
+
+@query
+def page_links(spark, d):
+    return render.page_links(table(spark, d, "pages"))
+
+
 # Upkeep of tables
 
 
