@@ -37,7 +37,7 @@ GENERATIONS = 12
 ROUNDS = 2
 WELL_FILLED = 0.995
 TAIL_FILL = 0.985
-STORED = 300_000
+STORED = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -64,15 +64,31 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.stored: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark = max(added, default=None)
+        self.mark_text = added[self.mark].content if added else ""
 
     def learn(self, words: set[bytes]) -> None:
+        """Store the ids of words: many are encoded as one text with a special token between them, at which its ids are cut."""
         if len(self.stored) + len(words) > STORED:
             self.stored = {}
         new = [w for w in words if w not in self.stored]
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
-                self.stored[w] = np.array(e.ids, dtype="<u4").tobytes()
+        texts = [w.decode("utf-8", "replace") for w in new]
+        alone = [i for i, t in enumerate(texts) if self.mark is None or self.mark_text in t]
+        for i in alone:
+            self.stored[new[i]] = self._encode(texts[i]).tobytes()
+        rest = sorted(set(range(len(new))).difference(alone))
+        for at in range(0, len(rest), 1000):
+            own = rest[at : at + 1000]
+            ids = self._encode(self.mark_text.join([texts[i] for i in own]))
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(own, ends, strict=True):
+                self.stored[new[i]] = raw[4 * start : 4 * end]
+                start = end + 1
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -84,14 +100,23 @@ class WordIds:
             return b"".join(map(self.stored.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def worker_words(path: str) -> WordIds:
+    """One store a worker process, which its tasks share; it is bounded and changes no result."""
+    return WordIds(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = worker_words(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
+            rows, fresh = [], set()
+            for text in batch.column(1):
+                fresh.update((text.as_py() or b"").split())
+            words.learn(fresh)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words.ids(text.as_py() or b"") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
