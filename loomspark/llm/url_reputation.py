@@ -7,8 +7,10 @@ moments (the over-dispersion of rates among the groups of that level). A host's
 of its posterior bad rate is at least ``limit``. Rules (host, path) come first: one fits its host and all subdomains if
 the page's path starts with the rule's; the longest wins.
 
-A null address, or one without ``://``, has an empty host and path: no rule fits and no outcome is known of it, so the
-overall rate decides. Pages without labels, null labels and unknown hosts fall back to the levels above. Repeated rows
+A host without labelled pages takes part with n = 0: it has the mean of its registered domain, a domain without labels
+that of its suffix, and a suffix without labels the overall rate. Its lower bound counts the spread of every level that
+has no label of its own. A null address, or one without ``://``, has an empty host and path: no rule fits and no outcome
+is known of it, so the overall rate decides. Pages without labels and null labels count no outcome. Repeated rows
 are judged alike, and each counts as an outcome of its own; extra columns are ignored; empty tables give the overall
 rate 0. Only rates by level (four numbers each) come to the driver.
 """
@@ -65,25 +67,29 @@ def prior_strength(groups: DataFrame) -> float:
     return 1 / min(0.9, max(1e-3, rho)) - 1
 
 
-def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, float]:
-    """(host, bad_rate, lower) from (host, bad) outcomes, and the overall rate."""
-    hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+def host_reputation(outcomes: DataFrame) -> DataFrame:
+    """(host, bad_rate, lower) of every host in (host, bad) outcomes; a null ``bad`` names a host and counts nothing."""
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     suffix, domain = suffix_and_domain(F.col("host"))
     hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
     total, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     overall = bad / total if total else 0.0
 
     def shrink(groups: DataFrame) -> DataFrame:
+        """With the posterior rate, and ``loose``: the variance of an unlabelled group's rate as a share of rate (1 - rate)."""
         m = prior_strength(groups)
-        return groups.withColumns({"strength": F.lit(m), "rate": (F.col("bad") + m * F.col("mean")) / (F.col("n") + m)})
+        loose = F.when(F.col("n") > 0, F.lit(0.0)).otherwise(1 - (1 - F.col("above")) * (m / (m + 1)))
+        return groups.withColumns({"strength": F.lit(m), "rate": (F.col("bad") + m * F.col("mean")) / (F.col("n") + m), "loose": loose})
 
-    suffixes = shrink(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("mean", F.lit(overall)))
+    up = (F.col("rate").alias("mean"), F.col("loose").alias("above"))
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = shrink(suffixes.withColumns({"mean": F.lit(overall), "above": F.lit(0.0)}))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = shrink(domains.join(suffixes.select("suffix", F.col("rate").alias("mean")), "suffix"))
-    known = shrink(hosts.join(domains.select("domain", "suffix", F.col("rate").alias("mean")), ["suffix", "domain"]))
-    weight = F.col("n") + F.col("strength") + 1
-    lower = F.col("rate") - QUANTILE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / weight)
-    return known.select("host", F.col("rate").alias("bad_rate"), lower.alias("lower")), overall
+    domains = shrink(domains.join(suffixes.select("suffix", *up), "suffix"))
+    known = shrink(hosts.join(domains.select("domain", "suffix", *up), ["suffix", "domain"]))
+    share = F.when(F.col("n") > 0, 1 / (F.col("n") + F.col("strength") + 1)).otherwise(F.col("loose"))
+    lower = F.col("rate") - QUANTILE * F.sqrt(F.col("rate") * (1 - F.col("rate")) * share)
+    return known.select("host", F.col("rate").alias("bad_rate"), lower.alias("lower"))
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,10 +103,11 @@ def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, lower) for each page."""
-    known, overall = host_reputation(labelled_outcomes(pages, labels))
     host, path = host_and_path(F.col("url"))
+    every = pages.select(host.alias("host"), F.lit(None).cast("int").alias("bad"))
+    known = host_reputation(labelled_outcomes(pages, labels).unionByName(every))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).join(known, "host", "left")
-    rate, lower = F.coalesce("bad_rate", F.lit(overall)), F.coalesce("lower", F.lit(0.0))
+    rate, lower = F.col("bad_rate"), F.col("lower")
     own = F.when(lower >= limit, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round(rate, 6).alias("bad_rate"), F.round(lower, 6).alias("lower_bound"))

@@ -176,6 +176,19 @@ def test_bad_hosts_are_blocked(spark):
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
 
 
+def test_unlabelled_hosts_take_the_rates_above(spark):
+    kinds = ("bad.net", "good.net", "bad.example", "worse.example")
+    rows = [(i, f"http://h{i % 3}.{kinds[i % 4]}/en/{i}") for i in range(600)]
+    new = {1000: "http://new.bad.net/", 1001: "http://new.good.net/", 1002: "http://new.other.example/", 1003: "http://new.zone/", 1004: None}
+    labels = spark.createDataFrame([(i, int(i % 4 == 1), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([*rows, *new.items()], "page_id long, url string")
+    got = {r.page_id: r for r in url_reputation.judge_pages(pages, labels, rules=()).collect()}
+    assert len(got) == 605 and [got[i].verdict for i in (1000, 1001, 1002)] == ["block", "allow", "block"]
+    assert got[1000].bad_rate > 0.9 and got[1001].bad_rate < 0.1 and got[1002].bad_rate > 0.9
+    assert got[1003].bad_rate == got[1004].bad_rate == 0.75 and got[1003].lower_bound == got[1004].lower_bound < 0.75
+    assert got[1000].lower_bound < got[0].lower_bound
+
+
 def test_media_round_trip(spark):
     rows = [(0, None), (1, ""), (2, "x" * 192), (3, "é" * 97), (4, "héllo \U0001f600 " * 300), (5, "x" * 192)]
     got = {r.doc_id: r for r in media.text_to_media(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
