@@ -6,11 +6,17 @@ A surrogate is a keyed function (SHA-256 of the key, the kind, the normalised en
 entity alone, so every mention of one entity, however written, gets one surrogate (coreference). It is of the same kind,
 script and format: letters become letters of their script and case, digits digits, separators stay; a number that passed
 the Luhn test still does; phone numbers keep their country code, mail addresses their top-level domain; a person's given
-name follows the gender of the title, and a surname has one surrogate whoever bears it.
+name follows the gender of the title, and a surname has one surrogate whoever bears it. Phone numbers are found with a
+country code (+ or 00), with or without separators, and without one in the North American form (3-3-4 digits, area
+code and exchange from 2 on where no bracket or plus marks them; a leading 1 is the same number).
 
 Collision check: the distinct entities of the whole table with their surrogates are grouped; where two entities share a
-surrogate, or a surrogate is itself an entity of the table, the attempt number goes up until neither is so. Those few
-exceptions are written to a table and joined back by document; without any, no text is shuffled.
+surrogate, or a surrogate is itself an entity of the table, the attempt number goes up until neither is so. Surnames are
+entities of their own, and given names are checked among the bearers of one surname with an attempt number of their
+own, so that titles and given names never change a surname. Each attempt widens the space of names (a syllable, or a
+hyphenated given name, more), later ones that of mail addresses (a digit more). If ``ATTEMPTS`` do not part the
+entities, an error is raised. Those few exceptions are written to a table and joined back by document; without any, no
+text is shuffled.
 
 A null text stays null and an empty one empty; repeated rows get equal texts; extra columns are kept; an empty table
 gives an empty table. Rows with a null id are replaced as all others.
@@ -54,8 +60,11 @@ PATTERN = "|".join(
         r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
         r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
         rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
-        rf"\+[0-9]{{1,3}}{_GAP}\(?[0-9]{{2,4}}\)?{_GAP}[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}(?![0-9])",
+        rf"(?:\+|(?<![\p{{L}}\p{{N}}.+-])00)[0-9]{{1,3}}{_GAP}\(?[0-9]{{2,4}}\)?{_GAP}[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}(?![0-9])",
+        r"(?<![\p{L}\p{N}])\+[1-9][0-9]{8,14}(?![0-9])",
+        r"(?<![\p{L}\p{N}.+-])00[1-9][0-9]{8,11}(?![\p{L}\p{N}])",
         r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+        r"(?<![\p{L}\p{N}._+-])(?:1[ .-]?)?[2-9][0-9]{2}(?:[2-9][0-9]{6}|[ .-][2-9][0-9]{2}[ .-][0-9]{4})(?![\p{L}\p{N}_-]|\.[0-9])",
         r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
         r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
         r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
@@ -72,8 +81,9 @@ def _list(words: str) -> str:
     return "array(" + ", ".join(_sql(w) for w in words.split()) + ")"
 
 
-_KIND = """CASE WHEN contains(r, '@') THEN 'email' WHEN r RLIKE '^[+(]' THEN 'phone' WHEN r RLIKE '^[0-9a-fA-F]{32,}$' THEN 'secret'
- WHEN r RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}$' THEN 'ip' WHEN r RLIKE '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' THEN 'ssn' WHEN r RLIKE '^[0-9 -]+$' THEN 'card'
+_KIND = """CASE WHEN contains(r, '@') THEN 'email' WHEN r RLIKE '^([+(]|00[0-9]{1,3}[^0-9]|00[1-9][0-9]{8,11}$)' THEN 'phone' WHEN r RLIKE '^[0-9a-fA-F]{32,}$' THEN 'secret'
+ WHEN r RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}$' THEN 'ip' WHEN r RLIKE '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' THEN 'ssn'
+ WHEN r RLIKE '^(1[ .-]?)?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}$' THEN 'phone' WHEN r RLIKE '^[0-9 -]+$' THEN 'card'
  WHEN r RLIKE '^[A-Z]{2}[0-9]{2}[A-Z0-9]+$' THEN 'iban' ELSE 'person' END"""
 
 
@@ -85,7 +95,8 @@ def _gender(raw: str) -> str:
 def _norm(e: str) -> str:
     """What all spellings of an entity share."""
     name = f"concat({_gender(e + '.raw')}, '|', lower(regexp_replace({e}.raw, {_sql(f'^(?:{_TITLE})[.]? ')}, '')))"
-    return f"CASE WHEN {e}.kind IN ('phone', 'ssn', 'card') THEN regexp_replace({e}.raw, '[^0-9]', '') WHEN {e}.kind = 'person' THEN {name} ELSE lower({e}.raw) END"
+    digits = f"regexp_replace({e}.raw, '[^0-9]', '')"
+    return f"CASE WHEN {e}.kind = 'phone' THEN regexp_replace(regexp_replace({digits}, '^00', ''), '^1([0-9]{{10}})$', '$1') WHEN {e}.kind IN ('ssn', 'card') THEN {digits} WHEN {e}.kind = 'person' THEN {name} ELSE lower({e}.raw) END"
 
 
 #: The letters that a letter may become, by its script.
@@ -93,13 +104,18 @@ _ALPHABETS = (("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[à-öø-ÿß]", "àá
 
 
 def _canonical(e: str) -> str:
-    """The surrogate of an entity struct (kind, norm, hex) in its normalised form."""
+    """The surrogate of an entity struct (kind, norm, attempt, hex, last) in its normalised form.
+
+    A person's is the given name and the surname of ``last``; a surname (an entity of the collision check only) is its norm.
+    """
     value = f"CAST(conv(substring({e}.hex, 2 * pmod(i, 96) + 1, 2), 16, 10) AS INT)"
     ch = f"substring({e}.norm, i, 1)"
     pick = lambda letters: f"substring('{letters}', pmod({value}, {len(letters)}) + 1, 1)"
     letters = " ".join(f"WHEN {ch} RLIKE '{c}' THEN {pick(a)}" for c, a in _ALPHABETS)
     each = lambda body, first="1": f"array_join(transform(sequence({first}, length({e}.norm)), i -> {body}), '')"
     email = each(f"CASE WHEN i > length({e}.norm) - length(substring_index({e}.norm, '.', -1)) THEN {ch} WHEN {ch} RLIKE '[0-9]' THEN {pick('0123456789')} {letters} ELSE {ch} END")
+    more = f"array_join(transform(sequence(1, {e}.attempt - 3), i -> {pick('0123456789')}), '')"
+    email = f"CASE WHEN {e}.attempt > 3 THEN concat({more}, {email}) ELSE {email} END"
     secret = each(pick("0123456789abcdef"))
     digits = each(pick("0123456789"))
     phone = each(f"CASE WHEN i <= length({e}.norm) - 10 THEN {ch} ELSE {pick('0123456789')} END")
@@ -111,30 +127,40 @@ def _canonical(e: str) -> str:
     luhn = "aggregate(sequence(1, length(b)), 0, (s, i) -> s + (CASE WHEN pmod(length(b) - i, 2) = 0 THEN 2 * CAST(substring(b, i, 1) AS INT) - (CASE WHEN substring(b, i, 1) > '4' THEN 9 ELSE 0 END) ELSE CAST(substring(b, i, 1) AS INT) END))"
     off = f"(CASE WHEN luhn_check({e}.norm) THEN 0 ELSE 1 + pmod(CAST(conv(substring({e}.hex, 189, 4), 16, 10) AS INT), 9) END)"
     card = f"element_at(transform(array({body}), b -> concat(b, CAST(pmod(10 - pmod({luhn}, 10) + {off}, 10) AS STRING))), 1)"
-    gender, full = f"substring({e}.norm, 1, 1)", f"substring({e}.norm, 3)"
-    script = f"(CASE WHEN {full} RLIKE '[а-яё]' THEN 'cyrillic' ELSE 'latin' END)"
+    gender, full = f"substring({e}.norm, 1, 1)", f"(CASE {e}.kind WHEN 'surname' THEN {e}.norm ELSE substring({e}.norm, 3) END)"
+    surname = f"substring_index({full}, ' ', -1)"
+    script = lambda of: f"(CASE WHEN {of} RLIKE '[а-яё]' THEN 'cyrillic' ELSE 'latin' END)"
     names = "CASE concat(script, '_', gender) " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in NAMES.items()) + " END"
-    names = names.replace("script", script).replace("gender", gender)
-    syllables = f"CASE {script} " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in SYLLABLES.items()) + " END"
-    given = f"element_at({names}, 1 + pmod(CAST(conv(substring({e}.hex, 1, 4), 16, 10) AS INT), size({names})))"
-    last = f"initcap(array_join(transform(array(0, 1, 2, 3), i -> element_at({syllables}, 1 + pmod(CAST(conv(substring({e}.last, 4 * i + 1, 4), 16, 10) AS INT), size({syllables})))), ''))"
-    person = f"CASE WHEN contains({full}, ' ') THEN concat({given}, ' ', {last}) ELSE {last} END"
+    names = names.replace("script", script(full)).replace("gender", gender)
+    syllables = f"CASE {script(surname)} " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in SYLLABLES.items()) + " END"
+    # Each attempt has one name, or one syllable, more than the last: the space outgrows any number of entities.
+    drawn = lambda of, hashed: f"transform({of}, (names, k) -> element_at(names, 1 + pmod(CAST(conv(substring({hashed}, 4 * k + 1, 4), 16, 10) AS INT), size(names))))"
+    given = f"array_join({drawn(f'array_repeat({names}, 1 + least({e}.attempt, 40))', e + '.hex')}, '-')"
+    last = f"initcap(array_join({drawn(f'array_repeat({syllables}, 4 + least({e}.last_attempt, 12))', e + '.last')}, ''))"
+    person = f"CASE WHEN {e}.kind = 'person' AND contains({full}, ' ') THEN concat({given}, ' ', {last}) ELSE {last} END"
     return f"CASE {e}.kind WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {digits} WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} WHEN 'ip' THEN {ip} ELSE {person} END"
 
 
 def _formatted(e: str) -> str:
     """The canonical surrogate written as the mention was: its separators, its letters' case, its title."""
     ch = f"substring({e}.raw, i, 1)"
-    new = f"substring({e}.canonical, i, 1)"
-    cased = f"array_join(transform(sequence(1, length({e}.raw)), i -> CASE WHEN {ch} <> lower({ch}) THEN upper({new}) ELSE {new} END), '')"
-    spaced = f"aggregate(sequence(1, length({e}.raw)), named_struct('out', '', 'k', 1), (s, i) -> CASE WHEN {ch} RLIKE '[0-9]' THEN named_struct('out', concat(s.out, substring({e}.canonical, s.k, 1)), 'k', s.k + 1) ELSE named_struct('out', concat(s.out, {ch}), 'k', s.k) END, s -> s.out)"
+    longer = f"greatest(0, length({e}.canonical) - length({e}.raw))"
+    new_cased = f"substring({e}.canonical, i + {longer}, 1)"
+    cased = f"concat(substring({e}.canonical, 1, {longer}), array_join(transform(sequence(1, length({e}.raw)), i -> CASE WHEN {ch} <> lower({ch}) THEN upper({new_cased}) ELSE {new_cased} END), ''))"
+    # Digits before those of the normalised form (00, or the 1 of North America) stay.
+    spaced = f"aggregate(sequence(1, length({e}.raw)), named_struct('out', '', 'k', 1 + length({e}.canonical) - length(regexp_replace({e}.raw, '[^0-9]', ''))), (s, i) -> CASE WHEN {ch} RLIKE '[0-9]' THEN named_struct('out', concat(s.out, CASE WHEN s.k < 1 THEN {ch} ELSE substring({e}.canonical, s.k, 1) END), 'k', s.k + 1) ELSE named_struct('out', concat(s.out, {ch}), 'k', s.k) END, s -> s.out)"
     titled = f"concat(regexp_extract({e}.raw, {_sql(f'^(?:{_TITLE})[.]? ')}, 0), {e}.canonical)"
     return f"CASE WHEN {e}.kind IN ('phone', 'ssn', 'card') THEN {spaced} WHEN {e}.kind = 'person' THEN {titled} WHEN {e}.kind = 'ip' THEN {e}.canonical ELSE {cased} END"
 
 
-def _keyed(e: str, attempt: str, key: str) -> str:
-    part = lambda n, what: f"sha2(concat_ws('|', {_sql(key)}, {e}.kind, {what}, CAST({attempt} AS STRING), '{n}'), 256)"
-    return f"concat({part(0, e + '.norm')}, {part(1, e + '.norm')}, {part(2, e + '.norm')}) AS hex, {part('last', f"substring_index(substring({e}.norm, 3), ' ', -1)")} AS last"
+def _keyed(e: str, attempt: str, last_attempt: str, key: str) -> str:
+    part = lambda n, kind, what, tried: f"sha2(concat_ws('|', {_sql(key)}, {kind}, {what}, CAST({tried} AS STRING), '{n}'), 256)"
+    own = ", ".join(part(n, e + ".kind", e + ".norm", attempt) for n in range(3))
+    return f"{attempt} AS attempt, {last_attempt} AS last_attempt, concat({own}) AS hex, {part('last', _sql('person'), _surname(e), last_attempt)} AS last"
+
+
+def _surname(e: str) -> str:
+    return f"substring_index(CASE {e}.kind WHEN 'surname' THEN {e}.norm ELSE substring({e}.norm, 3) END, ' ', -1)"
 
 
 def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -148,25 +174,30 @@ def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _with_canonical(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt) with ``canonical``."""
+    """(kind, norm, attempt) with ``canonical``; a person's has the surname itself, whose surrogate is checked by its own."""
     e = entities.withColumn("e", F.struct("kind", "norm"))
-    e = e.withColumn("e", F.expr(f"struct(e.kind AS kind, e.norm AS norm, {_keyed('e', 'attempt', key)})"))
-    return e.withColumn("canonical", F.lower(F.expr(_canonical("e")))).drop("e")
+    e = e.withColumn("e", F.expr(f"struct(e.kind AS kind, e.norm AS norm, {_keyed('e', 'attempt', 'attempt', key)})"))
+    made = F.expr(f"CASE WHEN kind = 'person' THEN concat(substring_index({_canonical('e')}, ' ', 1), ' ', {_surname('e')}) ELSE {_canonical('e')} END")
+    return e.withColumn("canonical", F.lower(made)).drop("e")
 
 
 def exceptions(found: DataFrame, key: str = KEY) -> DataFrame | None:
     """(kind, norm, attempt) of the entities whose first surrogate collides; None if there are none."""
     seen = found.select(F.explode("found").alias("e")).select("e.kind", "e.norm").distinct()
+    # Of persons the surnames, and those with a given name besides.
+    checked = F.expr(f"CASE WHEN e.kind = 'person' THEN filter(array(struct('surname' AS kind, {_surname('e')} AS norm), e), x -> x.kind = 'surname' OR contains(x.norm, ' ')) ELSE array(e) END")
+    seen = seen.select(F.struct("kind", "norm").alias("e")).select(F.explode(checked).alias("e")).select("e.kind", "e.norm").distinct()
     entities = write_out(_with_canonical(seen.withColumn("attempt", F.lit(0)), key), "entities")
-    own = F.when(F.col("kind") == "person", F.expr("substring(norm, 3)")).otherwise(F.col("norm"))
-    originals = write_out(entities.select("kind", own.alias("canonical")).distinct(), "originals")
-    for _ in range(ATTEMPTS):
+    originals = write_out(entities.where("kind <> 'person'").select("kind", F.col("norm").alias("canonical")).distinct(), "originals")
+    for tried in range(ATTEMPTS + 1):
         least = entities.groupBy("kind", "canonical").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
         shared = entities.join(least, ["kind", "canonical"]).where("norm <> first.norm").select("kind", "norm")
         taken = entities.join(originals, ["kind", "canonical"], "left_semi").select("kind", "norm")
         bad = write_out(shared.union(taken).distinct(), "collisions")
         if not bad.limit(1).count():
             break
+        if tried == ATTEMPTS:
+            raise ValueError(f"surrogates of {bad.count()} entities still collide after {ATTEMPTS} attempts")
         again = entities.join(bad.withColumn("bad", F.lit(1)), ["kind", "norm"], "left")
         entities = write_out(_with_canonical(again.select("kind", "norm", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")), key), "entities")
     odd = entities.where("attempt > 0").select("kind", "norm", "attempt")
@@ -178,14 +209,17 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     columns = docs.columns
     found = find_entities(docs, text_col)
     odd = exceptions(found, key)
-    attempt = "0"
+    attempt, last_attempt = "0", "0"
     if odd is not None:
-        mentions = found.select(F.col(id_col).alias("own_id"), F.explode("found").alias("e")).select("own_id", "e.kind", "e.norm").distinct()
+        mentions = found.select(F.col(id_col).alias("own_id"), F.explode("found").alias("e")).select("own_id", "e.kind", "e.norm", "e").distinct()
+        names = mentions.where("kind = 'person'").select("own_id", F.lit("surname").alias("kind"), F.expr(_surname("e")).alias("norm"))
+        mentions = mentions.select("own_id", "kind", "norm").unionByName(names).distinct()
         by_doc = mentions.join(odd, ["kind", "norm"]).groupBy("own_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts"))
         by_doc = write_out(by_doc, "attempts")
         found = found.join(by_doc, F.col(id_col).eqNullSafe(F.col("own_id")), "left")
         attempt = "coalesce(attempts[concat_ws('|', e.kind, e.norm)], 0)"
-    steps = F.expr(f"transform(found, e -> struct(e.raw AS raw, e.kind AS kind, e.norm AS norm, {_keyed('e', attempt, key)}))")
+        last_attempt = f"coalesce(attempts[concat_ws('|', 'surname', {_surname('e')})], 0)"
+    steps = F.expr(f"transform(found, e -> struct(e.raw AS raw, e.kind AS kind, e.norm AS norm, {_keyed('e', attempt, last_attempt, key)}))")
     canonical = "CASE WHEN e.kind = 'person' THEN {0} ELSE lower({0}) END".format(_canonical("e"))
     out = found.withColumn("found", steps).withColumn("found", F.expr(f"transform(found, e -> struct(e.raw AS raw, e.kind AS kind, {canonical} AS canonical))"))
     out = out.withColumn("fresh", F.expr(f"transform(found, e -> {_formatted('e')})"))

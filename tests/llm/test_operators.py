@@ -158,6 +158,42 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len(set(got)) == len(raws) and not set(got) & set(raws)
 
 
+def test_titles_never_change_a_surname(spark):
+    given = ["A" + a + b for a in "bcdefghijk" for b in "aeiou"]
+    texts = ["Mr John Smith met Mr Smith, Mrs Smith and Dr Smith.", *(f"Mr {g} Smith left." for g in given), "Prof. Smith, Mr Jones"]
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    new = re.match(r"Mr \S+ (\w+) met Mr (\w+), Mrs (\w+) and Dr (\w+)\.", got[0]).groups()
+    named = [re.match(r"Mr (\S+) (\w+) left\.", x).groups() for x in got[1:-1]]
+    last = re.match(r"Prof\. (\w+), Mr (\w+)", got[-1]).groups()
+    assert {*new, *(s for _, s in named), last[0]} == {new[0]} and last[1] != new[0]
+    assert len({g for g, _ in named}) == len(given)
+
+
+def test_surrogates_without_room(spark, monkeypatch):
+    # One letter a name: all of 26 x 26 addresses are taken, so new ones are longer.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    raws = [f"{a}@{b}.example" for a in letters for b in letters]
+    docs = spark.createDataFrame([(i, f"x {r} y") for i, r in enumerate(raws)], "doc_id long, text string")
+    got = [r.text.split()[1] for r in pii.replace_entities(docs).collect()]
+    assert len(set(got)) == len(raws) and not set(got) & set(raws) and all(x.endswith(".example") for x in got)
+    monkeypatch.setattr(pii, "ATTEMPTS", 1)
+    with pytest.raises(ValueError, match="collide"):
+        pii.replace_entities(docs)
+
+
+def test_phone_forms(spark):
+    same = ["+1 (212) 555-0101", "(212) 555-0101", "+12125550101", "212-555-0101", "212.555.0101", "212 555 0101", "1-212-555-0101", "2125550101", "12125550101"]
+    other = ["+493012345678", "00493012345678", "0049 30 1234 5678"]
+    left = ["v1.212.555", "1700000000", "id-2125550101-x", "3.2125550101"]
+    rows = [(i, f"call {x} now") for i, x in enumerate(same + other + left)]
+    got = [r.text[5:-4] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    digits = [re.sub("[^0-9]", "", x) for x in got]
+    assert len({d[-10:] for d in digits[:9]}) == 1 and digits[0][-10:] != "2125550101" and digits[0][0] == digits[2][0] == digits[6][0] == "1"
+    assert [re.sub("[0-9]", "0", x) for x in got[:12]] == [re.sub("[0-9]", "0", x) for x in same + other]
+    assert len({d[-10:] for d in digits[9:12]}) == 1 and got[9].startswith("+49") and got[10].startswith("0049") and got[9] != other[0]
+    assert got[12:] == left
+
+
 def test_url_rules_and_hosts(spark):
     urls = ["https://A.Example.org/es/1", "http://example.org/en/12?x", "http://x.org", "http://x.org/", "http://b.com/fr/x#y", "https://com/de/", "no address", None, "http://notorg/", "http://h.net:80/a/3"]
     pages = spark.createDataFrame([(i, u, 7) for i, u in enumerate(urls)], "page_id long, url string, verdict int")
