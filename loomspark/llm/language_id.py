@@ -1,7 +1,7 @@
 """Operator 5: language identification by Bayesian fusion of text, markup, address suffix and host.
 
-* Text: byte trigrams under one smoothed model a language, fitted on a bounded sample of documents with a declared
-  language (``SAMPLE`` a language, picked by a hash of their ids); whole texts are scored. As trigrams are not
+* Text: byte trigrams under one smoothed model a language, for every declared language, each fitted in a task on a
+  bounded sample of its documents (``SAMPLE`` a language, picked by a hash of their ids); whole texts are scored. As trigrams are not
   independent, a text's mean log-likelihood counts as at most ``EVIDENCE`` of them.
 * Declared markup language (``<html lang=...>``) and address suffix: P(value | language), counted over all pages against
   the language of their text, smoothed.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import bounded_batches, byte_view, write_out
@@ -31,7 +31,6 @@ from loomspark.llm.textbytes import LOWER
 from loomspark.llm.url_reputation import host_and_path, suffix_and_domain
 
 SAMPLE = 400
-LANGUAGES = 64
 CELLS = 1 << 16
 EVIDENCE = 40.0
 LEAST = 0.5
@@ -109,19 +108,30 @@ def _likelihoods(model):
     return run, "doc_id bigint, source string, n_grams bigint, ll array<double>, usual boolean, letters boolean"
 
 
+def _fit_language(group: pa.Table) -> pa.Table:
+    """One language's column of the model, of a table (lang, text)."""
+    lang = group.column(0)[0].as_py()
+    own = fit_text_model([(lang, t.as_py()) for t in group.column(1)])
+    return pa.table({"lang": pa.array([lang], pa.string()), "log_p": pa.array([own.log_p[:, 0].tobytes()], pa.binary()), "mean": pa.array([own.usual[0, 0]]), "deviation": pa.array([own.usual[0, 1]])})
+
+
 def train_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextModel:
-    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 2))
-    languages = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
-    ids = None
+    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 2))
+    sizes = known.groupBy(F.col(lang_col).alias("own_lang")).agg(F.approx_count_distinct(id_col).alias("n"))
     order = F.xxhash64(id_col)
-    for lang in languages:  # at most LANGUAGES, of SAMPLE ids each
-        own = known.where(F.col(lang_col) == lang).select(F.col(id_col).alias("own_id"), F.col(lang_col).alias("own_lang")).orderBy(order, id_col).limit(SAMPLE)
-        ids = own if ids is None else ids.union(own)
-    if ids is None:
+    # Half as many again of the smallest hashes as are wanted: the window sees few rows of each language.
+    least = F.least(F.lit(1.0), 1.5 * SAMPLE / F.col("n")) * 2.0**64 - 2.0**63
+    near = known.select(F.col(id_col).alias("own_id"), F.col(lang_col).alias("own_lang"), order.alias("own_hash")).join(F.broadcast(sizes), "own_lang")
+    near = near.where(F.col("own_hash").cast("double") <= least).select("own_id", "own_lang", "own_hash").distinct()
+    place = F.row_number().over(Window.partitionBy("own_lang").orderBy("own_hash", "own_id"))
+    ids = near.withColumn("place", place).where(F.col("place") <= SAMPLE).select("own_id", "own_lang")
+    picked = known.join(F.broadcast(ids), (F.col(id_col) == F.col("own_id")) & (F.col(lang_col) == F.col("own_lang")))
+    fitted = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).groupBy("lang").applyInArrow(_fit_language, "lang string, log_p binary, mean double, deviation double")
+    rows = sorted(fitted.collect(), key=lambda r: r.lang)  # one a language
+    if not rows:
         return TextModel([], np.zeros((CELLS, 1), dtype=np.float32), np.zeros((0, 2)))
-    picked = known.join(F.broadcast(ids.distinct()), (F.col(id_col) == F.col("own_id")) & (F.col(lang_col) == F.col("own_lang")))
-    rows = picked.orderBy(order, id_col).select(lang_col, text_col).collect()
-    return fit_text_model([(r[0], r[1]) for r in rows])
+    log_p = np.column_stack([np.frombuffer(bytes(r.log_p), dtype=np.float32) for r in rows])
+    return TextModel([r.lang for r in rows], log_p, np.array([(r["mean"], r.deviation) for r in rows]))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

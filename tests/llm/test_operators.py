@@ -349,6 +349,16 @@ def test_language_id(spark):
     assert language_id.identify_languages(table.limit(0), pages).count() == 0
 
 
+def test_every_declared_language_has_a_model(spark):
+    rng = random.Random(9)
+    vocabulary = {f"l{k:02d}": words(rng, 6, "abcdefghijklmnopqrstuvwxyz") for k in range(70)}
+    docs = [(4 * k + i, " ".join(rng.choices(v, k=30)), lang, "s", 1) for k, (lang, v) in enumerate(vocabulary.items()) for i in range(4)]
+    model = language_id.train_text_model(spark.createDataFrame(docs, DOCS))
+    assert model.languages == sorted(vocabulary)
+    cells = [language_id.trigram_cells(*language_id.byte_view(language_id.pa.array([d[1]])))[0] for d in docs]
+    assert all(model.languages[model.log_p[c].mean(axis=0).argmax()] == d[2] for c, d in zip(cells, docs, strict=True))
+
+
 def test_mixing_meets_its_targets(spark):
     rng = random.Random(11)
     rows, labels = [], []
