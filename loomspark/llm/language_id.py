@@ -4,9 +4,10 @@
   bounded sample of its documents (``SAMPLE`` a language, picked by a hash of their ids); whole texts are scored. As trigrams are not
   independent, a text's mean log-likelihood counts as at most ``EVIDENCE`` of them.
 * Declared markup language (``<html lang=...>``) and address suffix: P(value | language), counted over all pages against
-  the language of their text, smoothed.
+  the language of their document's text, smoothed; every value has its own row. A document's pages add up.
 * Host: a prior over languages by grouped aggregation, smoothed from the whole table to registered domain to host
-  (Dirichlet weights ``DOMAIN_WEIGHT``, ``HOST_WEIGHT``). A document without a page has its source as host.
+  (Dirichlet weights ``DOMAIN_WEIGHT``, ``HOST_WEIGHT``), counted over pages; each page adds what its host says beyond the whole table. A document without
+  a page has its source as host. ``host`` and ``declared`` are given of a document's first page.
 
 The language is the largest posterior. A document is rejected if its posterior is under ``least``, if its text holds no
 letter, or if its likelihood is far below that of its language's sample (no language known here). Of a text too short
@@ -135,29 +136,34 @@ def train_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """(doc_id, host, suffix, domain, declared) of the first page of each document, known by the number in its path."""
+    """(doc_id, host, declared, page_id, pages, suffix, domain): the pages of each document, known by the number in their
+    paths, with the first page_id and the number of those that say the same."""
     host, path = host_and_path(F.col("url"))
     declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     seen = pages.select("page_id", host.alias("host"), F.regexp_extract(path, "^/[^/]*/([0-9]{1,18})", 1).alias("number"), F.nullif(declared, F.lit("")).alias("declared")).where("number <> ''")
-    one = seen.groupBy(F.col("number").cast("long").alias("doc_id")).agg(F.min(F.struct("page_id", "host", "declared")).alias("p"))
+    some = seen.groupBy(F.col("number").cast("long").alias("doc_id"), "host", "declared").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages"))
     suffix, domain = suffix_and_domain(F.col("host"))
-    return one.select("doc_id", "p.host", "p.declared").withColumns({"suffix": suffix, "domain": domain})
+    return some.withColumns({"suffix": suffix, "domain": domain})
 
 
-def _given_language(rows: DataFrame, column: str, languages: list[str]) -> F.Column:
-    """The logs of P(value | language), counted against the text's language; values beyond the 100 most frequent share one."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column, "best").count()
-    top = [r[0] for r in counts.groupBy(column).agg(F.sum("count").alias("n")).orderBy(F.desc("n"), column).limit(100).collect()]
-    values = {v: i for i, v in enumerate(top)}
-    table = np.full((len(top) + 1, len(languages)), 1.0)
-    for value, best, n in counts.where(F.col(column).isin(top)).select(column, "best", "count").collect() if top else []:
-        table[values[value], best] += n
-    logs = np.log(table / table.sum(axis=0))
-    entries = [x for v, i in values.items() for x in (F.lit(v), F.array(*map(F.lit, logs[i].tolist())))]
-    nothing = F.array(*[F.lit(0.0)] * len(languages))
-    if not entries:
-        return nothing
-    return F.when(F.col(column).isNull(), nothing).otherwise(F.coalesce(F.create_map(*entries)[F.col(column)], F.array(*map(F.lit, logs[-1].tolist()))))
+def _by_language(counts: DataFrame, keys: list[str], languages: int) -> DataFrame:
+    """``keys`` and ``c``, the array of counts by language, of (keys, best, n)."""
+    grouped = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("m"))
+    c = F.transform(F.sequence(F.lit(0), F.lit(languages - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double"))
+    return grouped.select(*keys, c.alias("c"))
+
+
+def _given_language(counted: DataFrame, column: str, languages: int) -> tuple[DataFrame, F.Column]:
+    """(column, said): the logs of P(value | language) of every value, counted against the text's language; and those of a
+    value that no document with a text has."""
+    counts = write_out(counted.where(F.col(column).isNotNull()).groupBy(column, "best").agg(F.sum("pages").alias("n")), column)
+    total = np.zeros(languages)
+    for best, n in counts.groupBy("best").agg(F.sum("n")).collect():  # one number a language
+        total[best] = n
+    base = np.log(total + counts.select(column).distinct().count() + 1)
+    rest = F.array(*map(F.lit, (-base).tolist()))
+    said = F.zip_with("c", rest, lambda n, r: F.log(n + 1) + r)
+    return write_out(_by_language(counts, [column], languages).select(column, said.alias("said")), column), rest
 
 
 def identify_languages(docs: DataFrame, pages: DataFrame | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -171,34 +177,52 @@ def identify_languages(docs: DataFrame, pages: DataFrame | None = None, least: f
         none = F.lit(None).cast("string")
         return rows.select("doc_id", none.alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), none.alias("declared"), none.alias("host"), F.lit(False).alias("kept"))
     scored = rows.mapInArrow(*_likelihoods(shared))
+    none = F.lit(None).cast("string")
     if pages is not None:
-        scored = scored.join(page_evidence(pages), "doc_id", "left")
+        pages_of = write_out(page_evidence(pages), "evidence")
+        first = pages_of.groupBy("doc_id").agg(F.min(F.struct("page_id", "host", "declared")).alias("p"))
+        scored = scored.join(first.select("doc_id", F.lit(True).alias("paged"), "p.host", "p.declared"), "doc_id", "left")
     else:
-        none = F.lit(None).cast("string")
-        scored = scored.withColumns({"host": none, "declared": none, "suffix": none, "domain": none})
+        scored = scored.withColumns({"paged": F.lit(False), "host": none, "declared": none})
     own = F.concat(F.lit("source:"), F.coalesce("source", F.lit("")))
     best = F.array_position("ll", F.array_max("ll")).cast("int") - 1
-    scored = scored.withColumns({"best": best, "host": F.coalesce("host", own), "domain": F.coalesce("domain", F.lit("source"))})
+    scored = scored.withColumns({"best": best, "paged": F.coalesce("paged", F.lit(False)), "host": F.coalesce("host", own)})
     scored = write_out(scored, "languages")
 
     n = len(names)
-    hits = lambda: F.array(*(F.sum((F.col("best") == k).cast("double")) for k in range(n)))
     seen = scored.where("n_grams > 0")
-    total = (seen.agg(hits()).first()[0]) or [0.0] * n
-    whole = [((c or 0.0) + 1) / (sum(x or 0.0 for x in total) + n) for c in total]
+    total = np.zeros(n)
+    for k, c in seen.groupBy("best").count().collect():  # one number a language
+        total[k] = c
+    whole = ((total + 1) / (total.sum() + n)).tolist()
     blend = lambda own, prior, m: F.zip_with(own, prior, lambda c, p: c + m * p)
     share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda s, y: s + y))
-    hosts = seen.groupBy("domain", "host").agg(hits().alias("c"))
-    domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("c")[k]) for k in range(n))).alias("c"))
-    domains = domains.select("domain", share(blend(F.col("c"), F.array(*map(F.lit, whole)), DOMAIN_WEIGHT)).alias("up"))
-    priors = write_out(hosts.join(domains, "domain").select("domain", "host", share(blend(F.col("c"), F.col("up"), HOST_WEIGHT)).alias("prior")), "hosts")
-
-    fused = scored.join(priors, ["domain", "host"], "left")
+    hosts = seen.where("not paged").groupBy(F.lit("source").alias("domain"), "host", "best").agg(F.count("*").alias("n"))
+    if pages is not None:
+        counted = write_out(pages_of.join(seen.where("paged").select("doc_id", "best"), "doc_id").select("domain", "host", "suffix", "declared", "pages", "best"), "counted")
+        hosts = hosts.unionByName(counted.groupBy("domain", "host", "best").agg(F.sum("pages").alias("n")))
+    hosts = write_out(hosts, "hosts")
+    domains = _by_language(hosts.groupBy("domain", "best").agg(F.sum("n").alias("n")), ["domain"], n)
     flat = F.array(*map(F.lit, whole))
+    domains = domains.select("domain", share(blend(F.col("c"), flat, DOMAIN_WEIGHT)).alias("up"))
+    priors = write_out(_by_language(hosts, ["domain", "host"], n).join(domains, "domain").select("domain", "host", share(blend(F.col("c"), F.col("up"), HOST_WEIGHT)).alias("prior")), "priors")
+
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    sources = priors.where("domain = 'source'").select("host", F.lit(False).alias("paged"), "prior")
+    fused = scored.join(sources, ["host", "paged"], "left")
     logs = add(F.col("ll"), F.transform(F.coalesce("prior", flat), lambda p: F.log(p)))
-    for column in ("declared", "suffix"):
-        logs = add(logs, _given_language(seen, column, names))
+    if pages is not None:
+        nothing = F.array(*[F.lit(0.0)] * n)
+        says = pages_of.join(priors, ["domain", "host"], "left")
+        page = F.zip_with(F.coalesce("prior", flat), flat, lambda p, w: F.log(p / w))
+        for column in ("declared", "suffix"):
+            table, rest = _given_language(counted, column, n)
+            says = says.join(table.withColumnRenamed("said", f"said_{column}"), column, "left")
+            page = add(page, F.when(F.col(column).isNull(), nothing).otherwise(F.coalesce(f"said_{column}", rest)))
+        says = says.select("doc_id", F.transform(page, lambda x: x * F.col("pages")).alias("said"))
+        says = says.groupBy("doc_id").agg(F.aggregate(F.collect_list("said"), nothing, add).alias("said"))
+        fused = fused.join(says, "doc_id", "left")
+        logs = add(logs, F.coalesce("said", nothing))
     fused = fused.withColumn("logs", logs)
     top = F.array_max("logs")
     fused = fused.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top)))

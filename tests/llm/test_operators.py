@@ -349,6 +349,24 @@ def test_language_id(spark):
     assert language_id.identify_languages(table.limit(0), pages).count() == 0
 
 
+def test_all_pages_and_values_are_evidence(spark):
+    # Texts say nothing (one word in both languages): pages decide, and there are more suffixes than 100.
+    docs = [(i, "alpha beta gamma", "ab"[i % 2] * 2, "s", 1) for i in range(40)]
+    pages = [(0, "http://x.org/a/1", "<html lang=zz>"), *((k, f"http://h.s{k}/a/{k % 4}", "<html lang=aa>") for k in range(1, 151))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    kept = language_id.page_evidence(frame).collect()
+    assert sum(r.pages for r in kept) == len(pages) and {r.declared for r in kept if r.doc_id == 1} == {"aa", "zz"}
+    counted = spark.createDataFrame([(f"s{k}", k % 2, 1 + k % 3) for k in range(150)], "suffix string, best int, pages long")
+    table, rest = language_id._given_language(counted, "suffix", 2)
+    said = {r.suffix: r.said for r in table.collect()}
+    assert len(said) == 150 and said["s2"][0] > said["s2"][1] and said["s149"][1] > said["s149"][0]
+    other = spark.range(1).select(rest.alias("r")).first().r
+    for k in range(2):
+        assert abs(sum(np.exp(x[k]) for x in said.values()) + np.exp(other[k]) - 1) < 1e-9
+    got = language_id.identify_languages(spark.createDataFrame(docs, DOCS), frame).collect()
+    assert len(got) == 40 and {r.doc_id: r.host for r in got}[1] == "x.org" and {r.doc_id: r.host for r in got}[5] == "source:s"
+
+
 def test_every_declared_language_has_a_model(spark):
     rng = random.Random(9)
     vocabulary = {f"l{k:02d}": words(rng, 6, "abcdefghijklmnopqrstuvwxyz") for k in range(70)}
