@@ -3,10 +3,11 @@
 A classifier, fitted on a bounded sample of the labelled table (``SAMPLE`` rows a domain, picked by a hash of their ids),
 gives every document posteriors p over the domains good, poor (low quality) and toxic. Nonnegative rates r, the expected
 number of times that a document is used, are fitted so that the expected domain totals ``sum_i r_i t_i p_id`` (t: words)
-meet the target weights of the table's words, by accelerated projected-gradient least squares with a small ridge towards
-1. Each iteration is one aggregation of all documents to one sum a domain; those sums, a few numbers, are all that the
-driver holds. A document's rate is a function of its posteriors and of the residuals so far, so the residuals are kept
-and rates are computed anew from them in each pass; nothing else is carried along.
+meet the target weights of the table's words, by nonnegative least squares with a small ridge towards 1. Its optimum has
+the form ``max(0, 1 + p . slope)`` with one slope a domain; these are found by Newton steps (damped where one does not
+lower the dual objective), and the ridge is lowered until the residual is within ``TOLERANCE``. Each step is one
+aggregation of all documents to a few sums a domain, which are all that the driver holds. No rate is capped. Targets that
+the ridge ``LEAST_RIDGE`` still misses (no nonnegative rates meet them) are warned of; ``Mixture.residual`` has the miss.
 
 Copies are ``floor(rate + u)`` with u uniform by a hash of the id and the text, so that a row's fate is stable.
 
@@ -16,6 +17,7 @@ rates; extra columns are kept; without labels of two domains all rates are 1; an
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,9 +34,9 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 SAMPLE = 2000
 CELLS = 1 << 16
 RIDGE = 1e-3
-ITERATIONS = 40
+LEAST_RIDGE = 1e-10
+ITERATIONS = 300
 TOLERANCE = 2e-3
-MAX_RATE = 8.0
 
 _KINDS = np.zeros(256, dtype=np.int8)
 _KINDS[ord("a") : ord("z") + 1] = 1
@@ -127,25 +129,11 @@ def fit_domains(rows: list[tuple[int, str | None]], domains: int = len(DOMAINS))
 @dataclass
 class Mixture:
     model: DomainModel | None
-    residuals: list[list[float]] = field(default_factory=list)
+    slope: list[float] = field(default_factory=lambda: [0.0] * len(DOMAINS))
+    residual: list[float] = field(default_factory=list)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        """The rates after all iterations whose residuals are known (accelerated, projected to 0 .. MAX_RATE)."""
-        last = rate = np.ones(len(p))
-        for k, residual in enumerate(self.residuals):
-            ahead = self.ahead(rate, last, k)
-            last, rate = rate, np.clip(ahead - (p @ np.array(residual) + RIDGE * (ahead - 1)) / (1 + RIDGE), 0, MAX_RATE)
-        return rate
-
-    @staticmethod
-    def ahead(rate: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
-        return rate + max(0, k - 1) / (k + 2) * (rate - last)
-
-    def points(self, p: np.ndarray) -> np.ndarray:
-        """Where the next gradient is taken."""
-        known = Mixture(self.model, self.residuals[:-1])
-        rate = self.rates(p)
-        return self.ahead(rate, known.rates(p) if self.residuals else rate, len(self.residuals))
+        return np.maximum(0.0, 1 + p @ np.array(self.slope))
 
 
 def _posteriors(model, k: int):
@@ -167,14 +155,16 @@ def _p(column: pa.ListArray) -> np.ndarray:
 
 
 def _totals(mixture):
-    """A task's sums of rate * words * p by domain."""
+    """A task's sums by domain of rate * words * p, then of words * p p' where the rate is above 0, then of words * rate^2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                p = _p(batch.column(1))
-                own = (mixture.value.points(p) * batch.column(0).to_numpy()) @ p
+                p, words = _p(batch.column(1)), batch.column(0).to_numpy()
+                rate = mixture.value.rates(p)
+                bend = (p * (words * (rate > 0))[:, None]).T @ p
+                own = np.concatenate(((rate * words) @ p, bend.ravel(), [(words * rate**2).sum()]))
                 total = own if total is None else total + own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["d", "v"])
@@ -227,13 +217,39 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     want = np.array([(targets or TARGETS)[d] for d in DOMAINS])
     want = want / want.sum()
     mixture = Mixture(model)
-    for _ in range(ITERATIONS if whole else 0):
-        now = spark.sparkContext.broadcast(Mixture(None, mixture.residuals))
-        sums = dict(table.select("words", "p").mapInArrow(*_totals(now)).groupBy("d").agg(F.sum("v")).collect())  # one number a domain
-        residual = np.array([sums.get(d, 0.0) for d in range(len(DOMAINS))]) / whole - want
-        mixture.residuals.append(residual.tolist())
+    if not whole:
+        return mixture, table
+    n = len(DOMAINS)
+
+    def sums_at(slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        now = spark.sparkContext.broadcast(Mixture(None, slope.tolist()))
+        sums = dict(table.select("words", "p").mapInArrow(*_totals(now)).groupBy("d").agg(F.sum("v")).collect())  # a few numbers
+        v = np.array([sums.get(d, 0.0) for d in range(n + n * n + 1)]) / whole
+        return v[:n] - want, v[n : n + n * n].reshape(n, n), v[-1] / 2 - slope @ want
+
+    slope, ridge = np.zeros(n), RIDGE
+    residual, bend, value = sums_at(slope)
+    for _ in range(ITERATIONS):
         if np.abs(residual).max() < TOLERANCE:
             break
+        gradient = residual + ridge * slope
+        if np.abs(gradient).max() < TOLERANCE / 10:
+            if ridge <= LEAST_RIDGE:
+                break
+            ridge /= 10
+            continue
+        step = -np.linalg.solve(bend + ridge * np.eye(n), gradient)
+        before, part = value + ridge / 2 * slope @ slope, 1.0
+        while True:
+            ahead = slope + part * step
+            tried = sums_at(ahead)
+            if tried[2] + ridge / 2 * ahead @ ahead <= before + 1e-4 * part * gradient @ step or part < 1e-3:
+                break
+            part /= 2
+        slope, (residual, bend, value) = ahead, tried
+    mixture.slope, mixture.residual = slope.tolist(), residual.tolist()
+    if np.abs(residual).max() >= TOLERANCE:
+        warnings.warn(f"the target weights are missed by {dict(zip(DOMAINS, residual.round(4).tolist(), strict=True))}", stacklevel=2)
     return mixture, table
 
 
@@ -243,7 +259,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     if table is None:
         one = F.lit(1.0)
         return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("words"), *(F.lit(None).cast("double").alias(f"p_{d}") for d in DOMAINS), one.alias("rate"), F.lit(1).cast("long").alias("copies"))
-    rated = table.mapInArrow(*_with_rate(docs.sparkSession.sparkContext.broadcast(Mixture(None, mixture.residuals))))
+    rated = table.mapInArrow(*_with_rate(docs.sparkSession.sparkContext.broadcast(Mixture(None, mixture.slope))))
     return rated.select("doc_id", "words", *(F.round(F.col("p")[k], 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"), F.floor(F.col("rate") + F.col("u")).alias("copies"))
 
 

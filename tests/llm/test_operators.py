@@ -401,3 +401,20 @@ def test_mixing_meets_its_targets(spark):
     assert mixed.columns == docs.columns
     assert Counter(r.doc_id for r in mixed.collect()) == +Counter({k: sum(r.copies for r in got if r.doc_id == k) for k in {r.doc_id for r in got}})
     assert mixing.mix_documents(docs, table.limit(0)).count() == len(rows) and mixing.mix_documents(docs.limit(0), table).count() == 0
+
+
+def test_rates_above_eight_and_missed_targets(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(x.upper() + "###" if i % 20 else x for x in words(rng, 40)), "en", "s", 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 20 == 0), 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    targets = {"good": 0.90, "poor": 0.10, "toxic": 0.0}
+    mixture, table = mixing.fit_mixture(docs, labels, targets)
+    assert np.abs(mixture.residual).max() < mixing.TOLERANCE
+    got = mixing.document_rates(docs, labels, targets).collect()
+    assert max(r.rate for r in got) > 10
+    for d, want in targets.items():
+        assert abs(sum(r.rate * r.words * r[f"p_{d}"] for r in got) / sum(r.words for r in got) - want) < 0.01
+    with pytest.warns(UserWarning, match="missed"):
+        missed, _ = mixing.fit_mixture(docs, labels, {"good": 0.1, "poor": 0.1, "toxic": 0.8})
+    assert np.abs(missed.residual).max() > 0.1
