@@ -2,11 +2,14 @@
 
 A document's tokens are the ids of a public tokenizer (its path is a parameter) and the end id. Documents of more than
 ``capacity`` tokens are cut into pieces of ``capacity``, the last of which may be shorter; full pieces are sequences of
-their own. The others are dealt by hash to buckets of about ``BUCKET`` pieces. For each bucket ``ISLANDS`` islands
-evolve groupings: crossover injects whole well-filled bins of one parent into the other, bins that hold duplicates are
-dissolved, and the displaced pieces are put back best-fit, largest first. Between rounds each island's elite migrates to
-its neighbour by a shuffle. A bucket's best grouping stands, but for its badly filled bins: their pieces are dealt
-anew to fewer buckets, level by level, until one bucket is left, so that the last open bin of each bucket costs nothing.
+their own. The others are dealt by hash to buckets of about ``BUCKET`` pieces (more where pieces are so short that ``BUCKET_BINS`` bins hold more). For each bucket ``ISLANDS`` islands
+evolve groupings, each from ``POPULATION`` best-fit groupings in orders of blurred size: crossover injects whole
+well-filled bins of one parent into the other, bins that hold duplicates and up to ``DISSOLVED`` of the worst are
+dissolved, and the displaced pieces are put back best-fit, largest first. An island stops after the generation that
+reaches the least possible number of bins, else after ``GENERATIONS``.
+Between rounds each island's elite migrates to its neighbour by a shuffle. A bucket's best grouping stands, but for its
+least filled bins (those of at most ``HANDED`` of its pieces): their pieces are dealt anew to fewer buckets, level by
+level, until one bucket is left, so that the last open bin of each bucket costs nothing.
 
 A null text counts as empty (only the end id); repeated rows are packed each; extra columns are ignored; an empty table
 gives an empty table.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import os
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,20 +28,26 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import write_out
 
 CAPACITY = 4096
+#: A bucket's pieces and bins: it has about as many pieces, but at least about as many bins.
 BUCKET = 3000
+BUCKET_BINS = 256
 ISLANDS = 3
-POPULATION = 5
-GENERATIONS = 12
+POPULATION = 4
+GENERATIONS = 24
 ROUNDS = 2
 WELL_FILLED = 0.995
-TAIL_FILL = 0.985
-STORED = 1_200_000
+DISSOLVED = 0.2
+BLUR = 0.5
+HANDED = 1 / 8
+#: Bytes of words and ids that a task holds at most, as Python counts them.
+STORED_BYTES = 96 << 20
 
 
 def default_tokenizer() -> str:
@@ -54,71 +64,96 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: How the tokenizer parts a word (its own pattern).
+PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words of characters below this one are as the tokenizer normalises them but for their case.
+PLAIN = "\u0300"
+BEYOND = regex.compile("[\u0300-\U0010ffff]")
+MARKS = regex.compile(r"\p{M}")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds:
     """Ids of texts, put together from stored ids of their words.
 
-    The tokenizer drops white space and never joins ids across it, so a text's ids are those of its words
-    ``[^\\x20\\x09-\\x0D]+`` end to end.
+    The tokenizer lower-cases each character, drops white space and never joins ids across it, so a text's ids are those
+    of its words end to end, and a word's those of its runs of letters, single digits and runs of other characters. Only
+    such a run goes through the tokenizer's merges. Words with characters from ``PLAIN`` on, and texts with combining
+    marks or a special token's string, are encoded by the tokenizer as they are. When ``STORED_BYTES`` are held, words
+    not met since the last time are forgotten.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.stored: dict[bytes, bytes] = {}
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark = max(added, default=None)
-        self.mark_text = added[self.mark].content if added else ""
-
-    def learn(self, words: set[bytes]) -> None:
-        """Store the ids of words: many are encoded as one text with a special token between them, at which its ids are cut."""
-        if len(self.stored) + len(words) > STORED:
-            self.stored = {}
-        new = [w for w in words if w not in self.stored]
-        texts = [w.decode("utf-8", "replace") for w in new]
-        alone = [i for i, t in enumerate(texts) if self.mark is None or self.mark_text in t]
-        for i in alone:
-            self.stored[new[i]] = self._encode(texts[i]).tobytes()
-        rest = sorted(set(range(len(new))).difference(alone))
-        for at in range(0, len(rest), 1000):
-            own = rest[at : at + 1000]
-            ids = self._encode(self.mark_text.join([texts[i] for i in own]))
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for i, end in zip(own, ends, strict=True):
-                self.stored[new[i]] = raw[4 * start : 4 * end]
-                start = end + 1
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def ids(self, text: bytes) -> bytes:
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.stored: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *special]  # these controls part words in Python only
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.stored[word] = ids
+        self.held += 190 + len(word) + len(ids)
+
+    def _learn_runs(self, runs: set[str]) -> None:
+        new = [r for r in runs if r not in self.stored]
+        spelt = "\n".join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        for run, letters in zip(new, spelt, strict=True) if new else ():
+            self._keep(run, self.older.get(run) or array("I", [t.id for t in self.merges(letters)]).tobytes())
+
+    def learn(self, words: set[str]) -> None:
+        if self.held > STORED_BYTES / 2:
+            self.stored, self.older, self.held = {}, self.stored, 0
+        stored, older = self.stored, self.older
+        alone, mixed = set(), {}
+        for w in words.difference(stored):
+            if w in older:
+                self._keep(w, older[w])
+            elif w.isalpha() and max(w) < PLAIN:
+                alone.add(w)
+            elif max(w) < PLAIN:
+                mixed[w] = PRETOKENS.findall(w)
+            else:
+                self._keep(w, self._encode(w))
+        self._learn_runs(alone.union(*mixed.values()))
+        for w, runs in mixed.items():
+            if len(runs) > 1:
+                self._keep(w, b"".join(map(stored.__getitem__, runs)))
+
+    def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.split()
-        try:
-            return b"".join(map(self.stored.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.stored.__getitem__, words))
-
-
-@lru_cache(maxsize=1)
-def worker_words(path: str) -> WordIds:
-    """One store a worker process, which its tasks share; it is bounded and changes no result."""
-    return WordIds(path)
+        if any(x in text for x in self.odd) or (BEYOND.search(text) and MARKS.search(text)):
+            return self._encode(text)
+        words = text.replace("Σ", "σ").lower().split()
+        own: list[bytes] = []
+        for at in range(0, len(words), 50_000):  # a very long text may hold more words than are stored
+            part = words[at : at + 50_000]
+            self.learn(set(part))
+            own.append(b"".join(map(self.stored.__getitem__, part)))
+        return b"".join(own)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_words(path)
+        words = WordIds(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            rows, fresh = [], set()
-            for text in batch.column(1):
-                fresh.update((text.as_py() or b"").split())
-            words.learn(fresh)
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(text.as_py() or b"") + end
+                ids = words.ids((text.as_py() or b"").decode("utf-8", "replace")) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -160,39 +195,35 @@ def crossover(a: Grouping, b: Grouping, lengths: list[int], capacity: int, rng:
     there = {i for own in injected for i in own}
     kept, displaced = [], []
     for own in a:
-        if any(i in there for i in own):
-            displaced += [i for i in own if i not in there]
-        else:
+        if there.isdisjoint(own):
             kept.append(own)
+        else:
+            displaced += [i for i in own if i not in there]
     kept.sort(key=lambda own: -sum(lengths[i] for i in own))
-    for _ in range(min(len(kept), rng.randint(1, 4))):
+    for _ in range(min(len(kept), rng.randint(1, max(4, int(DISSOLVED * len(a)))))):
         displaced += kept.pop()
     displaced.sort(key=lambda i: -lengths[i])
     return best_fit(displaced, lengths, capacity, [list(own) for own in injected + kept])
 
 
-def evolve(lengths: list[int], capacity: int, seeds: list[Grouping], rng: random.Random, population: int = POPULATION, generations: int = GENERATIONS) -> Grouping:
-    """The best grouping of one island after some generations; it stops at the lower bound."""
+def evolve(lengths: list[int], capacity: int, seeds: list[Grouping], rng: random.Random, population: int = POPULATION, generations: int = GENERATIONS) -> tuple[Grouping, int]:
+    """The best grouping of one island after some generations, and the number of crossovers; it stops at the lower bound.
+
+    ``seeds`` are the elites that the island starts from; the rest of its population are best-fit in orders of blurred size.
+    """
     least = -(-sum(lengths) // capacity)
-    down = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    people = list(seeds) or [best_fit(down, lengths, capacity)]
+    people = list(seeds)
+    while len(people) < population:
+        people.append(best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i] * rng.uniform(1 - BLUR, 1 + BLUR)), lengths, capacity))
     scored = sorted(((fitness(p, lengths, capacity), n, p) for n, p in enumerate(people)), key=lambda x: x[:2])
-    n = len(scored)
-    while len(scored) < population and scored[0][0][0] > least:
-        blur = sorted(range(len(lengths)), key=lambda i: -lengths[i] * rng.uniform(0.7, 1.3))
-        p = best_fit(blur, lengths, capacity)
-        insort(scored, (fitness(p, lengths, capacity), n, p))
-        n += 1
-    for _ in range(generations):
-        if scored[0][0][0] <= least or len(scored) < 2:
-            break
-        x, y = sorted(rng.sample(range(len(scored)), 2))
-        a, b = (scored[x][2], scored[y][2]) if rng.random() < 0.5 else (scored[y][2], scored[x][2])
-        child = crossover(a, b, lengths, capacity, rng)
-        insort(scored, (fitness(child, lengths, capacity), n, child))
-        n += 1
-        scored = scored[:population]
-    return scored[0][2]
+    for done in range(generations):
+        x, y = rng.sample(range(len(scored)), 2)
+        child = crossover(scored[x][2], scored[y][2], lengths, capacity, rng)
+        insort(scored, (fitness(child, lengths, capacity), population + done, child), key=lambda x: x[:2])
+        scored.pop()
+        if scored[0][0][0] <= least:
+            return scored[0][2], done + 1
+    return scored[0][2], generations
 
 
 def _island(capacity: int, round_no: int):
@@ -210,12 +241,12 @@ def _island(capacity: int, round_no: int):
                 for i, b in enumerate(own["bin"].tolist()):
                     groups.setdefault(b, []).append(i)
                 seeds.append(list(groups.values()))
-        elite = evolve(lengths, capacity, seeds, random.Random(f"{bucket} {island} {round_no}"))
+        elite, crossed = evolve(lengths, capacity, seeds, random.Random(f"{bucket} {island} {round_no}"))
         bins, fills = np.zeros(len(lengths), dtype=np.int32), np.zeros(len(lengths), dtype=np.int64)
         for b, own in enumerate(elite):
             bins[own], fills[own] = b, sum(lengths[i] for i in own)
         n, f = fitness(elite, lengths, capacity)
-        return pd.DataFrame({"bucket": bucket, "island": island, "uid": uids, "length": lengths, "bin": bins, "fill": fills, "n_bins": n, "fitness": f})
+        return pd.DataFrame({"bucket": bucket, "island": island, "uid": uids, "length": lengths, "bin": bins, "fill": fills, "n_bins": n, "fitness": f, "crossed": crossed})
 
     return run
 
@@ -225,28 +256,27 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done: list[DataFrame] = []
     left = items.where(F.col("length") < capacity)
     done.append(items.where(F.col("length") >= capacity).select("uid", "length", F.col("uid").alias("sequence_id")))
-    count, level = left.count(), 0
+    (count, total), level = left.agg(F.count("*"), F.sum("length")).first(), 0
     while count:
-        buckets = -(-count // BUCKET)
+        buckets = max(1, min(-(-count // BUCKET), total // (BUCKET_BINS * capacity)))
         dealt = left.select(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(buckets)).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(0).alias("origin"), "uid", "length", F.lit(0).alias("bin"))
         for r in range(ROUNDS):
-            elite = dealt.groupBy("bucket", "island").applyInPandas(_island(capacity, r), "bucket bigint, island int, uid bigint, length bigint, bin int, fill bigint, n_bins int, fitness double")
+            elite = dealt.groupBy("bucket", "island").applyInPandas(_island(capacity, r), "bucket bigint, island int, uid bigint, length bigint, bin int, fill bigint, n_bins int, fitness double, crossed int")
             elite = write_out(elite, "elite")
             goes = F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)))).alias("to")
             dealt = elite.select("bucket", goes, F.col("island").alias("origin"), "uid", "length", "bin").withColumnRenamed("to", "island")
         best = elite.groupBy("bucket").agg(F.min(F.struct("n_bins", "fitness", "island")).alias("best")).select("bucket", F.col("best.island").alias("island"))
         kept = elite.join(best, ["bucket", "island"])
-        named = write_out(kept.select("uid", "length", "fill", F.min("uid").over(Window.partitionBy("bucket", "bin")).alias("sequence_id")), "packed")
+        named = kept.select("uid", "length", "bucket", "fill", F.min("uid").over(Window.partitionBy("bucket", "bin")).alias("sequence_id"))
+        least_filled = Window.partitionBy("bucket").orderBy("fill", "sequence_id")  # bounded by the bucket's size
+        goes = (F.count("*").over(least_filled) <= HANDED * F.count("*").over(Window.partitionBy("bucket"))) | (F.rank().over(least_filled) == 1)
+        named = write_out(named.select("uid", "length", "sequence_id", goes.alias("goes")), "packed")
         if buckets == 1:
-            done.append(named.drop("fill"))
-            break
-        open_bins = F.col("fill") < TAIL_FILL * capacity
-        done.append(named.where(~open_bins).drop("fill"))
-        left = named.where(open_bins).select("uid", "length")
-        before, count, level = count, left.count(), level + 1
-        if count > 0.9 * before:  # bins cannot be filled better; they stand
-            done.append(named.where(open_bins).drop("fill"))
+            done.append(named.drop("goes"))
             break
+        done.append(named.where("not goes").drop("goes"))
+        left = named.where("goes").select("uid", "length")
+        (count, total), level = left.agg(F.count("*"), F.sum("length")).first(), level + 1
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

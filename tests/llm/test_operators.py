@@ -291,6 +291,7 @@ def test_packing(spark):
 
 def test_packing_by_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 50)
+    monkeypatch.setattr(packing, "BUCKET_BINS", 8)
     rng = random.Random(9)
     sizes = [rng.randrange(50, 3000) for _ in range(400)]
     got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")).collect()
@@ -311,6 +312,30 @@ def test_crossover_keeps_all_items():
         assert sorted(i for own in a for i in own) == list(range(200)) and max(sum(lengths[i] for i in own) for own in a) <= 100
 
 
+def test_the_genetic_algorithm_packs():
+    rng = random.Random(5)
+    for case in range(3):
+        lengths = [min(4095, int(rng.lognormvariate(7, 0.8)) + 1) for _ in range(900)]
+        first = packing.evolve(lengths, 4096, [], random.Random(case), generations=0)[0]
+        got, crossed = packing.evolve(lengths, 4096, [], random.Random(case))
+        fit = packing.best_fit(sorted(range(900), key=lambda i: -lengths[i]), lengths, 4096)
+        assert crossed > 0 and len(got) <= min(len(first), len(fit)) and sorted(i for own in got for i in own) == list(range(900))
+    # Triplets that fill their bins exactly: best-fit decreasing does not find them all, crossover gets nearer.
+    lengths = [x for _ in range(40) for a, b in [(rng.randrange(260, 490), rng.randrange(260, 490))] for x in (a, b, 1000 - a - b)]
+    got, _ = packing.evolve(lengths, 1000, [], random.Random(1), population=8, generations=300)
+    assert len(got) <= len(packing.best_fit(sorted(range(120), key=lambda i: -lengths[i]), lengths, 1000))
+
+
+def test_word_ids_equal_the_tokenizer():
+    ids = packing.WordIds(packing.default_tokenizer())
+    tok = packing.load_tokenizer(packing.default_tokenizer())
+    rng = random.Random(3)
+    letters = [chr(c) for c in [*range(0x20, 0x250), *range(0x370, 0x450), 0x300, 0x301, 0x2019, 0x3000, 0x4E00, 0x1F600, 0x85, 0xA0, 9, 10, 28]] + ["'s", "'RE", " ", " "] * 30
+    texts = ["", " \n", "ΟΔΟΣ ΣΑΣ. İI e\u0301 don't <|endoftext|>x", "long " * 60_000, *("".join(rng.choices(letters, k=40)) for _ in range(2000))]
+    for t in texts:
+        assert ids.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     bad = ["grumblefoot", "snarkwad", "dolt", "vexling"]
