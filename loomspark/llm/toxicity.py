@@ -1,26 +1,28 @@
 """Operator 1: toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on toxic text, namely on those words of it
-that labelled toxic rows hold over-proportionally and in many different contexts (the rest of toxic text is ordinary
-language and would only add noise). A text's windows are its words; each is set between runs of a neutral byte, since
-zstandard looks for no match that starts in the last eight bytes of its input, and compressed with both dictionaries.
-The toxic dictionary saves bytes where the window holds toxic wording. Savings, absolute and relative, are compared with
-thresholds, and a logistic calibration, fitted on labelled rows that trained no dictionary, turns the numbers of windows
-beyond each into a score from 0 to 1.
-
-Training reads a bounded sample of labelled rows (``TOXIC_ROWS`` and ``ORDINARY_ROWS``, picked by a hash of their ids);
-scoring covers whole texts. Null and empty texts have no window. Without labels of both kinds every score is 0. Null ids
-are never labelled; repeated rows get equal scores; extra columns are ignored. Lengths of windows seen before are kept
-in a bounded store of each task, which changes no result.
+Separate zstandard dictionaries are trained on toxic and on ordinary text. A text's windows are its overlapping runs of
+words of about ``WINDOW`` bytes; each is compressed with the ordinary dictionary alone and with the toxic dictionary laid
+before it, and the difference of the two lengths is what the toxic dictionary saves. Savings are compared with
+thresholds that are calibrated on ordinary text (the savings that one window in a hundred, a thousand and ten thousand of
+it exceeds), and a logistic calibration, fitted on labelled rows that trained no dictionary, turns the numbers and shares
+of windows beyond each threshold into a score from 0 to 1.
+
+Most windows of toxic texts are ordinary language. So the toxic dictionary is trained in ``ROUNDS``: first on all windows
+of the toxic rows, then on those windows that save more than ordinary ones do, as measured by a dictionary of the other
+half of the rows; what only one row (or its copies, which are left out) holds is thus not learnt.
+
+Training reads a bounded sample of labelled rows (``TOXIC_ROWS`` and ``ORDINARY_ROWS``, picked by a hash of their ids, and
+of their windows ``WINDOWS``, drawn at random); scoring covers whole texts. Null and empty texts are one empty window, and
+get the score of a text without toxic wording. Without labels of both kinds every score is 0. Null ids are never
+labelled; repeated rows get equal scores; extra columns, whatever their names, are ignored; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
-import math
 import random
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,116 +32,100 @@ from pyspark.sql import functions as F
 
 TOXIC_ROWS = 2500
 ORDINARY_ROWS = 6000
+WINDOWS = 80_000
+WINDOW = 32
 LEVEL = 9
-ORDINARY_BYTES = 8000
-TOXIC_BYTES = 8000
-NEUTRAL = b"\x01" * 24
-STORED = 300_000
-#: Bytes saved, and share of the window's ordinary length that is saved, from which a window counts.
-THRESHOLDS = ((3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0), (3, 0.3), (3, 0.35), (4, 0.4), (4, 0.45), (5, 0.5))
-
-
-def spans(text: bytes, size: int = 128) -> list[bytes]:
-    """Consecutive passages of about ``size`` bytes that end at spaces where there are any."""
-    out, i, n = [], 0, len(text)
-    while i < n:
-        j = i + size
-        if j < n:
-            k = text.find(b" ", j, j + size)
-            j = k if k >= 0 else j + size
-        out.append(text[i:j])
-        i = j
-    return out or [b""]
+ROUNDS = 3
+#: Size in bytes, segment and piece lengths of the dictionaries: ordinary, toxic at first, toxic from windows that save.
+ORDINARY_TRAINING = (500_000, 100, 8)
+FIRST_TRAINING = (32_000, 24, 6)
+TOXIC_TRAINING = (6_000, 16, 6)
+#: Shares of ordinary windows that stay under each threshold.
+CALM = (0.99, 0.999, 0.9999)
+#: zstandard looks for no match that starts in the last eight bytes of its input.
+END = b"\x01" * 8
 
 
 def prepare(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "replace")
 
 
-def toxic_wording(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, int]:
-    """Words with their number of different contexts in toxic texts, if that is far above their share of ordinary ones.
-
-    Contexts, not rows, are counted, so that copies of one text do not make its own words look like wording.
-    """
-    rows, usual = Counter(), Counter()
-    for counts, texts in ((rows, toxic), (usual, ordinary)):
-        for t in texts:
-            counts.update(set(t.split()))
-    share = len(toxic) / max(1, len(ordinary))
-    least = max(2, math.ceil(len(toxic) / 400))
-    enough = lambda w, n: n >= least and n > 10 * (usual[w] + 0.5) * share
-    likely = {w for w, n in rows.items() if enough(w, n)}
-    before, after = defaultdict(set), defaultdict(set)
-    for t in toxic:
+def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
+    """Runs of words of ``size`` bytes and up to the next space (at most twice as many), each from about the middle of the last."""
+    out, i, n = [], 0, len(text)
+    while True:
+        j = text.find(b" ", i + size, i + 2 * size) if n > i + size else n
+        j = min(n, i + 2 * size) if j < 0 else j
+        out.append(text[i:j])
+        if j >= n:
+            return out
+        k = text.find(b" ", i + size // 2, j)
+        i = k if k > i else j
+
+
+def novel(texts: list[bytes], k: int = 4) -> list[bytes]:
+    """The texts less those of which half the ``k``-word runs were in earlier ones."""
+    seen: set[bytes] = set()
+    out = []
+    for t in texts:
         words = t.split()
-        for i, w in enumerate(words):
-            if w in likely:
-                before[w].add(words[i - 1] if i else b"")
-                after[w].add(words[i + 1] if i + 1 < len(words) else b"")
-    count = {w: min(rows[w], len(before[w]), len(after[w])) for w in likely}
-    return {w: n for w, n in count.items() if enough(w, n)}
+        runs = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+        if 2 * len(runs & seen) < len(runs):
+            out.append(t)
+            seen |= runs
+    return out
 
 
-def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     """A trained dictionary's bytes; too few samples to train on stand as they are."""
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(dict.fromkeys(samples))[-size:]
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+class Savings:
+    """For each window of a text the bytes that the toxic dictionary saves on top of the ordinary one."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.plain, self.both = self._compress(ordinary), self._compress(toxic + ordinary)
+
+    @staticmethod
+    def _compress(content: bytes):
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+
+    def of(self, parts: list[bytes]) -> np.ndarray:
+        plain, both = self.plain, self.both
+        return np.array([len(plain(w + END)) - len(both(w + END)) for w in parts], dtype=np.int64)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        return self.of(windows(text))
 
 
 @dataclass
 class ToxicityModel:
     toxic_dictionary: bytes
     ordinary_dictionary: bytes
-    weights: list[float]
+    thresholds: list[float] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
 
     def measure(self) -> Savings:
         return Savings(self.ordinary_dictionary, self.toxic_dictionary)
 
+    def features(self, saved: np.ndarray) -> list[float]:
+        """The two largest savings, and the number (log) and share of windows beyond each threshold."""
+        top = np.sort(saved)[::-1]
+        hits = np.array([(saved > t).sum() for t in self.thresholds], dtype=np.float64)
+        return [float(top[0]), float(top[1]) if len(top) > 1 else 0.0, *np.log1p(hits), *(100 * hits / len(saved)), float(np.log1p(len(saved)))]
+
     def score(self, features: np.ndarray) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(features))
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights[1:]) + self.weights[0], -30, 30)))
 
 
-class Savings:
-    """For a text's windows, the bytes that the toxic dictionary saves and the ordinary length."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        def of(content: bytes):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
-            return c.compress, len(c.compress(NEUTRAL + NEUTRAL))
-
-        (self.plain, self.plain_0), (self.toxic, self.toxic_0) = of(ordinary), of(toxic)
-        self.stored: dict[bytes, tuple[int, int]] = {}
-
-    def window(self, word: bytes) -> tuple[int, int]:
-        framed = NEUTRAL + b" " + word + b" " + NEUTRAL
-        plain = len(self.plain(framed)) - self.plain_0
-        return plain - len(self.toxic(framed)) + self.toxic_0, plain
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        stored = self.stored
-        if len(stored) > STORED:
-            stored.clear()
-        for w in set(words).difference(stored):
-            stored[w] = self.window(w)
-        return np.array([stored[w] for w in words], dtype=np.float64).reshape(-1, 2)
-
-
-def features(saved: np.ndarray) -> list[float]:
-    """The largest savings, then the numbers (log) of windows beyond each threshold and their share of all."""
-    if not len(saved):
-        saved = np.zeros((1, 2))
-    d, share = saved[:, 0], saved[:, 0] / np.maximum(1, saved[:, 1])
-    top = np.sort(np.where(share >= 0.3, d, 0))[::-1]
-    hits = [int(((d >= a) & (share >= b)).sum()) for a, b in THRESHOLDS]
-    return [float(top[0]), float(top[1]) if len(top) > 1 else 0.0, math.log1p(len(d)), *(math.log1p(h) for h in hits), *(h > 0 for h in hits[4:]), 100 * hits[6] / len(d)]
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     """Ridge logistic regression by Newton's method on standardised features, given back for raw ones."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -156,26 +142,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return [float(w[0] - (w[1:] * mean / scale).sum()), *(w[1:] / scale).tolist()]
 
 
+def toxic_dictionary(toxic: list[bytes], ordinary: bytes, calm: list[bytes], rng: random.Random) -> bytes:
+    """Trained on the windows of toxic texts that a dictionary of the other half of them finds toxic."""
+    halves = [list(dict.fromkeys(w for t in toxic[h::2] for w in windows(t))) for h in (0, 1)]
+    halves = [rng.sample(h, min(len(h), WINDOWS)) for h in halves]
+    picked, training = halves, FIRST_TRAINING
+    for _ in range(ROUNDS):
+        measures = [Savings(ordinary, trained(own, *training)) for own in picked]
+        least = max(2.0, *(float(np.quantile(m.of(calm), CALM[1])) for m in measures))
+        found = [[w for w, s in zip(h, other.of(h), strict=True) if s >= least] for h, other in zip(halves, measures[::-1], strict=True)]
+        if not all(found):
+            break
+        picked, training = found, TOXIC_TRAINING
+    return trained(picked[0] + picked[1], *training)
+
+
 def fit(toxic: list[str | None], ordinary: list[str | None]) -> ToxicityModel:
-    """Dictionaries from two thirds of the labelled texts, calibration from the others."""
+    """Dictionaries and thresholds from two thirds of the labelled texts, the logistic calibration from the others."""
+    if len(toxic) < 6 or len(ordinary) < 6:
+        return ToxicityModel(b"", b"")
     t, o = [prepare(x) for x in toxic], [prepare(x) for x in ordinary]
-    if len(t) < 2 or len(o) < 2:
-        return ToxicityModel(b"", b"", [])
     own = lambda x, held: [v for i, v in enumerate(x) if (i % 3 == 2) == held]
     rng = random.Random(7)
-    plain = [w for x in own(o, False) for w in spans(x)]
-    base = _trained(rng.sample(plain, min(len(plain), 20_000)), ORDINARY_BYTES + 192, 64, 8)[-ORDINARY_BYTES:]
-    wording = toxic_wording(own(t, False), own(o, False))
-    # Each word once a context, but at most 40 times, so that rare wording is laid down too.
-    samples = [b" " + w + b" " for w, n in sorted(wording.items()) for _ in range(min(n, 40))]
-    content = _trained(samples, max(256, min(TOXIC_BYTES, 160 + 2 * sum(len(w) + 2 for w in wording))), 32, 6) if samples else b""
-    # Training may join segments inside a word; words that it left out whole are laid before it, the most usual last.
-    missing = sorted((w for w in wording if b" " + w + b" " not in content), key=lambda w: wording[w])
-    content = (b" ".join([b"", *missing, b""]) + content)[-TOXIC_BYTES:]
-    model = ToxicityModel(content, base, [])
+    usual = novel(own(o, False))
+    spans = [x[i : i + 400] for x in usual[::2] for i in range(0, max(1, len(x)), 400)]
+    rng.shuffle(spans)
+    base = trained(spans, *ORDINARY_TRAINING)
+    calm = [w for x in usual[1::2] for w in windows(x)] or [b""]
+    calm = rng.sample(calm, min(len(calm), WINDOWS // 2))
+    model = ToxicityModel(toxic_dictionary(novel(own(t, False)), base, calm, rng), base)
     measure = model.measure()
+    model.thresholds = [max(1.0, float(np.quantile(measure.of(calm), q))) for q in CALM]
     held = [(x, 1) for x in own(t, True)] + [(x, 0) for x in own(o, True)]
-    x = np.array([features(measure(v)) for v, _ in held], dtype=np.float64)
+    x = np.array([model.features(measure(v)) for v, _ in held], dtype=np.float64)
     model.weights = _logistic(x, np.array([label for _, label in held], dtype=float))
     return model
 
@@ -190,9 +189,9 @@ def _score(model):
             rows, n, top = [], [], []
             for text in batch.column(1):
                 saved = measure(prepare(text.as_py()))
-                rows.append(features(saved))
+                rows.append(m.features(saved))
                 n.append(len(saved))
-                top.append(int(saved[:, 0].max()) if len(saved) else 0)
+                top.append(int(saved.max()))
             score = m.score(np.array(rows, dtype=np.float64).reshape(len(n), -1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array(n, pa.int64()), pa.array(top, pa.int64())], schema=schema)
 
@@ -206,11 +205,12 @@ def held_out(id_col: str = "doc_id"):
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> ToxicityModel:
     """A model from a bounded sample of the labelled rows that are not held out."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col(text_col).alias("text"))
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     sample = picked[0].union(picked[1])  # at most TOXIC_ROWS + ORDINARY_ROWS ids
-    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(text_col).alias("text"), F.max("toxic").alias("toxic"))
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = texts.orderBy(order, "doc_id").select("toxic", "text").collect()
     return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
