@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from loomspark.llm.url_reputation import LIMIT, QUANTILE, TWO_LABEL_SUFFIXES
+from loomspark.llm.url_reputation import LIMIT, POINTS, REACH, TAIL, TWO_LABEL_SUFFIXES
 
 _TWO = "(" + ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES) + ")"
 
 
 def _strength(level: str) -> str:
     return f"""(SELECT 1 / least(0.9, greatest(0.001, CASE WHEN free > 0 THEN (s - (k - 1)) / free ELSE 0 END)) - 1 FROM
-      (SELECT sum(n * pow(bad / n - mean, 2) / greatest(mean * (1 - mean), 1e-6)) AS s, count(*) AS k, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS free FROM {level}))"""
+      (SELECT sum(n * pow(bad / n - mean, 2) / greatest(mean * (1 - mean), 1e-6)) AS s, count(*) AS k, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS free FROM {level} WHERE n > 0))"""
+
+
+def _shrunk(level: str) -> str:
+    """A level's groups with their posterior rate, the strength of its prior, and the spread of groups without labels."""
+    return f"""SELECT *, (bad + m * mean) / (n + m) AS rate, CASE WHEN n > 0 THEN 0.0 ELSE 1 - (1 - above) * (m / (m + 1)) END AS loose FROM {level}, (SELECT coalesce({_strength(level)}, 999) AS m)"""
 
 
 _SMALLEST = """
@@ -23,18 +28,25 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
       marked AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
       o AS (SELECT host, bad FROM h JOIN marked ON doc_id = TRY_CAST(nullif(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})', 1), '') AS BIGINT) WHERE bad IS NOT NULL),
-      g AS (SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM o GROUP BY 1),
+      g AS (SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
+            FROM (SELECT host, bad FROM o UNION ALL SELECT host, NULL FROM h) GROUP BY 1),
       t AS (SELECT host, l, n, bad, array_to_string(l[-2:], '.') AS two FROM g),
       hosts AS (SELECT host, n, bad, CASE WHEN two IN {_TWO} THEN two ELSE l[-1] END AS suffix, CASE WHEN two IN {_TWO} THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM t),
-      overall AS (SELECT coalesce(sum(bad) / sum(n), 0) AS r FROM hosts),
-      s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT r FROM overall) AS mean FROM hosts GROUP BY 1),
-      s1 AS (SELECT suffix, (bad + m * mean) / (n + m) AS rate FROM s0, (SELECT {_strength("s0")} AS m)),
-      d0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS mean FROM hosts JOIN s1 USING (suffix) GROUP BY 1, 2),
-      d1 AS (SELECT suffix, domain, (bad + m * mean) / (n + m) AS rate FROM d0, (SELECT {_strength("d0")} AS m)),
-      h0 AS (SELECT host, n, bad, rate AS mean FROM hosts JOIN d1 USING (suffix, domain)),
-      h1 AS (SELECT host, n, m, (bad + m * mean) / (n + m) AS rate FROM h0, (SELECT {_strength("h0")} AS m)),
-      k AS (SELECT host, rate, rate - {QUANTILE} * sqrt(rate * (1 - rate) / (n + m + 1)) AS lower FROM h1),
-      r AS (SELECT page_id, h.host, path, coalesce(rate, (SELECT r FROM overall)) AS rate, coalesce(lower, 0) AS lower,
+      s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END FROM hosts) AS mean, 0.0 AS above FROM hosts GROUP BY 1),
+      s1 AS ({_shrunk("s0")}),
+      d0 AS (SELECT hosts.suffix, hosts.domain, sum(hosts.n) AS n, sum(hosts.bad) AS bad, any_value(s1.rate) AS mean, any_value(s1.loose) AS above FROM hosts JOIN s1 ON hosts.suffix = s1.suffix GROUP BY 1, 2),
+      d1 AS ({_shrunk("d0")}),
+      h0 AS (SELECT host, hosts.n, hosts.bad, d1.rate AS mean, d1.loose AS above FROM hosts JOIN d1 ON hosts.suffix = d1.suffix AND hosts.domain = d1.domain),
+      h1 AS ({_shrunk("h0")}),
+      w AS (SELECT host, rate, 1 / (CASE WHEN n > 0 THEN 1 / (n + m + 1) ELSE loose END) - 1 AS weight FROM h1),
+      ab AS (SELECT host, rate, greatest(rate * weight, 1e-6) AS a, greatest((1 - rate) * weight, 1e-6) AS b FROM w),
+      grid AS (SELECT *, ln(a / b) AS mode, sqrt(1 / a + 1 / b + 1 / (a * a) + 1 / (b * b)) * {2 * REACH / (POINTS - 1)} AS step, unnest(range({POINTS})) AS i FROM ab),
+      pts AS (SELECT *, mode + (i - {(POINTS - 1) // 2}) * step AS u FROM grid),
+      bars AS (SELECT *, exp(-a * (greatest(-u, 0) + ln(1 + exp(-abs(u)))) - b * (greatest(u, 0) + ln(1 + exp(-abs(u))))
+        + a * (greatest(-mode, 0) + ln(1 + exp(-abs(mode)))) + b * (greatest(mode, 0) + ln(1 + exp(-abs(mode))))) AS d FROM pts),
+      sums AS (SELECT *, sum(d) OVER (PARTITION BY host ORDER BY i) AS upto, {TAIL} * sum(d) OVER (PARTITION BY host) AS goal FROM bars),
+      k AS (SELECT host, any_value(rate) AS rate, 1 / (1 + exp(-arg_min(u + (0.5 - (upto - goal) / d) * step, i))) AS lower FROM sums WHERE upto >= goal GROUP BY 1),
+      r AS (SELECT page_id, h.host, path, rate, lower,
         CASE WHEN (h.host = 'example.org' OR h.host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
              WHEN (h.host = 'example.org' OR h.host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
              WHEN (h.host = 'com' OR h.host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'

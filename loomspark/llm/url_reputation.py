@@ -4,12 +4,12 @@ Labelled page outcomes (bad or not) are counted by host, registered domain and s
 beta-binomial priors from the top down: the overall rate is the prior of a suffix, a suffix's posterior mean that of its
 domains, a domain's that of its hosts. How strong each level's prior is, is estimated from the labels by the method of
 moments (the over-dispersion of rates among the groups of that level). A host's pages are blocked when the lower bound
-of its posterior bad rate is at least ``limit``. Rules (host, path) come first: one fits its host and all subdomains if
+of its posterior bad rate, the ``TAIL`` quantile of its beta distribution, is at least ``limit``. Rules (host, path) come first: one fits its host and all subdomains if
 the page's path starts with the rule's; the longest wins.
 
 A host without labelled pages takes part with n = 0: it has the mean of its registered domain, a domain without labels
-that of its suffix, and a suffix without labels the overall rate. Its lower bound counts the spread of every level that
-has no label of its own. A null address, or one without ``://``, has an empty host and path: no rule fits and no outcome
+that of its suffix, and a suffix without labels the overall rate. Its beta distribution has the variance that adds the
+spread of every level that has no label of its own. A null address, or one without ``://``, has an empty host and path: no rule fits and no outcome
 is known of it, so the overall rate decides. Pages without labels and null labels count no outcome. Repeated rows
 are judged alike, and each counts as an outcome of its own; extra columns are ignored; empty tables give the overall
 rate 0. Only rates by level (four numbers each) come to the driver.
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 LIMIT = 0.25
-QUANTILE = 1.0
+TAIL = 0.05
+#: Points of the quadrature of a beta distribution, and deviations that it reaches to either side.
+POINTS, REACH = 401, 8
 
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
@@ -67,6 +69,37 @@ def prior_strength(groups: DataFrame) -> float:
     return 1 / min(0.9, max(1e-3, rho)) - 1
 
 
+def beta_quantile(rate: Column, weight: Column, tail: float = TAIL) -> Column:
+    """The ``tail`` quantile of the beta distribution with mean ``rate`` and ``weight`` observations.
+
+    The density of the log-odds u, sigmoid(u)^a * (1 - sigmoid(u))^b, has one hill, at log(a / b). It is summed over a grid
+    around that (a bar reaches half a step to either side) until it holds ``tail`` of the whole sum; within the last step the sum is taken as linear.
+    """
+    a, b = F.greatest(rate * weight, F.lit(1e-6)), F.greatest((1 - rate) * weight, F.lit(1e-6))
+    shape = F.struct(a.alias("a"), b.alias("b"), F.log(a / b).alias("mode"), (F.sqrt(1 / a + 1 / b + 1 / (a * a) + 1 / (b * b)) * (2 * REACH / (POINTS - 1))).alias("step"))
+    log1p_exp = lambda u: F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
+    height = lambda s, u: -s["a"] * log1p_exp(-u) - s["b"] * log1p_exp(u)
+    at = lambda s, i: s["mode"] + (i - (POINTS - 1) // 2) * s["step"]
+    grid = F.sequence(F.lit(0), F.lit(POINTS - 1))
+    bars = lambda s: F.transform(grid, lambda i: F.exp(height(s, at(s, i)) - height(s, s["mode"])))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("u"))
+
+    def crossed(s: Column, d: Column) -> Column:
+        goal = tail * F.aggregate(d, F.lit(0.0), lambda t, x: t + x)
+
+        def step(t: Column, x: Column) -> Column:
+            here = t["sum"] + x["d"]
+            u = F.when(t["u"].isNull() & (here >= x["goal"]), at(s, x["i"]) + (0.5 - (here - x["goal"]) / x["d"]) * s["step"]).otherwise(t["u"])
+            return F.struct(here.alias("sum"), u.alias("u"))
+
+        rows = F.transform(F.array(F.struct(d.alias("d"), goal.alias("goal"))), lambda w: F.transform(w["d"], lambda x, i: F.struct(x.alias("d"), i.alias("i"), w["goal"].alias("goal"))))[0]
+        return F.aggregate(rows, none, step)["u"]
+
+    shaped = F.transform(F.array(shape), lambda s: F.struct(s.alias("s"), bars(s).alias("d")))
+    u = F.transform(shaped, lambda x: crossed(x["s"], x["d"]))[0]
+    return 1 / (1 + F.exp(-u))
+
+
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """(host, bad_rate, lower) of every host in (host, bad) outcomes; a null ``bad`` names a host and counts nothing."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -88,8 +121,8 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     domains = shrink(domains.join(suffixes.select("suffix", *up), "suffix"))
     known = shrink(hosts.join(domains.select("domain", "suffix", *up), ["suffix", "domain"]))
     share = F.when(F.col("n") > 0, 1 / (F.col("n") + F.col("strength") + 1)).otherwise(F.col("loose"))
-    lower = F.col("rate") - QUANTILE * F.sqrt(F.col("rate") * (1 - F.col("rate")) * share)
-    return known.select("host", F.col("rate").alias("bad_rate"), lower.alias("lower"))
+    known = known.select("host", "rate", (1 / share - 1).alias("weight"))
+    return known.select("host", F.col("rate").alias("bad_rate"), beta_quantile(F.col("rate"), F.col("weight")).alias("lower"))
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
