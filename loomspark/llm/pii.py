@@ -5,7 +5,7 @@ secrets, and persons after a title) are found by one regular expression and repl
 A surrogate is a keyed function (SHA-256 of the key, the kind, the normalised entity and an attempt number) of the
 entity alone, so every mention of one entity, however written, gets one surrogate (coreference). It is of the same kind,
 script and format: letters become letters of their script and case, digits digits, separators stay; a number that passed
-the Luhn test still does; phone numbers keep their country code, mail addresses their top-level domain; a person's given
+the Luhn test still does; phone numbers keep their country calling code, mail addresses their top-level domain; a person's given
 name follows the gender of the title, and a surname has one surrogate whoever bears it. Phone numbers are found with a
 country code (+ or 00), with or without separators, and without one in the North American form (3-3-4 digits, area
 code and exchange from 2 on where no bracket or plus marks them; a leading 1 is the same number).
@@ -18,8 +18,8 @@ hyphenated given name, more), later ones that of mail addresses (a digit more).
 entities, an error is raised. Those few exceptions are written to a table and joined back by document; without any, no
 text is shuffled.
 
-A null text stays null and an empty one empty; repeated rows get equal texts; extra columns are kept; an empty table
-gives an empty table. Rows with a null id are replaced as all others.
+A null text stays null and an empty one empty; repeated rows get equal texts; extra columns, whatever their names, are
+kept; texts of any length are replaced whole; an empty table gives an empty table. Rows with a null id are replaced as all others.
 """
 
 from __future__ import annotations
@@ -45,10 +45,14 @@ NAMES = {
     "cyrillic_m": "Антон Борис Виктор Игорь Иван Олег Павел Роман Сергей Юрий",
     "cyrillic_f": "Алла Анна Вера Галина Елена Ирина Марина Нина Ольга Юлия",
     "cyrillic_x": "Саша Валя Женя",
+    "greek_m": "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Παύλος Πέτρος Σπύρος Στέφανος Χρήστος",
+    "greek_f": "Άννα Βασιλική Γεωργία Δήμητρα Ειρήνη Ελένη Κατερίνα Μαρία Σοφία Χριστίνα",
+    "greek_x": "Άλεξ Φώτης Χρυσή",
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so ta te to va ve vo za",
     "cyrillic": "ба бе бо ва ве во га го да де до за зе ка ке ко ла ле ло ма ме мо на не но па пе по ра ре ро са се со та те то",
+    "greek": "βα γα δα δε δο ζα θα θε κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε το φα χα",
 }
 
 _TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True))
@@ -60,7 +64,7 @@ PATTERN = "|".join(
         r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
         r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
         rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
-        rf"(?:\+|(?<![\p{{L}}\p{{N}}.+-])00)[0-9]{{1,3}}{_GAP}\(?[0-9]{{2,4}}\)?{_GAP}[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}(?![0-9])",
+        rf"(?:\+|(?<![\p{{L}}\p{{N}}.+-])00)[0-9]{{1,3}}{_GAP}\(?[0-9]{{1,4}}\)?{_GAP}[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}(?![0-9])",
         r"(?<![\p{L}\p{N}])\+[1-9][0-9]{8,14}(?![0-9])",
         r"(?<![\p{L}\p{N}.+-])00[1-9][0-9]{8,11}(?![\p{L}\p{N}])",
         r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
@@ -96,11 +100,28 @@ def _norm(e: str) -> str:
     """What all spellings of an entity share."""
     name = f"concat({_gender(e + '.raw')}, '|', lower(regexp_replace({e}.raw, {_sql(f'^(?:{_TITLE})[.]? ')}, '')))"
     digits = f"regexp_replace({e}.raw, '[^0-9]', '')"
-    return f"CASE WHEN {e}.kind = 'phone' THEN regexp_replace(regexp_replace({digits}, '^00', ''), '^1([0-9]{{10}})$', '$1') WHEN {e}.kind IN ('ssn', 'card') THEN {digits} WHEN {e}.kind = 'person' THEN {name} ELSE lower({e}.raw) END"
-
-
-#: The letters that a letter may become, by its script.
-_ALPHABETS = (("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[à-öø-ÿß]", "àáâäçèéêëíîïñóôöúûü"), ("[а-яё]", "абвгдежзийклмнопрстуфхцчшщыэюя"), ("[α-ωά-ώ]", "αβγδεζηθικλμνξοπρστυφχψω"))
+    abroad = f"CASE WHEN {e}.raw RLIKE '^([+]|00)' THEN concat('+', regexp_replace({digits}, '^00', '')) ELSE {digits} END"
+    return f"CASE WHEN {e}.kind = 'phone' THEN regexp_replace({abroad}, '^[+]?1([0-9]{{10}})$', '$1') WHEN {e}.kind IN ('ssn', 'card') THEN {digits} WHEN {e}.kind = 'person' THEN {name} ELSE lower({e}.raw) END"
+
+
+#: The letters that a letter may become, by its script; the last line takes the letters of all other scripts.
+_ALPHABETS = (
+    ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
+    (r"\\p{IsLatin}", "àáâäçèéêëíîïñóôöúûüąćęłńśźżčďěňřšťůž"),
+    (r"\\p{IsCyrillic}", "абвгдежзийклмнопрстуфхцчшщыэюя"),
+    (r"\\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\\p{IsHan}", "山川田木林森石水火金土日月上中下大小高長東西南北青白竹松花春秋"),
+    (r"\\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも"),
+    (r"\\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモ"),
+    (r"\\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호"),
+    (r"\\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\\p{IsDevanagari}", "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह"),
+    (r"\\p{IsThai}", "กขคงจฉชซญดตถทธนบปผพฟมยรลวสหอฮ"),
+    (r"\\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+)
+#: Country calling codes of one and two digits; all others have three.
+_CALLING_CODES = "[+](?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
 def _canonical(e: str) -> str:
@@ -118,7 +139,7 @@ def _canonical(e: str) -> str:
     email = f"CASE WHEN {e}.attempt > 3 THEN concat({more}, {email}) ELSE {email} END"
     secret = each(pick("0123456789abcdef"))
     digits = each(pick("0123456789"))
-    phone = each(f"CASE WHEN i <= length({e}.norm) - 10 THEN {ch} ELSE {pick('0123456789')} END")
+    phone = each(f"CASE WHEN i <= length(regexp_extract({e}.norm, '^{_CALLING_CODES}', 0)) THEN {ch} ELSE {pick('0123456789')} END")
     iban = each(f"CASE WHEN i <= 2 THEN {ch} WHEN {ch} RLIKE '[0-9]' THEN {pick('0123456789')} ELSE {pick('abcdefghijklmnopqrstuvwxyz')} END")
     octet = lambda k: f"CAST(1 + pmod(CAST(conv(substring({e}.hex, {4 * k + 1}, 4), 16, 10) AS INT), 254) AS STRING)"
     ip = f"concat_ws('.', {', '.join(octet(k) for k in range(4))})"
@@ -129,7 +150,7 @@ def _canonical(e: str) -> str:
     card = f"element_at(transform(array({body}), b -> concat(b, CAST(pmod(10 - pmod({luhn}, 10) + {off}, 10) AS STRING))), 1)"
     gender, full = f"substring({e}.norm, 1, 1)", f"(CASE {e}.kind WHEN 'surname' THEN {e}.norm ELSE substring({e}.norm, 3) END)"
     surname = f"substring_index({full}, ' ', -1)"
-    script = lambda of: f"(CASE WHEN {of} RLIKE '[а-яё]' THEN 'cyrillic' ELSE 'latin' END)"
+    script = lambda of: f"(CASE WHEN {of} RLIKE '\\\\p{{IsCyrillic}}' THEN 'cyrillic' WHEN {of} RLIKE '\\\\p{{IsGreek}}' THEN 'greek' ELSE 'latin' END)"
     names = "CASE concat(script, '_', gender) " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in NAMES.items()) + " END"
     names = names.replace("script", script(full)).replace("gender", gender)
     syllables = f"CASE {script(surname)} " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in SYLLABLES.items()) + " END"
@@ -147,8 +168,9 @@ def _formatted(e: str) -> str:
     longer = f"greatest(0, length({e}.canonical) - length({e}.raw))"
     new_cased = f"substring({e}.canonical, i + {longer}, 1)"
     cased = f"concat(substring({e}.canonical, 1, {longer}), array_join(transform(sequence(1, length({e}.raw)), i -> CASE WHEN {ch} <> lower({ch}) THEN upper({new_cased}) ELSE {new_cased} END), ''))"
+    digits = f"replace({e}.canonical, '+', '')"
     # Digits before those of the normalised form (00, or the 1 of North America) stay.
-    spaced = f"aggregate(sequence(1, length({e}.raw)), named_struct('out', '', 'k', 1 + length({e}.canonical) - length(regexp_replace({e}.raw, '[^0-9]', ''))), (s, i) -> CASE WHEN {ch} RLIKE '[0-9]' THEN named_struct('out', concat(s.out, CASE WHEN s.k < 1 THEN {ch} ELSE substring({e}.canonical, s.k, 1) END), 'k', s.k + 1) ELSE named_struct('out', concat(s.out, {ch}), 'k', s.k) END, s -> s.out)"
+    spaced = f"aggregate(sequence(1, length({e}.raw)), named_struct('out', '', 'k', 1 + length({digits}) - length(regexp_replace({e}.raw, '[^0-9]', ''))), (s, i) -> CASE WHEN {ch} RLIKE '[0-9]' THEN named_struct('out', concat(s.out, CASE WHEN s.k < 1 THEN {ch} ELSE substring({digits}, s.k, 1) END), 'k', s.k + 1) ELSE named_struct('out', concat(s.out, {ch}), 'k', s.k) END, s -> s.out)"
     titled = f"concat(regexp_extract({e}.raw, {_sql(f'^(?:{_TITLE})[.]? ')}, 0), {e}.canonical)"
     return f"CASE WHEN {e}.kind IN ('phone', 'ssn', 'card') THEN {spaced} WHEN {e}.kind = 'person' THEN {titled} WHEN {e}.kind = 'ip' THEN {e}.canonical ELSE {cased} END"
 
@@ -207,23 +229,24 @@ def exceptions(found: DataFrame, key: str = KEY) -> DataFrame | None:
 def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text, and ``n_replaced``."""
     columns = docs.columns
-    found = find_entities(docs, text_col)
+    rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    found = find_entities(rows)
     odd = exceptions(found, key)
     attempt, last_attempt = "0", "0"
     if odd is not None:
-        mentions = found.select(F.col(id_col).alias("own_id"), F.explode("found").alias("e")).select("own_id", "e.kind", "e.norm", "e").distinct()
+        mentions = found.select("own_id", F.explode("found").alias("e")).select("own_id", "e.kind", "e.norm", "e").distinct()
         names = mentions.where("kind = 'person'").select("own_id", F.lit("surname").alias("kind"), F.expr(_surname("e")).alias("norm"))
         mentions = mentions.select("own_id", "kind", "norm").unionByName(names).distinct()
         by_doc = mentions.join(odd, ["kind", "norm"]).groupBy("own_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts"))
-        by_doc = write_out(by_doc, "attempts")
-        found = found.join(by_doc, F.col(id_col).eqNullSafe(F.col("own_id")), "left")
+        by_doc = write_out(by_doc.withColumnRenamed("own_id", "odd_id"), "attempts")
+        found = found.join(by_doc, F.col("own_id").eqNullSafe(F.col("odd_id")), "left")
         attempt = "coalesce(attempts[concat_ws('|', e.kind, e.norm)], 0)"
         last_attempt = f"coalesce(attempts[concat_ws('|', 'surname', {_surname('e')})], 0)"
     steps = F.expr(f"transform(found, e -> struct(e.raw AS raw, e.kind AS kind, e.norm AS norm, {_keyed('e', attempt, last_attempt, key)}))")
     canonical = "CASE WHEN e.kind = 'person' THEN {0} ELSE lower({0}) END".format(_canonical("e"))
     out = found.withColumn("found", steps).withColumn("found", F.expr(f"transform(found, e -> struct(e.raw AS raw, e.kind AS kind, {canonical} AS canonical))"))
     out = out.withColumn("fresh", F.expr(f"transform(found, e -> {_formatted('e')})"))
-    parts = F.split(F.col(text_col), PATTERN, -1)
+    parts = F.split(F.col("text"), PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(parts, F.col("fresh"), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    text = F.when(F.size("fresh") > 0, joined).otherwise(F.col(text_col))
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in columns), F.coalesce(F.size("fresh"), F.lit(0)).alias("n_replaced"))
+    text = F.when(F.size("fresh") > 0, joined).otherwise(F.col("text"))
+    return out.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns if c != "n_replaced"), F.coalesce(F.size("fresh"), F.lit(0)).alias("n_replaced"))

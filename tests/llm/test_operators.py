@@ -194,6 +194,16 @@ def test_phone_forms(spark):
     assert got[12:] == left
 
 
+def test_scripts_and_calling_codes(spark):
+    raws = ["山田@例え.jp", "łukasz@żółw.example", "вася@почта.example", "νίκος@άλφα.example", "+8613812345678", "+353 1 234 5678", "Dr. Νίκος Παπάς", "Frau Łucja Żak"]
+    got = [r.text[2:-2] for r in pii.replace_entities(spark.createDataFrame([(i, f"x {r} y") for i, r in enumerate(raws)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(a != b for a, b in zip(got, raws, strict=True))
+    assert not set(got[0].split(".")[0]) & set("山田例え") and got[0].endswith(".jp") and "ł" not in got[1][:1]
+    assert re.fullmatch("[а-яё]{4}@[а-яё]{5}[.]example", got[2]) and re.fullmatch("[α-ωά-ώ]{5}@[α-ωά-ώ]{4}[.]example", got[3])
+    assert re.fullmatch(r"[+]86\d{11}", got[4]) and re.fullmatch(r"[+]353 \d \d{3} \d{4}", got[5])
+    assert re.fullmatch("Dr. [Α-ΩΆ-Ώα-ωά-ώ]+ [Α-Ωα-ω]+", got[6]) and got[7].startswith("Frau ")
+
+
 def test_url_rules_and_hosts(spark):
     urls = ["https://A.Example.org/es/1", "http://example.org/en/12?x", "http://x.org", "http://x.org/", "http://b.com/fr/x#y", "https://com/de/", "no address", None, "http://notorg/", "http://h.net:80/a/3"]
     pages = spark.createDataFrame([(i, u, 7) for i, u in enumerate(urls)], "page_id long, url string, verdict int")
