@@ -5,12 +5,14 @@ of fewer words is one shingle, a text without words has the empty set and links
 ``100 * |intersection| >= percent * |union|``. Every link is found:
 
 1. one pass over the texts gives each row's set size and 128-bit set hash (documents with equal sets form a class, which
-   stands for all its rows afterwards) and a count sketch of ``2^20`` cells of all shingles;
+   stands for all its rows afterwards) and a count sketch of ``CELLS`` cells of all shingles;
 2. shingles are ordered rarest cell first, ties by hash. Two linked sets share at least ``s`` shingles among the first
    ``n - ceil(percent * n / 100) + s`` of each, for any ``s`` up to the needed overlap (true of any order; the sketch only
-   makes lists short). Such prefix postings (shingle, class, size) are shuffled by shingle; a list of up to ``PAIRS``
-   classes gives all its pairs that sizes allow, which must then meet ``s = SHARED`` times in all; a longer list gives a
-   chain, which keeps all its classes connected whatever else they share;
+   makes lists short). Such prefix postings (shingle, class, size) are shuffled by shingle. Lists of up to ``PAIRS``
+   classes give all their pairs that sizes allow; longer lists are set aside (those of very frequent cells before they
+   are shuffled). A linked pair meets ``s = SHARED`` times in all, hence on short lists at least ``s`` less the number of
+   long ones that either is on; only classes on ``s`` long lists themselves can be linked without a short list in common,
+   and they are tied together by the long lists that they share, by stars over classes of like size;
 3. components of that candidate graph hold every link within themselves, so each is searched alone: its sets, once
    per class, meet in a task, and documents in the order of size query the inverted lists of those before them.
    ``divide_skip`` heap-merges the short lists, binary-probes the long ones and keeps whoever reaches the required
@@ -18,8 +20,8 @@ of fewer words is one shingle, a text without words has the empty set and links
 4. a candidate component of over ``BLOCK`` shingles is dealt to sub-blocks, and each pair of sub-blocks is searched in
    its own task, so that no group of any size meets in one task; the links are then joined by connected components.
 
-Null ids link with nothing (component null); repeated rows get equal results; extra columns are ignored; an empty table
-gives an empty table.
+Null ids link with nothing (component null); repeated rows get equal results; texts of any length are read whole; extra
+columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ CELLS = 1 << 20
 CHUNK = 1 << 12
 PAIRS = 24
 SHARED = 16
-BLOCK = 3_000_000
+BLOCK = 1_000_000
+#: A cell counts as very frequent from so many shingles on, and from so many times the mean of all cells.
+FREQUENT, FREQUENT_TIMES = 4096, 64
 LARGE = 64
 ARRAYS_FROM = 1024
 
@@ -110,10 +114,12 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(k: int, percent: int, sketch):
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
+    """(token, n, node, frequent): the prefix of each set."""
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("frequent", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sketch.value
+        bound = max(FREQUENT, FREQUENT_TIMES * float(cells.mean()))
         seen: set[int] = set()
         toks: list[np.ndarray] = []
         nodes: list[int] = []
@@ -122,7 +128,8 @@ def _postings(k: int, percent: int, sketch):
 
         def flush():
             reps = [len(t) for t in toks]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), reps)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), reps))], schema=schema)
+            own = np.concatenate(toks)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.repeat(np.array(sizes, dtype=np.int32), reps)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), reps)), pa.array(cells[own & (CELLS - 1)] >= bound)], schema=schema)
 
         for batch in batches:
             for _, s in _sets(batch, 0, k):
@@ -144,64 +151,100 @@ def _postings(k: int, percent: int, sketch):
         if toks:
             yield flush()
 
-    return run, "token bigint, n int, node bigint"
+    return run, "token bigint, n int, node bigint, frequent boolean"
 
 
-def _candidate_edges(percent: int):
-    """Edges from postings sorted by (token, n, node); a list may span batches."""
-    def pairs(tok, n, node, length):
-        """Pairs of equal token as (larger node, smaller node, times met, times to meet)."""
+PAIR, LONG = 0, 1
+
+
+def _meetings(percent: int):
+    """Of postings sorted by (token, n, node): rows (PAIR, a, b, times met, times to meet) of short lists, and rows
+    (LONG, token, node, n, 0) of long ones. A list may span batches."""
+    names = ["kind", "a", "b", "met", "need"]
+
+    def pairs(tok, n, node):
         out = []
         for lag in range(1, PAIRS):
             if len(tok) <= lag:
                 break
             ok = (tok[lag:] == tok[:-lag]) & (100 * n[:-lag] >= percent * n[lag:])
-            if lag > 1:
-                ok &= length[lag:] <= PAIRS
             if ok.any():
                 x, y = node[lag:][ok], node[:-lag][ok]
-                need = np.minimum(SHARED, -(-percent * n[:-lag][ok] // 100))
-                met = np.where(length[lag:][ok] <= PAIRS, 1, SHARED)
-                out.append(np.stack((np.maximum(x, y), np.minimum(x, y), met, need)))
+                out.append(np.stack((np.maximum(x, y), np.minimum(x, y), np.minimum(SHARED, -(-percent * n[:-lag][ok] // 100)))))
         if not out:
             return None
         e = np.concatenate(out, axis=1)
         e = e[:, np.lexsort((e[1], e[0]))]
         first = np.flatnonzero(np.concatenate(([True], (e[0][1:] != e[0][:-1]) | (e[1][1:] != e[1][:-1]))))
-        return pa.RecordBatch.from_arrays([pa.array(e[0][first]), pa.array(e[1][first]), pa.array(np.add.reduceat(e[2], first)), pa.array(e[3][first])], names=["a", "b", "met", "need"])
+        met = np.diff(np.append(first, e.shape[1]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), PAIR, dtype=np.int8)), pa.array(e[0][first]), pa.array(e[1][first]), pa.array(met), pa.array(e[2][first])], names=names)
+
+    def long(tok, n, node):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(tok), LONG, dtype=np.int8)), pa.array(tok), pa.array(node), pa.array(n), pa.array(np.zeros(len(tok), dtype=np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, n, node = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        known_long = None
 
-        def edges(final: bool):
-            nonlocal tok, n, node
+        def ended(final: bool) -> Iterator[pa.RecordBatch]:
+            """What the lists held so far give; the last one is kept back unless it is long already."""
+            nonlocal tok, n, node, known_long
             keep = np.ones(len(tok), dtype=bool)
             keep[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
             tok, n, node = tok[keep], n[keep], node[keep]
             starts = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
             runs = np.diff(np.append(starts, len(tok)))
-            length = np.repeat(runs, runs)
-            cut = len(tok) if final else starts[-1]
-            if not final and runs[-1] > 4 * PAIRS:  # a long list goes on: its chain so far, then from its last entries
-                cut = len(tok)
-            got = pairs(tok[:cut], n[:cut], node[:cut], length[:cut])
-            tail = cut if cut < len(tok) else max(0, len(tok) - PAIRS - 1)  # enough for the list still to count as long
-            tok, n, node = tok[tail:], n[tail:], node[tail:]
-            return got
+            is_long = np.repeat(runs > PAIRS, runs)
+            if known_long is not None:
+                is_long |= tok == known_long
+            cut = len(tok) if final or is_long[-1] else starts[-1]
+            known_long = tok[-1] if is_long[-1] else None
+            at = is_long[:cut]
+            if at.any():
+                yield long(tok[:cut][at], n[:cut][at], node[:cut][at])
+            if (got := pairs(tok[:cut][~at], n[:cut][~at], node[:cut][~at])) is not None:
+                yield got
+            tok, n, node = tok[cut:], n[cut:], node[cut:]
 
         held = 0
         for batch in batches:
             b = [batch.column(i).to_numpy().astype(np.int64) for i in range(3)]
-            tok, n, node = np.concatenate((tok, b[0])), np.concatenate((n, b[1])), np.concatenate((node, b[2]))
-            held += batch.num_rows
-            if held >= 100_000:
+            frequent = np.asarray(batch.column(3).to_numpy(zero_copy_only=False), dtype=bool)
+            if frequent.any():
+                yield long(*(x[frequent] for x in b))
+                b = [x[~frequent] for x in b]
+            tok, n, node = (np.concatenate(x) for x in zip((tok, n, node), b, strict=True))
+            held += len(b[0])
+            if held >= 100_000 and len(tok):
                 held = 0
-                if (got := edges(False)) is not None:
-                    yield got
-        if len(tok) and (got := edges(True)) is not None:
-            yield got
-
-    return run, "a bigint, b bigint, met bigint, need bigint"
+                yield from ended(False)
+        if len(tok):
+            yield from ended(True)
+
+    return run, "kind tinyint, a bigint, b bigint, met bigint, need bigint"
+
+
+def candidate_edges(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges of a graph whose components hold every link within themselves."""
+    key = F.when(F.col("frequent"), F.xxhash64("token", "node")).otherwise(F.col("token"))
+    sorted_lists = postings.repartition(key).sortWithinPartitions("frequent", "token", "n", "node")
+    met = write_out(sorted_lists.mapInArrow(*_meetings(percent)), "met")
+    long = met.where(F.col("kind") == LONG).select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("met").alias("n"))
+    on_long = long.groupBy("node").agg(F.count("*").alias("lists"), F.max("n").alias("n"))
+    of = lambda end: on_long.select(F.col("node").alias(end), F.col("lists").alias(f"lists_{end}"))
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    excused = F.least(F.coalesce("lists_a", F.lit(0)), F.coalesce("lists_b", F.lit(0)))
+    pairs = pairs.where(F.col("met") + excused >= F.col("need")).select("a", "b")
+
+    part = lambda n: F.ceil(F.lit(percent) * n / 100)
+    heavy = on_long.where(F.col("lists") >= F.least(F.lit(SHARED), part(part(F.col("n"))))).select("node")
+    # Linked sets are of one band of sizes or of two that adjoin; each class is in the star of its band and of the next.
+    band = F.floor(F.log("n") / (F.log(F.lit(100 / percent)) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    tied = long.join(heavy, "node").select("token", "node", F.explode(F.array(band, band + 1)).alias("band"))
+    centre = tied.groupBy("token", "band").agg(F.min("node").alias("centre"))
+    stars = tied.join(centre, ["token", "band"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    return pairs.unionByName(stars)
 
 
 def divide_skip(index: dict[int, array], tokens: list[int], need: int, skip: Callable[[int], bool] = lambda _: False) -> Iterator[tuple[int, int]]:
@@ -316,13 +359,13 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
 def _search(percent: int):
     """Rows (key, node, doc_id, tokens) sorted by key: each key's sets are searched, and each gets its component's smallest doc_id."""
 
-    def result(rows: dict[int, tuple[int, np.ndarray]]):
-        order = sorted(rows, key=lambda x: (len(rows[x][1]), rows[x][0]))
-        roots = link_sets([rows[x][1] for x in order], percent)
-        least: dict[int, tuple[int, int]] = {}
-        for x, r in zip(order, roots, strict=True):
-            least[r] = min(least.get(r, (rows[x][0], x)), (rows[x][0], x))
-        return order, [rows[x][0] for x in order], [least[r][0] for r in roots]
+    def result(rows: dict[tuple[int, int], np.ndarray]):
+        order = sorted(rows, key=lambda x: (len(rows[x]), x))
+        roots = link_sets([rows[x] for x in order], percent)
+        least: dict[int, int] = {}
+        for (_, doc_id), r in zip(order, roots, strict=True):
+            least[r] = min(least.get(r, doc_id), doc_id)
+        return [node for node, _ in order], [doc_id for _, doc_id in order], [least[r] for r in roots]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
@@ -339,7 +382,7 @@ def _search(percent: int):
                     if rows:
                         out.append(result(rows))
                     key, rows = x, {}
-                rows.setdefault(nodes[i], (ids[i], np.array(tokens[i].values)))
+                rows.setdefault((nodes[i], ids[i]), np.array(tokens[i].values))
             if out:
                 yield emit()
                 out = []
@@ -356,10 +399,10 @@ def _own_sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(1).to_pylist()
+            wanted = list(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True))
             keep, sets, held = [], [], 0
-            for i, s in _sets(batch, 4, k):
-                if set_hash(s)[0] == node[i]:
+            for i, s in _sets(batch, 5, k):
+                if set_hash(s) == wanted[i]:
                     keep.append(i)
                     sets.append(s)
                     held += len(s)
@@ -376,7 +419,7 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = write_out(rows.mapInArrow(*_survey(k)), "survey")
-    docs_seen = survey.where("chunk is null").select("doc_id", "n", "node")
+    docs_seen = survey.where("chunk is null").select("doc_id", "n", "node", "check")
     sketch = np.zeros(CELLS, dtype=np.int32)
     chunks = survey.where("chunk is not null").select("chunk", "counts").repartition(8, "chunk").mapInArrow(_add_chunks, "chunk int, counts array<bigint>")
     for chunk, counts in chunks.collect():  # CELLS counters in all, whatever the size of the input
@@ -384,17 +427,16 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     cells = spark.sparkContext.broadcast(sketch)
 
     postings = rows.select("text").mapInArrow(*_postings(k, percent, cells))
-    edges = postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(*_candidate_edges(percent))
-    edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
+    edges = candidate_edges(postings, percent)
     cand = write_out(connected_components(edges).withColumnsRenamed({"id": "node", "component": "comp"}), "candidates")
 
-    classes = docs_seen.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    classes = docs_seen.where("n > 0 and doc_id is not null").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     placed = write_out(cand.join(classes, "node"), "placed")
     weight = placed.groupBy("comp").agg(F.sum("n").alias("w"), F.count("*").alias("members")).where("members > 1")
-    picked = write_out(placed.join(weight, "comp").select("comp", "node", "doc_id", F.when(F.col("w") > BLOCK, F.ceil(F.col("w") * 2 / BLOCK)).otherwise(1).cast("int").alias("parts")), "picked")
+    picked = write_out(placed.join(weight, "comp").select("comp", "node", "check", "doc_id", F.when(F.col("w") > BLOCK, F.ceil(F.col("w") * 2 / BLOCK)).otherwise(1).cast("int").alias("parts")), "picked")
 
     # ``picked`` grows with the corpus, so it is never broadcast: one plan at every size.
-    texts = rows.join(picked.hint("merge"), "doc_id").select("comp", "node", "doc_id", "parts", "text")
+    texts = rows.join(picked.hint("merge"), "doc_id").select("comp", "node", "doc_id", "parts", "check", "text")
     own = texts.mapInArrow(*_own_sets(k))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     spread = own.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -408,6 +450,6 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         own_component = own_component.select(F.col("id").alias("class_id"), F.col("component"))
     else:
         own_component = links.where("doc_id <> least").select(F.col("doc_id").alias("class_id"), F.col("least").alias("component")).distinct()
-    by_node = classes.select("node", F.col("doc_id").alias("class_id")).join(own_component, "class_id", "left").select("node", F.coalesce("component", "class_id").alias("component"))
-    out = docs_seen.join(by_node, "node", "left")
+    by_node = classes.select("node", "check", F.col("doc_id").alias("class_id")).join(own_component, "class_id", "left").select("node", "check", F.coalesce("component", "class_id").alias("component"))
+    out = docs_seen.join(by_node, ["node", "check"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
