@@ -2,10 +2,14 @@
 
 A text's UTF-8 bytes, padded with bytes 32 to a positive multiple of ``BLOCK``, become the unsigned 8-bit samples of a
 mono WAV file written by the ``wave`` module. ``read_wav`` opens the stored file again; every feature is computed from
-the samples that come back. The fingerprints pair each frame's strongest spectral peak with the peaks of the next
+the samples that come back. The short-time Fourier transform has frames of ``FRAME`` samples under a Hann window that
+overlap by two thirds; as many bytes 32 before and after let the edges count in full. A frame's peaks are its
+``PEAKS`` strongest local maxima over frequency. Fingerprints pair each peak with the peaks of the next ``FAN_OUT``
 frames (anchor frequency, target frequency, frame distance), each coded with the anchor's time into one long.
 
-Null text counts as empty; the empty text is one block of bytes 32. Equal texts give equal values.
+Null text counts as empty; the empty text is one block of bytes 32, which has no peak. Equal texts, repeated rows and rows
+with a null id give equal values; of equally strong peaks the lower frequency comes first; very long texts are transformed
+in parts; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ from pyspark.sql import functions as F
 BLOCK = 192
 RATE = 8000
 FRAME = 192
-FAN_OUT = 3
+HOP = FRAME // 3
+PEAKS = 2
+FAN_OUT = 2
+#: Frames that are transformed at once.
+PART = 8192
 
 SCHEMA = "doc_id bigint, n_bytes bigint, media binary, payload binary, fingerprints array<bigint>, feature string"
 
@@ -46,22 +54,42 @@ def read_wav(media: bytes) -> bytes:
 _WINDOW = np.hanning(FRAME).astype(np.float64)
 
 
-def spectrogram(samples: bytes) -> np.ndarray:
-    """Magnitudes of the short-time Fourier transform, one row a frame of ``FRAME`` samples."""
-    x = np.frombuffer(samples, dtype=np.uint8).astype(np.float64).reshape(-1, FRAME)
-    x = (x - x.mean(axis=1, keepdims=True)) * _WINDOW
-    return np.abs(np.fft.rfft(x, axis=1))
+def spectrogram(samples: bytes) -> Iterator[np.ndarray]:
+    """Magnitudes of the short-time Fourier transform in parts of up to ``PART`` frames, one row a frame."""
+    pad = b" " * (FRAME - HOP)
+    x = np.frombuffer(pad + samples + pad, dtype=np.uint8)
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    for at in range(0, len(frames), PART):
+        part = frames[at : at + PART].astype(np.float64)
+        yield np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * _WINDOW, axis=1))
+
+
+def spectral_peaks(magnitudes: np.ndarray) -> np.ndarray:
+    """For each frame the frequencies of its strongest local maxima, 0 where there are fewer."""
+    inner = magnitudes[:, 1:-1]
+    # Rounding of a still frame is no peak.
+    strength = np.where((inner > magnitudes[:, :-2]) & (inner >= magnitudes[:, 2:]) & (inner > 1e-6), inner, 0.0)
+    out = np.zeros((len(strength), PEAKS), dtype=np.int64)
+    rows = np.arange(len(strength))
+    for k in range(PEAKS):
+        best = strength.argmax(axis=1)
+        out[:, k] = np.where(strength[rows, best] > 0, best + 1, 0)
+        strength[rows, best] = 0.0
+    return out
 
 
 def fingerprints(samples: bytes, fan_out: int = FAN_OUT) -> np.ndarray:
-    """Longs ``time << 32 | f_anchor << 20 | f_target << 8 | distance`` in the order of time, then distance."""
-    peak = spectrogram(samples)[:, 1:].argmax(axis=1).astype(np.int64) + 1
-    n = len(peak)
+    """Sorted longs ``time << 32 | f_anchor << 20 | f_target << 8 | distance``."""
+    peaks = np.concatenate([spectral_peaks(m) for m in spectrogram(samples)])
     codes = []
-    for d in range(1, min(fan_out, n - 1) + 1):
-        t = np.arange(n - d, dtype=np.int64)
-        codes.append(t << 32 | peak[: n - d] << 20 | peak[d:] << 8 | d)
-    return np.sort(np.concatenate(codes)) if codes else np.array([peak[0] << 20], dtype=np.int64)
+    for d in range(1, min(fan_out, len(peaks) - 1) + 1):
+        time = np.arange(len(peaks) - d, dtype=np.int64) << 32
+        for i in range(PEAKS):
+            for j in range(PEAKS):
+                anchor, target = peaks[:-d, i], peaks[d:, j]
+                there = (anchor > 0) & (target > 0)
+                codes.append((time | anchor << 20 | target << 8 | d)[there])
+    return np.sort(np.concatenate(codes))
 
 
 def encode_text(text: str) -> tuple[int, bytes, bytes, np.ndarray, str]:
