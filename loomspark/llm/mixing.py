@@ -1,18 +1,22 @@
 """Operator 7: mixing to target weights with soft domain membership.
 
 A classifier, fitted on a bounded sample of the labelled table (``SAMPLE`` rows a domain, picked by a hash of their ids),
-gives every document posteriors p over the domains good, poor (low quality) and toxic. Nonnegative rates r, the expected
-number of times that a document is used, are fitted so that the expected domain totals ``sum_i r_i t_i p_id`` (t: words)
-meet the target weights of the table's words, by nonnegative least squares with a small ridge towards 1. Its optimum has
-the form ``max(0, 1 + p . slope)`` with one slope a domain; these are found by Newton steps (damped where one does not
-lower the dual objective), and the ridge is lowered until the residual is within ``TOLERANCE``. Each step is one
-aggregation of all documents to a few sums a domain, which are all that the driver holds. No rate is capped. Targets that
-the ridge ``LEAST_RIDGE`` still misses (no nonnegative rates meet them) are warned of; ``Mixture.residual`` has the miss.
+gives every document posteriors p over the domains good, poor (low quality) and toxic. As the sample holds rare domains
+more often than the table, posteriors are corrected to the domains' shares of all labelled rows. Nonnegative rates r, the
+expected number of times that a document is used, are fitted so that the expected domain totals ``sum_i r_i t_i p_id`` (t:
+tokens, as the tokenizer of the packing counts them) meet the target weights of the table's tokens, by nonnegative least
+squares with a small ridge towards 1. Its optimum has the form ``max(0, 1 + p . slope)`` with one slope a domain; these
+are found by projected Newton steps (damped where one does not lower the dual objective), and the ridge is lowered until
+the residual is within ``TOLERANCE``. Each step is one aggregation of all documents to a few sums a domain, which are all
+that the driver holds. No rate is capped. Targets that the ridge ``LEAST_RIDGE`` still misses, or that ``ITERATIONS``
+steps do not meet, are warned of; ``Mixture.residual`` has the miss.
 
 Copies are ``floor(rate + u)`` with u uniform by a hash of the id and the text, so that a row's fate is stable.
 
-Null and empty texts have no words (the rate follows their posteriors, and weighs nothing); repeated rows get equal
-rates; extra columns are kept; without labels of two domains all rates are 1; an empty table gives an empty table.
+Null and empty texts have no tokens (the rate follows their posteriors, and weighs nothing); null ids are rated like
+others and never labelled; repeated rows get equal rates; texts of any length are read whole; ``mix_documents`` keeps
+extra columns, whatever their names, ``document_rates`` ignores them; without labels of two domains all rates are 1; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import bounded_batches, byte_view, write_out
+from loomspark.llm.packing import WordIds, default_tokenizer
 from loomspark.llm.textbytes import word_hashes
 
 DOMAINS = ("good", "poor", "toxic")
@@ -66,9 +71,10 @@ class DomainModel:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    correction: np.ndarray  # added to the logits: log of the shares of all labelled rows over those of the sample
 
-    def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of features, and numbers of words."""
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """Rows of features."""
         data, offsets = byte_view(texts)
         h, rows = word_hashes(data, offsets)
         n = len(offsets) - 1
@@ -89,16 +95,17 @@ class DomainModel:
                     v = self.odds[own, d]
                     top = np.partition(v, -3)[-3:] if len(v) > 3 else v
                     x[i, 8 + 3 * d : 11 + 3 * d] = top.max(), top.sum(), v.mean()
-        return x, words
+        return x
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
-        z = np.column_stack((np.ones(len(x)), (x - self.mean) / self.scale)) @ self.weights
+        z = np.column_stack((np.ones(len(x)), (x - self.mean) / self.scale)) @ self.weights + self.correction
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit_domains(rows: list[tuple[int, str | None]], domains: int = len(DOMAINS)) -> DomainModel | None:
-    """``rows``: (domain, text). Words from two thirds of them, the softmax from the others."""
+def fit_domains(rows: list[tuple[int, str | None]], shares: np.ndarray | None = None, domains: int = len(DOMAINS)) -> DomainModel | None:
+    """``rows``: (domain, text), ``shares``: of the domains among all labelled rows. Words from two thirds of the rows, the
+    softmax from the others."""
     if len({d for d, _ in rows}) < 2 or len(rows) < 6:
         return None
     first, second = [r for i, r in enumerate(rows) if i % 3 != 2], [r for i, r in enumerate(rows) if i % 3 == 2]
@@ -110,9 +117,11 @@ def fit_domains(rows: list[tuple[int, str | None]], domains: int = len(DOMAINS))
     rest, total = df.sum(axis=1, keepdims=True) - df, n.sum() - n
     odds = np.log((df + 0.5) / (n + 1)) - np.log((rest + 0.5) / (total + 1))
     odds[df.sum(axis=1) < 4] = 0.0
-    model = DomainModel(odds, np.zeros(1), np.ones(1), np.zeros((1, domains)))
-    x, _ = model.features(pa.array([t or "" for _, t in second], pa.string()))
+    model = DomainModel(odds, np.zeros(1), np.ones(1), np.zeros((1, domains)), np.zeros(domains))
+    x = model.features(pa.array([t or "" for _, t in second], pa.string()))
     y = np.eye(domains)[[d for d, _ in second]]
+    if shares is not None:
+        model.correction = np.log(np.maximum(shares, 1e-9)) - np.log(np.maximum(y.mean(axis=0), 1e-9))
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack((np.ones(len(x)), (x - model.mean) / model.scale))
     w = np.zeros((z.shape[1], domains))
@@ -136,18 +145,19 @@ class Mixture:
         return np.maximum(0.0, 1 + p @ np.array(self.slope))
 
 
-def _posteriors(model, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("p", pa.list_(pa.float64())), ("u", pa.float64())])
+def _posteriors(model, tokenizer: str):
+    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("u", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m, ids = model.value, WordIds(tokenizer)
         for batch in batches:
             for i, j in bounded_batches(batch.column(1), 1 << 21):
                 part = batch.slice(i, j - i)
-                x, words = m.features(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(words, pa.int64()), pa.array(list(m.posteriors(x)), pa.list_(pa.float64())), part.column(2)], schema=schema)
+                tokens = [len(ids.ids(t.as_py() or "")) // 4 for t in part.column(1)]
+                p = m.posteriors(m.features(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64())), part.column(2)], schema=schema)
 
-    return run, "doc_id bigint, words bigint, p array<double>, u double"
+    return run, "doc_id bigint, tokens bigint, p array<double>, u double"
 
 
 def _p(column: pa.ListArray) -> np.ndarray:
@@ -155,16 +165,16 @@ def _p(column: pa.ListArray) -> np.ndarray:
 
 
 def _totals(mixture):
-    """A task's sums by domain of rate * words * p, then of words * p p' where the rate is above 0, then of words * rate^2."""
+    """A task's sums by domain of rate * tokens * p, then of tokens * p p' where the rate is above 0, then of tokens * rate^2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                p, words = _p(batch.column(1)), batch.column(0).to_numpy()
+                p, tokens = _p(batch.column(1)), batch.column(0).to_numpy()
                 rate = mixture.value.rates(p)
-                bend = (p * (words * (rate > 0))[:, None]).T @ p
-                own = np.concatenate(((rate * words) @ p, bend.ravel(), [(words * rate**2).sum()]))
+                bend = (p * (tokens * (rate > 0))[:, None]).T @ p
+                own = np.concatenate(((rate * tokens) @ p, bend.ravel(), [(tokens * rate**2).sum()]))
                 total = own if total is None else total + own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["d", "v"])
@@ -173,14 +183,14 @@ def _totals(mixture):
 
 
 def _with_rate(mixture):
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("p", pa.list_(pa.float64())), ("u", pa.float64()), ("rate", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("u", pa.float64()), ("rate", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(mixture.value.rates(_p(batch.column(2))))], schema=schema)
 
-    return run, "doc_id bigint, words bigint, p array<double>, u double, rate double"
+    return run, "doc_id bigint, tokens bigint, p array<double>, u double, rate double"
 
 
 def _uniform(id_col: str, text_col: str):
@@ -201,19 +211,21 @@ def train_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         picked = own if picked is None else picked.union(own)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("domain").alias("domain")).orderBy(order, "doc_id").select("domain", "text").collect()
-    return fit_domains([(r[0], r[1]) for r in rows])
+    counts = dict(known.groupBy("domain").count().collect())  # one number a domain
+    shares = np.array([counts.get(k, 0) for k in range(len(DOMAINS))], dtype=float)
+    return fit_domains([(r[0], r[1]) for r in rows], shares / max(1.0, shares.sum()))
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[Mixture, DataFrame | None]:
-    """The mixture, and the table (doc_id, words, p, u) of all documents; None if there is no model."""
+def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> tuple[Mixture, DataFrame | None]:
+    """The mixture, and the table (doc_id, tokens, p, u) of all documents; None if there is no model."""
     spark = docs.sparkSession
     model = train_domains(docs, labels, id_col, text_col)
     if model is None:
         return Mixture(None), None
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _uniform(id_col, text_col))
-    table = write_out(rows.mapInArrow(*_posteriors(shared, len(DOMAINS))), "posteriors")
-    whole = float(table.agg(F.sum("words")).first()[0] or 0)
+    table = write_out(rows.mapInArrow(*_posteriors(shared, tokenizer or default_tokenizer())), "posteriors")
+    whole = float(table.agg(F.sum("tokens")).first()[0] or 0)
     want = np.array([(targets or TARGETS)[d] for d in DOMAINS])
     want = want / want.sum()
     mixture = Mixture(model)
@@ -223,7 +235,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
 
     def sums_at(slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         now = spark.sparkContext.broadcast(Mixture(None, slope.tolist()))
-        sums = dict(table.select("words", "p").mapInArrow(*_totals(now)).groupBy("d").agg(F.sum("v")).collect())  # a few numbers
+        sums = dict(table.select("tokens", "p").mapInArrow(*_totals(now)).groupBy("d").agg(F.sum("v")).collect())  # a few numbers
         v = np.array([sums.get(d, 0.0) for d in range(n + n * n + 1)]) / whole
         return v[:n] - want, v[n : n + n * n].reshape(n, n), v[-1] / 2 - slope @ want
 
@@ -254,26 +266,26 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, words, p_good, p_poor, p_toxic, rate, copies) for each row."""
+    """(doc_id, tokens, p_good, p_poor, p_toxic, rate, copies) for each row."""
     mixture, table = fit_mixture(docs, labels, targets)
     if table is None:
         one = F.lit(1.0)
-        return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("words"), *(F.lit(None).cast("double").alias(f"p_{d}") for d in DOMAINS), one.alias("rate"), F.lit(1).cast("long").alias("copies"))
+        return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("tokens"), *(F.lit(None).cast("double").alias(f"p_{d}") for d in DOMAINS), one.alias("rate"), F.lit(1).cast("long").alias("copies"))
     rated = table.mapInArrow(*_with_rate(docs.sparkSession.sparkContext.broadcast(Mixture(None, mixture.slope))))
-    return rated.select("doc_id", "words", *(F.round(F.col("p")[k], 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"), F.floor(F.col("rate") + F.col("u")).alias("copies"))
+    return rated.select("doc_id", "tokens", *(F.round(F.col("p")[k], 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"), F.floor(F.col("rate") + F.col("u")).alias("copies"))
 
 
-def _copies(mixture, text_at: int):
+def _copies(mixture, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = mixture.value
         for batch in batches:
             for i, j in bounded_batches(batch.column(text_at), 1 << 21):
                 part = batch.slice(i, j - i)
-                x, _ = m.model.features(part.column(text_at))
+                x = m.model.features(part.column(text_at))
                 n = np.floor(m.rates(m.model.posteriors(x)) + part.column(part.num_columns - 1).to_numpy()).astype(np.int64)
                 keep = np.repeat(np.arange(len(n)), n)
                 out = part.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(out.columns[:-1], names=batch.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(out.columns[:-1], names=names)
 
     return run
 
@@ -285,4 +297,5 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(mixture)
     schema = docs.schema
-    return docs.select("*", _uniform(id_col, text_col)).mapInArrow(_copies(shared, docs.columns.index(text_col)), schema)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select("*", _uniform(*(f"c{docs.columns.index(c)}" for c in (id_col, text_col))))
+    return rows.mapInArrow(_copies(shared, docs.columns.index(text_col), docs.columns), schema)
