@@ -20,10 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where none is set."""
+    """The folder that all executors share, as the session names it; one of our own only where none is set and all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _OWN_DIR[0]

@@ -14,7 +14,8 @@ letter, or if its likelihood is far below that of its language's sample (no lang
 for a trigram the other evidence decides.
 
 Null and empty texts are rejected with language null; null ids and sources have no page and an empty source; repeated
-rows are judged alike; extra columns are ignored; an empty table gives an empty table.
+rows are judged alike; of languages with equal posteriors the first by name is taken; extra columns, whatever their names,
+are ignored; texts of any length are scored whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def fit_text_model(rows: list[tuple[str, str]]) -> TextModel:
 
 
 def _likelihoods(model):
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_grams", pa.int64()), ("ll", pa.list_(pa.float64())), ("usual", pa.bool_()), ("letters", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_grams", pa.int64()), ("ll", pa.list_(pa.float64())), ("usual", pa.bool_()), ("letters", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -104,9 +105,9 @@ def _likelihoods(model):
                 spread = FAR * m.usual[best, 1] * np.sqrt(1 + 300 / np.maximum(1, n))  # short texts vary more
                 near = (n == 0) | (means.max(axis=1) >= m.usual[best, 0] - spread)
                 ll = pa.array(list(means * np.minimum(n, EVIDENCE)[:, None]), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(n, pa.int64()), ll, pa.array(near), part.column(3)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(n, pa.int64()), ll, pa.array(near), part.column(3), part.column(4), part.column(5)], schema=schema)
 
-    return run, "doc_id bigint, source string, n_grams bigint, ll array<double>, usual boolean, letters boolean"
+    return run, "doc_id bigint, source string, n_grams bigint, ll array<double>, usual boolean, letters boolean, k1 bigint, k2 bigint"
 
 
 def _fit_language(group: pa.Table) -> pa.Table:
@@ -117,17 +118,17 @@ def _fit_language(group: pa.Table) -> pa.Table:
 
 
 def train_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextModel:
-    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 2))
-    sizes = known.groupBy(F.col(lang_col).alias("own_lang")).agg(F.approx_count_distinct(id_col).alias("n"))
-    order = F.xxhash64(id_col)
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 2))
+    sizes = known.groupBy(F.col("lang").alias("own_lang")).agg(F.approx_count_distinct("id").alias("n"))
+    order = F.xxhash64("id")
     # Half as many again of the smallest hashes as are wanted: the window sees few rows of each language.
     least = F.least(F.lit(1.0), 1.5 * SAMPLE / F.col("n")) * 2.0**64 - 2.0**63
-    near = known.select(F.col(id_col).alias("own_id"), F.col(lang_col).alias("own_lang"), order.alias("own_hash")).join(F.broadcast(sizes), "own_lang")
+    near = known.select(F.col("id").alias("own_id"), F.col("lang").alias("own_lang"), order.alias("own_hash")).join(F.broadcast(sizes), "own_lang")
     near = near.where(F.col("own_hash").cast("double") <= least).select("own_id", "own_lang", "own_hash").distinct()
     place = F.row_number().over(Window.partitionBy("own_lang").orderBy("own_hash", "own_id"))
     ids = near.withColumn("place", place).where(F.col("place") <= SAMPLE).select("own_id", "own_lang")
-    picked = known.join(F.broadcast(ids), (F.col(id_col) == F.col("own_id")) & (F.col(lang_col) == F.col("own_lang")))
-    fitted = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).groupBy("lang").applyInArrow(_fit_language, "lang string, log_p binary, mean double, deviation double")
+    picked = known.join(F.broadcast(ids), (F.col("id") == F.col("own_id")) & (F.col("lang") == F.col("own_lang")))
+    fitted = picked.select("lang", "text").groupBy("lang").applyInArrow(_fit_language, "lang string, log_p binary, mean double, deviation double")
     rows = sorted(fitted.collect(), key=lambda r: r.lang)  # one a language
     if not rows:
         return TextModel([], np.zeros((CELLS, 1), dtype=np.float32), np.zeros((0, 2)))
@@ -166,16 +167,23 @@ def _given_language(counted: DataFrame, column: str, languages: int) -> tuple[Da
     return write_out(_by_language(counts, [column], languages).select(column, said.alias("said")), column), rest
 
 
-def identify_languages(docs: DataFrame, pages: DataFrame | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, language, posterior, text_language, declared, host, kept) for each row."""
+def row_key(id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[F.Column, F.Column]:
+    """Two hashes by which rows of equal id, source and text, which are judged alike, are known again."""
+    own = [F.col(c) for c in (id_col, source_col, text_col)]
+    return F.xxhash64(*own), F.xxhash64(F.lit(1), *own[::-1])
+
+
+def identify_languages(docs: DataFrame, pages: DataFrame | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keyed: bool = False) -> DataFrame:
+    """(doc_id, language, posterior, text_language, declared, host, kept) for each row; ``keyed``: and its ``row_key``."""
     spark = docs.sparkSession
     model = train_text_model(docs, id_col, text_col, lang_col)
     names = model.languages
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *(k.alias(n) for k, n in zip(row_key(id_col, source_col, text_col), ("k1", "k2"), strict=True)))
+    keys = ["k1", "k2"] if keyed else []
     if not names:
         none = F.lit(None).cast("string")
-        return rows.select("doc_id", none.alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), none.alias("declared"), none.alias("host"), F.lit(False).alias("kept"))
+        return rows.select("doc_id", none.alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), none.alias("declared"), none.alias("host"), F.lit(False).alias("kept"), *keys)
     scored = rows.mapInArrow(*_likelihoods(shared))
     none = F.lit(None).cast("string")
     if pages is not None:
@@ -230,4 +238,4 @@ def identify_languages(docs: DataFrame, pages: DataFrame | None = None, least: f
     has = F.col("letters")
     language = F.when(has, label(F.array_position("logs", top).cast("int")))
     posterior = F.when(has, F.round("posterior", 6)).otherwise(F.lit(0.0))
-    return fused.select("doc_id", language.alias("language"), posterior.alias("posterior"), F.when(F.col("n_grams") > 0, label(F.col("best") + 1)).alias("text_language"), "declared", "host", (has & F.col("usual") & (F.col("posterior") >= least)).alias("kept"))
+    return fused.select("doc_id", language.alias("language"), posterior.alias("posterior"), F.when(F.col("n_grams") > 0, label(F.col("best") + 1)).alias("text_language"), "declared", "host", (has & F.col("usual") & (F.col("posterior") >= least)).alias("kept"), *keys)

@@ -246,8 +246,25 @@ def test_media_round_trip(spark):
         assert digest[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and digest[i].tail_crc32 == zlib.crc32(padded[-16:])
         assert digest[i].media_sha256 == hashlib.sha256(bytes(got[i].media)).hexdigest() and digest[i].media_bytes == len(got[i].media)
     assert digest[2].feature == digest[5].feature and got[2].fingerprints == got[5].fingerprints
-    n = len(padded) // 192
-    assert all(0 <= c >> 32 < len(got[4].payload) // 192 for c in got[4].fingerprints) and n == 1
+    assert not got[0].fingerprints and not got[1].fingerprints
+    short = [media.encode_text(t)[4] for t in ("a", "hello", "hello.", "Hello")]
+    assert len(set(short)) == 4 and all(len(media.encode_text(t)[3]) >= 4 for t in ("a", "hello"))
+
+
+def test_fingerprints_by_brute_force(monkeypatch):
+    monkeypatch.setattr(media, "PART", 3)
+    for text in ("The quick brown fox, 42 naïve cafés!", "x" * 500, "ab" * 300 + "héllo \U0001f600", ""):
+        samples = media.encode_text(text)[2]
+        x = [32] * 128 + list(samples) + [32] * 128
+        peaks = []
+        for at in range(0, len(x) - 191, 64):
+            frame = np.array(x[at : at + 192], dtype=float)
+            frame = (frame - frame.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(192) / 191))
+            m = [abs(sum(v * np.exp(-2j * np.pi * f * i / 192) for i, v in enumerate(frame))) for f in range(97)]
+            tops = [(round(-m[f], 6), f) for f in range(1, 96) if m[f] > m[f - 1] and m[f] >= m[f + 1] and m[f] > 1e-6]
+            peaks.append([f for _, f in sorted(tops)[:2]])
+        want = sorted(t << 32 | a << 20 | b << 8 | d for t in range(len(peaks)) for d in (1, 2) if t + d < len(peaks) for a in peaks[t] for b in peaks[t + d])
+        assert media.fingerprints(samples).tolist() == want
 
 
 def test_token_counts(spark):
@@ -428,10 +445,10 @@ def test_mixing_meets_its_targets(spark):
     docs = spark.createDataFrame(rows, DOCS)
     table = spark.createDataFrame(labels + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     got = mixing.document_rates(docs, table).collect()
-    total = sum(r.words for r in got)
+    total = sum(r.tokens for r in got)
     assert len(got) == len(rows) and all(r.rate >= 0 for r in got)
     for d, want in mixing.TARGETS.items():
-        assert abs(sum(r.rate * r.words * r[f"p_{d}"] for r in got) / total - want) < 0.01
+        assert abs(sum(r.rate * r.tokens * r[f"p_{d}"] for r in got) / total - want) < 0.01
     mixed = mixing.mix_documents(docs, table)
     assert mixed.columns == docs.columns
     assert Counter(r.doc_id for r in mixed.collect()) == +Counter({k: sum(r.copies for r in got if r.doc_id == k) for k in {r.doc_id for r in got}})
@@ -449,7 +466,7 @@ def test_rates_above_eight_and_missed_targets(spark):
     got = mixing.document_rates(docs, labels, targets).collect()
     assert max(r.rate for r in got) > 10
     for d, want in targets.items():
-        assert abs(sum(r.rate * r.words * r[f"p_{d}"] for r in got) / sum(r.words for r in got) - want) < 0.01
+        assert abs(sum(r.rate * r.tokens * r[f"p_{d}"] for r in got) / sum(r.tokens for r in got) - want) < 0.01
     with pytest.warns(UserWarning, match="missed"):
         missed, _ = mixing.fit_mixture(docs, labels, {"good": 0.1, "poor": 0.1, "toxic": 0.8})
     assert np.abs(missed.residual).max() > 0.1
