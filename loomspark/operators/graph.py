@@ -32,16 +32,31 @@ def neighbours(edges: DataFrame, start: DataFrame) -> DataFrame:
     return out.unionAll(back).distinct()
 
 
-def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
-    """(start, id, depth): vertices within ``depth`` undirected steps with the fewest steps to each."""
-    both = edges.select("src", "dst").unionAll(edges.select("dst", "src")).distinct()
-    seen = start.select("start", F.col("start").alias("id"), F.lit(0).alias("depth"))
-    front = seen
-    for d in range(1, depth + 1):
-        front = front.join(both, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.lit(d).alias("depth")).distinct()
-        seen = seen.unionAll(front).groupBy("start", "id").agg(F.min("depth").alias("depth"))
-        front = seen.where(F.col("depth") == d)
-    return seen
+#: Kinds of edges that only say where things are.
+STRUCTURAL = ("contains", "declares", "authored", "part_of", "member_of", "shows")
+
+
+def neighbourhood(edges: DataFrame, start: DataFrame, fans: tuple[int, ...] = (18, 4), most: int = 40) -> DataFrame:
+    """(start, id, depth): vertices near each start by semantic edges in either direction.
+
+    Step by step, each vertex of the frontier gives its ``fans[step]`` neighbours of the most incoming edges; those not
+    seen before go on, and at most ``most`` vertices stay a start (nearer ones first, then by incoming edges and id), so
+    that hubs cost no more than others.
+    """
+    semantic = edges.where(~F.col("kind").isin(*STRUCTURAL)).select("src", "dst")
+    weight = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("incoming"))
+    both = semantic.unionByName(semantic.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    both = both.join(weight.withColumnRenamed("id", "dst"), "dst", "left").select("src", F.col("dst").alias("id"), F.coalesce("incoming", F.lit(0)).alias("incoming"))
+    order = Window.partitionBy("src").orderBy(F.desc("incoming"), "id")
+    near = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(fans))
+    seen = start.select("start", F.col("start").alias("id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("incoming"))
+    front = seen.select("start", "id")
+    for depth, fan in enumerate(fans, 1):
+        step = front.withColumnRenamed("id", "src").join(near.where(F.col("place") <= fan), "src").select("start", "id", F.lit(depth).alias("depth"), "incoming")
+        seen = seen.unionByName(step).groupBy("start", "id").agg(F.min("depth").alias("depth"), F.max("incoming").alias("incoming"))
+        front = seen.where(F.col("depth") == depth).select("start", "id")
+    place = F.row_number().over(Window.partitionBy("start").orderBy("depth", F.desc("incoming"), "id"))
+    return seen.withColumn("place", place).where(F.col("place") <= most).select("start", "id", "depth")
 
 
 def co_changes(touches: DataFrame, least: int = 2, most_files: int = 30) -> DataFrame:

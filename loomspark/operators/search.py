@@ -1,11 +1,15 @@
-"""Full-text and vector retrieval for many queries at once: postings, BM25, rank fusion, cosine, near-duplicates."""
+"""Full-text and vector retrieval for many queries at once: postings, BM25, rank fusion, cosine, reranking, near-duplicates."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import search_terms, words
+from loomspark.functions.text import WORD, search_terms, words
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"text": 1.0, "path": 0.5}
@@ -33,16 +37,35 @@ def question_terms(questions: DataFrame, id_col: str, text_col: str = "text") ->
     return rows.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("pos", "term")).withColumn("term", F.lower("term"))
 
 
-def bm25(posts: DataFrame, terms: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(query_id, id, score, strict): BM25 over weighted columns; strict where all of a query's terms occur.
+def term_weights(chunks: DataFrame, terms: DataFrame, id_col: str = "id", weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(term, id, f, length): weighted occurrences of the asked terms only, with the length of the row in all columns.
 
-    Statistics are those of the whole corpus, whatever is filtered afterwards.
+    Words are dropped right after the texts are taken apart, before any shuffle, where the asked terms are few enough for
+    Spark to broadcast them.
     """
-    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("col")], F.lit(1.0))
-    tf = posts.groupBy("term", "id").agg(F.sum(F.col("tf") * weight).alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_statistics(posts)
-    hits = terms.join(df, "term").join(tf, "term").join(stats, "id")
+    asked = terms.select("term").distinct()
+    columns = list(weights)
+    taken = chunks.select(F.col(id_col).alias("id"), *(words(F.lower(F.col(c))).alias(f"w{i}") for i, c in enumerate(columns)))
+    sizes = [F.coalesce(F.size(f"w{i}"), F.lit(0)) for i in range(len(columns))]
+    every = F.concat(*(F.coalesce(f"w{i}", F.array().cast("array<string>")) for i in range(len(columns))))
+    ends = [sum(sizes[: i + 1], F.lit(0)) for i in range(len(columns))]
+    rows = taken.select("id", F.array(*ends).alias("ends"), F.posexplode(every).alias("pos", "term")).join(asked, "term")
+    weight = F.lit(0.0)
+    for i in reversed(range(len(columns))):
+        weight = F.when(F.col("pos") < F.col("ends")[i], F.lit(weights[columns[i]])).otherwise(weight)
+    return rows.groupBy("term", "id").agg(F.sum(weight).alias("f"), F.max(F.col("ends")[len(columns) - 1]).alias("length"))
+
+
+def mean_length(chunks: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """One row (n_docs, mean_length) over the whole corpus, whatever is filtered afterwards."""
+    length = sum((F.coalesce(F.regexp_count(F.lower(F.col(c)), F.lit(WORD)), F.lit(0)) for c in columns), F.lit(0))
+    return chunks.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_length"))
+
+
+def _scored(found: DataFrame, totals: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, id, score, strict) of rows (term, id, f, length)."""
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    hits = terms.join(df, "term").join(F.broadcast(totals)).join(found, "term")  # totals: one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -50,6 +73,44 @@ def bm25(posts: DataFrame, terms: DataFrame, weights: dict[str, float] = WEIGHTS
     return out.select("query_id", "id", "score", (F.col("n") == F.col("n_terms")).alias("strict"))
 
 
+def bm25(chunks: DataFrame, terms: DataFrame, id_col: str = "id", weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(query_id, id, score, strict): BM25 over weighted columns; strict where all of a query's terms occur.
+
+    Statistics are those of the whole corpus, whatever is filtered afterwards.
+    """
+    return _scored(term_weights(chunks, terms, id_col, weights), mean_length(chunks, tuple(weights)), terms)
+
+
+def bm25_of_postings(posts: DataFrame, terms: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """As ``bm25``, over postings that were made before (and stemmed, say)."""
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("col")], F.lit(1.0))
+    lengths = posts.groupBy("id").agg(F.sum("tf").alias("length"))
+    tf = posts.join(terms.select("term").distinct(), "term").groupBy("term", "id").agg(F.sum(F.col("tf") * weight).alias("f"))
+    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    return _scored(tf.join(lengths, "id"), totals, terms)
+
+
+def search_mode(hits: DataFrame, terms: DataFrame, k: int = 60, limit: int = 10, pool: int = 30) -> DataFrame:
+    """(query_id, id, score, rank, mode) of the strict and loose hits of each query.
+
+    One term: the strict hits. Without a strict hit: the loose ones, mode "any". Else both lists are fused by reciprocal
+    ranks, the strict one counting twice, mode "all". Both ranks come from the same rows, so hits are computed once.
+    """
+    asked = terms.groupBy("query_id").agg(F.max("n_terms").alias("n_terms"))
+    order = [F.round("score", 9).desc(), "id"]
+    own = Window.partitionBy("query_id").orderBy(*order)
+    both = hits.withColumns({"loose_rank": F.row_number().over(own), "strict_rank": F.when(F.col("strict"), F.row_number().over(Window.partitionBy("query_id", "strict").orderBy(*order)))})
+    both = both.where((F.col("loose_rank") <= pool) | (F.col("strict_rank") <= pool)).join(asked, "query_id")
+    any_strict = F.max("strict").over(Window.partitionBy("query_id"))
+    fused = F.when(F.col("strict_rank") <= pool, 2.0 / (k + F.col("strict_rank"))).otherwise(0.0) + F.when(F.col("loose_rank") <= pool, 1.0 / (k + F.col("loose_rank"))).otherwise(0.0)
+    single = F.col("n_terms") == 1
+    both = both.withColumn("any_strict", any_strict)
+    mode = F.when(single | F.col("any_strict"), F.lit("all")).otherwise(F.lit("any"))
+    score = F.when(single | ~F.col("any_strict"), F.col("score")).otherwise(fused)
+    shown = both.where(~single | F.col("strict")).select("query_id", "id", score.alias("score"), mode.alias("mode"))
+    return ranked(shown, limit=limit)
+
+
 def ranked(hits: DataFrame, score: Column | str = "score", limit: int | None = None, tie: str = "id") -> DataFrame:
     """``hits`` with ``rank`` from 1 by falling score (12 decimals), then by ``tie``."""
     score = F.col(score) if isinstance(score, str) else score
@@ -78,10 +139,77 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+VECTORS_A_BLOCK = 2048
+
+
+def vector_blocks(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(length, ids, matrix): blocks of unit vectors of one length; null and zero vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+
+        def block(n: int) -> pa.RecordBatch:
+            ids, rows = held.pop(n)
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.stack(rows).tobytes()], pa.binary())], names=["length", "ids", "matrix"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.asarray(v.values, dtype=np.float64) if v.is_valid else np.zeros(0)
+                norm = float(np.sqrt(x @ x))
+                if norm > 0 and np.isfinite(norm):
+                    ids, rows = held.setdefault(len(x), ([], []))
+                    ids.append(i)
+                    rows.append(x / norm)
+                    if len(ids) == VECTORS_A_BLOCK:
+                        yield block(len(x))
+        for n in list(held):
+            yield block(n)
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.where("id is not null").mapInArrow(run, "length int, ids array<bigint>, matrix binary")
+
+
+def _block_top_k(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                n = batch.column(0)[r].as_py()
+                ids, asked = (np.asarray(batch.column(c)[r].values) for c in (1, 3))
+                x, q = (np.frombuffer(batch.column(c)[r].as_buffer(), dtype=np.float64).reshape(-1, n) for c in (2, 4))
+                scores = q @ x.T
+                scores[asked[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                i, j = np.nonzero(scores >= np.maximum(least - 1e-8, -2.0)[:, None])  # near ties are parted when all blocks meet
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["query_id", "id", "score"])
+
+    return run
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the nearest by cosine; ``queries`` (query_id, query_vector) is a stated, bounded set."""
-    hits = vectors.join(F.broadcast(queries)).where("id <> query_id")
-    return ranked(hits.select("query_id", "id", cosine(F.col("query_vector"), F.col("vector")).alias("score")), limit=k)
+    """(query_id, id, score, rank) of the nearest by cosine, for a stated set of queries (query_id, query_vector).
+
+    Blocks of queries meet blocks of vectors; each pair of blocks gives the best ``k`` of each query, so what is shuffled
+    grows with the numbers of blocks, not of vectors. Spark broadcasts the query blocks only while they are small.
+    """
+    asked = vector_blocks(queries, "query_id", "query_vector").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix", "length": "q_length"})
+    both = vector_blocks(vectors, "id", "vector").crossJoin(asked).where("length = q_length").select("length", "ids", "matrix", "q_ids", "q_matrix")
+    return ranked(both.mapInArrow(_block_top_k(k), "query_id bigint, id bigint, score double"), limit=k)
+
+
+def covered_terms(terms: Column, text: Column) -> Column:
+    """A reranker: the share of a question's terms that a text holds."""
+    return F.size(F.array_intersect(terms, words(F.lower(text)))) / F.size(terms)
+
+
+def rerank(hits: DataFrame, score: Column | Callable[..., Column], top_n: int = 30) -> DataFrame:
+    """Hits (query_id, rank, ...) with the first ``top_n`` in the order of a reranker's score, the others behind as they were.
+
+    ``score``: a column of the hits, or a pandas UDF applied to their ``question`` and ``text``.
+    """
+    value = score if isinstance(score, Column) else score(F.col("question"), F.col("text"))
+    head = hits.withColumn("reranked", F.when(F.col("rank") <= top_n, value))
+    order = Window.partitionBy("query_id").orderBy(F.when(F.col("rank") <= top_n, 0).otherwise(1), F.desc_nulls_last("reranked"), "rank")
+    return head.withColumn("rank", F.row_number().over(order))
 
 
 def drop_near_duplicates(hits: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -69,9 +69,19 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_strict": _LOOSE + _shown(_top("(FROM hits WHERE strict)", 10)),
     "bm25_filtered": _LOOSE + _shown(_top("(SELECT hits.* FROM hits JOIN c USING (id) WHERE bucket = 'knowledge' AND lang = 'en')", 10)),
     "bm25_adjusted": _LOOSE + _shown(_top("(SELECT query_id, id, score * CASE bucket WHEN 'norms' THEN 0.5 ELSE 1.0 END * (1 + 0.15 * ln(1 + id % 10)) AS score FROM hits JOIN c USING (id))", 10)),
-    "bm25_mode_rrf": _LOOSE + f", lists AS (SELECT query_id, id, 2.0 / (60 + rank) AS s FROM {_top('(FROM hits WHERE strict)', 30)} UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM {_top('hits', 30)}), fused AS (SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM lists GROUP BY ALL) " + _shown(_top("fused", 10)),
-    "rerank_head": _LOOSE + f"SELECT query_id, id, CAST(CASE WHEN rank <= 10 THEN row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN tokens ELSE 0 END DESC, rank) ELSE rank END AS INTEGER) AS rank FROM {_top('hits', 20)} JOIN c USING (id)",
-    "rrf_hybrid": _LOOSE + f", words AS {_top('hits', 50)}, near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (id * 7919) % 1009, id) AS rank FROM words), lists AS (SELECT query_id, id, 1.0 / (60 + rank) AS s FROM words UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM near), fused AS (SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM lists GROUP BY ALL) " + _shown(_top("fused", 10)),
+    "bm25_mode_rrf": _LOOSE + f""", lists AS (SELECT query_id, id, 2.0 / (60 + rank) AS s FROM {_top('(FROM hits WHERE strict)', 30)} UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM {_top('hits', 30)}),
+      fused AS (SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM lists GROUP BY ALL), n AS (SELECT DISTINCT query_id, n_terms FROM q),
+      any_strict AS (SELECT query_id, bool_or(strict) AS any_strict FROM hits GROUP BY 1),
+      pool AS (SELECT query_id, id, score, 'all' AS mode FROM (FROM hits WHERE strict) JOIN n USING (query_id) WHERE n_terms = 1
+        UNION ALL SELECT query_id, id, score, 'any' FROM hits JOIN n USING (query_id) JOIN any_strict USING (query_id) WHERE n_terms > 1 AND NOT any_strict
+        UNION ALL SELECT query_id, id, score, 'all' FROM fused JOIN n USING (query_id) JOIN any_strict USING (query_id) WHERE n_terms > 1 AND any_strict)
+      SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, mode FROM pool QUALIFY rank <= 10""",
+    "rerank_head": _LOOSE + rf""", asked AS (SELECT query_id, list(DISTINCT term) AS asked FROM q GROUP BY 1), top AS {_top('hits', 20)},
+      v AS (SELECT query_id, id, rank, CASE WHEN rank <= 10 THEN CAST(len(list_intersect(asked, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS DOUBLE) / len(asked) END AS v FROM top JOIN c USING (id) JOIN asked USING (query_id))
+      SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, v DESC NULLS LAST, rank) AS INTEGER) AS rank FROM v""",
+    "rrf_hybrid": _LOOSE + f""", words AS {_top('hits', 50)}, dist AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
+        FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)), near AS {_top('dist', 50)},
+      lists AS (SELECT query_id, id, 1.0 / (60 + rank) AS s FROM words UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM near), fused AS (SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM lists GROUP BY ALL) """ + _shown(_top("fused", 10)),
     "vector_topk": f"WITH n AS ({_NEAR}) " + _shown(_top("n", 10)),
     "vector_topk_filtered": f"WITH n AS ({_NEAR} AND v.label % 3 = 0) " + _shown(_top("n", 10)),
     "incremental_diff": f"""WITH {_CORPUS}, o AS (SELECT DISTINCT sha256(source_id || chr(0) || path || chr(0) || text) AS k FROM c),
@@ -95,11 +105,14 @@ ORACLE_SQL: dict[str, str] = {
     "in_degree": f"WITH {_DEGREES} SELECT * FROM g",
     "file_importance": f"WITH {_EDGES} SELECT dst AS id, count(*) AS n, round(1 + 0.15 * ln(1 + count(*)), 6) AS boost FROM e WHERE kind = 'r' GROUP BY 1",
     "entity_page": f"WITH {_DEGREES} SELECT * FROM g ORDER BY in_degree DESC, out_degree DESC, id LIMIT 50 OFFSET 10",
-    "neighbors_1hop": f"WITH {_EDGES}, s AS (SELECT 'supplier:' || s_suppkey AS start FROM supplier WHERE s_suppkey % 10 = 1) SELECT DISTINCT start, dst AS id, kind, 'out' AS direction FROM s JOIN e ON start = src UNION SELECT DISTINCT start, src, kind, 'in' FROM s JOIN e ON start = dst",
-    "neighborhood_2hop": f"""WITH {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT 'part:' || p_partkey AS start FROM part WHERE p_partkey % 100 = 1),
-      h1 AS (SELECT DISTINCT start, dst AS id FROM s JOIN u ON start = src), h2 AS (SELECT DISTINCT start, dst AS id FROM h1 JOIN u ON h1.id = src),
-      d AS (SELECT start, start AS id, 0 AS depth FROM s UNION ALL SELECT start, id, 1 FROM h1 UNION ALL SELECT start, id, 2 FROM h2), m AS (SELECT start, id, min(depth) AS depth FROM d GROUP BY ALL)
-      SELECT start, depth, count(*) AS n FROM m GROUP BY ALL""",
+    "neighbors_1hop": f"WITH {_EDGES}, s AS (SELECT 'supplier:' || s_suppkey AS start FROM supplier) SELECT DISTINCT start, dst AS id, kind, 'out' AS direction FROM s JOIN e ON start = src UNION SELECT DISTINCT start, src, kind, 'in' FROM s JOIN e ON start = dst",
+    "neighborhood_2hop": f"""WITH {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), i AS (SELECT dst AS id, count(*) AS incoming FROM e GROUP BY 1),
+      near AS (SELECT src, dst AS id, coalesce(incoming, 0) AS incoming, row_number() OVER (PARTITION BY src ORDER BY coalesce(incoming, 0) DESC, dst) AS place FROM u LEFT JOIN i ON i.id = u.dst QUALIFY place <= 18),
+      s AS (SELECT 'part:' || p_partkey AS start FROM part), h1 AS (SELECT start, id, incoming FROM s JOIN near ON src = start),
+      h2 AS (SELECT DISTINCT start, near.id, near.incoming FROM h1 JOIN near ON near.src = h1.id WHERE place <= 4),
+      d AS (SELECT start, start AS id, 0 AS depth, 0 AS incoming FROM s UNION ALL SELECT start, id, 1, incoming FROM h1 UNION ALL SELECT start, id, 2, incoming FROM h2),
+      m AS (SELECT start, id, min(depth) AS depth, max(incoming) AS incoming FROM d GROUP BY ALL)
+      SELECT start, id, depth FROM m QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, incoming DESC, id) <= 40""",
     "find_entities": rf"""WITH {_CORPUS}, ent AS (SELECT id, regexp_replace(path, '\.md$', '') AS name FROM c),
       asked AS (SELECT DISTINCT lower(CASE WHEN id % 2 = 0 THEN 'DOC_' || id ELSE regexp_replace(path, '\.md$', '') END) AS asked FROM c),
       x AS (SELECT asked, id FROM asked JOIN ent ON asked = lower(name)), r AS (SELECT asked FROM asked WHERE asked NOT IN (SELECT asked FROM x))

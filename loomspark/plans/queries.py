@@ -123,7 +123,7 @@ def corpus_stats(spark, d):
 
 
 def _hits(spark, d):
-    return search.bm25(_posts(spark, d), _terms(spark, d))
+    return search.bm25(corpus(spark, d), _terms(spark, d))
 
 
 def _shown(hits):
@@ -155,16 +155,16 @@ def bm25_adjusted(spark, d):
 
 @query
 def bm25_mode_rrf(spark, d):
-    hits = _hits(spark, d)
-    loose, strict = search.ranked(hits, limit=30), search.ranked(hits.where("strict"), limit=30)
-    return _shown(search.reciprocal_rank_fusion([(strict, 2.0), (loose, 1.0)], k=60, limit=10))
+    """Strict and loose hits of each question, fused; with the mode that answered."""
+    return search.search_mode(_hits(spark, d), _terms(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "mode")
 
 
 @query
 def rerank_head(spark, d):
-    top = search.ranked(_hits(spark, d), limit=20).join(corpus(spark, d).select("id", "tokens"), "id")
-    again = F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(F.col("rank") <= 10, F.col("tokens")).otherwise(0).desc(), "rank"))
-    return top.select("query_id", "id", F.when(F.col("rank") <= 10, again).otherwise(F.col("rank")).alias("rank"))
+    """The best twenty hits, of which the first ten in the order of the share of the question's terms that they hold."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.transform(T.search_terms(F.col("text")), lambda t: F.lower(t)).alias("asked"))
+    top = search.ranked(_hits(spark, d), limit=20).join(corpus(spark, d).select("id", "text"), "id").join(asked, "query_id")
+    return search.rerank(top, search.covered_terms(F.col("asked"), F.col("text")), 10).select("query_id", "id", "rank")
 
 
 # Vectors
@@ -198,8 +198,11 @@ def near_dup_greedy(spark, d):
 
 @query
 def rrf_hybrid(spark, d):
+    """BM25 fused with the nearest vectors; a question's vector is the one that carries its number."""
     words = search.ranked(_hits(spark, d), limit=50)
-    near = words.select("query_id", "id", "rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("id") * 7919) % 1009, "id")))
+    v = _vectors(spark, d)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct().join(v, "id").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    near = search.vector_top_k(v.select("id", "vector"), asked, 50)
     return _shown(search.reciprocal_rank_fusion([(words, 1.0), (near, 1.0)], k=60, limit=10))
 
 
@@ -213,7 +216,7 @@ def pack_decisions(spark, d):
 def bm25_stemmed(spark, d):
     posts, terms = stemmed(_posts(spark, d)), stemmed(_terms(spark, d))
     posts = posts.groupBy("id", "col", "term").agg(F.sum("tf").alias("tf"))
-    return _shown(search.ranked(search.bm25(posts, terms), limit=10))
+    return _shown(search.ranked(search.bm25_of_postings(posts, terms), limit=10))
 
 
 @query
@@ -364,14 +367,14 @@ def entity_page(spark, d):
 
 @query
 def neighbors_1hop(spark, d):
-    start = table(spark, d, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("start"))
+    start = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("start"))
     return graph.neighbours(_edges(spark, d), start)
 
 
 @query
 def neighborhood_2hop(spark, d):
-    start = table(spark, d, "part").where("p_partkey % 100 = 1").select(F.concat(F.lit("part:"), "p_partkey").alias("start"))
-    return graph.neighbourhood(_edges(spark, d), start, 2).groupBy("start", "depth").agg(F.count("*").alias("n"))
+    start = table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("start"))
+    return graph.neighbourhood(_edges(spark, d), start)
 
 
 @query

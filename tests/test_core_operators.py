@@ -34,7 +34,9 @@ def test_bm25_equals_fts5(spark):
     db.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", docs)
     chunks = spark.createDataFrame(docs, "id long, text string")
     terms = search.question_terms(spark.createDataFrame([(1, "w11 w13 w22")], "qid long, text string"), "qid")
-    got = {r.id: r.score for r in search.bm25(search.postings(chunks, "id", ("text",)), terms).collect()}
+    got = {r.id: r.score for r in search.bm25(chunks, terms, weights={"text": 1.0}).collect()}
+    again = {r.id: r.score for r in search.bm25_of_postings(search.postings(chunks, "id", ("text",)), terms).collect()}
+    assert got.keys() == again.keys() and all(math.isclose(got[i], again[i]) for i in got)
     want = {i: -s for i, s in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH 'w11 OR w13 OR w22'")}
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
@@ -78,8 +80,11 @@ def test_graph(spark):
     edges = spark.createDataFrame([("a", "b", "r", 1, 1, "x"), ("a", "b", "r", 0, 2, "y"), ("a", "a", "r", 2, 1, "z")], "src string, dst string, kind string, seq int, n int, via string")
     assert [tuple(r) for r in graph.merge_edges(edges).collect()] == [("a", "b", "r", 3, "y")]
     path = spark.createDataFrame([(str(i), str(i + 1), "k") for i in range(5)], "src string, dst string, kind string")
-    got = graph.neighbourhood(path, spark.createDataFrame([("2",)], "start string"), 2).collect()
+    got = graph.neighbourhood(path, spark.createDataFrame([("2",)], "start string")).collect()
     assert {r.id: r.depth for r in got} == {"2": 0, "1": 1, "3": 1, "0": 2, "4": 2}
+    hub = spark.createDataFrame([("hub", f"x{i}", "k") for i in range(30)] + [("x9", f"y{i}", "k") for i in range(9)] + [("hub", "z", "contains")], "src string, dst string, kind string")
+    near = {r.id: r.depth for r in graph.neighbourhood(hub, spark.createDataFrame([("hub",)], "start string"), (5, 2), 6).collect()}
+    assert len(near) == 6 and "z" not in near and sorted(near.values()) == [0, 1, 1, 1, 1, 1]
     cand = spark.createDataFrame([("t1", "k", "api"), ("t2", "k", "model"), ("t3", "u", "x")], "target string, key string, scope string")
     refs = spark.createDataFrame([(1, "k", "api"), (2, "k", "none"), (3, "u", "none")], "ref int, key string, scope string")
     assert {r.ref: r.target for r in graph.resolve_unique(refs, cand).collect()} == {1: "t1", 2: None, 3: "t3"}
