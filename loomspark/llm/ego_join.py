@@ -1,17 +1,23 @@
 """Operator 4: cosine near-duplicates of vectors by an epsilon grid order join.
 
 For unit vectors a cosine of at least ``c`` is a distance of at most ``eps = sqrt(2 - 2c)``. Vectors are projected on the
-leading principal directions of all of them (an orthonormal basis, so that distances only shrink), given the grid cells
-of side ``eps`` there and sorted by those cells (the epsilon grid order). The sorted sequence is cut into blocks of at
-most ``BLOCK`` vectors with their bounding boxes. Intervals of the sequence are joined recursively, from all of it down
-to blocks, ``FAN`` children at a time by equi-joins on the parents: a pair of intervals whose boxes are further apart
-than ``eps`` is dropped with all that lies below. A pair of blocks that is left is compared in one task in double
-precision, again by halves while their boxes allow a link. Each such task gives numbers of links and a spanning forest,
-never the pairs, so that a large group of near copies costs rows in proportion to its blocks.
+``DIRECTIONS`` leading principal directions of all of them (an orthonormal basis); the length of what is left outside is
+one more coordinate, and distances between such points never exceed those between the vectors. Vectors get the grid
+cells of side ``eps`` in the first ``GRID`` directions and are sorted by those cells (the epsilon grid order). The sorted
+sequence is cut into blocks of at most ``BLOCK`` vectors, where the leading cells change if a quarter is full, with their
+bounding boxes. Intervals of the sequence are joined recursively, from all of it down to blocks, ``FAN`` bits of children
+at a time by equi-joins on the parents: a pair of intervals whose boxes are further apart than ``eps`` is dropped with all
+that lies below. A pair of blocks that is left meets in one task, where runs of ``LEAF`` vectors are compared, in double
+precision, if their boxes allow a link. Each such task gives numbers of links and a spanning forest, never the pairs, so
+that a large group of near copies costs rows in proportion to its blocks.
+
+How much is skipped depends on the data: groups of near vectors are told apart, and work grows with their number. Vectors
+spread evenly over 64 directions are not provably distant in any few of them; then nearly all pairs of blocks are compared.
 
 Equal vectors are joined first and stand as one with their number. Vectors that are null, zero or hold null or
 non-finite components link with nothing, nor do rows with a null id (component null); vectors of different lengths are not
-compared. Repeated rows count as vectors of their own; extra columns are ignored; an empty table gives an empty table.
+compared. Vectors of floats are stored as such, all others as doubles. Repeated rows count as vectors of their own; extra
+columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import write_out
 from loomspark.llm.components import connected_components, spanning_roots
 
-DIRECTIONS = 8
+DIRECTIONS = 16
+GRID = 8
 BLOCK = 4096
 FAN = 6  # bits: 64 children an interval
 LEAF = 64
@@ -63,19 +70,25 @@ def principal_directions(unique: DataFrame, length: int, k: int = DIRECTIONS) ->
     return np.ascontiguousarray(vectors[:, np.argsort(-values)[: min(k, length)]])
 
 
-def _cells(basis, eps: float, k: int):
+def _points(x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Coordinates of the unit vectors of x in the basis u, and the length of what lies outside of it."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    p = x @ u
+    return np.column_stack((p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(axis=1)))))
+
+
+def _cells(basis, eps: float, k: int, vector_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = basis.value
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
-                cell = np.floor((x / np.linalg.norm(x, axis=1, keepdims=True)) @ u / eps).astype(np.int32)
+                cell = np.floor(_points(_matrix(batch.column(1)), u)[:, :k] / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(cell[:, i]) for i in range(k))], names=["id", "embedding", "copies", *(f"c{i}" for i in range(k))])
 
-    return run, "id bigint, embedding array<float>, copies bigint, " + ", ".join(f"c{i} int" for i in range(k))
+    return run, f"id bigint, embedding {vector_type}, copies bigint, " + ", ".join(f"c{i} int" for i in range(k))
 
 
-def _blocks(basis):
+def _blocks(basis, dtype):
     """Sorted rows of a partition to blocks: (part, block, ids, copies, vectors, lo, hi)."""
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("vectors", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
 
@@ -83,75 +96,81 @@ def _blocks(basis):
         from pyspark import TaskContext
 
         u, part, at = basis.value, TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
+        held = None
+
+        def cut(rows: pa.Table) -> int:
+            """Where the block that starts these rows ends: the last change of a leading cell beyond a quarter, the earliest column first."""
+            for c in range(3, rows.num_columns):
+                cells = rows.column(c).slice(0, BLOCK + 1).to_numpy()
+                ends = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+                ends = ends[ends >= BLOCK // 4]
+                if len(ends):
+                    return int(ends[-1])
+            return BLOCK
 
         def block(rows: pa.Table):
             x = _matrix(rows.column("embedding").combine_chunks())
-            p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ u
-            cols = [[part], [at], [rows.column("id").to_numpy()], [rows.column("copies").to_numpy()], [x.astype(np.float32).tobytes()], [p.min(axis=0)], [p.max(axis=0)]]
+            p = _points(x, u)
+            cols = [[part], [at], [rows.column("id").to_numpy()], [rows.column("copies").to_numpy()], [x.astype(dtype).tobytes()], [p.min(axis=0)], [p.max(axis=0)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            held.append(batch)
-            while sum(b.num_rows for b in held) >= BLOCK:
-                rows = pa.Table.from_batches(held)
-                yield block(rows.slice(0, BLOCK))
-                held, at = rows.slice(BLOCK).to_batches(), at + 1
-        rows = pa.Table.from_batches(held) if held else None
-        if rows is not None and rows.num_rows:
-            yield block(rows)
+            held = pa.Table.from_batches([*(held.to_batches() if held is not None else []), batch])
+            while held.num_rows > BLOCK:
+                n = cut(held)
+                yield block(held.slice(0, n))
+                held, at = held.slice(n), at + 1
+        if held is not None and held.num_rows:
+            yield block(held)
 
     return run, "part bigint, block bigint, ids array<bigint>, copies array<bigint>, vectors binary, lo array<double>, hi array<double>"
 
 
-def near_boxes(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray, eps: float) -> bool:
-    gap = np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a))
-    return float(gap @ gap) <= eps * eps
+def _leaves(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes of the runs of ``LEAF`` points."""
+    at = np.arange(0, len(p), LEAF)
+    return np.minimum.reduceat(p, at, axis=0), np.maximum.reduceat(p, at, axis=0)
 
 
 def close_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, eps: float, least: float, same: bool):
-    """Index pairs of rows of x and y with a cosine of at least ``least``, block by block of the recursion.
+    """Index pairs of rows of x and y (points p and q) with a cosine of at least ``least``, a run of ``LEAF`` rows of x at a time.
 
-    Halves both sequences while they are longer than ``LEAF``; halves whose boxes are further apart than ``eps`` are
-    skipped. ``same``: x is y, and each pair is given once, without a row and itself.
+    Runs of y whose boxes are further away than ``eps`` are skipped. ``same``: x is y, and each pair is given once,
+    without a row and itself.
     """
-    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    todo = [(0, len(x), 0, len(y))]
-    while todo:
-        a, b, c, d = todo.pop()
-        if same and d <= a:
-            continue
-        if not near_boxes(p[a:b].min(axis=0), p[a:b].max(axis=0), q[c:d].min(axis=0), q[c:d].max(axis=0), eps):
-            continue
-        if b - a > LEAF or d - c > LEAF:
-            m, n = (a + b) // 2 if b - a > LEAF else b, (c + d) // 2 if d - c > LEAF else d
-            todo += [(s, e, f, g) for s, e in ((a, m), (m, b)) if e > s for f, g in ((c, n), (n, d)) if g > f]
+    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+    (lo_p, hi_p), (lo_q, hi_q) = _leaves(p), _leaves(q)
+    for a in range(len(lo_p)):
+        gap = np.maximum(0, np.maximum(lo_p[a] - hi_q, lo_q - hi_p[a]))
+        near = np.flatnonzero((gap * gap).sum(axis=1) <= eps * eps)
+        if same:
+            near = near[near >= a]
+        if not len(near):
             continue
-        cos = (x[a:b] @ y[c:d].T) / (nx[a:b, None] * ny[None, c:d])
-        i, j = np.nonzero(cos >= least)
-        i, j = i + a, j + c
+        rows = (near[:, None] * LEAF + np.arange(LEAF)).ravel()
+        rows = rows[rows < len(y)]
+        i, j = np.nonzero(x[a * LEAF : (a + 1) * LEAF] @ y[rows].T >= least)
+        i, j = i + a * LEAF, rows[j]
         if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
+            i, j = i[i < j], j[i < j]
         if len(i):
             yield i, j
 
 
-def _compare(basis, eps: float, least: float, length: int):
+def _compare(basis, eps: float, least: float, length: int, dtype):
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = basis.value
-        unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)) @ u
         for batch in batches:
             for r in range(batch.num_rows):
                 same = batch.column(0)[r].as_py()
                 ids_a, ids_b = (np.asarray(batch.column(i)[r].values) for i in (1, 4))
                 n_a, n_b = (np.asarray(batch.column(i)[r].values) for i in (2, 5))
-                x, y = (np.frombuffer(batch.column(i)[r].as_buffer(), dtype=np.float32).reshape(-1, length).astype(np.float64) for i in (3, 6))
+                x, y = (np.frombuffer(batch.column(i)[r].as_buffer(), dtype=dtype).reshape(-1, length).astype(np.float64) for i in (3, 6))
                 links_a, links_b = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
                 forest: list[tuple[np.ndarray, np.ndarray]] = []
-                for i, j in close_pairs(x, unit(x), y, unit(y), eps, least, same):
+                for i, j in close_pairs(x, _points(x, u), y, _points(y, u), eps, least, same):
                     np.add.at(links_a, i, n_b[j])
                     np.add.at(links_b, j, n_a[i])
                     v, w = spanning_roots(ids_a[i], ids_b[j])
@@ -197,29 +216,39 @@ def block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
     return pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
 
-def _join_length(unique: DataFrame, length: int, least: float) -> DataFrame:
-    """(id, links, root) parts for the distinct vectors of one length."""
+def grid_blocks(unique: DataFrame, length: int, least: float) -> tuple[DataFrame, DataFrame, object, float]:
+    """The blocks of the sorted vectors (id, embedding, copies), the pairs of blocks to compare, the basis, and eps."""
     spark = unique.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * least)) + 1e-7)
     basis = principal_directions(unique, length)
-    k = basis.shape[1]
+    k = min(GRID, basis.shape[1])
     shared = spark.sparkContext.broadcast(basis)
     order = [*(f"c{i}" for i in range(k)), "id"]
-    placed = unique.select("id", "embedding", "copies").mapInArrow(*_cells(shared, eps, k))
-    blocks = write_out(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(*_blocks(shared)), "blocks")
+    placed = unique.select("id", "embedding", "copies").mapInArrow(*_cells(shared, eps, k, unique.schema["embedding"].dataType.simpleString()))
+    blocks = write_out(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(*_blocks(shared, _dtype(unique))), "blocks")
     widest = blocks.agg(F.max("block")).first()[0]
     bits = max(1, int(widest or 0).bit_length())
     blocks = blocks.withColumn("seq", F.shiftleft(F.col("part"), bits) + F.col("block"))
-    pairs = write_out(block_pairs(blocks.select("seq", "lo", "hi"), eps), "pairs")
+    return blocks, write_out(block_pairs(blocks.select("seq", "lo", "hi"), eps), "pairs"), shared, eps
+
+
+def _dtype(vectors: DataFrame):
+    return np.float64 if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else np.float32
+
+
+def _join_length(unique: DataFrame, length: int, least: float) -> DataFrame:
+    """(id, links, root) parts for the distinct vectors of one length."""
+    blocks, pairs, shared, eps = grid_blocks(unique, length, least)
     side = lambda s: blocks.select(F.col("seq").alias(s), F.col("ids").alias(f"ids_{s}"), F.col("copies").alias(f"n_{s}"), F.col("vectors").alias(f"x_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     rows = both.select((F.col("a") == F.col("b")).alias("same"), "ids_a", "n_a", "x_a", "ids_b", "n_b", "x_b")
-    return rows.mapInArrow(*_compare(shared, eps, least, length))
+    return rows.mapInArrow(*_compare(shared, eps, least, length, _dtype(unique)))
 
 
 def cosine_components(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    element = vectors.schema[vector_col].dataType.elementType.simpleString()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if element == "float" else "array<double>").alias("embedding"))
     fit = F.expr("id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(embedding, x -> x <> 0)")
     keyed = rows.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("h1", F.when(F.col("fit"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("fit"), F.xxhash64(F.lit(1), "embedding")))
     classes = keyed.where("fit").groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))

@@ -127,6 +127,28 @@ def test_epsilon_grid_join(spark, monkeypatch):
     assert ego_join.cosine_components(table.limit(0)).count() == 0
 
 
+def test_block_pairs_grow_with_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(ego_join, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+
+    def kept(groups):
+        centres = rng.normal(size=(groups, 24))
+        rows = [(g * 32 + i, (centres[g] + rng.normal(size=24) * 0.01).tolist(), 1) for g in range(groups) for i in range(32)]
+        table = spark.createDataFrame(rows, "id long, embedding array<double>, copies long")
+        blocks, pairs, _, _ = ego_join.grid_blocks(table, 24, 0.95)
+        return blocks.count(), pairs.count()
+
+    (n, few), (m, more) = kept(40), kept(160)
+    assert m > 3 * n and more < 8 * few and more < 0.25 * m * m / 2
+
+
+def test_double_vectors_keep_their_precision(spark):
+    a = np.array([1.0, 0.0])
+    rows = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate((0.0, np.arccos(0.95) - 1e-9, np.pi / 2, np.pi / 2 + np.arccos(0.95) + 1e-9))]
+    got = {r.vec_id: r.n_links for r in ego_join.cosine_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert a @ rows[1][1] >= 0.95 and got == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
 def test_surrogates(spark):
     text = "Mr. John Smith (john.smith@acme.example) and Mrs Anna Smith; Mr. Smith again. Card 4111 1111 1111 1111, 4111111111111111; +1 (212) 555-0101, SSN 078-05-1120, 10.20.30.40, token = \"" + "0a" * 20 + "\" г-жа Анна Иванова JOHN.SMITH@ACME.EXAMPLE"
     rows = [(1, text), (2, text), (3, None), (4, ""), (5, "no data here 2024"), (None, "mail a.b@c.example")]
