@@ -1,13 +1,26 @@
-"""Cutting texts into line-addressed chunks. All folds over lines are JVM-side ``aggregate`` expressions."""
+"""Cutting texts into line-addressed chunks.
+
+Sections and windows of lines are folds over lines, as JVM-side ``aggregate`` expressions. Whole document chunks (sections,
+with small ones merged and large ones cut at paragraphs with overlap) look back over what was cut before, so each text is
+folded by a small function on Arrow batches; Spark deals the texts.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import estimate_tokens
+from loomspark.functions.text import estimate_tokens, identifier_terms
 
-TARGET, MOST = 600, 800
+TARGET, MOST, LEAST, OVERLAP = 600, 800, 40, 0.1
+
+#: How Markdown marks a fence and a heading.
+FENCE = r"^[ \t]{0,3}(`{3,}|~{3,})"
+HEADING = r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$"
 
 
 def split_lines(text: Column) -> Column:
@@ -16,24 +29,27 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
 
 
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\") + "'"
+
+
 def heading_sections(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row a section that starts at a heading outside fences: section_no, heading trail, start_line, end_line, body."""
     step = """named_struct(
       'n', s.n + 1,
-      'fence', CASE WHEN l RLIKE '^[ \\\\t]{0,3}(`{3,}|~{3,})' THEN
-          CASE WHEN s.fence = '' THEN regexp_extract(l, '^[ \\\\t]{0,3}(`{3,}|~{3,})', 1)
-               WHEN substring(trim(l), 1, 1) = substring(s.fence, 1, 1) AND length(regexp_extract(l, '^[ \\\\t]{0,3}(`{3,}|~{3,})', 1)) >= length(s.fence) THEN ''
+      'fence', CASE WHEN l RLIKE {fence} THEN
+          CASE WHEN s.fence = '' THEN regexp_extract(l, {fence}, 1)
+               WHEN substring(trim(l), 1, 1) = substring(s.fence, 1, 1) AND length(regexp_extract(l, {fence}, 1)) >= length(s.fence) THEN ''
                ELSE s.fence END
           ELSE s.fence END,
-      'trail', CASE WHEN s.fence = '' AND l RLIKE '^#{1,6}[ \\\\t]+.*[^ \\\\t#].*$' THEN
-          concat(filter(s.trail, t -> t.level < length(regexp_extract(l, '^(#{1,6})', 1))),
-                 array(named_struct('level', length(regexp_extract(l, '^(#{1,6})', 1)), 'title', trim(regexp_extract(l, '^#{1,6}[ \\\\t]+(.+?)[ \\\\t]*#*[ \\\\t]*$', 1)))))
-          ELSE s.trail END,
-      'cuts', CASE WHEN s.fence = '' AND l RLIKE '^#{1,6}[ \\\\t]+.*[^ \\\\t#].*$' THEN
-          concat(filter(s.cuts, c -> c.at < s.n + 1), array(named_struct('at', s.n + 1, 'heading', array_join(transform(
-            concat(filter(s.trail, t -> t.level < length(regexp_extract(l, '^(#{1,6})', 1))),
-                   array(named_struct('level', length(regexp_extract(l, '^(#{1,6})', 1)), 'title', trim(regexp_extract(l, '^#{1,6}[ \\\\t]+(.+?)[ \\\\t]*#*[ \\\\t]*$', 1))))), t -> t.title), ' > '))))
+      'trail', CASE WHEN s.fence = '' AND l RLIKE {heading} THEN {trail} ELSE s.trail END,
+      'cuts', CASE WHEN s.fence = '' AND l RLIKE {heading} THEN
+          concat(filter(s.cuts, c -> c.at < s.n + 1), array(named_struct('at', s.n + 1, 'heading', array_join(transform({trail}, t -> t.title), ' > '))))
           ELSE s.cuts END)"""
+    trail = """concat(filter(s.trail, t -> t.level < length(regexp_extract(l, {heading}, 1))),
+          array(named_struct('level', length(regexp_extract(l, {heading}, 1)), 'title', trim(regexp_extract(l, {heading}, 2)))))"""
+    for name, value in (("{trail}", trail), ("{fence}", _literal(FENCE)), ("{heading}", _literal(HEADING))):
+        step = step.replace(name, value)
     start = "named_struct('n', 0, 'fence', '', 'trail', CAST(array() AS array<struct<level:int,title:string>>), 'cuts', array(named_struct('at', 1, 'heading', '')))"
     folded = docs.withColumn("lines", split_lines(F.col(text_col)))
     folded = folded.withColumn("cuts", F.expr(f"aggregate(lines, {start}, (s, l) -> {step}, s -> s.cuts)"))
@@ -60,3 +76,144 @@ def line_windows(docs: DataFrame, text_col: str = "text", target: int = TARGET,
     rows = rows.withColumn("end_line", F.expr("CASE WHEN window_no + 1 < size(starts) THEN starts[window_no + 1] - 1 ELSE size(lines) END"))
     rows = rows.withColumn("body", F.expr("array_join(slice(lines, start_line, end_line - start_line + 1), '\n')"))
     return rows.withColumn("tokens", estimate_tokens(F.col("body"))).drop("lines", "starts")
+
+
+_LINE_ENDS = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+Span = tuple[int, int]
+
+
+def _tokens(lines: list[str], span: Span) -> int:
+    return max(1, (len("\n".join(lines[span[0] : span[1]])) + 3) // 4)
+
+
+def _fences(lines: list[str]) -> list[int]:
+    """For each line the number of its fenced block, marks included, from 1; 0 outside."""
+    out, mark, n = [], "", 0
+    for line in lines:
+        m = re.match(FENCE, line)
+        n += bool(m and not mark)
+        out.append(n if mark or m else 0)
+        if m and not mark:
+            mark = m[1]
+        elif m and m[1][0] == mark[0] and len(m[1]) >= len(mark):
+            mark = ""
+    return out
+
+
+def _titled(lines: list[str], fenced: list[int]) -> list[tuple[Span, str]]:
+    """Sections from one heading outside fences to the next, with the trail of titles; blank ones are left out."""
+    cuts, trail = [(0, "")], []
+    for i, line in enumerate(lines):
+        m = None if fenced[i] else re.match(HEADING, line)
+        if m:
+            trail = [t for t in trail if t[0] < len(m[1])] + [(len(m[1]), m[2].strip())]
+            cuts.append((i, " > ".join(t for _, t in trail)))
+    ends = [at for at, _ in cuts[1:]] + [len(lines)]
+    spans = [((at, end), title) for (at, title), end in zip(cuts, ends, strict=True)]
+    return [x for x in spans if any(line.strip() for line in lines[slice(*x[0])])]
+
+
+def _merged(sections: list[tuple[Span, str]], lines: list[str], target: int, least: int) -> list[tuple[Span, str]]:
+    """A small section joins the one before it, as does one after a small section if both fit ``target``."""
+    out: list[tuple[Span, str]] = []
+    for span, title in sections:
+        size = _tokens(lines, span)
+        before = _tokens(lines, out[-1][0]) if out else 0
+        if out and (size < least or (before < least and before + size <= target)):
+            (start, _), first = out.pop()
+            out.append(((start, span[1]), first or title))
+        else:
+            out.append((span, title))
+    return out
+
+
+def _paragraphs(lines: list[str], fenced: list[int], span: Span, target: int, most: int) -> list[Span]:
+    """Blocks between blank lines, a fenced block being one; those of more than ``most`` tokens are cut at lines to ``target``."""
+    blocks: list[Span] = []
+    start, inside = None, 0
+    for i in range(span[0], span[1]):
+        blank = not fenced[i] and not lines[i].strip()
+        if start is not None and (blank or fenced[i] != inside):
+            blocks.append((start, i))
+            start = None
+        if start is None and not blank:
+            start, inside = i, fenced[i]
+    if start is not None:
+        blocks.append((start, span[1]))
+    out: list[Span] = []
+    for a, b in blocks:
+        if _tokens(lines, (a, b)) <= most:
+            out.append((a, b))
+            continue
+        at, held = a, 0
+        for i in range(a, b):
+            size = _tokens(lines, (i, i + 1))
+            if i > at and held + size > target:
+                out.append((at, i))
+                at, held = i, 0
+            held += size
+        out.append((at, b))
+    return out
+
+
+def _windows(lines: list[str], fenced: list[int], span: Span, target: int, most: int, overlap: float) -> list[Span]:
+    """Windows of whole paragraphs of about ``target`` tokens; each starts with the last paragraphs of the one before, as
+    far as they fit the overlap. A window always holds something new."""
+    if _tokens(lines, span) <= most:
+        return [span]
+    out: list[Span] = []
+    own: list[tuple[Span, int]] = []
+    new = 0
+    for p in _paragraphs(lines, fenced, span, target, most):
+        size = _tokens(lines, p)
+        if own and sum(n for _, n in own) + size > target:
+            if new:
+                out.append((own[0][0][0], own[-1][0][1]))
+            kept = 0
+            while new and kept < len(own) and sum(n for _, n in own[len(own) - kept - 1 :]) <= int(target * overlap):
+                kept += 1
+            own, new = own[len(own) - kept :] if kept else [], 0
+        own.append((p, size))
+        new += 1
+    if own and new:
+        out.append((own[0][0][0], own[-1][0][1]))
+    return out
+
+
+def chunk_spans(text: str, headings: bool = True, target: int = TARGET, most: int = MOST, least: int = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int, str]]:
+    """(first line, last line, heading) of a text's chunks, lines from 1, without blank lines at either end."""
+    lines = _LINE_ENDS.split(text)
+    if lines[-1] == "":
+        lines.pop()
+    fenced = _fences(lines)
+    sections = _titled(lines, fenced) if headings else [((0, len(lines)), "")] if text.strip() else []
+    out = []
+    for span, title in _merged(sections, lines, target, least):
+        for a, b in _windows(lines, fenced, span, target, most, overlap):
+            filled = [i for i in range(a, b) if lines[i].strip()]
+            if filled:
+                out.append((filled[0] + 1, filled[-1] + 1, title))
+    return out
+
+
+def document_chunks(docs: DataFrame, headings: bool = True, **sizes: float) -> DataFrame:
+    """(path, chunk_no, start_line, end_line, heading, text, terms, tokens) of documents (path, text).
+
+    A chunk's text starts with its path and heading in brackets; ``terms`` are the parts of compound identifiers in the
+    file's name, the heading and the body. Null and blank texts have no chunk.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                lines = _LINE_ENDS.split(text)
+                for n, (a, b, title) in enumerate(chunk_spans(text, headings, **sizes)):
+                    rows.append((path, n, a, b, title, "\n".join(lines[a - 1 : b])))
+            yield pd.DataFrame(rows, columns=["path", "chunk_no", "start_line", "end_line", "heading", "body"])
+
+    rows = docs.select("path", "text").where("text is not null").mapInPandas(run, "path string, chunk_no int, start_line int, end_line int, heading string, body string")
+    place = F.concat(F.lit("["), "path", F.when(F.col("heading") != "", F.concat(F.lit(" > "), "heading")).otherwise(""), F.lit("]\n"))
+    named = F.concat(F.substring_index("path", "/", -1), F.lit(" "), "heading", F.lit("\n"), "body")
+    out = rows.select("path", "chunk_no", "start_line", "end_line", "heading", F.concat(place, "body").alias("text"), identifier_terms(named).alias("terms"))
+    return out.withColumn("tokens", estimate_tokens(F.col("text")))

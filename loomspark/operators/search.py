@@ -139,6 +139,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def search_detailed(words: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
+    """(query_id, id, score, rank, mode, retriever) of questions (query_id, retriever): bm25, vector, hybrid or auto.
+
+    ``words``: ranked hits with their mode; ``vectors``: ranked hits by cosine. A question for vectors, or one that words do
+    not answer, takes the vectors' list (mode "vec"); one for both fuses the lists by reciprocal ranks (mode "...+vec");
+    where vectors give nothing the words' list stands.
+    """
+    w = words.join(questions.where("retriever <> 'vector'").select("query_id"), "query_id")
+    v = vectors.join(questions.where("retriever <> 'bm25'").select("query_id"), "query_id")
+    state = questions.select("query_id").join(w.groupBy("query_id").agg(F.first("mode").alias("mode")), "query_id", "left")
+    state = state.join(v.select("query_id").distinct().withColumn("near", F.lit(True)), "query_id", "left")
+    used = F.when(F.col("near").isNull(), "bm25").when(F.col("mode").isNull(), "vector").otherwise("hybrid")
+    mode = F.when(used == "bm25", F.col("mode")).when(used == "vector", "vec").otherwise(F.concat("mode", F.lit("+vec")))
+    state = state.select("query_id", used.alias("retriever"), mode.alias("mode"))
+    both = w.select("query_id", "id", "score", "rank").unionByName(v.select("query_id", "id", "score", "rank")).join(state, "query_id")
+    value = F.when(F.col("retriever") == "hybrid", 1.0 / (k + F.col("rank"))).otherwise(F.col("score"))
+    out = both.groupBy("query_id", "id").agg(F.sum(value).alias("score"), F.first("mode").alias("mode"), F.first("retriever").alias("retriever"))
+    return ranked(out, limit=limit)
+
+
 VECTORS_A_BLOCK = 2048
 
 
@@ -227,17 +247,23 @@ def drop_near_duplicates(hits: DataFrame, threshold: float = 0.95) -> DataFrame:
     return rows.select("query_id", F.posexplode(near).alias("at", "h")).select("query_id", "h.id", (F.col("at") + 1).alias("rank"))
 
 
-def pack_hits(hits: DataFrame, budget: int, reserve: float = 0.1, per_file: int = 2) -> DataFrame:
+def pack_hits(hits: DataFrame, budget: int, reserve: float = 0.1, per_file: int = 2, facts: DataFrame | None = None) -> DataFrame:
     """A greedy pack of each query's hits (query_id, rank, id, path, hash, tokens) with a decision for every hit.
 
+    ``facts`` (query_id, facts_tokens) come first: they raise the reserve to their own size and count as used.
+
     In the order of rank: a hash seen before is a duplicate (even of a rejected hit); then the file cap; then the budget,
     which later, smaller hits may still meet.
     """
-    available = max(0, budget - int(budget * reserve))
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "path", "hash", "tokens"))).alias("hits"))
+    if facts is None:
+        rows = rows.withColumn("charged", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(facts.select("query_id", F.col("facts_tokens").cast("long").alias("charged")), "query_id", "left").withColumn("charged", F.coalesce("charged", F.lit(0).cast("long")))
+    available = f"greatest(0, {budget} - greatest({int(budget * reserve)}, charged))"
     decide = f"""CASE WHEN array_contains(s.seen, h.hash) THEN 'duplicate' WHEN {per_file} > 0 AND size(filter(s.paths, p -> p = h.path)) >= {per_file} THEN 'file_cap'
                  WHEN s.used + h.tokens > {available} THEN 'over_budget' ELSE 'included' END"""
-    fold = f"""aggregate(hits, named_struct('used', CAST(0 AS BIGINT), 'seen', CAST(array() AS array<string>), 'paths', CAST(array() AS array<string>), 'decisions', CAST(array() AS array<string>)), (s, h) ->
+    fold = f"""aggregate(hits, named_struct('used', charged, 'seen', CAST(array() AS array<string>), 'paths', CAST(array() AS array<string>), 'decisions', CAST(array() AS array<string>)), (s, h) ->
         named_struct('used', s.used + CASE WHEN {decide} = 'included' THEN h.tokens ELSE CAST(0 AS BIGINT) END, 'seen', array_union(s.seen, array(h.hash)),
                      'paths', CASE WHEN {decide} = 'included' THEN concat(s.paths, array(h.path)) ELSE s.paths END, 'decisions', concat(s.decisions, array({decide}))), s -> s.decisions)"""
     rows = rows.withColumn("decisions", F.expr(fold))

@@ -27,6 +27,27 @@ def test_line_windows_cover_every_line_once(spark):
     assert len(own) > 1 and len([r for r in rows if r.id == 2]) == 1
 
 
+def test_document_chunks(spark):
+    small = {"target": 60, "most": 80, "least": 5, "overlap": 0.2}
+    text = "# Title\nintro words here to be long enough\n\n## Alpha\nalpha body text of some length\n\n### Alpha child\nchild body text of some length\n\n## Beta\nbeta body text of some length\n"
+    got = chunking.chunk_spans(text, **small)
+    assert [h for _, _, h in got] == ["Title", "Title > Alpha", "Title > Alpha > Alpha child", "Title > Beta"]
+    assert chunking.chunk_spans("```\n# not a heading\n```\nmore", **small) == [(1, 4, "")]
+    assert chunking.chunk_spans("# A\na\n\n## B\nb\n\n## C\nshort\n", **small | {"least": 40}) == [(1, 8, "A")]
+    paragraphs = ["paragraph %d " % i + "word " * 16 for i in range(12)]
+    windows = chunking.chunk_spans("\n\n".join(paragraphs), **small | {"overlap": 0.5})
+    assert [a for a, _, _ in windows] == sorted({a for a, _, _ in windows}) and windows[0][0] == 1 and windows[-1][1] == 23
+    assert any(b >= c for (_, b, _), (c, _, _) in zip(windows, windows[1:], strict=False))
+    block = "```\n" + "\n".join(f"line_{i} some code here" for i in range(60)) + "\n```"
+    cut = chunking.chunk_spans(block, **small)
+    assert len(cut) > 1 and cut[0][0] == 1 and cut[-1][1] == 62 and all(b + 1 >= c for (_, b, _), (c, _, _) in zip(cut, cut[1:], strict=False))
+    docs = spark.createDataFrame([("docs/readMe_first.md", text), ("empty.md", ""), ("none.md", None), ("blank.md", " \n\n")], "path string, text string")
+    rows = chunking.document_chunks(docs, **small).orderBy("chunk_no").collect()
+    assert {r.path for r in rows} == {"docs/readMe_first.md"} and rows[1].text.startswith("[docs/readMe_first.md > Title > Alpha]\n## Alpha") and "read" in rows[0].terms
+    sections = chunking.heading_sections(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("section_no").collect()
+    assert [r.heading for r in sections] == [h for _, _, h in got]
+
+
 def test_bm25_equals_fts5(spark):
     docs = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(5 + i % 9))) for i in range(60)]
     db = sqlite3.connect(":memory:")
