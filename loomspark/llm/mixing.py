@@ -4,7 +4,7 @@ A classifier, fitted on a bounded sample of the labelled table (``SAMPLE`` rows
 gives every document posteriors p over the domains good, poor (low quality) and toxic. As the sample holds rare domains
 more often than the table, posteriors are corrected to the domains' shares of all labelled rows. Nonnegative rates r, the
 expected number of times that a document is used, are fitted so that the expected domain totals ``sum_i r_i t_i p_id`` (t:
-tokens, as the tokenizer of the packing counts them) meet the target weights of the table's tokens, by nonnegative least
+tokens of whole texts by a public byte-level tokenizer) meet the target weights of the table's tokens, by nonnegative least
 squares with a small ridge towards 1. Its optimum has the form ``max(0, 1 + p . slope)`` with one slope a domain; these
 are found by projected Newton steps (damped where one does not lower the dual objective), and the ridge is lowered until
 the residual is within ``TOLERANCE``. Each step is one aggregation of all documents to a few sums a domain, which are all
@@ -21,9 +21,11 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import base64
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import bounded_batches, byte_view, write_out
-from loomspark.llm.packing import WordIds, default_tokenizer
 from loomspark.llm.textbytes import word_hashes
 
 DOMAINS = ("good", "poor", "toxic")
@@ -43,6 +44,23 @@ LEAST_RIDGE = 1e-10
 ITERATIONS = 300
 TOLERANCE = 2e-3
 
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@lru_cache(maxsize=1)
+def load_tokenizer(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("counts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 _KINDS = np.zeros(256, dtype=np.int8)
 _KINDS[ord("a") : ord("z") + 1] = 1
 _KINDS[ord("A") : ord("Z") + 1] = 2
@@ -149,11 +167,11 @@ def _posteriors(model, tokenizer: str):
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("u", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, ids = model.value, WordIds(tokenizer)
+        m, encode = model.value, load_tokenizer(tokenizer).encode_ordinary
         for batch in batches:
             for i, j in bounded_batches(batch.column(1), 1 << 21):
                 part = batch.slice(i, j - i)
-                tokens = [len(ids.ids(t.as_py() or "")) // 4 for t in part.column(1)]
+                tokens = [len(encode(t.as_py() or "")) for t in part.column(1)]
                 p = m.posteriors(m.features(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64())), part.column(2)], schema=schema)
 

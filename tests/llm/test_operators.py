@@ -471,6 +471,9 @@ def test_mixing_meets_its_targets(spark):
     assert len(got) == len(rows) and all(r.rate >= 0 for r in got)
     for d, want in mixing.TARGETS.items():
         assert abs(sum(r.rate * r.tokens * r[f"p_{d}"] for r in got) / total - want) < 0.01
+    encode = mixing.load_tokenizer(mixing.default_tokenizer()).encode_ordinary
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r.tokens == len(encode(texts[r.doc_id] or "")) for r in got)
     mixed = mixing.mix_documents(docs, table)
     assert mixed.columns == docs.columns
     assert Counter(r.doc_id for r in mixed.collect()) == +Counter({k: sum(r.copies for r in got if r.doc_id == k) for k in {r.doc_id for r in got}})
