@@ -14,14 +14,39 @@ STOPWORDS = (
     "up out so has have had me us want need way thing things"
 ).split()
 
-#: Languages by file extension.
+#: Languages with their file extensions.
 EXTENSIONS = {
-    "apex": "cls trigger apex", "visualforce": "page component", "aura": "cmp app evt design", "java": "java", "kotlin": "kt kts", "scala": "scala",
-    "groovy": "groovy gradle", "csharp": "cs", "c": "c h", "cpp": "cpp cc cxx hpp hh", "objc": "m", "swift": "swift", "go": "go", "rust": "rs", "dart": "dart",
-    "php": "php", "javascript": "js jsx mjs cjs", "typescript": "ts tsx", "css": "css scss", "html": "html", "xml": "xml", "python": "py", "ruby": "rb",
-    "shell": "sh bash", "sql": "sql soql", "yaml": "yaml yml", "json": "json", "toml": "toml",
-}
-
+    "apex": ["cls", "trigger", "apex"],
+    "visualforce": ["page", "component"],
+    "aura": ["cmp", "app", "evt", "design"],
+    "java": ["java"],
+    "kotlin": ["kt", "kts"],
+    "scala": ["scala"],
+    "groovy": ["groovy", "gradle"],
+    "csharp": ["cs"],
+    "c": ["c", "h"],
+    "cpp": ["cpp", "cc", "cxx", "hpp", "hh"],
+    "objc": ["m"],
+    "swift": ["swift"],
+    "go": ["go"],
+    "rust": ["rs"],
+    "dart": ["dart"],
+    "php": ["php"],
+    "javascript": ["js", "jsx", "mjs", "cjs"],
+    "typescript": ["ts", "tsx"],
+    "css": ["css", "scss"],
+    "html": ["html"],
+    "xml": ["xml"],
+    "python": ["py"],
+    "ruby": ["rb"],
+    "shell": ["sh", "bash"],
+    "sql": ["sql", "soql"],
+    "yaml": ["yaml", "yml"],
+    "json": ["json"],
+    "toml": ["toml"],
+}
+
+#: Folders and names of test files.
 TEST_PATH = r"(^|/)(test|tests|spec|specs|__tests__|testing)(/|$)|(Test|Tests|Spec|IT)\.\w+$"
 
 
@@ -72,7 +97,7 @@ def is_test_path(path: Column) -> Column:
 
 
 def detect_language(path: Column) -> Column:
-    pairs = [F.lit(x) for lang, exts in EXTENSIONS.items() for e in exts.split() for x in (e, lang)]
+    pairs = [F.lit(x) for lang, exts in EXTENSIONS.items() for e in exts for x in (e, lang)]
     return F.try_element_at(F.create_map(*pairs), F.regexp_extract(F.lower(path), r"\.([^.]*)$", 1))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import is_test_path
 from loomspark.operators.chunking import split_lines
 
 #: Words that stand before a parenthesis or brace without naming anything.
@@ -52,9 +53,14 @@ def declarations(lines: DataFrame) -> DataFrame:
     is_type = (F.col("type_name") != "") & F.contains("code", F.lit("{"))
     is_function = (F.col("function") != "") & ~F.col("function").isin(*NOT_NAMES) & ~is_type
     heads = found.where(is_type | is_function).select("path", F.when(is_type, F.col("kind")).otherwise("function").alias("kind"), F.when(is_type, F.col("type_name")).otherwise(F.col("function")).alias("name"), F.col("line_no").alias("start_line"), F.col("before").alias("depth"), (F.col("after") <= F.col("before")).alias("at_once"))
-    ends = lines.select(F.col("path").alias("p"), F.col("line_no").alias("e"), F.col("after").alias("a"))
-    open_heads = heads.join(ends, (F.col("path") == F.col("p")) & (F.col("e") >= F.col("start_line")) & (F.col("a") <= F.col("depth")), "left")
-    spans = open_heads.groupBy("path", "kind", "name", "start_line", "depth").agg(F.min("e").alias("end_line"))
+    # A line closes the depths from where it ends up to one below where it began; a head ends at the next line that closes its own.
+    closes = lines.where("before > after").select("path", F.explode(F.sequence("after", F.col("before") - 1)).alias("depth"), F.col("line_no").alias("closed"))
+    none = F.lit(None).cast("string")
+    events = heads.select("path", "depth", F.col("start_line").alias("at"), F.when(F.col("at_once"), F.col("start_line")).alias("closed"), "kind", "name")
+    events = events.unionByName(closes.select("path", "depth", F.col("closed").alias("at"), "closed", none.alias("kind"), none.alias("name")))
+    later = Window.partitionBy("path", "depth").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    at_end = F.coalesce("closed", F.min(F.when(F.col("kind").isNull(), F.col("closed"))).over(later))
+    spans = events.withColumn("end_line", at_end).where("kind is not null").select("path", "kind", "name", F.col("at").alias("start_line"), "depth", "end_line").distinct()
     last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
     spans = spans.join(last, "path").withColumn("end_line", F.coalesce("end_line", "last")).drop("last")
     outer = spans.where("kind <> 'function'").select(F.col("path").alias("p"), F.col("name").alias("outer"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("depth").alias("d"))
@@ -89,7 +95,6 @@ def resolve_calls(called: DataFrame, declared: DataFrame, refs: DataFrame) -> Da
 
     A candidate counts only if it is the single one of its rung; production code never resolves to a test path by the last.
     """
-    test = r"(^|/)(test|tests|spec|specs|__tests__|testing)(/|$)|(Test|Tests|Spec|IT)\.\w+$"
     cand = declared.where("kind = 'function' AND qualified LIKE '%.%'").select(F.lower("name").alias("key"), "qualified", F.regexp_extract("qualified", r"([^.]+)\.[^.]+$", 1).alias("type"), F.col("path").alias("target_path"))
     c = called.withColumn("call_id", F.monotonically_increasing_id())
     pairs = c.join(cand, F.lower("callee") == F.col("key")).where(F.coalesce("caller", F.lit("")) != F.col("qualified"))
@@ -97,7 +102,7 @@ def resolve_calls(called: DataFrame, declared: DataFrame, refs: DataFrame) -> Da
     pairs = pairs.join(known, (F.col("path") == F.col("rp")) & (F.concat("type", F.lit("@"), "target_path") == F.col("rt")), "left")
     plain = F.col("receiver").isin("", "this", "self")
     short_own = F.regexp_extract("own_type", r"([^.]+)$", 1)
-    fair = F.col("path").rlike(test) | ~F.col("target_path").rlike(test)
+    fair = is_test_path(F.col("path")) | ~is_test_path(F.col("target_path"))
     rung = F.when(F.lower("receiver") == F.lower("type"), 1).when(plain & (F.col("type") == short_own) & (F.col("path") == F.col("target_path")), 2).when(F.col("rt").isNotNull(), 3).when(fair & (~plain | (F.coalesce("own_type", F.lit("")) == "")), 4)
     ranked = pairs.withColumn("rung", rung).where("rung IS NOT NULL")
     best = ranked.withColumn("first", F.min("rung").over(Window.partitionBy("call_id"))).where((F.col("rung") == F.col("first")) | (F.col("first") == 4))

@@ -77,7 +77,7 @@ def metadata_edges(files: DataFrame) -> DataFrame:
 
     Links to fields hold only where a field of that name is defined here; calls name what they call, to be resolved by name.
     """
-    meta = metadata_files(files).cache()
+    meta = metadata_files(files)
     thing = lambda prefix, c: F.concat(F.lit(prefix), c)
     none = F.lit(None).cast("string")
 

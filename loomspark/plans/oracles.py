@@ -87,15 +87,15 @@ ORACLE_SQL: dict[str, str] = {
     "incremental_diff": f"""WITH {_CORPUS}, o AS (SELECT DISTINCT sha256(source_id || chr(0) || path || chr(0) || text) AS k FROM c),
       n AS (SELECT DISTINCT sha256(source_id || chr(0) || path || chr(0) || text || CASE WHEN id % 13 = 0 THEN ' edited' ELSE '' END) AS k FROM c WHERE id % 11 <> 0)
       SELECT CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'unchanged' END AS status, count(*) AS n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1""",
-    "missing_embeddings": f"WITH {_CORPUS} SELECT source_id, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = c.id AND v.label < 8) GROUP BY 1",
-    "prune_sources": f"WITH {_CORPUS} SELECT source_id, count(*) AS n FROM c WHERE source_id NOT IN ('src3', 'src7') GROUP BY 1",
+    "missing_embeddings": f"WITH {_CORPUS} SELECT source_id, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = c.id) GROUP BY 1",
+    "prune_sources": f"WITH {_CORPUS} SELECT source_id, count(*) AS n FROM c WHERE source_id IN (SELECT 'src' || user_id % 13 FROM events) GROUP BY 1",
     "co_change": f"WITH {_PAIRS} SELECT * FROM pairs",
     "co_change_top10": f"WITH {_PAIRS}, sides AS (SELECT a AS file, b AS other, n FROM pairs UNION ALL SELECT b, a, n FROM pairs), kept AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY file ORDER BY n DESC, other DESC) <= 10) SELECT DISTINCT least(file, other) AS a, greatest(file, other) AS b, n FROM kept",
     "authored": f"WITH {_TOUCH} SELECT o_custkey AS author, file, count(*) AS commits FROM t JOIN orders ON commit = o_orderkey GROUP BY 1, 2",
     "last_toucher": f"WITH {_TOUCH} SELECT file, count(*) AS commits, arg_max(o_custkey, (o_orderdate, o_orderkey)) AS author FROM t JOIN orders ON commit = o_orderkey GROUP BY 1",
     "ownership_propagation": "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'unassigned' ELSE r_name END AS owner, n_name AS service FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "reference_counts": f"WITH {_CORPUS}, {_MENTION}, names AS (SELECT lower(n_name) AS name FROM nation WHERE length(n_name) >= 4 UNION SELECT name FROM tok WHERE length(name) >= 4 GROUP BY 1 HAVING count(*) BETWEEN 5 AND 50) SELECT name, count(*) AS documents, CAST(sum(n) AS BIGINT) AS mentions FROM tok JOIN names USING (name) GROUP BY 1",
-    "mentions": f"WITH {_CORPUS}, {_MENTION}, {_SEARCH_TERMS} SELECT id, name, n FROM tok WHERE name IN (SELECT lower(term) FROM st WHERE length(term) >= 8)",
+    "reference_counts": f"WITH {_CORPUS}, {_MENTION}, {_SEARCH_TERMS} SELECT name, count(*) AS documents, CAST(sum(n) AS BIGINT) AS mentions FROM tok WHERE name IN (SELECT lower(term) FROM st) GROUP BY 1",
+    "mentions": f"WITH {_CORPUS}, {_MENTION}, {_SEARCH_TERMS} SELECT id, name, n FROM tok WHERE name IN (SELECT lower(term) FROM st WHERE length(term) >= 4)",
     "resolve_unique": """WITH cand AS (SELECT c_custkey AS target, c_custkey % 701 AS key, c_nationkey AS scope FROM customer),
       a AS (SELECT key, count(*) AS n, min(target) AS only_one FROM cand GROUP BY 1), o AS (SELECT key, scope, count(*) AS m, min(target) AS near FROM cand GROUP BY 1, 2)
       SELECT o_orderkey AS ref, o_custkey % 701 AS key, CASE WHEN n = 1 THEN only_one WHEN m = 1 THEN near END AS target
@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     "edge_merge": "SELECT l_partkey AS src, l_suppkey AS dst, 'references' AS kind, count(*) AS n, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS via FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2",
     "entity_merge": "SELECT o_custkey AS id, arg_min(CASE WHEN o_totalprice > 200000 THEN o_orderstatus END, CASE WHEN o_totalprice > 200000 THEN o_orderkey END) AS status, arg_min(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY 1",
     "in_degree": f"WITH {_DEGREES} SELECT * FROM g",
-    "file_importance": f"WITH {_EDGES} SELECT dst AS id, count(*) AS n, round(1 + 0.15 * ln(1 + count(*)), 6) AS boost FROM e WHERE kind = 'r' GROUP BY 1",
+    "file_importance": f"WITH {_EDGES} SELECT dst AS id, count(*) AS n, round(1 + 0.15 * ln(1 + count(*)), 6) AS boost FROM e GROUP BY 1",
     "entity_page": f"WITH {_DEGREES} SELECT * FROM g ORDER BY in_degree DESC, out_degree DESC, id LIMIT 50 OFFSET 10",
     "neighbors_1hop": f"WITH {_EDGES}, s AS (SELECT 'supplier:' || s_suppkey AS start FROM supplier) SELECT DISTINCT start, dst AS id, kind, 'out' AS direction FROM s JOIN e ON start = src UNION SELECT DISTINCT start, src, kind, 'in' FROM s JOIN e ON start = dst",
     "neighborhood_2hop": f"""WITH {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), i AS (SELECT dst AS id, count(*) AS incoming FROM e GROUP BY 1),
@@ -125,7 +125,7 @@ ORACLE_SQL: dict[str, str] = {
     "query_log_stats": "SELECT count(*) AS queries, count(*) FILTER (event_type = 'error') AS fallbacks, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS fallback_rate, count(*) FILTER (value > 100) AS over_budget, round(avg(value), 6) AS mean_value, count(DISTINCT user_id) AS users FROM events",
     "stats_findings": f"WITH {_CORPUS} SELECT DISTINCT 'never_retrieved' AS finding, source_id FROM c WHERE source_id NOT IN (SELECT 'src' || user_id % 23 FROM events WHERE event_type = 'view') UNION ALL SELECT DISTINCT 'oversized_chunks', source_id FROM c WHERE tokens > 1200",
     "log_tail": "SELECT event_id, event_type AS mode FROM events ORDER BY event_id DESC LIMIT 20",
-    "eval_recall": _LOOSE + f", b AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS passage FROM benchmark), top AS {_top('hits', 10)}, h AS (SELECT query_id, max(CAST(contains(text, passage) AS INTEGER)) AS hit, min(CASE WHEN contains(text, passage) THEN rank END) AS first FROM top JOIN c USING (id) JOIN b USING (query_id) GROUP BY 1) SELECT count(*) AS questions, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit), 6) AS recall, round(avg(1 / first), 6) AS mean_reciprocal FROM h",
+    "eval_recall": _LOOSE + f", b AS (SELECT item_id AS query_id, text AS passage FROM benchmark), top AS {_top('hits', 10)}, h AS (SELECT query_id, max(CAST(contains(text, passage) AS INTEGER)) AS hit, min(CASE WHEN contains(text, passage) THEN rank END) AS first FROM top JOIN c USING (id) JOIN b USING (query_id) GROUP BY 1) SELECT count(*) AS questions, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit), 6) AS recall, round(avg(1 / first), 6) AS mean_reciprocal FROM h",
     "grep_baseline": f"WITH {_CORPUS}, {_POSTS}, {_SEARCH_TERMS}, q AS (SELECT DISTINCT item_id AS query_id, lower(term) AS term FROM st), cover AS (SELECT query_id, id, count(*) AS terms FROM q JOIN posts USING (term) WHERE col = 'text' GROUP BY 1, 2), best AS (SELECT * FROM cover QUALIFY terms = max(terms) OVER (PARTITION BY query_id)) SELECT query_id, id, terms, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INTEGER) AS rank FROM best QUALIFY rank <= 20",
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "page_structure": """SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,

@@ -261,14 +261,15 @@ def incremental_diff(spark, d):
 
 @query
 def missing_embeddings(spark, d):
-    done = _vectors(spark, d).where("label < 8").select("id")
+    done = _vectors(spark, d).select("id")
     return tables.missing(corpus(spark, d).select("id", "source_id"), done, "id").groupBy("source_id").agg(F.count("*").alias("n"))
 
 
 @query
 def prune_sources(spark, d):
-    c = corpus(spark, d)
-    return c.where(~F.col("source_id").isin("src3", "src7")).groupBy("source_id").agg(F.count("*").alias("n"))
+    """Chunks of the sources that are still configured: here those that some user's log names."""
+    configured = _log(spark, d).select(F.concat(F.lit("src"), F.col("user") % 13).alias("source_id")).distinct()
+    return corpus(spark, d).join(configured, "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("n"))
 
 
 # Graph
@@ -315,16 +316,15 @@ def ownership_propagation(spark, d):
 
 @query
 def reference_counts(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
-    extra = _posts(spark, d).where("col = 'text'").groupBy("term").agg(F.count("*").alias("df")).where("df BETWEEN 5 AND 50").select(F.col("term").alias("name"))
-    texts = corpus(spark, d).select("id", "text")
-    return graph.name_mentions(texts, names.unionAll(extra), 4).groupBy("name").agg(F.count("*").alias("documents"), F.sum("n").alias("mentions"))
+    """How often each term of the questions is named, and in how many documents."""
+    names = table(spark, d, "benchmark").select(F.explode(T.search_terms(F.col("text"))).alias("name"))
+    return graph.name_mentions(corpus(spark, d).select("id", "text"), names, 1).groupBy("name").agg(F.count("*").alias("documents"), F.sum("n").alias("mentions"))
 
 
 @query
 def mentions(spark, d):
     names = table(spark, d, "benchmark").select(F.explode(T.search_terms(F.col("text"))).alias("name"))
-    return graph.name_mentions(corpus(spark, d).select("id", "text"), names, 8)
+    return graph.name_mentions(corpus(spark, d).select("id", "text"), names, 4)
 
 
 @query
@@ -356,7 +356,7 @@ def in_degree(spark, d):
 
 @query
 def file_importance(spark, d):
-    refs = _edges(spark, d).where("kind = 'r'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    refs = _edges(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
     return refs.select("id", "n", F.round(1 + 0.15 * F.log1p("n"), 6).alias("boost"))
 
 
@@ -445,8 +445,8 @@ def log_tail(spark, d):
 
 @query
 def eval_recall(spark, d):
-    """How often the best ten hold a document that contains the item's first eight words."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.col("text"), " "), 1, 8), " ").alias("passage"))
+    """How often the best ten hold a document that contains the item's whole passage."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     top = search.ranked(_hits(spark, d), limit=10).join(corpus(spark, d).select("id", "text"), "id").join(b, "query_id")
     hit = top.groupBy("query_id").agg(F.max(F.contains("text", "passage").cast("int")).alias("hit"), F.min(F.when(F.contains("text", "passage"), F.col("rank"))).alias("first"))
     return hit.agg(F.count("*").alias("questions"), F.sum("hit").alias("found"), F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg(1 / F.col("first")), 6).alias("mean_reciprocal"))

@@ -16,17 +16,21 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 
 
 def ingest_stream(stream: DataFrame, target: str, checkpoint: str):
-    """Append rows (source_id, path, text) of a stream that the table at ``target`` does not hold yet; a started query."""
+    """Append rows (source_id, path, text) of a stream that the table at ``target`` does not hold yet; a started query.
+
+    The table lies in one folder a source, and a batch reads the ids of its own sources only.
+    """
     spark: SparkSession = stream.sparkSession
 
     def upsert(batch: DataFrame, _: int) -> None:
         rows = batch.withColumn("id", chunk_id(F.col("source_id"), F.col("path"), F.col("text"))).dropDuplicates(["id"])
         try:
-            known = spark.read.parquet(target).select("id")
+            own = [r.source_id for r in rows.select("source_id").distinct().collect()]  # the sources of one batch
+            known = spark.read.parquet(target).where(F.col("source_id").isin(own)).select("id")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = None
-        (rows if known is None else rows.join(known, "id", "left_anti")).write.mode("append").parquet(target)
+        (rows if known is None else rows.join(known, "id", "left_anti")).write.mode("append").partitionBy("source_id").parquet(target)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
