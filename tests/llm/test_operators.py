@@ -289,7 +289,7 @@ def test_fingerprints_by_brute_force(monkeypatch):
         assert media.fingerprints(samples).tolist() == want
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
     scores = token_counts.load_scores(token_counts.default_vocabulary())
     trie = token_counts.PrefixTrie(scores)
 
@@ -303,11 +303,18 @@ def test_token_counts(spark):
         return best[-1][1]
 
     text = "The tokenization of unbelievable internationalisation, naïve café 漢字 \U0001f600 x1y2 THE the thee"
-    assert all(trie.count("▁" + w) == brute("▁" + w) for w in text.split())
-    rows = [(1, text), (2, None), (3, ""), (4, " \n"), (1, text)]
-    got = [tuple(r) for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    n = sum(brute("▁" + w) for w in text.split())
-    assert sorted(got) == sorted([(1, 13, n), (2, 0, 0), (3, 0, 0), (4, 0, 0), (1, 13, n)])
+    inserted = sorted({"▁" + w for w in text.split()} | {"▁the", "▁thee"})
+    assert [trie.count(w) for w in inserted] == [brute(w) for w in inserted] and trie.nodes < sum(map(len, inserted))
+    rng = random.Random(8)
+    more = [" ".join(words(rng, 40)) + " " + "a" * rng.randrange(60) for _ in range(30)]
+    rows = [(1, text), (2, None), (3, ""), (4, " \n"), (1, text), (None, "x"), *((10 + i, t) for i, t in enumerate(more)), (99, "word " * 30_000)]
+    want = sorted(((i, len((t or "").split()), sum(brute("▁" + w) for w in (t or "").split())) for i, t in rows), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"word": F.lit("clash"), "row": F.lit(1), "n": F.lit(2)}).repartition(3)
+    for frequent, held in ((300_000, 400_000), (5, 20)):  # all words broadcast, then nearly none
+        monkeypatch.setattr(token_counts, "FREQUENT", frequent)
+        monkeypatch.setattr(token_counts, "HELD", held)
+        assert sorted((tuple(r) for r in token_counts.token_counts(docs).collect()), key=str) == want
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
 def test_packing(spark):
@@ -495,3 +502,27 @@ def test_rates_above_eight_and_missed_targets(spark):
     with pytest.warns(UserWarning, match="missed"):
         missed, _ = mixing.fit_mixture(docs, labels, {"good": 0.1, "poor": 0.1, "toxic": 0.8})
     assert np.abs(missed.residual).max() > 0.1
+
+
+def test_columns_of_any_name(spark):
+    """Extra columns named as the operators' own change nothing."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(words(rng, 30)) + (" snarkwad" * 3 if i % 3 == 0 else "") + f" call +1 212 555 {1000 + i}", "en", "s", 1) for i in range(60)] + [(None, "no id", "en", None, 1), (60, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    names = "toxic found fresh own_id u count text_language host declared attempts kind norm row word n node comp part key tokens p rate label kept score k1 k2 letters best"
+    odd = docs.withColumns({c: F.lit(7) for c in names.split()})
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://x.org/en/3", "<html lang=en>")], "page_id long, url string, html string")
+    rows_of = lambda df, *c: sorted((tuple(r) for r in (df.select(*c) if c else df).collect()), key=str)
+    for run in (
+        lambda d: toxicity.score_toxicity(d, toxicity.train_toxicity(d, labels)),
+        lambda d: pii.replace_entities(d).select("doc_id", "text", "n_replaced"),
+        lambda d: language_id.identify_languages(d, pages),
+        lambda d: shingle_join.shingle_components(d),
+        lambda d: mixing.document_rates(d, labels),
+        lambda d: mixing.mix_documents(d, labels).select("doc_id", "text"),
+        lambda d: media.media_digest(d),
+        lambda d: token_counts.token_counts(d),
+        lambda d: packing.pack_documents(d).select("doc_id", "piece", "length"),
+    ):
+        assert rows_of(run(odd)) == rows_of(run(docs))
