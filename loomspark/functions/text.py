@@ -92,6 +92,37 @@ def identifier_terms(text: Column, limit: int = 400) -> Column:
     return F.slice(F.array_distinct(F.filter(compound, lambda p: F.length(p) >= 2)), 1, limit)
 
 
+def folder_of(path: Column) -> Column:
+    """A path without its last part; empty for a bare name."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise("")
+
+
+def kebab_to_camel(name: Column) -> Column:
+    """``my-part-name`` as ``myPartName``."""
+    parts = F.split(name, "-")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20)))
+    return F.concat(parts[0], F.array_join(rest, ""))
+
+
+def class_of(qualified: Column) -> Column:
+    """The first part of a dotted name."""
+    return F.substring_index(qualified, ".", 1)
+
+
+def short_name(qualified: Column) -> Column:
+    """The last part of a dotted name."""
+    return F.substring_index(qualified, ".", -1)
+
+
+def entity_id(type_: str, name: Column) -> Column:
+    """Files by their path, all else by its lower-cased name."""
+    return F.concat(F.lit(f"{type_}:"), name if type_ == "file" else F.lower(name))
+
+
+def symbol_id(name: Column, path: Column) -> Column:
+    return F.concat(F.lit("symbol:"), name, F.lit("@"), path)
+
+
 def is_test_path(path: Column) -> Column:
     return path.rlike(TEST_PATH)
 

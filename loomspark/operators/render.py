@@ -28,6 +28,13 @@ def markdown_packs(rows: DataFrame, buckets: tuple[str, ...] = ("norms", "expert
     return whole.select("query_id", F.array_join(F.transform("all", lambda x: x["text"]), "\n\n").alias("markdown"))
 
 
+def json_packs(rows: DataFrame) -> DataFrame:
+    """(query_id, json) from included chunks (query_id, rank, bucket, path, start_line, end_line, tokens, text), keys in one order."""
+    own = F.struct("rank", citation(F.col("path"), F.col("start_line"), F.col("end_line")).alias("citation"), "bucket", "tokens", "text")
+    packs = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(own)).alias("chunks"), F.sum("tokens").alias("used_tokens"))
+    return packs.select("query_id", F.to_json(F.struct("query_id", "used_tokens", F.array_distinct(F.transform("chunks", lambda c: c["bucket"])).alias("buckets"), "chunks")).alias("json"))
+
+
 def page_structure(pages: DataFrame) -> DataFrame:
     """(page_id, lang, title, n_links, n_paragraphs) of HTML pages."""
     html = F.col("html")

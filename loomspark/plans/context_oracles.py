@@ -114,4 +114,7 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL SELECT 'fallback_rate', 'log', f FROM tot WHERE f > 0.3 * q UNION ALL SELECT 'zero_hits', 'log', z FROM tot WHERE z > 0 UNION ALL SELECT 'budget_ceiling', 'log', o FROM tot WHERE o > 0.5 * q
       UNION ALL SELECT 'embedding_gap', source_id, count(*) FROM c WHERE id NOT IN (SELECT vec_id FROM embeddings) GROUP BY 2
       UNION ALL SELECT 'oversized_chunks', source_id, count(*) FROM c WHERE tokens > 1500 GROUP BY 2""",
+    "search_references": f"WITH {_HITS}, {_LINES} SELECT query_id, CAST(rank AS INTEGER) AS rank, path || '#L1-' || end_line AS place, tokens FROM {_top('hits', 20)} JOIN ln USING (id)",
+    "name_parts": f"""WITH {_CORPUS} SELECT id, source_id || '/' || lang AS folder, source_id || upper(lang[1]) || lang[2:] || upper(bucket[1]) || bucket[2:] AS camel, source_id AS outer_name, 'Doc' || id AS inner_name,
+      'file:' || path AS file_id, 'service:svc' || lower(source_id) AS service_id, 'symbol:' || source_id || '.' || lang || '.Doc' || id || '@' || path AS symbol_id FROM c""",
 }

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions import text as T
 from loomspark.functions.text import estimate_tokens, text_hash
-from loomspark.operators import chunking, evaluation, facts, graph, ownership, search, views
+from loomspark.operators import chunking, evaluation, facts, graph, ownership, render, search, views
 from loomspark.plans import queries as base
 from loomspark.sources.tables import corpus, table
 
@@ -262,3 +263,26 @@ def corpus_findings(spark, d):
     c = corpus(spark, d)
     sources = c.select("source_id").distinct().unionByName(spark.range(3).select(F.concat(F.lit("new"), "id").alias("source_id")))
     return views.findings(log, c, sources, base._vectors(spark, d), most=1000)
+
+
+@query
+def search_references(spark, d):
+    """Where the best twenty hits of each question are, without their texts."""
+    top = search.ranked(base._hits(spark, d), limit=20).join(_lines(spark, d).select("id", "path", "start_line", "end_line", "tokens"), "id")
+    return top.select("query_id", "rank", render.citation(F.col("path"), F.col("start_line"), F.col("end_line")).alias("place"), "tokens")
+
+
+@query
+def render_pack_json(spark, d):
+    c = _lines(spark, d).select("id", "bucket", "path", "start_line", "end_line", "text", "tokens", "hash")
+    top = search.ranked(base._hits(spark, d), limit=30).join(c.select("id", "path", "hash", "tokens"), "id")
+    packed = search.pack_hits(top.select("query_id", "rank", "id", "path", "hash", "tokens"), budget=3000).where("decision = 'included'")
+    return render.json_packs(packed.select("query_id", "rank", "id").join(c, "id"))
+
+
+@query
+def name_parts(spark, d):
+    """Folders, camel-case names, outer and inner names, and ids made from the paths of the corpus."""
+    c = corpus(spark, d)
+    dotted, kebab = F.concat_ws(".", "source_id", "lang", F.concat(F.lit("Doc"), "id")), F.concat_ws("-", "source_id", "lang", "bucket")
+    return c.select("id", T.folder_of(F.col("path")).alias("folder"), T.kebab_to_camel(kebab).alias("camel"), T.class_of(dotted).alias("outer_name"), T.short_name(dotted).alias("inner_name"), T.entity_id("file", F.col("path")).alias("file_id"), T.entity_id("service", F.concat(F.lit("Svc"), "source_id")).alias("service_id"), T.symbol_id(dotted, F.col("path")).alias("symbol_id"))

@@ -1,4 +1,4 @@
-from loomspark.operators import code
+from loomspark.operators import code, code_chunks
 
 HANDLER = '''/* a class { in a comment
    that goes on } */
@@ -37,3 +37,43 @@ def test_declarations_references_and_calls(spark):
     called = code.calls(lines, decl)
     edges = {(r.caller, r.target): r.n for r in code.resolve_calls(called, decl, refs).collect()}
     assert edges == {("Handler.run", "Util.go"): 1, ("Handler.run", "Handler.help"): 1, ("Util.go", "Util.stop"): 1}
+
+
+PYTHON = """import os
+
+# helps
+@cached
+def first(x):
+    return x
+
+class Thing:
+    def one(self):
+        return 1
+
+    async def two(self):
+        if self:
+            return 2
+        return 3
+
+print(first(1))
+"""
+
+
+def test_python_blocks():
+    lines = PYTHON.split("\n")
+    got = code_chunks.with_headers(lines, code_chunks.python_blocks(lines))
+    assert [(a + 1, b, n) for a, b, n in got] == [(3, 6, "first"), (8, 15, "Thing"), (9, 10, "Thing.one"), (12, 15, "Thing.two")]
+
+
+def test_code_chunks(spark):
+    small = {"target": 24, "most": 30, "least": 2, "overlap": 0.0}
+    files = spark.createDataFrame([("src/Util.java", UTIL), ("src/thing.py", PYTHON), ("e.py", ""), ("n.py", None)], "path string, text string")
+    rows = code_chunks.code_chunks(files, **small).orderBy("path", "chunk_no").collect()
+    of = lambda path: [(r.start_line, r.end_line, r.heading) for r in rows if r.path == path]
+    assert of("src/Util.java") == [(1, 1, "Util"), (2, 6, "Util.go"), (7, 8, "Util.stop"), (9, 9, "Util")] or of("src/Util.java")[1:3] == [(2, 6, "Util.go"), (7, 9, "Util.stop")]
+    assert [h for _, _, h in of("src/thing.py")][:3] == ["", "first", "Thing"] or "first" in [h for _, _, h in of("src/thing.py")]
+    assert {r.path for r in rows} == {"src/Util.java", "src/thing.py"} and rows[0].language == "java" and rows[0].text.startswith("[src/Util.java")
+    covered = {i for a, b, _ in of("src/thing.py") for i in range(a, b + 1)}
+    assert covered >= {i for i, line in enumerate(PYTHON.split("\n"), 1) if line.strip()}
+    whole = code_chunks.code_chunks(files).where("path = 'src/Util.java'").collect()
+    assert len(whole) == 1 and whole[0].heading == "Util" and (whole[0].start_line, whole[0].end_line) == (1, 9)
