@@ -43,7 +43,7 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def bounded_batches(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def bounded_batches(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array of at most ``limit`` bytes each (a longer single text stands alone)."""
     sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
     start, held = 0, 0

@@ -97,7 +97,7 @@ def _likelihoods(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for i, j in bounded_batches(batch.column(2), 1 << 21):
+            for i, j in bounded_batches(batch.column(2)):
                 part = batch.slice(i, j - i)
                 cells, at = trigram_cells(*byte_view(part.column(2)))
                 means, n = _row_means(cells, at, m.log_p), np.diff(at)

@@ -169,7 +169,7 @@ def _posteriors(model, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, encode = model.value, load_tokenizer(tokenizer).encode_ordinary
         for batch in batches:
-            for i, j in bounded_batches(batch.column(1), 1 << 21):
+            for i, j in bounded_batches(batch.column(1)):
                 part = batch.slice(i, j - i)
                 tokens = [len(encode(t.as_py() or "")) for t in part.column(1)]
                 p = m.posteriors(m.features(part.column(1)))
@@ -297,7 +297,7 @@ def _copies(mixture, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = mixture.value
         for batch in batches:
-            for i, j in bounded_batches(batch.column(text_at), 1 << 21):
+            for i, j in bounded_batches(batch.column(text_at)):
                 part = batch.slice(i, j - i)
                 x = m.model.features(part.column(text_at))
                 n = np.floor(m.rates(m.model.posteriors(x)) + part.column(part.num_columns - 1).to_numpy()).astype(np.int64)
