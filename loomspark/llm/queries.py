@@ -6,26 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm.common import read_table
+from loomspark.llm.common import read_table, spread
 from loomspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.mixing import document_rates
 
-    return document_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return document_rates(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "labels"))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.media import media_digest
 
-    return media_digest(read_table(spark, sf_dir, "documents"))
+    return media_digest(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.toxicity import score_toxicity, train_toxicity
 
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -50,25 +50,25 @@ def op4_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.language_id import identify_languages
 
-    return identify_languages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
+    return identify_languages(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "pages"))
 
 
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.shingle_join import shingle_components
 
-    return shingle_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return shingle_components(spread(read_table(spark, sf_dir, "documents")), k=4, percent=85)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.token_counts import token_counts
 
-    return token_counts(read_table(spark, sf_dir, "documents"))
+    return token_counts(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.packing import pack_documents
 
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(spread(read_table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
