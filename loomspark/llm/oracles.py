@@ -21,6 +21,29 @@ _SMALLEST = """
   WITH RECURSIVE {links}, reach(id, c) AS (SELECT id, id FROM v UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.id WHERE l.b > r.c),
   comp AS (SELECT id, min(c) AS c FROM reach GROUP BY 1)"""
 
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', CAST({c} AS VARCHAR)) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+def _levels(name: str, key: str, base: str) -> str:
+    """Levels of ternary trees: ``base`` gives (level 0, key, i, h, n)."""
+    return f"""{name}(level, {key}, i, h, n) AS ({base} UNION ALL
+        SELECT level + 1, {key}, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY level, {key}, i // 3, n)"""
+
+
+def _siblings(above: str, of: str, tree: str, match: str, first: int) -> str:
+    """A row for each level of a leaf's way, with the digests beside it."""
+    own, run = "m.i // CAST(pow(3, t.level) AS BIGINT)", "m.i // CAST(pow(3, t.level + 1) AS BIGINT)"
+    side = lambda sign: f"coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i {sign} {own}), '')"
+    return f"SELECT {above}, {first} + t.level AS level, {side('<')} AS before, {side('>')} AS after FROM {of} m JOIN {tree} t ON {match} AND t.n > 1 AND t.i // 3 = {run} GROUP BY {above}, t.level"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_url_reputation": rf"""
       WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -66,4 +89,20 @@ ORACLE_SQL: dict[str, str] = {
       l AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.g = y.g AND x.id <> y.id GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*)))"""
     )
     + " SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM comp JOIN v USING (id)",
+    "op11_merkle_manifest": f"""
+      WITH RECURSIVE tab AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+      odd AS (SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])) & 1 AS odd FROM documents, tab),
+      leaves AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, '') AS key, {_leaf("text")} AS leaf, CASE WHEN odd = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS changed FROM odd),
+      own AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM leaves),
+      {_levels("t", "key", "SELECT CAST(0 AS BIGINT), key, i, leaf, n FROM own")},
+      subs AS MATERIALIZED (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+      {_levels("u", "one", "SELECT CAST(0 AS BIGINT), 1, i, h, n FROM subs")},
+      steps AS MATERIALIZED ({_siblings("m.rid", "own", "t", "t.key = m.key", 0)} UNION ALL
+        {_siblings("m.rid", "(SELECT own.rid, subs.i FROM own JOIN subs USING (key))", "u", "true", 1000)}),
+      k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level) AS k FROM steps),
+      f(rid, k, h) AS (SELECT rid, CAST(0 AS BIGINT), changed FROM own UNION ALL SELECT f.rid, f.k + 1, sha256(concat(before, f.h, after)) FROM f JOIN k ON k.rid = f.rid AND k.k = f.k + 1),
+      folded AS (SELECT rid, arg_max(h, k) AS h FROM f GROUP BY 1),
+      proofs AS (SELECT rid, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM k GROUP BY 1)
+      SELECT doc_id, leaf, subs.h AS subroot, u.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded.h AS folded_root, folded.h = u.h AS verified
+      FROM own JOIN subs USING (key) JOIN folded USING (rid) JOIN u ON u.n = 1 LEFT JOIN proofs USING (rid)""",
 }
