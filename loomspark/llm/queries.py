@@ -78,6 +78,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(spread(read_table(spark, sf_dir, "documents")), tampered_text())
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.substring import remove_repeated_passages
+
+    return remove_repeated_passages(spread(read_table(spark, sf_dir, "documents")), texts=False)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.hard_negatives import mine_hard_negatives, relabelled
 
@@ -96,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -57,12 +57,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each lower-cased word and its row number."""
     starts, ends, rows = word_spans(data, offsets)
+    return run_hashes(LOWER[data], starts, ends), rows
+
+
+def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run ``symbols[start:end]`` of bytes or of 64-bit hashes."""
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), rows
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INVERSE, len(data))[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), rows
+        return np.zeros(0, dtype=np.uint64)
+    total = np.zeros(len(symbols) + 1, dtype=np.uint64)
+    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(symbols)), out=total[1:])
+    h = (total[ends] - total[starts]) * _powers(_INVERSE, len(symbols))[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
