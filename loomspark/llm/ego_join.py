@@ -7,12 +7,12 @@ cells of side ``eps`` in the first ``GRID`` directions and are sorted by those c
 sequence is cut into blocks of at most ``BLOCK`` vectors, where the leading cells change if a quarter is full, with their
 bounding boxes. Intervals of the sequence are joined recursively, from all of it down to blocks, ``FAN`` bits of children
 at a time by equi-joins on the parents: a pair of intervals whose boxes are further apart than ``eps`` is dropped with all
-that lies below. A pair of blocks that is left meets in one task, where runs of ``LEAF`` vectors are compared, in double
-precision, if their boxes allow a link. Each such task gives numbers of links and a spanning forest, never the pairs, so
+that lies below. A pair of blocks that is left meets in one task, where runs of ``LEAF`` points are compared if their boxes
+allow a link, and the vectors themselves, in double precision, of the pairs of points that are near enough. Each such task gives numbers of links and a spanning forest, never the pairs, so
 that a large group of near copies costs rows in proportion to its blocks.
 
-How much is skipped depends on the data: groups of near vectors are told apart, and work grows with their number. Vectors
-spread evenly over 64 directions are not provably distant in any few of them; then nearly all pairs of blocks are compared.
+How much is skipped depends on the data: groups of near vectors are told apart, and work grows with their number. Of
+vectors spread evenly over 64 directions nearly all pairs of blocks meet, though few pairs of points in them are near.
 
 Equal vectors are joined first and stand as one with their number. Vectors that are null, zero or hold null or
 non-finite components link with nothing, nor do rows with a null id (component null); vectors of different lengths are not
@@ -44,13 +44,19 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is first scaled by a power of two (exact) to components of at most 1, so that no square over- or underflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (i, j, v) of a task's sums: of x_i * x_j, of x_i with j = -1, of 1 with i = -1."""
     total = None
     for batch in batches:
         if batch.num_rows:
-            x = _matrix(batch.column(0))
-            x = np.column_stack((x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(len(x))))
+            x = unit(_matrix(batch.column(0)))
+            x = np.column_stack((x, np.ones(len(x))))
             total = x.T @ x if total is None else total + x.T @ x
     if total is not None:
         d = len(total)
@@ -72,8 +78,7 @@ def principal_directions(unique: DataFrame, length: int, k: int = DIRECTIONS) ->
 
 def _points(x: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Coordinates of the unit vectors of x in the basis u, and the length of what lies outside of it."""
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    p = x @ u
+    p = unit(x) @ u
     return np.column_stack((p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(axis=1)))))
 
 
@@ -135,10 +140,11 @@ def _leaves(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def close_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, eps: float, least: float, same: bool):
     """Index pairs of rows of x and y (points p and q) with a cosine of at least ``least``, a run of ``LEAF`` rows of x at a time.
 
-    Runs of y whose boxes are further away than ``eps`` are skipped. ``same``: x is y, and each pair is given once,
-    without a row and itself.
+    Runs of y whose boxes are further away than ``eps`` are skipped. Points have length 1, so that their inner product is
+    never below the vectors' cosine: vectors are compared only where it reaches ``least``. ``same``: x is y, and each pair
+    is given once, without a row and itself.
     """
-    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+    x, y = unit(x), unit(y)
     (lo_p, hi_p), (lo_q, hi_q) = _leaves(p), _leaves(q)
     for a in range(len(lo_p)):
         gap = np.maximum(0, np.maximum(lo_p[a] - hi_q, lo_q - hi_p[a]))
@@ -149,10 +155,15 @@ def close_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, eps:
             continue
         rows = (near[:, None] * LEAF + np.arange(LEAF)).ravel()
         rows = rows[rows < len(y)]
-        i, j = np.nonzero(x[a * LEAF : (a + 1) * LEAF] @ y[rows].T >= least)
+        i, j = np.nonzero(p[a * LEAF : (a + 1) * LEAF] @ q[rows].T >= least - 1e-7)
         i, j = i + a * LEAF, rows[j]
         if same:
             i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), 1 << 16):  # at most so many rows are laid out at once
+            part = slice(at, at + (1 << 16))
+            near = np.einsum("ij,ij->i", x[i[part]], y[j[part]]) >= least
+            i[part], j[part] = np.where(near, i[part], -1), j[part]
+        i, j = i[i >= 0], j[i >= 0]
         if len(i):
             yield i, j
 

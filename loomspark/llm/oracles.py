@@ -117,8 +117,8 @@ ORACLE_SQL: dict[str, str] = {
       WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
       g AS MATERIALIZED (SELECT rid, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
       f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY 1),
-      gone AS (SELECT rid, list_distinct(flatten(list(range(i, i + 50)))) AS at FROM g JOIN f USING (h) WHERE first < doc_id GROUP BY 1)
-      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
-        sha256(array_to_string(CASE WHEN at IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(at, i)) END, ' ')) AS kept_sha256
+      gone AS (SELECT rid, list_distinct(flatten(list(range(i, i + 50)))) AS gone_at FROM g JOIN f USING (h) WHERE first < doc_id GROUP BY 1)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone_at), 0) AS BIGINT) AS n_removed,
+        sha256(array_to_string(CASE WHEN gone_at IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone_at, i)) END, ' ')) AS kept_sha256
       FROM d LEFT JOIN gone USING (rid)""",
 }

@@ -526,3 +526,10 @@ def test_columns_of_any_name(spark):
         lambda d: packing.pack_documents(d).select("doc_id", "piece", "length"),
     ):
         assert rows_of(run(odd)) == rows_of(run(docs))
+
+
+def test_vectors_of_extreme_length_link_by_their_direction(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [2e-200, 2e-200]), (3, [1.0, 0.0]), (4, [1.0, 0.01]), (5, [1e200, 0.0]), (6, [1e200, 1e198]), (7, [5e-324, 0.0]), (8, [-1e300, 1e300]), (9, [-1.0, 1.0]), (10, [0.0, 0.0])]
+    want = {1: (1, 1), 2: (1, 1), **dict.fromkeys((3, 4, 5, 6, 7), (4, 3)), 8: (1, 8), 9: (1, 8), 10: (0, 10)}
+    got = ego_join.cosine_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want
