@@ -255,24 +255,28 @@ def _digests(rows: list[tuple[int | None, list[bytes], np.ndarray | None]], text
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
 
 
-def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words the windows that begin at ``starts`` cover."""
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n words the spans cover."""
     edges = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    np.add.at(edges, ends, -1)
     return np.cumsum(edges)[:n] > 0
 
 
 def _keep(window: int, kept: bool):
-    """(doc_id, text, starts of the windows that go)."""
+    """(doc_id, text, runs of the windows that go)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in bounded_batches(batch.column(1)):
+            for lo, hi in bounded_batches(batch.column(1)):
                 rows = []
-                for r in range(a, b):
-                    words, starts = (batch.column(1)[r].as_py() or "").encode().split(), batch.column(2)[r].as_py()
-                    rows.append((batch.column(0)[r].as_py(), words, _covered(len(words), np.array(starts), window) if starts else None))
+                for r in range(lo, hi):
+                    words, gone = (batch.column(1)[r].as_py() or "").encode().split(), None
+                    if batch.column(2)[r].is_valid:
+                        runs = batch.column(2)[r].values
+                        a, n = runs.field("a").to_numpy(), runs.field("n").to_numpy()
+                        gone = _covered(len(words), a, a + n + window - 1)
+                    rows.append((batch.column(0)[r].as_py(), words, gone))
                 yield _digests(rows, kept)
 
     return run, _DIGEST + ", kept string" * kept
@@ -292,7 +296,7 @@ def _stream(window: int, blobs, kept: bool):
                     if doc_id is not None and len(words) >= window:
                         for automaton in automata:
                             ends.update(i for i, first in enumerate(automaton.firsts(words, window)) if first < doc_id)
-                    rows.append((doc_id, words, _covered(len(words), np.array(sorted(ends)) - window + 1, window) if ends else None))
+                    rows.append((doc_id, words, _covered(len(words), np.array(sorted(ends)) - window + 1, np.array(sorted(ends)) + 1) if ends else None))
                 yield _digests(rows, kept)
 
     return run, _DIGEST + ", kept string" * kept
@@ -356,12 +360,13 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int
     hot = once.where("k is not null").select("anchor", "passage", "k")
     met = _paired(shards.join(hot, ["anchor", "passage"], "left")).repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
     firsts = write_out(met.mapInArrow(*_match(window, SHARD_WORDS)), "firsts")
-    least = F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i))
-    gone = kept.join(firsts, ["anchor", "passage"]).where(F.array_min("firsts") < F.col("doc_id"))
-    gone = gone.select("doc_id", "tkey", F.filter(least, lambda x: x.isNotNull()).alias("starts")).distinct()
-    starts = write_out(gone.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    # Runs of windows that go: mostly all of a passage. Rows that repeat give equal runs, so a set holds no more than one text does.
+    each = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.struct((F.col("start") + i).alias("a"), F.lit(1).alias("n")))), lambda x: x.isNotNull())
+    runs = F.when(F.array_max("firsts") < F.col("doc_id"), F.array(F.struct(F.col("start").alias("a"), F.col("n").alias("n")))).otherwise(each)
+    gone = kept.join(firsts, ["anchor", "passage"]).where(F.array_min("firsts") < F.col("doc_id")).select("doc_id", "tkey", F.explode(runs).alias("run"))
+    starts = write_out(gone.groupBy("doc_id", "tkey").agg(F.collect_set("run").alias("starts")), "starts")
     ids = starts.select("doc_id").distinct()
     n_ids = ids.count()
     touched = _narrowed(rows, ids, "doc_id", "left_semi", n_ids).join(starts, ["doc_id", "tkey"], "left").select("doc_id", "text", "starts")
-    others = _narrowed(rows, ids, "doc_id", "left_anti", n_ids).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    others = _narrowed(rows, ids, "doc_id", "left_anti", n_ids).select("doc_id", "text", F.lit(None).cast(starts.schema["starts"].dataType).alias("starts"))
     return touched.unionByName(others).mapInArrow(*_keep(window, texts))
