@@ -358,7 +358,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int
         blobs = [bytes(r[0]) for r in dealt.mapInArrow(*_automata(SHARD_WORDS)).collect()]  # at most about 100 bytes a word of BROADCAST_WORDS
         return rows.select("doc_id", "text").mapInArrow(*_stream(window, spark.sparkContext.broadcast(blobs), texts))
     hot = once.where("k is not null").select("anchor", "passage", "k")
-    met = _paired(shards.join(hot, ["anchor", "passage"], "left")).repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    # Mostly no anchor is hot; the words are then shuffled once.
+    marked = shards.join(hot, ["anchor", "passage"], "left") if hot.limit(1).count() else shards.withColumn("k", F.lit(None).cast("long"))
+    met = _paired(marked).repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
     firsts = write_out(met.mapInArrow(*_match(window, SHARD_WORDS)), "firsts")
     # Runs of windows that go: mostly all of a passage. Rows that repeat give equal runs, so a set holds no more than one text does.
     each = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.struct((F.col("start") + i).alias("a"), F.lit(1).alias("n")))), lambda x: x.isNotNull())
