@@ -1,14 +1,16 @@
 """Cutting texts into line-addressed chunks.
 
 Sections and windows of lines are folds over lines, as JVM-side ``aggregate`` expressions. Whole document chunks (sections,
-with small ones merged and large ones cut at paragraphs with overlap) look back over what was cut before, so each text is
-folded by a small function on Arrow batches; Spark deals the texts.
+with small ones merged and large ones cut at paragraphs with overlap) come from prefix sums of the lines' sizes, in which the ends of windows are
+looked up; a small function does so on Arrow batches, and Spark deals the texts.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,8 +84,21 @@ _LINE_ENDS = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 Span = tuple[int, int]
 
 
-def _tokens(lines: list[str], span: Span) -> int:
-    return max(1, (len("\n".join(lines[span[0] : span[1]])) + 3) // 4)
+class _Sizes:
+    """Prefix sums over the lines of a text, from which the size of any span follows at once."""
+
+    def __init__(self, lines: list[str]):
+        self.chars = [0, *accumulate(len(line) + 1 for line in lines)]
+        self.by_line = [0, *accumulate(max(1, (len(line) + 3) // 4) for line in lines)]
+
+    def tokens(self, span: Span) -> int:
+        """The tokens of the lines joined, one at least."""
+        return max(1, (self.chars[span[1]] - self.chars[span[0]] + 2) // 4)
+
+
+def _reach(sums: list[int], start: int, limit: int, most: int) -> int:
+    """How far from ``start`` a span goes whose sum stays within ``limit``: one step at least, and not beyond ``most``."""
+    return min(most, max(start + 1, bisect_right(sums, sums[start] + limit) - 1))
 
 
 def _fences(lines: list[str]) -> list[int]:
@@ -113,71 +128,45 @@ def _titled(lines: list[str], fenced: list[int]) -> list[tuple[Span, str]]:
     return [x for x in spans if any(line.strip() for line in lines[slice(*x[0])])]
 
 
-def _merged(sections: list[tuple[Span, str]], lines: list[str], target: int, least: int) -> list[tuple[Span, str]]:
-    """A small section joins the one before it, as does one after a small section if both fit ``target``."""
-    out: list[tuple[Span, str]] = []
-    for span, title in sections:
-        size = _tokens(lines, span)
-        before = _tokens(lines, out[-1][0]) if out else 0
-        if out and (size < least or (before < least and before + size <= target)):
-            (start, _), first = out.pop()
-            out.append(((start, span[1]), first or title))
-        else:
-            out.append((span, title))
-    return out
-
-
-def _paragraphs(lines: list[str], fenced: list[int], span: Span, target: int, most: int) -> list[Span]:
-    """Blocks between blank lines, a fenced block being one; those of more than ``most`` tokens are cut at lines to ``target``."""
-    blocks: list[Span] = []
-    start, inside = None, 0
-    for i in range(span[0], span[1]):
-        blank = not fenced[i] and not lines[i].strip()
-        if start is not None and (blank or fenced[i] != inside):
-            blocks.append((start, i))
-            start = None
-        if start is None and not blank:
-            start, inside = i, fenced[i]
-    if start is not None:
-        blocks.append((start, span[1]))
-    out: list[Span] = []
-    for a, b in blocks:
-        if _tokens(lines, (a, b)) <= most:
-            out.append((a, b))
-            continue
-        at, held = a, 0
-        for i in range(a, b):
-            size = _tokens(lines, (i, i + 1))
-            if i > at and held + size > target:
-                out.append((at, i))
-                at, held = i, 0
-            held += size
-        out.append((at, b))
-    return out
-
-
-def _windows(lines: list[str], fenced: list[int], span: Span, target: int, most: int, overlap: float) -> list[Span]:
-    """Windows of whole paragraphs of about ``target`` tokens; each starts with the last paragraphs of the one before, as
-    far as they fit the overlap. A window always holds something new."""
-    if _tokens(lines, span) <= most:
-        return [span]
-    out: list[Span] = []
-    own: list[tuple[Span, int]] = []
-    new = 0
-    for p in _paragraphs(lines, fenced, span, target, most):
-        size = _tokens(lines, p)
-        if own and sum(n for _, n in own) + size > target:
-            if new:
-                out.append((own[0][0][0], own[-1][0][1]))
-            kept = 0
-            while new and kept < len(own) and sum(n for _, n in own[len(own) - kept - 1 :]) <= int(target * overlap):
-                kept += 1
-            own, new = own[len(own) - kept :] if kept else [], 0
-        own.append((p, size))
-        new += 1
-    if own and new:
-        out.append((own[0][0][0], own[-1][0][1]))
-    return out
+def _merged(sections: list[tuple[Span, str]], sizes: _Sizes, target: int, least: int) -> Iterator[tuple[Span, str]]:
+    """Runs of sections that stand as one: a section opens a new run unless it is small, or follows a small run and fits
+    ``target`` with it. A run has the first title that is not empty."""
+    run: list[tuple[Span, str]] = []
+    for section in [*sections, None]:
+        if run:
+            whole = (run[0][0][0], run[-1][0][1])
+            own = sizes.tokens(section[0]) if section else 0
+            small = section and (own < least or sizes.tokens(whole) < least and sizes.tokens(whole) + own <= target)
+            if not small:
+                yield whole, next((title for _, title in run if title), "")
+                run = []
+        if section:
+            run.append(section)
+
+
+def _paragraphs(lines: list[str], fenced: list[int], sizes: _Sizes, span: Span, target: int, most: int) -> Iterator[Span]:
+    """Runs of lines that are not blank, a fenced block being one of its own; one of more than ``most`` tokens in pieces that
+    reach as far as ``target`` lets them."""
+    for kind, run in groupby(range(*span), key=lambda i: fenced[i] or (0 if lines[i].strip() else None)):
+        if kind is not None:
+            block = [*run]
+            at, end = block[0], block[-1] + 1
+            limit = target if sizes.tokens((at, end)) > most else sizes.by_line[-1]
+            while at < end:
+                to = _reach(sizes.by_line, at, limit, end)
+                yield at, to
+                at = to
+
+
+def _windows(paragraphs: list[Span], sizes: _Sizes, target: int, overlap: int) -> Iterator[Span]:
+    """Windows of whole paragraphs within ``target``, but of one that is new in any case. The next one begins ``overlap`` tokens
+    back at most, at a paragraph of the last one."""
+    sums = [0, *accumulate(map(sizes.tokens, paragraphs))]
+    first = fresh = 0
+    while fresh < len(paragraphs):
+        end = max(fresh + 1, _reach(sums, first, target, len(paragraphs)))
+        yield paragraphs[first][0], paragraphs[end - 1][1]
+        first, fresh = bisect_left(sums, sums[end] - overlap, first, end), end
 
 
 def chunk_spans(text: str, headings: bool = True, target: int = TARGET, most: int = MOST, least: int = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int, str]]:
@@ -185,11 +174,12 @@ def chunk_spans(text: str, headings: bool = True, target: int = TARGET, most: in
     lines = _LINE_ENDS.split(text)
     if lines[-1] == "":
         lines.pop()
-    fenced = _fences(lines)
+    fenced, sizes = _fences(lines), _Sizes(lines)
     sections = _titled(lines, fenced) if headings else [((0, len(lines)), "")] if text.strip() else []
     out = []
-    for span, title in _merged(sections, lines, target, least):
-        for a, b in _windows(lines, fenced, span, target, most, overlap):
+    for span, title in _merged(sections, sizes, target, least):
+        cut = sizes.tokens(span) > most
+        for a, b in _windows([*_paragraphs(lines, fenced, sizes, span, target, most)], sizes, target, int(target * overlap)) if cut else [span]:
             filled = [i for i in range(a, b) if lines[i].strip()]
             if filled:
                 out.append((filled[0] + 1, filled[-1] + 1, title))
