@@ -84,7 +84,7 @@ _LINE_ENDS = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 Span = tuple[int, int]
 
 
-class _Sizes:
+class Sizes:
     """Prefix sums over the lines of a text, from which the size of any span follows at once."""
 
     def __init__(self, lines: list[str]):
@@ -128,7 +128,7 @@ def _titled(lines: list[str], fenced: list[int]) -> list[tuple[Span, str]]:
     return [x for x in spans if any(line.strip() for line in lines[slice(*x[0])])]
 
 
-def _merged(sections: list[tuple[Span, str]], sizes: _Sizes, target: int, least: int) -> Iterator[tuple[Span, str]]:
+def _merged(sections: list[tuple[Span, str]], sizes: Sizes, target: int, least: int) -> Iterator[tuple[Span, str]]:
     """Runs of sections that stand as one: a section opens a new run unless it is small, or follows a small run and fits
     ``target`` with it. A run has the first title that is not empty."""
     run: list[tuple[Span, str]] = []
@@ -144,7 +144,7 @@ def _merged(sections: list[tuple[Span, str]], sizes: _Sizes, target: int, least:
             run.append(section)
 
 
-def _paragraphs(lines: list[str], fenced: list[int], sizes: _Sizes, span: Span, target: int, most: int) -> Iterator[Span]:
+def _paragraphs(lines: list[str], fenced: list[int], sizes: Sizes, span: Span, target: int, most: int) -> Iterator[Span]:
     """Runs of lines that are not blank, a fenced block being one of its own; one of more than ``most`` tokens in pieces that
     reach as far as ``target`` lets them."""
     for kind, run in groupby(range(*span), key=lambda i: fenced[i] or (0 if lines[i].strip() else None)):
@@ -158,7 +158,7 @@ def _paragraphs(lines: list[str], fenced: list[int], sizes: _Sizes, span: Span,
                 at = to
 
 
-def _windows(paragraphs: list[Span], sizes: _Sizes, target: int, overlap: int) -> Iterator[Span]:
+def _windows(paragraphs: list[Span], sizes: Sizes, target: int, overlap: int) -> Iterator[Span]:
     """Windows of whole paragraphs within ``target``, but of one that is new in any case. The next one begins ``overlap`` tokens
     back at most, at a paragraph of the last one."""
     sums = [0, *accumulate(map(sizes.tokens, paragraphs))]
@@ -169,21 +169,29 @@ def _windows(paragraphs: list[Span], sizes: _Sizes, target: int, overlap: int) -
         first, fresh = bisect_left(sums, sums[end] - overlap, first, end), end
 
 
-def chunk_spans(text: str, headings: bool = True, target: int = TARGET, most: int = MOST, least: int = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int, str]]:
-    """(first line, last line, heading) of a text's chunks, lines from 1, without blank lines at either end."""
-    lines = _LINE_ENDS.split(text)
-    if lines[-1] == "":
-        lines.pop()
-    fenced, sizes = _fences(lines), _Sizes(lines)
-    sections = _titled(lines, fenced) if headings else [((0, len(lines)), "")] if text.strip() else []
-    out = []
+def cut_sections(lines: list[str], fenced: list[int], sections: list[tuple[Span, str]], target: int, most: int, least: int, overlap: float) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, title), lines from 1: sections merged, cut into windows, without blank lines at either end."""
+    sizes = Sizes(lines)
     for span, title in _merged(sections, sizes, target, least):
         cut = sizes.tokens(span) > most
         for a, b in _windows([*_paragraphs(lines, fenced, sizes, span, target, most)], sizes, target, int(target * overlap)) if cut else [span]:
             filled = [i for i in range(a, b) if lines[i].strip()]
             if filled:
-                out.append((filled[0] + 1, filled[-1] + 1, title))
-    return out
+                yield filled[0] + 1, filled[-1] + 1, title
+
+
+def lines_of(text: str) -> list[str]:
+    """Lines without their ends; no last empty line."""
+    lines = _LINE_ENDS.split(text)
+    return lines[:-1] if lines[-1] == "" else lines
+
+
+def chunk_spans(text: str, headings: bool = True, target: int = TARGET, most: int = MOST, least: int = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int, str]]:
+    """(first line, last line, heading) of a text's chunks, lines from 1, without blank lines at either end."""
+    lines = lines_of(text)
+    fenced = _fences(lines)
+    sections = _titled(lines, fenced) if headings else [((0, len(lines)), "")] if text.strip() else []
+    return [*cut_sections(lines, fenced, sections, target, most, least, overlap)]
 
 
 def document_chunks(docs: DataFrame, headings: bool = True, **sizes: float) -> DataFrame:
@@ -197,7 +205,7 @@ def document_chunks(docs: DataFrame, headings: bool = True, **sizes: float) -> D
         for pdf in batches:
             rows = []
             for path, text in zip(pdf["path"], pdf["text"], strict=True):
-                lines = _LINE_ENDS.split(text)
+                lines = lines_of(text)
                 for n, (a, b, title) in enumerate(chunk_spans(text, headings, **sizes)):
                     rows.append((path, n, a, b, title, "\n".join(lines[a - 1 : b])))
             yield pd.DataFrame(rows, columns=["path", "chunk_no", "start_line", "end_line", "heading", "body"])

@@ -1,16 +1,15 @@
 """Structure of brace-language source files as tables: lines with depths, declarations, references, calls.
 
-All state over a file's lines is a window over that file. Strings and line comments are blanked by expressions, block
-comments by a running count of their marks.
+Strings and comments are blanked and depths counted by scans over lines (``masking``); all else is joins and windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import is_test_path
-from loomspark.operators.chunking import split_lines
+from loomspark.operators.masking import masked_lines, with_depths
 
 #: Words that stand before a parenthesis or brace without naming anything.
 NOT_NAMES = "if else for foreach while do switch case default try catch finally return throw with when match new get set synchronized using lock super this sizeof typeof".split()
@@ -20,25 +19,9 @@ FUNCTION_NAME = r"(?:\b(?:fn|func|function|def|fun)\s+|[\w>\]?]\s+)([A-Za-z_]\w*
 CALL = r"(?:([A-Za-z_]\w*)\s*\.\s*)?([A-Za-z_]\w*)\s*\("
 
 
-def _blank(line: Column) -> Column:
-    """A line without the contents of its strings and line comments."""
-    line = F.regexp_replace(line, r'"(?:\\.|[^"\\])*"', '""')
-    line = F.regexp_replace(line, r"'(?:\\.|[^'\\])*'", "''")
-    return F.regexp_replace(F.regexp_replace(line, r"//.*$", ""), r"/\*.*?\*/", " ")
-
-
 def code_lines(files: DataFrame) -> DataFrame:
     """(path, line_no, line, code, before, after): each line's code without strings and comments, and the brace depth around it."""
-    rows = files.select("path", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
-    rows = rows.select("path", (F.col("at") + 1).alias("line_no"), "line", _blank(F.col("line")).alias("code"))
-    upto = Window.partitionBy("path").orderBy("line_no")
-    marks = F.regexp_count("code", F.lit(r"/\*")) - F.regexp_count("code", F.lit(r"\*/"))
-    rows = rows.withColumn("open", F.coalesce(F.sum(marks).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    code = F.when(F.col("open") > 0, F.regexp_replace("code", r"^.*?(\*/|$)", "")).otherwise(F.regexp_replace("code", r"/\*.*$", ""))
-    rows = rows.withColumn("code", code).drop("open")
-    delta = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
-    after = F.sum(delta).over(upto)
-    return rows.withColumn("after", after).withColumn("before", F.col("after") - delta)
+    return with_depths(masked_lines(files)).select("path", "line_no", "line", "code", "before", "after")
 
 
 def declarations(lines: DataFrame) -> DataFrame:

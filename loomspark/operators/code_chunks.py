@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import detect_language, estimate_tokens, identifier_terms
 from loomspark.operators import code
-from loomspark.operators.chunking import _LINE_ENDS, LEAST, MOST, OVERLAP, TARGET, _merged, _tokens, _windows
+from loomspark.operators.chunking import LEAST, MOST, OVERLAP, TARGET, Sizes, cut_sections, lines_of
 
 #: (first line, one past the last, qualified name), lines from 0.
 Block = tuple[int, int, str]
@@ -61,7 +61,7 @@ def with_headers(lines: list[str], blocks: list[Block]) -> list[Block]:
 def partition(lines: list[str], span: tuple[int, int], title: str, blocks: list[Block], most: int) -> list[tuple[tuple[int, int], str]]:
     """Sections of a span: itself if it is small enough or holds no block, else its outermost blocks and what lies between."""
     own = [b for b in blocks if span[0] <= b[0] and b[1] <= span[1] and b != (*span, title)]
-    if not own or (title and _tokens(lines, span) <= most):
+    if not own or (title and Sizes(lines[slice(*span)]).tokens((0, span[1] - span[0])) <= most):
         return [(span, title)]
     out, at = [], span[0]
     for start, end, name in sorted(own, key=lambda b: (b[0], -b[1])):
@@ -78,18 +78,9 @@ def partition(lines: list[str], span: tuple[int, int], title: str, blocks: list[
 
 def code_spans(text: str, blocks: list[Block], target: int = TARGET, most: int = MOST, least: int = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int, str]]:
     """(first line, last line, name) of a file's chunks, lines from 1."""
-    lines = _LINE_ENDS.split(text)
-    if lines[-1] == "":
-        lines.pop()
-    if not text.strip():
-        return []
-    out = []
-    for span, title in _merged(partition(lines, (0, len(lines)), "", with_headers(lines, blocks), most), lines, target, least):
-        for a, b in _windows(lines, [0] * len(lines), span, target, most, overlap):
-            filled = [i for i in range(a, b) if lines[i].strip()]
-            if filled:
-                out.append((filled[0] + 1, filled[-1] + 1, title))
-    return out
+    lines = lines_of(text)
+    sections = partition(lines, (0, len(lines)), "", with_headers(lines, blocks), most) if text.strip() else []
+    return [*cut_sections(lines, [0] * len(lines), sections, target, most, least, overlap)]
 
 
 def code_chunks(files: DataFrame, **sizes: float) -> DataFrame:
@@ -102,7 +93,7 @@ def code_chunks(files: DataFrame, **sizes: float) -> DataFrame:
         for pdf in batches:
             rows = []
             for path, text, language, found in zip(pdf["path"], pdf["text"], pdf["language"], pdf["blocks"], strict=True):
-                lines = _LINE_ENDS.split(text)
+                lines = lines_of(text)
                 own = python_blocks(lines) if language == "python" else [(b["start_line"] - 1, b["end_line"], b["qualified"]) for b in (found if found is not None else [])]
                 for n, (a, b, title) in enumerate(code_spans(text, own, **sizes)):
                     rows.append((path, language, n, a, b, title, "\n".join(lines[a - 1 : b])))

@@ -90,27 +90,30 @@ def bm25_of_postings(posts: DataFrame, terms: DataFrame, weights: dict[str, floa
     return _scored(tf.join(lengths, "id"), totals, terms)
 
 
-def search_mode(hits: DataFrame, terms: DataFrame, k: int = 60, limit: int = 10, pool: int = 30) -> DataFrame:
-    """(query_id, id, score, rank, mode) of the strict and loose hits of each query.
+def fuse_lists(strict: DataFrame, loose: DataFrame, terms: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
+    """(query_id, id, score, rank, mode) from the ranked lists of strict and of all hits of each query.
 
     One term: the strict hits. Without a strict hit: the loose ones, mode "any". Else both lists are fused by reciprocal
-    ranks, the strict one counting twice, mode "all". Both ranks come from the same rows, so hits are computed once.
+    ranks, the strict one counting twice, mode "all".
     """
     asked = terms.groupBy("query_id").agg(F.max("n_terms").alias("n_terms"))
-    order = [F.round("score", 9).desc(), "id"]
-    own = Window.partitionBy("query_id").orderBy(*order)
-    both = hits.withColumns({"loose_rank": F.row_number().over(own), "strict_rank": F.when(F.col("strict"), F.row_number().over(Window.partitionBy("query_id", "strict").orderBy(*order)))})
-    both = both.where((F.col("loose_rank") <= pool) | (F.col("strict_rank") <= pool)).join(asked, "query_id")
-    any_strict = F.max("strict").over(Window.partitionBy("query_id"))
-    fused = F.when(F.col("strict_rank") <= pool, 2.0 / (k + F.col("strict_rank"))).otherwise(0.0) + F.when(F.col("loose_rank") <= pool, 1.0 / (k + F.col("loose_rank"))).otherwise(0.0)
+    own = strict.select("query_id", "id", "score", F.col("rank").alias("strict_rank"), F.lit(None).cast("int").alias("loose_rank"))
+    both = own.unionByName(loose.select("query_id", "id", "score", F.lit(None).cast("int").alias("strict_rank"), F.col("rank").alias("loose_rank")))
+    both = both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("strict_rank").alias("strict_rank"), F.max("loose_rank").alias("loose_rank")).join(asked, "query_id")
+    both = both.withColumn("any_strict", F.max(F.col("strict_rank").isNotNull()).over(Window.partitionBy("query_id")))
+    fused = F.coalesce(2.0 / (k + F.col("strict_rank")), F.lit(0.0)) + F.coalesce(1.0 / (k + F.col("loose_rank")), F.lit(0.0))
     single = F.col("n_terms") == 1
-    both = both.withColumn("any_strict", any_strict)
     mode = F.when(single | F.col("any_strict"), F.lit("all")).otherwise(F.lit("any"))
     score = F.when(single | ~F.col("any_strict"), F.col("score")).otherwise(fused)
-    shown = both.where(~single | F.col("strict")).select("query_id", "id", score.alias("score"), mode.alias("mode"))
+    shown = both.where(~single | F.col("strict_rank").isNotNull()).select("query_id", "id", score.alias("score"), mode.alias("mode"))
     return ranked(shown, limit=limit)
 
 
+def search_mode(hits: DataFrame, terms: DataFrame, k: int = 60, limit: int = 10, pool: int = 30) -> DataFrame:
+    """``fuse_lists`` over the first ``pool`` strict and loose hits of each query; each list has its own limit, so that tasks drop what lies behind."""
+    return fuse_lists(ranked(hits.where("strict"), limit=pool), ranked(hits, limit=pool), terms, k, limit)
+
+
 def ranked(hits: DataFrame, score: Column | str = "score", limit: int | None = None, tie: str = "id") -> DataFrame:
     """``hits`` with ``rank`` from 1 by falling score (12 decimals), then by ``tie``."""
     score = F.col(score) if isinstance(score, str) else score
