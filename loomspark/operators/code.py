@@ -74,7 +74,7 @@ def calls(lines: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def resolve_calls(called: DataFrame, declared: DataFrame, refs: DataFrame) -> DataFrame:
-    """(caller, target, n): the receiver's type, else the caller's own, else the only one among referenced types, else the only one at all.
+    """(caller, target, n, path, target_path): the receiver's type, else the caller's own, else the only one among referenced types, else the only one at all.
 
     A candidate counts only if it is the single one of its rung; production code never resolves to a test path by the last.
     """
@@ -89,5 +89,5 @@ def resolve_calls(called: DataFrame, declared: DataFrame, refs: DataFrame) -> Da
     rung = F.when(F.lower("receiver") == F.lower("type"), 1).when(plain & (F.col("type") == short_own) & (F.col("path") == F.col("target_path")), 2).when(F.col("rt").isNotNull(), 3).when(fair & (~plain | (F.coalesce("own_type", F.lit("")) == "")), 4)
     ranked = pairs.withColumn("rung", rung).where("rung IS NOT NULL")
     best = ranked.withColumn("first", F.min("rung").over(Window.partitionBy("call_id"))).where((F.col("rung") == F.col("first")) | (F.col("first") == 4))
-    single = best.groupBy("call_id").agg(F.count("*").alias("m"), F.min("qualified").alias("target"), F.min("caller").alias("caller")).where("m = 1")
-    return single.groupBy("caller", "target").agg(F.count("*").alias("n"))
+    single = best.groupBy("call_id").agg(F.count("*").alias("m"), F.min("qualified").alias("target"), F.min("caller").alias("caller"), F.min("path").alias("path"), F.min("target_path").alias("target_path")).where("m = 1")
+    return single.groupBy("caller", "target", "path", "target_path").agg(F.count("*").alias("n")).select("caller", "target", "n", "path", "target_path")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import folder_of, kebab_to_camel
 
 #: How sources import a class or a field's schema, and how markup names a component.
-CLASS_IMPORT = r"@salesforce/apex/(\w+)(?:\.(\w+))?"
+CLASS_IMPORT = r"@salesforce/apex/(\w+)\.(\w+)"
 SCHEMA_IMPORT = r"@salesforce/schema/(\w+)(?:\.(\w+))?"
-COMPONENT_TAG = r"<c-([a-z][a-z0-9-]*)"
+COMPONENT_TAG = r"<c-([a-z0-9]+(?:-[a-z0-9]+)*)"
 IMPORT_LINE = r"(?m)^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;?\s*$"
 
 
@@ -20,21 +20,35 @@ def imports_of(files: DataFrame) -> DataFrame:
     return rows.select("path", "pos", F.replace("name", F.lit("."), F.lit("/")).alias("package"))
 
 
+def folder_runs(path: Column) -> Column:
+    """All runs of neighbouring folders of a path, joined by slashes: what an import of a package can lead to."""
+    parts = F.filter(F.split(folder_of(path), "/"), lambda p: p != "")
+    ends = F.sequence(F.lit(1), F.size(parts))
+    runs = F.transform(ends, lambda i: F.transform(F.sequence(F.lit(1), i), lambda j: F.array_join(F.slice(parts, j, i - j + 1), "/")))
+    return F.when(F.size(parts) > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_by_imports(references: DataFrame, candidates: DataFrame, imports: DataFrame) -> DataFrame:
     """(ref, target) of references (ref, key, path) to candidates (key, target, path): the only candidate of the name; else the
-    one that the earliest import leads to (its folder, or itself without the ending); else the only one of the file's own
-    folder; else none."""
-    n = candidates.groupBy("key").agg(F.count("*").alias("n"))
-    cand = candidates.join(n, "key").select("key", "target", F.col("path").alias("target_path"), "n")
-    pairs = references.join(cand, "key")
-    used = imports.select("path", "pos", "package").join(references.select("path").distinct(), "path", "left_semi")
-    led = pairs.where("n > 1").join(used, "path").where(F.contains("target_path", "package"))
-    by_import = led.groupBy("ref").agg(F.min_by("target", F.struct("pos", "target_path")).alias("imported"))
-    near = pairs.where((F.col("n") > 1) & (folder_of(F.col("path")) == folder_of(F.col("target_path"))))
-    by_folder = near.groupBy("ref").agg(F.count("*").alias("m"), F.min("target").alias("neighbour")).where("m = 1")
-    only = pairs.where("n = 1").select("ref", F.col("target").alias("only"))
-    out = references.select("ref").join(only, "ref", "left").join(by_import, "ref", "left").join(by_folder, "ref", "left")
-    return out.select("ref", F.coalesce("only", "imported", "neighbour").alias("target"))
+    first by path below the package of the file's earliest import that leads to one (an import of the name itself counts by its
+    package); else the first of the file's own folder; else none.
+
+    Packages meet candidates by an equi-join with the candidates' runs of folders; names with one candidate take no part in it.
+    """
+    cand = candidates.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("path", "target")).alias("only"))
+    many = candidates.join(cand.where("n > 1").select("key"), "key", "left_semi")
+    refs = references.join(cand, "key", "left")
+    asked = refs.where("n > 1").select("ref", "key", "path")
+    used = imports.select("path", "pos", "package").join(asked.select("path").distinct(), "path", "left_semi")
+    parent = F.when(F.lower(F.substring_index("package", "/", -1)) == F.col("key"), folder_of(F.col("package"))).otherwise(F.col("package"))
+    led = asked.join(used, "path").select("ref", "key", "pos", parent.alias("run"))
+    runs = many.select("key", "target", F.col("path").alias("target_path"), F.explode(folder_runs(F.col("path"))).alias("run"))
+    first = runs.groupBy("key", "run").agg(F.min(F.struct("target_path", "target")).alias("t"))
+    by_import = led.join(first, ["key", "run"]).groupBy("ref").agg(F.min_by("t.target", "pos").alias("imported"))
+    folders = many.groupBy("key", folder_of(F.col("path")).alias("folder")).agg(F.min(F.struct("path", "target")).alias("near"))
+    by_folder = asked.select("ref", "key", folder_of(F.col("path")).alias("folder")).join(folders, ["key", "folder"]).select("ref", F.col("near.target").alias("neighbour"))
+    out = refs.join(by_import, "ref", "left").join(by_folder, "ref", "left")
+    return out.select("ref", F.coalesce(F.when(F.col("n") == 1, F.col("only.target")), "imported", "neighbour").alias("target"))
 
 
 def resolve_deferred(pending: DataFrame, kinds: list[DataFrame]) -> DataFrame:

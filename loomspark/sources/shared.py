@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
@@ -20,3 +20,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = _OWN[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new shared folder and read back: lineage ends there, and a lost executor costs no more than a read."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
