@@ -77,17 +77,34 @@ def resolve_calls(called: DataFrame, declared: DataFrame, refs: DataFrame) -> Da
     """(caller, target, n, path, target_path): the receiver's type, else the caller's own, else the only one among referenced types, else the only one at all.
 
     A candidate counts only if it is the single one of its rung; production code never resolves to a test path by the last.
+    Each rung is an equi-join on all that it knows of its candidates, and the last takes counts by name, so that a name of
+    many methods never meets all its calls.
     """
-    cand = declared.where("kind = 'function' AND qualified LIKE '%.%'").select(F.lower("name").alias("key"), "qualified", F.regexp_extract("qualified", r"([^.]+)\.[^.]+$", 1).alias("type"), F.col("path").alias("target_path"))
-    c = called.withColumn("call_id", F.monotonically_increasing_id())
-    pairs = c.join(cand, F.lower("callee") == F.col("key")).where(F.coalesce("caller", F.lit("")) != F.col("qualified"))
-    known = refs.select(F.col("path").alias("rp"), F.col("target").alias("rt")).distinct()
-    pairs = pairs.join(known, (F.col("path") == F.col("rp")) & (F.concat("type", F.lit("@"), "target_path") == F.col("rt")), "left")
+    methods = declared.where("kind = 'function' AND qualified LIKE '%.%'").select(F.lower("name").alias("key"), "qualified", F.regexp_extract("qualified", r"([^.]+)\.[^.]+$", 1).alias("type"), F.col("path").alias("target_path"))
     plain = F.col("receiver").isin("", "this", "self")
-    short_own = F.regexp_extract("own_type", r"([^.]+)$", 1)
-    fair = is_test_path(F.col("path")) | ~is_test_path(F.col("target_path"))
-    rung = F.when(F.lower("receiver") == F.lower("type"), 1).when(plain & (F.col("type") == short_own) & (F.col("path") == F.col("target_path")), 2).when(F.col("rt").isNotNull(), 3).when(fair & (~plain | (F.coalesce("own_type", F.lit("")) == "")), 4)
-    ranked = pairs.withColumn("rung", rung).where("rung IS NOT NULL")
-    best = ranked.withColumn("first", F.min("rung").over(Window.partitionBy("call_id"))).where((F.col("rung") == F.col("first")) | (F.col("first") == 4))
-    single = best.groupBy("call_id").agg(F.count("*").alias("m"), F.min("qualified").alias("target"), F.min("caller").alias("caller"), F.min("path").alias("path"), F.min("target_path").alias("target_path")).where("m = 1")
-    return single.groupBy("caller", "target", "path", "target_path").agg(F.count("*").alias("n")).select("caller", "target", "n", "path", "target_path")
+    calls_ = called.withColumn("key", F.lower("callee")).withColumn("call", F.xxhash64("path", "line_no", "receiver", "callee", F.coalesce("caller", F.lit(""))))
+    asked = calls_.select("call", "key", "path", F.coalesce("caller", F.lit("")).alias("caller"), F.lower("receiver").alias("receiver_type"), F.regexp_extract("own_type", r"([^.]+)$", 1).alias("short_own"), plain.alias("plain"), (F.coalesce("own_type", F.lit("")) == "").alias("outside"))
+    known = refs.select("path", "target").distinct()
+    rungs = [
+        asked.join(methods.withColumn("receiver_type", F.lower("type")), ["key", "receiver_type"]),
+        asked.where("plain").join(methods.withColumnsRenamed({"type": "short_own"}).withColumn("path", F.col("target_path")), ["key", "short_own", "path"]),
+        asked.join(known, "path").join(methods.withColumn("target", F.concat("type", F.lit("@"), "target_path")), ["key", "target"]),
+    ]
+    found = asked.select("call", "path", "caller")
+    for i, rung in enumerate(rungs):
+        one = rung.where("caller <> qualified").groupBy("call").agg(F.count("*").alias(f"m{i}"), F.min(F.struct("qualified", "target_path")).alias(f"t{i}"))
+        found = found.join(one, "call", "left")
+    # The last rung: of all methods of the name less the caller itself, one must be left.
+    fair = lambda what: F.when(~is_test_path(F.col("target_path")), what)
+    what = F.struct("qualified", "target_path")
+    names = methods.groupBy("key").agg(F.count("*").alias("all_n"), F.min(what).alias("all_low"), F.max(what).alias("all_high"), F.count(fair(F.lit(1))).alias("fair_n"), F.min(fair(what)).alias("fair_low"), F.max(fair(what)).alias("fair_high"))
+    own = methods.groupBy("key", F.col("qualified").alias("caller")).agg(F.count("*").alias("all_own"), F.count(fair(F.lit(1))).alias("fair_own"))
+    last = asked.where("not plain or outside").join(names, "key").join(own, ["key", "caller"], "left")
+    pick = lambda c: F.when(is_test_path(F.col("path")), F.col(f"all_{c}")).otherwise(F.col(f"fair_{c}"))
+    left = pick("n") - F.coalesce(pick("own"), F.lit(0))
+    other = F.when(pick("low")["qualified"] == F.col("caller"), pick("high")).otherwise(pick("low"))
+    found = found.join(last.select("call", left.alias("m3"), other.alias("t3")), "call", "left")
+    count = F.coalesce("m0", "m1", "m2", "m3")
+    target = F.when(F.col("m0").isNotNull(), F.col("t0")).when(F.col("m1").isNotNull(), F.col("t1")).when(F.col("m2").isNotNull(), F.col("t2")).otherwise(F.col("t3"))
+    single = found.where(count == 1).select(F.when(F.col("caller") != "", F.col("caller")).alias("caller"), "path", target.alias("t"))
+    return single.groupBy("caller", F.col("t.qualified").alias("target"), "path", F.col("t.target_path").alias("target_path")).agg(F.count("*").alias("n")).select("caller", "target", "n", "path", "target_path")

@@ -27,7 +27,8 @@ BACKTICK = ("javascript", "typescript", "go")
 
 
 def _string(quote: str) -> str:
-    return rf"{quote}(?:\\.|[^{quote}\\])*(?:{quote}|\\?$)"
+    # Possessive, so that matching needs no stack and no way back, however long the line.
+    return rf"{quote}(?:[^{quote}\\]++|\\.)*+(?:{quote}|\\?$)"
 
 
 def _token(single: bool, template: bool, rest: str) -> str:
@@ -36,7 +37,7 @@ def _token(single: bool, template: bool, rest: str) -> str:
     if single:
         parts.append(_string("'"))
     if template:
-        parts += [r"`(?:\\.|[^`\\])*`", r"(`).*"]
+        parts += [r"`(?:[^`\\]++|\\.)*+`", r"(`).*"]
     return "|".join([*parts, *([rest] if rest else [])])
 
 
@@ -58,7 +59,7 @@ def _end_state(code: Column, language: Column) -> Column:
     return _per_language(language, build)
 
 
-_LEAVES = {COMMENT: r"^.*?\*/", TEMPLATE: r"^(?:\\.|[^`\\])*`"}
+_LEAVES = {COMMENT: r"^.*?\*/", TEMPLATE: r"^(?:[^`\\]++|\\.)*+`"}
 
 
 def line_function(line: Column, language: Column) -> Column:

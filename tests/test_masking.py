@@ -55,6 +55,7 @@ def test_equals_a_lexer(spark, monkeypatch, group):
         language = ("java", "rust", "typescript", "go", "apex", None)[i % 6]
         n = rng.choice([1, 2, 10, 40])
         files[f"f{i}"] = (language, ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(n)] + ["end"])
+    files["wide"] = ("typescript", ["x = 'it" + "s \\' " * 20000 + "' + `" + "é { " * 20000, "y" * 50000 + "` // {", "z /*" + " * /" * 20000])
     files["long"] = ("java", ["/* opens"] + ["still in { it"] * 700 + ["out */ { x"] + ["}", "}", "{"])
     df = spark.createDataFrame([(p, lang, "\n".join(lines)) for p, (lang, lines) in files.items()], "path string, language string, text string")
     got = {}
