@@ -136,7 +136,8 @@ def fit_domains(rows: list[tuple[int, str | None]], shares: np.ndarray | None =
     odds = np.log((df + 0.5) / (n + 1)) - np.log((rest + 0.5) / (total + 1))
     odds[df.sum(axis=1) < 4] = 0.0
     model = DomainModel(odds, np.zeros(1), np.ones(1), np.zeros((1, domains)), np.zeros(domains))
-    x = model.features(pa.array([t or "" for _, t in second], pa.string()))
+    texts = pa.array([t or "" for _, t in second], pa.string())
+    x = np.concatenate([model.features(texts.slice(a, b - a)) for a, b in bounded_batches(texts)])
     y = np.eye(domains)[[d for d, _ in second]]
     if shares is not None:
         model.correction = np.log(np.maximum(shares, 1e-9)) - np.log(np.maximum(y.mean(axis=0), 1e-9))
