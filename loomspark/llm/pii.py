@@ -1,12 +1,14 @@
 """Operator 2: surrogates for personal data. DataFrame and SQL functions only.
 
 Entities (mail addresses, phone numbers, IPv4 addresses, card-like and social security numbers, IBANs, hexadecimal
-secrets, and persons after a title) are found by one regular expression and replaced in place; all other text stays.
+secrets, and persons after a title) are found by one regular expression and replaced in place; all other text stays. The
+full names and surnames that a text gives with a title are entities wherever else they stand in it.
 A surrogate is a keyed function (SHA-256 of the key, the kind, the normalised entity and an attempt number) of the
 entity alone, so every mention of one entity, however written, gets one surrogate (coreference). It is of the same kind,
 script and format: letters become letters of their script and case, digits digits, separators stay; a number that passed
 the Luhn test still does; phone numbers keep their country calling code, mail addresses their top-level domain; a person's given
-name follows the gender of the title, and a surname has one surrogate whoever bears it. Phone numbers are found with a
+name follows the gender of the title (of any title that the text gives the name), and a surname has one surrogate whoever
+bears it. Phone numbers are found with a
 country code (+ or 00), with or without separators, and without one in the North American form (3-3-4 digits, area
 code and exchange from 2 on where no bracket or plus marks them; a leading 1 is the same number).
 
@@ -24,7 +26,7 @@ kept; texts of any length are replaced whole; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import write_out
@@ -56,6 +58,10 @@ SYLLABLES = {
 }
 
 _TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True))
+#: Particles of surnames.
+PARTICLES = ("al", "bin", "da", "de", "del", "della", "den", "der", "di", "dos", "du", "la", "le", "van", "von")
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)*+"
+_NAMES = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME})?"
 _GAP = r"[ .%$#*&!|-]{1,6}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -70,9 +76,10 @@ PATTERN = "|".join(
         r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
         r"(?<![\p{L}\p{N}._+-])(?:1[ .-]?)?[2-9][0-9]{2}(?:[2-9][0-9]{6}|[ .-][2-9][0-9]{2}[ .-][0-9]{4})(?![\p{L}\p{N}_-]|\.[0-9])",
         r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
+        r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
         r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
         r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
-        rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
+        TITLED := rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAMES}(?![\p{{L}}\p{{N}}])",
     )
 )
 
@@ -88,7 +95,7 @@ def _list(words: str) -> str:
 _KIND = """CASE WHEN contains(r, '@') THEN 'email' WHEN r RLIKE '^([+(]|00[0-9]{1,3}[^0-9]|00[1-9][0-9]{8,11}$)' THEN 'phone' WHEN r RLIKE '^[0-9a-fA-F]{32,}$' THEN 'secret'
  WHEN r RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}$' THEN 'ip' WHEN r RLIKE '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' THEN 'ssn'
  WHEN r RLIKE '^(1[ .-]?)?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}$' THEN 'phone' WHEN r RLIKE '^[0-9 -]+$' THEN 'card'
- WHEN r RLIKE '^[A-Z]{2}[0-9]{2}[A-Z0-9]+$' THEN 'iban' ELSE 'person' END"""
+ WHEN r RLIKE '^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$' THEN 'iban' ELSE 'person' END"""
 
 
 def _gender(raw: str) -> str:
@@ -101,7 +108,7 @@ def _norm(e: str) -> str:
     name = f"concat({_gender(e + '.raw')}, '|', lower(regexp_replace({e}.raw, {_sql(f'^(?:{_TITLE})[.]? ')}, '')))"
     digits = f"regexp_replace({e}.raw, '[^0-9]', '')"
     abroad = f"CASE WHEN {e}.raw RLIKE '^([+]|00)' THEN concat('+', regexp_replace({digits}, '^00', '')) ELSE {digits} END"
-    return f"CASE WHEN {e}.kind = 'phone' THEN regexp_replace({abroad}, '^[+]?1([0-9]{{10}})$', '$1') WHEN {e}.kind IN ('ssn', 'card') THEN {digits} WHEN {e}.kind = 'person' THEN {name} ELSE lower({e}.raw) END"
+    return f"CASE WHEN {e}.kind = 'phone' THEN regexp_replace({abroad}, '^[+]?1([0-9]{{10}})$', '$1') WHEN {e}.kind IN ('ssn', 'card') THEN {digits} WHEN {e}.kind = 'person' THEN {name} WHEN {e}.kind = 'iban' THEN lower(replace({e}.raw, ' ', '')) ELSE lower({e}.raw) END"
 
 
 #: The letters that a letter may become, by its script; the last line takes the letters of all other scripts.
@@ -171,8 +178,11 @@ def _formatted(e: str) -> str:
     digits = f"replace({e}.canonical, '+', '')"
     # Digits before those of the normalised form (00, or the 1 of North America) stay.
     spaced = f"aggregate(sequence(1, length({e}.raw)), named_struct('out', '', 'k', 1 + length({digits}) - length(regexp_replace({e}.raw, '[^0-9]', ''))), (s, i) -> CASE WHEN {ch} RLIKE '[0-9]' THEN named_struct('out', concat(s.out, CASE WHEN s.k < 1 THEN {ch} ELSE substring({digits}, s.k, 1) END), 'k', s.k + 1) ELSE named_struct('out', concat(s.out, {ch}), 'k', s.k) END, s -> s.out)"
-    titled = f"concat(regexp_extract({e}.raw, {_sql(f'^(?:{_TITLE})[.]? ')}, 0), {e}.canonical)"
-    return f"CASE WHEN {e}.kind IN ('phone', 'ssn', 'card') THEN {spaced} WHEN {e}.kind = 'person' THEN {titled} WHEN {e}.kind = 'ip' THEN {e}.canonical ELSE {cased} END"
+    title = f"regexp_extract({e}.raw, {_sql(f'^(?:{_TITLE})[.]? ')}, 0)"
+    bare = f"substring({e}.raw, 1 + length({title}))"
+    titled = f"concat({title}, CASE WHEN {bare} = upper({bare}) THEN upper({e}.canonical) ELSE {e}.canonical END)"
+    grouped = f"upper(array_join(transform(sequence(1, length({e}.raw)), i -> CASE WHEN {ch} = ' ' THEN ' ' ELSE substring({e}.canonical, i - length(substring({e}.raw, 1, i)) + length(replace(substring({e}.raw, 1, i), ' ', '')), 1) END), ''))"
+    return f"CASE WHEN {e}.kind IN ('phone', 'ssn', 'card') THEN {spaced} WHEN {e}.kind = 'iban' THEN {grouped} WHEN {e}.kind = 'person' THEN {titled} WHEN {e}.kind = 'ip' THEN {e}.canonical ELSE {cased} END"
 
 
 def _keyed(e: str, attempt: str, last_attempt: str, key: str) -> str:
@@ -185,14 +195,31 @@ def _surname(e: str) -> str:
     return f"substring_index(CASE {e}.kind WHEN 'surname' THEN {e}.norm ELSE substring({e}.norm, 3) END, ' ', -1)"
 
 
+def entity_pattern(text: Column) -> Column:
+    """The pattern of a text's entities: that of all texts and, where persons have titles, their names without one."""
+    names = F.transform(F.regexp_extract_all(text, F.lit(TITLED), F.lit(0)), lambda r: F.regexp_replace(r, f"^(?:{_TITLE})[.]? ", ""))
+    surnames = F.transform(names, lambda n: F.substring_index(n, " ", -1))
+    # Longer names first, so that a surname does not hide the full name that it ends.
+    known = F.array_sort(F.array_distinct(F.concat(names, surnames)), lambda x, y: F.length(y) - F.length(x))
+    own = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(known, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    titled = text.rlike("(?:" + _TITLE + r")\.? ")
+    return F.when(titled & (F.size(known) > 0), own).otherwise(F.lit(PATTERN))
+
+
 def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The table with ``found``: an array of (raw, kind, norm), one for each mention in the order of the text."""
-    candidates = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
+    """The table with ``pattern``, by which a text is taken apart, and ``found``: an array of (raw, kind, norm), one for each mention in the order of the text."""
+    docs = docs.withColumn("pattern", entity_pattern(F.col(text_col)))
+    candidates = F.regexp_extract_all(F.col(text_col), F.col("pattern"), F.lit(0))
     none = F.array().cast("array<string>")
     cheap = F.col(text_col).rlike("[0-9]|@|(?:" + _TITLE + ")[. ]")
     found = docs.withColumn("found", F.when(cheap, candidates).otherwise(none))
     found = found.withColumn("found", F.expr(f"transform(found, r -> named_struct('raw', r, 'kind', {_KIND}))"))
-    return found.withColumn("found", F.expr(f"transform(found, e -> named_struct('raw', e.raw, 'kind', e.kind, 'norm', {_norm('e')}))"))
+    found = found.withColumn("found", F.expr(f"transform(found, e -> named_struct('raw', e.raw, 'kind', e.kind, 'norm', {_norm('e')}))"))
+    # A mention that leaves the gender open is of the person whom the text names with one.
+    known = "array_distinct(transform(filter(found, o -> o.kind = 'person' AND substring(o.norm, 1, 1) IN ('m', 'f') AND contains(o.norm, ' ')), o -> o.norm))"
+    found = found.withColumn("known", F.expr(known))
+    told = "coalesce(get(filter(known, n -> substring(n, 3) = substring(e.norm, 3)), 0), e.norm)"
+    return found.withColumn("found", F.expr(f"transform(found, e -> named_struct('raw', e.raw, 'kind', e.kind, 'norm', CASE WHEN e.kind = 'person' AND substring(e.norm, 1, 1) = 'x' AND size(known) > 0 THEN {told} ELSE e.norm END))")).drop("known")
 
 
 def _with_canonical(entities: DataFrame, key: str) -> DataFrame:
@@ -246,7 +273,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     canonical = "CASE WHEN e.kind = 'person' THEN {0} ELSE lower({0}) END".format(_canonical("e"))
     out = found.withColumn("found", steps).withColumn("found", F.expr(f"transform(found, e -> struct(e.raw AS raw, e.kind AS kind, {canonical} AS canonical))"))
     out = out.withColumn("fresh", F.expr(f"transform(found, e -> {_formatted('e')})"))
-    parts = F.split(F.col("text"), PATTERN, -1)
+    parts = F.split(F.col("text"), F.col("pattern"), -1)
     joined = F.array_join(F.flatten(F.zip_with(parts, F.col("fresh"), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
     text = F.when(F.size("fresh") > 0, joined).otherwise(F.col("text"))
     return out.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns if c != "n_replaced"), F.coalesce(F.size("fresh"), F.lit(0)).alias("n_replaced"))

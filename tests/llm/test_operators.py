@@ -533,3 +533,16 @@ def test_vectors_of_extreme_length_link_by_their_direction(spark):
     want = {1: (1, 1), 2: (1, 1), **dict.fromkeys((3, 4, 5, 6, 7), (4, 3)), 8: (1, 8), 9: (1, 8), 10: (0, 10)}
     got = ego_join.cosine_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want
+
+
+def test_names_recur_without_titles_and_keep_one_surrogate(spark):
+    text = "Mr. John Smith met Dr. John Smith. Later John Smith left; Smith paid. Mrs Smith-Jones, Mrs. O'Neil, Ms. de la Cruz and Mr. JOHN SMITH. Blacksmith Smithy O'Neil's."
+    iban = "DE89 3704 0044 0532 0130 00 and DE89370400440532013000, card 4111 1111 1111 1111"
+    docs = spark.createDataFrame([(1, text), (2, iban), (3, "Smith and John Smith paid")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Dr\. (\w+) (\w+)\. Later (\w+) (\w+) left; (\w+) paid\. Mrs ([\w-]+), Mrs\. (\w+), Ms\. (.+) and Mr\. (\w+) (\w+)\. Blacksmith Smithy (\w+)'s\.", got[1])
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] == m[6] == m[7] and (m[11], m[12]) == (m[1].upper(), m[2].upper()) and m[9] == m[13]
+    assert not re.search(r"Smith\b|Jones|Neil|Cruz|SMITH", got[1])
+    spaced, plain = re.fullmatch(r"(DE[0-9A-Z ]+) and (DE\w+), card [0-9 ]{19}", got[2]).groups()
+    assert spaced.replace(" ", "") == plain and len(spaced) == 27 and "3704" not in got[2]
+    assert got[3] == "Smith and John Smith paid"
