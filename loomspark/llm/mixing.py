@@ -15,7 +15,7 @@ Copies are ``floor(rate + u)`` with u uniform by a hash of the id and the text,
 
 Null and empty texts have no tokens (the rate follows their posteriors, and weighs nothing); null ids are rated like
 others and never labelled; repeated rows get equal rates; texts of any length are read whole; ``mix_documents`` keeps
-extra columns, whatever their names, ``document_rates`` ignores them; without labels of two domains all rates are 1; an
+extra columns, whatever their names, ``document_rates`` ignores them; without labels of two domains, or with fewer than six labelled rows, all rates are 1; an
 empty table gives an empty table.
 """
 

@@ -13,7 +13,8 @@ half of the rows; what only one row (or its copies, which are left out) holds is
 
 Training reads a bounded sample of labelled rows (``TOXIC_ROWS`` and ``ORDINARY_ROWS``, picked by a hash of their ids, and
 of their windows ``WINDOWS``, drawn at random); scoring covers whole texts. Null and empty texts are one empty window, and
-get the score of a text without toxic wording. Without labels of both kinds every score is 0. Null ids are never
+get the score of a text without toxic wording. With fewer than six labelled rows of either kind nothing can be
+calibrated and every score is 0. Null ids are never
 labelled; repeated rows get equal scores; extra columns, whatever their names, are ignored; an empty table gives an
 empty table.
 """
