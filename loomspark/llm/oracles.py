@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm.url_reputation import LIMIT, POINTS, REACH, TAIL, TWO_LABEL_SUFFIXES
+from loomspark.llm.url_reputation import ADDRESS, ADDRESSES, LIMIT, POINTS, REACH, TAIL, TWO_LABEL_SUFFIXES
 
+_ADDRESS = f"regexp_matches(array_to_string(l, '.'), '{ADDRESS}')"
 _TWO = "(" + ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES) + ")"
 
 
@@ -54,7 +55,7 @@ ORACLE_SQL: dict[str, str] = {
       g AS (SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
             FROM (SELECT host, bad FROM o UNION ALL SELECT host, NULL FROM h) GROUP BY 1),
       t AS (SELECT host, l, n, bad, array_to_string(l[-2:], '.') AS two FROM g),
-      hosts AS (SELECT host, n, bad, CASE WHEN two IN {_TWO} THEN two ELSE l[-1] END AS suffix, CASE WHEN two IN {_TWO} THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM t),
+      hosts AS (SELECT host, n, bad, CASE WHEN {_ADDRESS} THEN '{ADDRESSES}' WHEN two IN {_TWO} THEN two ELSE l[-1] END AS suffix, CASE WHEN {_ADDRESS} THEN array_to_string(l, '.') WHEN two IN {_TWO} THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM t),
       s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END FROM hosts) AS mean, 0.0 AS above FROM hosts GROUP BY 1),
       s1 AS ({_shrunk("s0")}),
       d0 AS (SELECT hosts.suffix, hosts.domain, sum(hosts.n) AS n, sum(hosts.bad) AS bad, any_value(s1.rate) AS mean, any_value(s1.loose) AS above FROM hosts JOIN s1 ON hosts.suffix = s1.suffix GROUP BY 1, 2),

@@ -29,6 +29,9 @@ POINTS, REACH = 401, 8
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
 
+#: Hosts that are addresses, and the suffix that they share.
+ADDRESS, ADDRESSES = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*)$", "[address]"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,11 +42,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """The public suffix (last label, or two) and the label before it with it; of the host without a port."""
+    """The public suffix (last label, or two) and the label before it with it; of the host without a port. An IP address is a
+    domain of its own below the suffix ``ADDRESSES``."""
     bare = F.regexp_replace(host, ":[0-9]*$", "")
     two = F.substring_index(bare, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
-    return suffix, F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    address = bare.rlike(ADDRESS)
+    suffix = F.when(address, F.lit(ADDRESSES)).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
+    return suffix, F.when(address, bare).when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:

@@ -546,3 +546,9 @@ def test_names_recur_without_titles_and_keep_one_surrogate(spark):
     spaced, plain = re.fullmatch(r"(DE[0-9A-Z ]+) and (DE\w+), card [0-9 ]{19}", got[2]).groups()
     assert spaced.replace(" ", "") == plain and len(spaced) == 27 and "3704" not in got[2]
     assert got[3] == "Smith and John Smith paid"
+
+
+def test_addresses_are_domains_of_their_own(spark):
+    hosts = spark.createDataFrame([("10.0.0.1:80",), ("192.168.0.1",), ("[::1]:8080",), ("a.b.co.uk",), ("1.2.3.example.org",)], "host string")
+    got = [tuple(r) for r in hosts.select(*url_reputation.suffix_and_domain(F.col("host"))).collect()]
+    assert got == [("[address]", "10.0.0.1"), ("[address]", "192.168.0.1"), ("[address]", "[::1]"), ("co.uk", "b.co.uk"), ("org", "example.org")]
