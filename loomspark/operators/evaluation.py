@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Characters that make an expectation a glob, and how a fact cites a place.
 GLOB_MARKS = r"[*?\[]"
-CITED = r"([^\s,;()]+\.\w+)#L\d+"
+CITED = r"(?<![\w/.-])([\w./-]+\.\w+)#L\d+"
 
 
 def with_tags(questions: DataFrame, tags: list[str]) -> DataFrame:
