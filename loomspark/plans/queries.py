@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.functions.embedding import hash_embeddings
-from loomspark.functions.stemming import stemmed
 from loomspark.operators import chunking, graph, render, search, tables
 from loomspark.sources.tables import corpus, table
 from loomspark.streaming.ingest import tumbling_counts
@@ -214,9 +213,7 @@ def pack_decisions(spark, d):
 
 @query
 def bm25_stemmed(spark, d):
-    posts, terms = stemmed(_posts(spark, d)), stemmed(_terms(spark, d))
-    posts = posts.groupBy("id", "col", "term").agg(F.sum("tf").alias("tf"))
-    return _shown(search.ranked(search.bm25_of_postings(posts, terms), limit=10))
+    return _shown(search.ranked(search.bm25_stemmed(corpus(spark, d), _terms(spark, d)), limit=10))
 
 
 @query

@@ -4,7 +4,8 @@ import sqlite3
 from pyspark.sql import functions as F
 
 from loomspark.functions.embedding import hash_embeddings
-from loomspark.functions.stemming import fold, stem
+from loomspark.functions.stemming import asked_forms, fold, stem, stemmed
+from loomspark.operators import search
 from loomspark.operators.render import fence, markdown_packs
 
 
@@ -41,3 +42,19 @@ def test_markdown(spark):
     got = markdown_packs(spark.createDataFrame(rows, "query_id long, rank int, bucket string, path string, start_line int, end_line int, text string")).first()
     assert got.markdown == "## norms\n\n### b.md#L3-9\n`````\ny ```` z\n`````\n\n## knowledge\n\n### a.md#L1-2\n```\nx\n```"
     assert spark.range(1).select(fence(F.lit("no"))).first()[0] == "```"
+
+
+def test_search_by_stems_keeps_only_asked_ones(spark):
+    """The same scores as over all stemmed postings, while words of other stems are dropped before any shuffle."""
+    chunks = spark.createDataFrame([(1, "Connected relations ran", "a/happy.md"), (2, "connecting happiness", "b/Été.md"), (3, "nothing asked", None), (4, None, "c/connections.md")], "id long, text string, path string")
+    terms = spark.createDataFrame([(1, 0, "connect", 2), (1, 1, "happy", 2), (2, 0, "ete", 1), (3, 0, "nowhere", 1)], "query_id long, pos int, term string, n_terms int")
+    posts = stemmed(search.postings(chunks, "id")).groupBy("id", "col", "term").agg(F.sum("tf").alias("tf"))
+    shown = lambda hits: sorted((r["query_id"], r["id"], round(r["score"], 9), r["strict"]) for r in hits.collect())
+    hits = search.bm25_stemmed(chunks, terms)
+    assert shown(hits) == shown(search.bm25_of_postings(posts, stemmed(terms))) and len(shown(hits)) == 4
+    words = spark.createDataFrame([(w,) for w in "connected connection asked ran connected".split()], "term string")
+    forms = asked_forms(words, stemmed(terms))
+    assert sorted(map(tuple, forms.collect())) == [("connected", "connect"), ("connection", "connect")]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # the texts', once
