@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import detect_language
 from loomspark.operators.chunking import split_lines
+from loomspark.sources.shared import stored
 
 GROUP = 256
 CODE, COMMENT, TEMPLATE = 0, 1, 2
@@ -62,17 +63,22 @@ def _end_state(code: Column, language: Column) -> Column:
 _LEAVES = {COMMENT: r"^.*?\*/", TEMPLATE: r"^(?:[^`\\]++|\\.)*+`"}
 
 
+#: A line without these characters leaves every state as it is, and code as it stands.
+_STARTS = "[\"'`/*]"
+
+
 def line_function(line: Column, language: Column) -> Column:
     """The states after a line that begins in code, in a comment, in a template."""
     ends = [_end_state(line, language)]
     for state, leaves in _LEAVES.items():
         ends.append(F.when(line.rlike(leaves), _end_state(F.regexp_replace(line, leaves, ""), language)).otherwise(state))
-    return F.array(*ends)
+    return F.when(line.rlike(_STARTS), F.array(*ends)).otherwise(F.array(*map(F.lit, (CODE, COMMENT, TEMPLATE))))
 
 
 def line_states(lines: DataFrame, function: str = "f") -> DataFrame:
     """(path, line_no, state) from lines (path, line_no, f): the state that each line begins in."""
-    members = lines.select("path", (F.col("line_no") - 1).cast("long").alias("n"), F.col(function).alias("f"))
+    # Dealt by file once: a file's members, groups and states then meet without a further shuffle.
+    members = lines.select("path", (F.col("line_no") - 1).cast("long").alias("n"), F.col(function).alias("f")).repartition("path")
     levels, most = [], members.agg(F.max("n")).first()[0] or 0
     while True:
         groups = members.groupBy("path", F.expr(f"n div {GROUP}").alias("g")).agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("members"))
@@ -112,7 +118,7 @@ def masked(line: Column, language: Column, state: Column) -> Column:
 
         return _per_language(language, build)
 
-    out = F.when(state == CODE, code(line))
+    out = F.when(state == CODE, F.when(line.rlike(_STARTS), code(line)).otherwise(line))
     for own, leaves in _LEAVES.items():
         head, tail = F.regexp_extract(line, leaves, 0), F.regexp_replace(line, leaves, "")
         closing = F.lit("  ") if own == COMMENT else F.lit("`")
@@ -126,13 +132,15 @@ def masked_lines(files: DataFrame) -> DataFrame:
     language = F.col("language") if "language" in files.columns else detect_language(F.col("path"))
     rows = files.select("path", language.alias("language"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
     rows = rows.select("path", "language", (F.col("at") + 1).alias("line_no"), "line")
-    states = line_states(rows.withColumn("f", line_function(F.col("line"), F.col("language"))))
-    return rows.join(states, ["path", "line_no"]).select("path", "line_no", "line", masked(F.col("line"), F.col("language"), F.col("state")).alias("code"))
+    # Stored with their functions, which several levels read.
+    rows = stored(rows.withColumn("f", line_function(F.col("line"), F.col("language"))), "functions")
+    shown = rows.drop("f").repartition("path").join(line_states(rows), ["path", "line_no"])
+    return shown.select("path", "line_no", "line", masked(F.col("line"), F.col("language"), F.col("state")).alias("code"))
 
 
 def with_depths(lines: DataFrame) -> DataFrame:
     """Masked lines with the depth of braces before and after each."""
-    braces = F.regexp_replace("code", "[^{}]", "")
+    braces = F.regexp_replace("code", "[^{}]+", "")
     steps = F.filter(F.split(braces, ""), lambda c: c != "")
     walk = F.aggregate(steps, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("least")), lambda s, c: F.struct((s["sum"] + F.when(c == "{", 1).otherwise(-1)).alias("sum"), F.least(s["least"], s["sum"] + F.when(c == "{", 1).otherwise(-1)).alias("least")))
     upto = Window.partitionBy("path").orderBy("line_no")

@@ -55,7 +55,7 @@ def graph_entities(spark, d):
 def masked_code(spark, d):
     """How much of each file is left of its code, and how deep its braces go."""
     lines = masking.with_depths(masking.masked_lines(source_files(spark, d).select("path", "text")))
-    return lines.groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.length(F.regexp_replace("code", r"\s", ""))).alias("code"), F.max("after").alias("deepest"))
+    return lines.groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.length(F.regexp_replace("code", r"\s+", ""))).alias("code"), F.max("after").alias("deepest"))
 
 
 @query

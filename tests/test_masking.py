@@ -72,3 +72,13 @@ def test_null_and_empty_texts(spark):
     rows = [(r["path"], r["line_no"], r["code"]) for r in masking.masked_lines(df).orderBy("path", "line_no").collect()]
     assert [r for r in rows if r[0] == "c.java"] == [("c.java", 1, ""), ("c.java", 2, ""), ("c.java", 3, " x")]
     assert all(not re.sub(r"\s", "", r[2]) for r in rows if r[0] != "c.java")
+
+
+def test_lines_are_shuffled_once(spark):
+    """States, lines and depths of a file meet where the file is dealt, and no line function is computed again."""
+    df = spark.createDataFrame([(f"f{i}.java", "class A { /* it's\nplain */ }\n" * 300) for i in range(5)], "path string, text string")
+    out = masking.with_depths(masking.masked_lines(df))
+    assert out.count() == 5 * 600 and all(r["after"] == 0 for r in out.where("line_no = 600").collect())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#\d+, \d+\)", plan)) == {"path"}
+    assert not re.search(r"Exchange hashpartitioning\(\w+#\w+, \w+#", plan) and "regexp_replace(line#" not in plan.split("FileScan", 1)[1]
