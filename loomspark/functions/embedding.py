@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import words
 
 SIZE = 256
+#: Rows of a batch of vectors.
+ROWS = 1024
 
 
 def _embed(size: int, most: int):
@@ -20,10 +22,11 @@ def _embed(size: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
-        for batch in batches:
+        # A row at a time: a batch's words as Python strings take many times its bytes.
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
-            for terms in batch.column(1).to_pylist():
-                terms = terms or []
+            for row in batch.column(1):
+                terms = row.as_py() or []
                 v = np.zeros(size)
                 for feature in [*terms, *(f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False))]:
                     hit = known.get(feature)

@@ -1,9 +1,11 @@
 import random
 import sqlite3
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomspark.functions.embedding import hash_embeddings
+from loomspark.functions.embedding import _embed, hash_embeddings
 from loomspark.functions.stemming import asked_forms, fold, stem, stemmed
 from loomspark.operators import search
 from loomspark.operators.render import fence, markdown_packs
@@ -58,3 +60,15 @@ def test_search_by_stems_keeps_only_asked_ones(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("Initial Plan")[0]
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # the texts', once
+
+
+def test_hash_embeddings_hold_one_row_of_words_at_a_time():
+    words = [[f"w{j}" for j in range(500)]] * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["id", "terms"])
+    run, _ = _embed(16, 10)
+    tracemalloc.start()
+    try:
+        out = list(run(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 10e6 and sum(b.num_rows for b in out) == 2000
+    finally:
+        tracemalloc.stop()
