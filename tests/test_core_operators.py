@@ -140,3 +140,11 @@ def test_codeowners(spark):
     assert got == {"src/a.py": "two", "docs/x.md": "three", "other": None}
     got = {r[0]: r[1] for r in files.select("path", graph.first_claim(files, [("one", "src/**"), ("two", "**/*.py")]).alias("x")).collect()}
     assert got == {"src/a.py": "one", "docs/x.md": None, "other": None}
+
+
+def test_neighbourhood_ranks_neighbours_once(spark):
+    """Both steps read the stored neighbours; edges are not ranked again for each."""
+    edges = spark.createDataFrame([(f"p{i}", f"s{j}", "uses") for i in range(6) for j in range(3)], "src string, dst string, kind string")
+    out = graph.neighbourhood(edges, spark.createDataFrame([("p0",)], "start string"), (2, 2))
+    assert sorted(map(tuple, out.collect())) == [("p0", "p0", 0), ("p0", "p1", 2), ("p0", "s0", 1), ("p0", "s1", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number(") <= 2  # one window
