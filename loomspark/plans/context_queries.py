@@ -11,6 +11,7 @@ from loomspark.functions import text as T
 from loomspark.functions.text import estimate_tokens, text_hash
 from loomspark.operators import chunking, evaluation, facts, graph, ownership, render, search, views
 from loomspark.plans import queries as base
+from loomspark.sources.shared import stored
 from loomspark.sources.tables import corpus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,10 +99,16 @@ def _named(spark, d):
     return facts.question_entities(_questions(spark, d), _symbols(spark, d), limit=20)
 
 
-def _behind(spark, d):
+def _best(spark, d):
+    """The best thirty hits of each question, stored: the corpus is scored once for facts and packs."""
+    return stored(search.ranked(base._hits(spark, d), limit=30), "best")
+
+
+def _behind(spark, d, best=None):
     """Entities behind the best five hits; of every third document the file is code, of even ones the first word is a heading."""
     c = corpus(spark, d).select("id", "path", F.when(F.col("id") % 2 == 0, F.regexp_extract("text", r"[A-Za-z_]+", 0)).alias("heading"))
-    hits = search.ranked(base._hits(spark, d), limit=5).join(c, "id").select("query_id", "rank", "path", "heading")
+    best = search.ranked(base._hits(spark, d), limit=5) if best is None else best.where("rank <= 5")
+    hits = best.join(c, "id").select("query_id", "rank", "path", "heading")
     kind = F.when(F.col("id") % 3 == 0, "code").otherwise("doc")
     files = c.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("name"), kind.alias("kind"), "path")
     return facts.hit_entities(hits, _symbols(spark, d).drop("in_degree").unionByName(files))
@@ -122,8 +129,8 @@ def entities_for_questions(spark, d):
     return facts.entities_for_questions(_named(spark, d), _behind(spark, d))
 
 
-def _facts(spark, d):
-    about = facts.entities_for_questions(_named(spark, d), _behind(spark, d))
+def _facts(spark, d, best=None):
+    about = facts.entities_for_questions(_named(spark, d), _behind(spark, d, best))
     fact = F.concat(F.regexp_replace("id", "^[a-z]+:", ""), F.lit(" — "), F.substring_index("id", ":", 1))
     return facts.facts_within(about.select("query_id", "rank", fact.alias("fact")), budget=80)
 
@@ -136,8 +143,9 @@ def question_facts(spark, d):
 @query
 def pack_with_facts(spark, d):
     """Packs whose facts come first and count against the budget."""
-    top = search.ranked(base._hits(spark, d), limit=30).join(corpus(spark, d).select("id", F.col("source_id").alias("path"), "hash", "tokens"), "id")
-    sizes = _facts(spark, d).groupBy("query_id").agg(F.sum("tokens").alias("facts_tokens"))
+    best = _best(spark, d)
+    top = best.join(corpus(spark, d).select("id", F.col("source_id").alias("path"), "hash", "tokens"), "id")
+    sizes = _facts(spark, d, best).groupBy("query_id").agg(F.sum("tokens").alias("facts_tokens"))
     return search.pack_hits(top.select("query_id", "rank", "id", "path", "hash", "tokens"), budget=3000, facts=sizes)
 
 

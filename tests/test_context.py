@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomspark.plans import context_queries
 from loomspark.operators import evaluation, facts, ownership, search, views
 
 
@@ -107,3 +108,10 @@ def test_tables_of_a_corpus(spark, tmp_path):
     assert [r.sources for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [["a", "b"]] * 2
     files = spark.createDataFrame([("code", "kotlin"), ("code", "xml"), ("markdown", None)], "type string, language string")
     assert views.languages_filter(files, F.col("type"), F.col("language"), ["kotlin"]).count() == 2
+
+
+def test_facts_and_packs_score_the_corpus_once(spark, monkeypatch):
+    calls, hits = [], context_queries.base._hits
+    monkeypatch.setattr(context_queries.base, "_hits", lambda *a: calls.append(a) or hits(*a))
+    context_queries.QUERIES["pack_with_facts"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
