@@ -152,7 +152,7 @@ def pack_with_facts(spark, d):
 @query
 def search_modes(spark, d):
     """Questions answered by words, by vectors or by both, in turn by their number."""
-    words = search.search_mode(base._hits(spark, d), base._terms(spark, d), limit=50)
+    words = stored(search.search_mode(base._hits(spark, d), base._terms(spark, d), limit=50), "words")
     v = base._vectors(spark, d)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct().join(v, "id").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     kinds = F.element_at(F.array(*map(F.lit, ("bm25", "vector", "hybrid"))), (F.col("item_id") % 3 + 1).cast("int"))

@@ -148,3 +148,12 @@ def test_neighbourhood_ranks_neighbours_once(spark):
     out = graph.neighbourhood(edges, spark.createDataFrame([("p0",)], "start string"), (2, 2))
     assert sorted(map(tuple, out.collect())) == [("p0", "p0", 0), ("p0", "p1", 2), ("p0", "s0", 1), ("p0", "s1", 1)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number(") <= 2  # one window
+
+
+def test_search_mode_scores_hits_once(spark):
+    """Both lists come from a stored pool: the hits' own plan is not part of the result's."""
+    hits = spark.createDataFrame([(1, i, float(i), i % 2 == 0) for i in range(9)], "query_id long, id long, score double, strict boolean").withColumn("score", F.col("score") + 0.125)
+    terms = spark.createDataFrame([(1, 0, "a", 2), (1, 1, "b", 2)], "query_id long, pos int, term string, n_terms int")
+    out = search.search_mode(hits, terms, limit=3, pool=3)
+    assert "0.125" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["id"], r["mode"]) for r in out.orderBy("rank").collect()] == [(8, "all"), (6, "all"), (4, "all")]
