@@ -3,10 +3,13 @@
 The index is a snapshot table of segments, one for each ingest. A segment has
 
 * blocks: the postings of a term in a cell of documents (a hash of the id), with the greatest frequency and the least
-  length in it, from which follows the greatest BM25 contribution under any statistics of the corpus;
+  length in it, from which follows the greatest BM25 contribution under any statistics of the corpus; a cell of very many
+  words has several blocks of a term;
 * entries: id, length and terms of each document that it adds, or that a document is gone;
-* changes of the terms' document frequencies and of the totals: those of added documents less those of replaced ones.
+* what replaced documents take from the terms' document frequencies and from the totals; what added ones give stands in
+  the blocks' and entries' own counts.
 
+Texts are dealt out by cell, once; words, postings and entries stay in the task that they come from, which writes them.
 Blocks and frequencies lie in folders by a hash of the term. A search reads the headers of the asked terms' blocks (no
 postings), sums each question's bounds by cell, reads the ``FIRST`` most promising cells of each question, and then only
 cells whose bound reaches the last place found there. A cell's postings are scored for a block of questions at once, and
@@ -17,17 +20,22 @@ segment are one commit: readers see all of an ingest or nothing of it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import words
-from loomspark.operators.search import B, K1, LEAST_IDF, WEIGHTS, fuse_lists, ranked
+from loomspark.operators.search import B, K1, LEAST_IDF, WEIGHTS, fuse_lists, ranked, words_of
+from loomspark.sources.shared import stored
 from loomspark.sources.snapshots import SnapshotTable
 
 #: Folders by term, documents of a cell (on average), cells that are read first, questions of a block.
 BUCKETS, CELL, FIRST, QUESTIONS = 32, 2048, 2, 512
+#: Words that are made postings at once, but for a longer document.
+WORDS = 2_000_000
 
 
 def _schema(id_type: str) -> str:
@@ -60,34 +68,30 @@ class InvertedIndex:
             self._cells = self.table.read().where("kind = 'total'").agg(F.max("cell")).first()[0] or 1
         return self._cells
 
-    def _counted(self, chunks: DataFrame) -> DataFrame:
-        """(id, length, found: distinct terms with their weighted frequency) in one pass over each text."""
-        columns = list(self.weights)
-        taken = chunks.select(F.col("id").cast(self.id_type).alias("id"), *(F.coalesce(words(F.lower(F.col(c))), F.array().cast("array<string>")).alias(f"w{i}") for i, c in enumerate(columns)))
-
-        def weighted(i: int, weight: float) -> Column:
-            return F.transform(f"w{i}", lambda w: F.struct(w.alias("term"), F.lit(weight).alias("f")))
+    def _cell(self, cells: int) -> Column:
+        return F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(cells))
 
-        every = F.concat(*(weighted(i, self.weights[c]) for i, c in enumerate(columns)))
-        length = sum((F.size(f"w{i}") for i in range(len(columns))), F.lit(0)).cast("long")
-        return taken.select("id", length.alias("length"), every.alias("every"))
-
-    def _segment(self, chunks: DataFrame) -> DataFrame:
-        """(id, length, term, f) of chunks (id and the text columns), one row a posting; a row without a term for a chunk without words."""
-        counted = self._counted(chunks).select("id", "length", F.explode_outer("every").alias("w"))
-        return counted.groupBy("id", "length", F.col("w.term").alias("term")).agg(F.sum("w.f").alias("f"))
+    def _segment(self, chunks: DataFrame, cells: int) -> DataFrame:
+        """Rows of blocks and entries of chunks (id and the text columns; of equal ids one), in one pass over each text."""
+        columns = list(self.weights)
+        dealt = chunks.withColumn("cell", self._cell(cells)).repartition("cell").dropDuplicates(["cell", "id"]).sortWithinPartitions("cell")
+        words = words_of(dealt, columns, F.col("cell"), F.col("id"))
+        rows = words.mapInArrow(_postings_of(list(self.weights.values())), f"kind string, term string, cell bigint, n bigint, ids array<{self.id_type}>, fs array<double>, lengths array<bigint>, max_f double, min_length bigint, id {self.id_type}, length bigint, terms array<string>")
+        bucket, gone = F.when(F.col("kind") == "block", self._bucket()), F.when(F.col("kind") == "entry", False)
+        return rows.withColumns({"bucket": bucket, "gone": gone}).select(*self.table.schema.fieldNames())
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
 
     def _blocks(self, posts: DataFrame, cells: int) -> DataFrame:
-        cell = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(cells))
-        blocks = posts.where("term is not null").groupBy("term", cell.alias("cell")).agg(F.count("*").alias("n"), F.collect_list(F.struct("id", "f", "length")).alias("p"), F.max("f").alias("max_f"), F.min("length").alias("min_length"))
+        blocks = posts.groupBy("term", self._cell(cells).alias("cell")).agg(F.count("*").alias("n"), F.collect_list(F.struct("id", "f", "length")).alias("p"), F.max("f").alias("max_f"), F.min("length").alias("min_length"))
         return blocks.select(*self._rows("block", bucket=self._bucket(), term=F.col("term"), cell=F.col("cell"), n=F.col("n"), ids=F.col("p.id"), fs=F.col("p.f"), lengths=F.col("p.length"), max_f=F.col("max_f"), min_length=F.col("min_length")))
 
-    def entries(self) -> DataFrame:
-        """(id, length, terms) of the documents of the index, each as its last segment has it."""
+    def entries(self, ids: DataFrame | None = None) -> DataFrame:
+        """(id, length, terms) of the documents of the index (of those in ``ids``: id), each as its last segment has it."""
         rows = self.table.read(versions=True).where("kind = 'entry'")
+        if ids is not None:
+            rows = rows.join(ids, "id", "left_semi")
         last = rows.groupBy("id").agg(F.max_by(F.struct("gone", "length", "terms"), "version").alias("e"))
         return last.where("not e.gone").select("id", "e.length", "e.terms")
 
@@ -99,42 +103,38 @@ class InvertedIndex:
         name = name or uuid.uuid4().hex
         if any(r[0] == name for r in self.table.live().where(F.col("part") == name).select("part").collect()):
             return self.table.version()
-        chunks = chunks.select("id", *self.weights).where("id is not null").dropDuplicates(["id"])
-        if self._cells is None and not self.table.version():
-            self._cells = max(1, -(-chunks.count() // CELL))
-        posts = self._segment(chunks).persist()
-        try:
-            added = posts.groupBy("id", "length").agg(F.collect_list("term").alias("terms"))
-            touched = added.select("id", F.lit(False).alias("gone"))
+        chunks = chunks.select(F.col("id").cast(self.id_type).alias("id"), *self.weights).where("id is not null")
+        version = self.table.version()
+        if self._cells is None and not version:
+            self._cells = max(1, -(-chunks.select("id").distinct().count() // CELL))
+        cells = self.cells()
+        rows = self._segment(chunks, cells)
+        rows = rows.unionByName(self.spark.range(1).select(*self._rows("total", cell=F.lit(cells))))
+        if version:  # what is replaced or goes
+            added = chunks.select("id").distinct()
+            touched = added
             if removed is not None:
-                own = removed.select(F.col("id").cast(self.id_type).alias("id")).distinct()
-                touched = touched.unionByName(own.join(added, "id", "left_anti").withColumn("gone", F.lit(True)))
-            old = self.entries().join(touched.select("id"), "id", "left_semi")
-            entry = added.select(*self._rows("entry", id=F.col("id"), length=F.col("length"), terms=F.col("terms"), gone=F.lit(False)))
-            gone = touched.where("gone").select(*self._rows("entry", id=F.col("id"), gone=F.lit(True)))
-            df = added.select(F.explode("terms").alias("term"), F.lit(1).alias("n")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("n")))
-            df = df.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").select(*self._rows("df", bucket=self._bucket(), term=F.col("term"), n=F.col("n")))
-            total = added.select(F.lit(1).alias("n"), "length").unionByName(old.select(F.lit(-1).alias("n"), (-F.col("length")).alias("length")))
-            total = total.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).select(*self._rows("total", n=F.col("n"), length=F.col("length"), cell=F.lit(self.cells())))
-            rows = self._blocks(posts, self.cells()).unionByName(entry).unionByName(gone).unionByName(df).unionByName(total)
-            return self.table.commit(rows.repartition("kind", "bucket", F.pmod(F.xxhash64("term", "id"), F.lit(8))).sortWithinPartitions("kind", "bucket", "term"), name)
-        finally:
-            posts.unpersist()
+                own = removed.select(F.col("id").cast(self.id_type).alias("id")).where("id is not null").distinct().join(added, "id", "left_anti")
+                rows = rows.unionByName(own.select(*self._rows("entry", id=F.col("id"), gone=F.lit(True))))
+                touched = touched.unionByName(own)
+            old = self.entries(touched)
+            df = old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("n")).select(*self._rows("df", bucket=self._bucket(), term=F.col("term"), n=F.col("n")))
+            total = old.agg((-F.count("*")).alias("n"), (-F.sum("length")).alias("length")).select(*self._rows("total", n=F.col("n"), length=F.col("length"), cell=F.lit(cells)))
+            rows = rows.unionByName(df).unionByName(total)
+        return self.table.commit(rows.sortWithinPartitions("kind", "bucket", "term"), name)
 
     def compact(self, cells: int | None = None) -> int:
         """All segments as one, with as many cells as the documents ask for."""
         parts = [r[0] for r in self.table.live().select("part").collect()]  # one a segment
         entries = self.entries().persist()
         try:
-            count, length = entries.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-            cells = cells or max(1, -(-count // CELL))
+            cells = cells or max(1, -(-entries.count() // CELL))
             rows = self.table.read(versions=True)
             last = rows.where("kind = 'entry'").groupBy("id").agg(F.max("version").alias("version"))
             posts = rows.where("kind = 'block'").select("version", "term", F.explode(F.arrays_zip("ids", "fs", "lengths")).alias("p")).select("version", "term", F.col("p.ids").alias("id"), F.col("p.fs").alias("f"), F.col("p.lengths").alias("length")).join(last, ["id", "version"], "left_semi")
-            df = entries.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).select(*self._rows("df", bucket=self._bucket(), term=F.col("term"), n=F.col("n")))
-            total = self.spark.range(1).select(*self._rows("total", n=F.lit(count), length=F.lit(length), cell=F.lit(cells)))
-            entry = entries.select(*self._rows("entry", id=F.col("id"), length=F.col("length"), terms=F.col("terms"), gone=F.lit(False)))
-            whole = self._blocks(posts, cells).unionByName(entry).unionByName(df).unionByName(total)
+            total = self.spark.range(1).select(*self._rows("total", cell=F.lit(cells)))
+            entry = entries.select(*self._rows("entry", n=F.lit(1), id=F.col("id"), length=F.col("length"), terms=F.col("terms"), gone=F.lit(False)))
+            whole = self._blocks(posts, cells).unionByName(entry).unionByName(total)
             version = self.table.commit(whole.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "term"), f"compact-{uuid.uuid4().hex}", parts)
         finally:
             entries.unpersist()
@@ -145,22 +145,23 @@ class InvertedIndex:
 
     def asked(self, terms: DataFrame) -> DataFrame:
         """(query_id, term, bucket, n_terms, idf, mean) of question terms (query_id, term, n_terms) that the index holds."""
-        totals = self.table.read().where("kind = 'total'").agg(F.sum("n").alias("n_docs"), (F.sum("length") / F.sum("n")).alias("mean")).first()
+        totals = self.table.read().where("kind IN ('entry', 'total')").agg(F.sum("n").alias("n_docs"), (F.sum("length") / F.sum("n")).alias("mean")).first()
         n_docs, mean = totals["n_docs"] or 0, totals["mean"] or 1.0
         own = terms.select("query_id", "term", "n_terms", self._bucket().alias("bucket"))
-        df = self.table.read().where("kind = 'df'").join(F.broadcast(own.select("bucket", "term").distinct()), ["bucket", "term"]).groupBy("bucket", "term").agg(F.sum("n").alias("df")).where("df > 0")
+        df = self.table.read().where("kind IN ('block', 'df')").join(F.broadcast(own.select("bucket", "term").distinct()), ["bucket", "term"]).groupBy("bucket", "term").agg(F.sum("n").alias("df")).where("df > 0")
         return own.join(df, ["bucket", "term"]).select("query_id", "term", "bucket", "n_terms", _idf(F.lit(n_docs), F.col("df")).alias("idf"), F.lit(float(mean)).alias("mean"))
 
-    def bounds(self, asked: DataFrame, strict: bool) -> DataFrame:
-        """(query_id, cell, bound): the greatest score that a document of the cell can have, from the blocks' headers alone."""
+    def bounds(self, asked: DataFrame, strict: bool = False) -> DataFrame:
+        """(query_id, cell, bound, strict: whether it has all terms of the question; ``strict``: only those): the greatest score that a document of the cell can have, from the blocks' headers alone."""
         heads = self.table.read().where("kind = 'block'").join(F.broadcast(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
         heads = heads.select("term", "cell", "max_f", "min_length")
         met = asked.join(heads, "term").groupBy("query_id", "cell", "term").agg(F.max(_contribution(F.col("max_f"), F.col("min_length"), F.col("mean"), F.col("idf"))).alias("part"), F.first("n_terms").alias("n_terms"))
         cells = met.groupBy("query_id", "cell").agg(F.sum("part").alias("bound"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
-        return (cells.where("n = n_terms") if strict else cells).select("query_id", "cell", "bound")
+        cells = cells.select("query_id", "cell", "bound", (F.col("n") == F.col("n_terms")).alias("strict"))
+        return cells.where("strict") if strict else cells
 
-    def _scores(self, asked: DataFrame, cells: DataFrame, k: int, strict: bool, allowed: DataFrame | None) -> DataFrame:
-        """(query_id, id, score, strict): the best ``k`` documents of each (query_id, cell)."""
+    def _scores(self, asked: DataFrame, cells: DataFrame, k: int, kinds: tuple[bool, ...], allowed: DataFrame | None) -> DataFrame:
+        """(query_id, id, score, strict): the best ``k`` documents of each (query_id, cell), of each kind: strict or not."""
         blocks = max(1, -(-asked.select("query_id").distinct().count() // QUESTIONS))
         group = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("group")
         left = cells.select("query_id", "cell").join(asked, "query_id").select(group, "cell", "query_id", "term", "idf", "mean", "n_terms")
@@ -176,12 +177,36 @@ class InvertedIndex:
         if allowed is not None:
             marks.append(allowed.select(F.col("id").cast(self.id_type).alias("id"), F.lit(None).cast("long").alias("version"), F.lit(True).alias("allowed")).distinct())
         for side in marks:
-            side = side.withColumn("cell", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(self.cells()))).join(used.select("group", "cell").distinct(), "cell")
+            side = side.withColumn("cell", self._cell(self.cells())).join(used.select("group", "cell").distinct(), "cell")
             rows = rows.unionByName(side.select("group", "cell", mark.alias("mark")), allowMissingColumns=True)
         if "mark" not in rows.columns:
             rows = rows.withColumn("mark", F.lit(None).cast(f"struct<id:{self.id_type},version:bigint,allowed:boolean>"))
         schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {self.id_type}, score double, strict boolean"
-        return rows.groupBy("group", "cell").applyInArrow(_score_cell(k, strict, allowed is not None), schema)
+        return rows.groupBy("group", "cell").applyInArrow(_score_cell(k, kinds, allowed is not None), schema)
+
+    def hits(self, terms: DataFrame, k: int, kinds: tuple[bool, ...], allowed: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, score, strict): among them the ``k`` best documents of each question of each kind: strict or not.
+
+        The kinds share the cells that are read: a cell counts where its bound reaches the last place of either.
+        """
+        asked = self.asked(terms).persist()
+        cells = self.bounds(asked).persist()
+        order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "cell")
+
+        def of_kind(rows: DataFrame, strict: bool) -> DataFrame:
+            return rows.where("strict") if strict else rows
+
+        def together(parts: list[DataFrame]) -> DataFrame:
+            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
+
+        chosen = together([of_kind(cells, s).withColumn("at", F.row_number().over(order)).where(F.col("at") <= FIRST).select("query_id", "cell") for s in kinds])
+        first = self._scores(asked, chosen, k, kinds, allowed).persist()
+        others = cells.join(chosen, ["query_id", "cell"], "left_anti")
+        rest = []
+        for s in kinds:
+            last = ranked(of_kind(first, s), limit=k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last")).where(F.col("n") >= k)
+            rest.append(of_kind(others, s).join(last, "query_id", "left").where(F.col("last").isNull() | (F.col("bound") >= F.col("last") - 1e-8)).select("query_id", "cell"))
+        return first.unionByName(self._scores(asked, together(rest), k, kinds, allowed))
 
     def top_k(self, terms: DataFrame, k: int, strict: bool = False, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score, strict, rank): the ``k`` best documents of each question by BM25.
@@ -189,33 +214,85 @@ class InvertedIndex:
         ``strict``: only documents with all terms of the question; ``allowed``: only these ids (statistics stay those of
         the whole corpus).
         """
-        asked = self.asked(terms).persist()
-        cells = self.bounds(asked, strict).persist()
-        order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "cell")
-        chosen = cells.withColumn("at", F.row_number().over(order)).where(F.col("at") <= FIRST)
-        first = self._scores(asked, chosen, k, strict, allowed).persist()
-        last = ranked(first, limit=k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last")).where(F.col("n") >= k)
-        rest = cells.join(chosen.select("query_id", "cell"), ["query_id", "cell"], "left_anti").join(last, "query_id", "left").where(F.col("last").isNull() | (F.col("bound") >= F.col("last") - 1e-8))
-        return ranked(first.unionByName(self._scores(asked, rest, k, strict, allowed)), limit=k)
+        return ranked(self.hits(terms, k, (strict,), allowed), limit=k)
+
+
+def _postings_of(weights: list[float]):
+    """Words of documents (cell, id, every, ends), cell after cell, to rows of blocks and entries."""
+
+    def held(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Documents of one cell, of about ``WORDS`` words at most."""
+        cell, words = batch.column("cell").to_numpy(), np.cumsum(batch.column("every").value_lengths().to_numpy())
+        start = 0
+        while start < len(cell):
+            stop = min(np.searchsorted(words, (words[start - 1] if start else 0) + WORDS, "right"), start + np.argmax(np.append(cell[start:] != cell[start], True)))
+            stop = max(start + 1, int(stop))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+    def rows_of(docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        every, ids, n = docs.column("every"), docs.column("id"), len(docs)
+        lengths = every.value_lengths().to_numpy().astype(np.int64)
+        words = every.flatten().dictionary_encode()
+        doc = np.repeat(np.arange(n), lengths)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ends = docs.column("ends").flatten().to_numpy().reshape(n, len(weights))
+        column = sum(((pos >= ends[doc, i]).astype(np.int64) for i in range(len(weights) - 1)), np.zeros(len(doc), dtype=np.int64))
+        found, at = np.unique(words.indices.to_numpy().astype(np.int64) * n + doc, return_inverse=True)
+        f = np.bincount(at, np.asarray(weights, dtype=np.float64)[column], len(found))
+        term, doc = found // n, found % n  # by term, then document
+        starts = np.searchsorted(term, np.arange(len(words.dictionary) + 1))
+        lists = pa.array(starts, pa.int32())
+        if len(found):
+            yield {
+                "kind": pa.repeat("block", len(starts) - 1), "term": words.dictionary, "cell": pa.repeat(docs.column("cell")[0], len(starts) - 1), "n": pa.array(np.diff(starts)),
+                "ids": pa.ListArray.from_arrays(lists, ids.take(pa.array(doc))), "fs": pa.ListArray.from_arrays(lists, pa.array(f)), "lengths": pa.ListArray.from_arrays(lists, pa.array(lengths[doc])),
+                "max_f": pa.array(np.maximum.reduceat(f, starts[:-1])), "min_length": pa.array(np.minimum.reduceat(lengths[doc], starts[:-1])),
+            }
+        lists = pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=n))), pa.int32())
+        terms = words.dictionary.take(pa.array(term[np.argsort(doc, kind="stable")]))
+        yield {"kind": pa.repeat("entry", n), "n": pa.repeat(1, n), "id": ids, "length": pa.array(lengths), "terms": pa.ListArray.from_arrays(lists, terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            schema = pa.schema([("kind", pa.string()), ("term", pa.string()), ("cell", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(id_type)), ("fs", pa.list_(pa.float64())), ("lengths", pa.list_(pa.int64())), ("max_f", pa.float64()), ("min_length", pa.int64()), ("id", id_type), ("length", pa.int64()), ("terms", pa.list_(pa.string()))])
+            for docs in held(batch):
+                for own in rows_of(docs):
+                    yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else pa.nulls(len(own["kind"]), f.type) for f in schema], schema=schema)
+
+    return run
 
 
-def _score_cell(k: int, strict: bool, only_allowed: bool):
-    """A cell's questions with their terms, blocks and marks to the best ``k`` documents of each question."""
+def _score_cell(k: int, kinds: tuple[bool, ...], only_allowed: bool):
+    """A cell's questions with their terms, blocks and marks to the best ``k`` documents of each question, of each kind: strict or not."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids_of: dict[str, list] = {}
-        asks, blocks, marks = ([v for v in rows.column(c).to_pylist() if v is not None] for c in ("ask", "block", "mark"))
-        later: dict = {}
-        allowed = {m["id"] for m in marks if m["allowed"]}
-        for m in marks:
-            if not m["allowed"]:
-                later[m["id"]] = max(m["version"], later.get(m["id"], 0))
-        place = {d: i for i, d in enumerate(sorted({d for b in blocks for d in b["ids"]}))}
-        docs = list(place)
-        for b in blocks:
-            kept = [(place[d], f, n) for d, f, n in zip(b["ids"], b["fs"], b["lengths"], strict=True) if later.get(d, 0) <= b["version"] and (not only_allowed or d in allowed)]
-            if kept:
-                ids_of.setdefault(b["term"], []).append(tuple(np.array(c) for c in zip(*kept, strict=True)))
+        types = (rows.schema.field("ask").type.field("query_id").type, rows.schema.field("mark").type.field("id").type, pa.float64(), pa.bool_())
+        asks = rows.column("ask").combine_chunks().drop_null().to_pylist()
+        blocks, marks = (rows.column(c).combine_chunks().drop_null() for c in ("block", "mark"))
+        ids = blocks.field("ids").flatten().dictionary_encode()
+        at, docs = ids.indices.to_numpy(), ids.dictionary
+        f, length = (blocks.field(c).flatten().to_numpy() for c in ("fs", "lengths"))
+        ends = np.cumsum(blocks.field("ids").value_lengths().to_numpy())
+        later, allowed = np.zeros(len(docs), dtype=np.int64), np.full(len(docs), not only_allowed)
+        if len(marks):  # a mark speaks of a later version, or allows
+            place = pc.index_in(marks.field("id"), docs)
+            known = place.is_valid().to_numpy(zero_copy_only=False)
+            place, allows = place.drop_null().to_numpy(), marks.field("allowed").to_numpy(zero_copy_only=False)[known]
+            allowed[place[allows]] = True
+            np.maximum.at(later, place[~allows], pc.fill_null(marks.field("version"), 0).to_numpy()[known][~allows])
+        known_terms = {a["term"]: a for a in asks}
+        parts: dict[str, list] = {}
+        start = 0
+        for term, version, stop in zip(blocks.field("term").to_pylist(), blocks.field("version").to_pylist(), ends.tolist(), strict=True):
+            own, g, n = at[start:stop], f[start:stop], length[start:stop]
+            start = stop
+            if len(marks) or only_allowed:
+                kept = (later[own] <= version) & allowed[own]
+                own, g, n = own[kept], g[kept], n[kept]
+            a = known_terms[term]  # a term's idf is that of every question
+            parts.setdefault(term, []).append((own, a["idf"] * g * (K1 + 1) / (g + K1 * (1 - B + B * n / a["mean"]))))
         out: list[list] = [[], [], [], []]
         own_of: dict = {}
         for a in asks:
@@ -224,23 +301,27 @@ def _score_cell(k: int, strict: bool, only_allowed: bool):
             n_terms = own[0]["n_terms"]
             score, met = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
             for a in own:
-                for at, f, length in ids_of.get(a["term"], ()):
-                    score[at] += a["idf"] * f * (K1 + 1) / (f + K1 * (1 - B + B * length / a["mean"]))
-                    met[at] += 1
-            hit = np.flatnonzero(met == n_terms if strict else met > 0)
-            if len(hit) > k:
-                # Near ties are parted by their ids when all cells meet.
-                hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-8]
-            out[0] += [q] * len(hit)
-            out[1] += [docs[i] for i in hit.tolist()]
-            out[2] += score[hit].tolist()
-            out[3] += (met[hit] == n_terms).tolist()
-        types = (rows.schema.field("ask").type.field("query_id").type, rows.schema.field("mark").type.field("id").type, pa.float64(), pa.bool_())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", "id", "score", "strict"])
+                for where, part in parts.get(a["term"], ()):
+                    score[where] += part
+                    met[where] += 1
+            best = np.zeros(len(docs), dtype=bool)
+            for strict in kinds:
+                hit = np.flatnonzero(met == n_terms if strict else met > 0)
+                if len(hit) > k:
+                    # Near ties are parted by their ids when all cells meet.
+                    hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-8]
+                best[hit] = True
+            hit = np.flatnonzero(best)
+            out[0].append(pa.repeat(pa.scalar(q, types[0]), len(hit)))
+            out[1].append(docs.take(pa.array(hit)))
+            out[2].append(pa.array(score[hit]))
+            out[3].append(pa.array(met[hit] == n_terms))
+        return pa.Table.from_arrays([pa.chunked_array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", "id", "score", "strict"])
 
     return run
 
 
 def search_lists(index: InvertedIndex, terms: DataFrame, k: int = 60, limit: int = 10, pool: int = 30) -> DataFrame:
-    """As ``search.search_mode``, from two searches of the index, each with its own limit: the strict list and the loose one."""
-    return fuse_lists(index.top_k(terms, pool, strict=True), index.top_k(terms, pool), terms, k, limit)
+    """As ``search.search_mode``, from one search of the index for both lists, each with its own limit: the strict one and the loose one."""
+    hits = stored(index.hits(terms, pool, (True, False)), "hits")
+    return fuse_lists(ranked(hits.where("strict"), limit=pool), ranked(hits, limit=pool), terms, k, limit)

@@ -86,3 +86,24 @@ def test_cells_below_the_last_place_are_not_read(spark, tmp_path):
     least = best.agg(F.min("score")).first()[0]
     assert bounds.where(F.col("bound") >= least).count() < bounds.count()
     assert rows(best) == expected(spark, chunks, terms, 3)
+
+
+def test_texts_are_dealt_once_and_words_not_at_all(spark, tmp_path):
+    """The only shuffle of an ingest is that of texts by cell; no posting is a row of its own."""
+    index = idx.InvertedIndex(spark, f"file://{tmp_path}/i", cells=3)
+    rng = random.Random(11)
+    plan = index._segment(spark.createDataFrame([chunk(rng, i) for i in range(20)], CHUNKS), 3)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan and "collect_list" not in plan
+
+
+def test_a_cell_of_many_words_has_several_blocks(spark, tmp_path, terms, monkeypatch):
+    rng = random.Random(13)
+    chunks = [*(chunk(rng, i) for i in range(40)), (40, None, None), (41, "alpha " * 50, "alpha/beta.md"), (41, "alpha " * 50, "alpha/beta.md")]
+    monkeypatch.setattr(idx, "WORDS", 30)
+    index = idx.InvertedIndex(spark, f"file://{tmp_path}/i", cells=2)
+    index.ingest(spark.createDataFrame(chunks, CHUNKS).coalesce(1))
+    whole = index.table.read().where("kind = 'block'")
+    assert whole.groupBy("term", "cell").count().agg(F.max("count")).first()[0] > 1
+    assert index.entries().count() == 42
+    assert rows(index.top_k(terms, 5)) == expected(spark, chunks[:-1], terms, 5)
