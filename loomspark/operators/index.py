@@ -28,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.operators.search import B, K1, LEAST_IDF, WEIGHTS, fuse_lists, ranked, words_of
+from loomspark.functions.text import words
+from loomspark.operators.search import B, K1, LEAST_IDF, WEIGHTS, fuse_lists, ranked
 from loomspark.sources.shared import stored
 from loomspark.sources.snapshots import SnapshotTable
 
@@ -73,10 +74,9 @@ class InvertedIndex:
 
     def _segment(self, chunks: DataFrame, cells: int) -> DataFrame:
         """Rows of blocks and entries of chunks (id and the text columns; of equal ids one), in one pass over each text."""
-        columns = list(self.weights)
         dealt = chunks.withColumn("cell", self._cell(cells)).repartition("cell").dropDuplicates(["cell", "id"]).sortWithinPartitions("cell")
-        words = words_of(dealt, columns, F.col("cell"), F.col("id"))
-        rows = words.mapInArrow(_postings_of(list(self.weights.values())), f"kind string, term string, cell bigint, n bigint, ids array<{self.id_type}>, fs array<double>, lengths array<bigint>, max_f double, min_length bigint, id {self.id_type}, length bigint, terms array<string>")
+        taken = dealt.select("cell", "id", *(words(F.lower(F.col(c))).alias(f"w{i}") for i, c in enumerate(self.weights)))
+        rows = taken.mapInArrow(_postings_of(list(self.weights.values())), f"kind string, term string, cell bigint, n bigint, ids array<{self.id_type}>, fs array<double>, lengths array<bigint>, max_f double, min_length bigint, id {self.id_type}, length bigint, terms array<string>")
         bucket, gone = F.when(F.col("kind") == "block", self._bucket()), F.when(F.col("kind") == "entry", False)
         return rows.withColumns({"bucket": bucket, "gone": gone}).select(*self.table.schema.fieldNames())
 
@@ -218,11 +218,14 @@ class InvertedIndex:
 
 
 def _postings_of(weights: list[float]):
-    """Words of documents (cell, id, every, ends), cell after cell, to rows of blocks and entries."""
+    """Words of documents (cell, id, those of each column), cell after cell, to rows of blocks and entries."""
+
+    def sizes(lists: pa.ListArray) -> np.ndarray:
+        return pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)
 
     def held(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Documents of one cell, of about ``WORDS`` words at most."""
-        cell, words = batch.column("cell").to_numpy(), np.cumsum(batch.column("every").value_lengths().to_numpy())
+        cell, words = batch.column("cell").to_numpy(), np.cumsum(sum(map(sizes, batch.columns[2:])))
         start = 0
         while start < len(cell):
             stop = min(np.searchsorted(words, (words[start - 1] if start else 0) + WORDS, "right"), start + np.argmax(np.append(cell[start:] != cell[start], True)))
@@ -231,15 +234,14 @@ def _postings_of(weights: list[float]):
             start = stop
 
     def rows_of(docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        every, ids, n = docs.column("every"), docs.column("id"), len(docs)
-        lengths = every.value_lengths().to_numpy().astype(np.int64)
-        words = every.flatten().dictionary_encode()
-        doc = np.repeat(np.arange(n), lengths)
-        pos = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        ends = docs.column("ends").flatten().to_numpy().reshape(n, len(weights))
-        column = sum(((pos >= ends[doc, i]).astype(np.int64) for i in range(len(weights) - 1)), np.zeros(len(doc), dtype=np.int64))
+        ids, n = docs.column("id"), len(docs)
+        by_column = [sizes(c) for c in docs.columns[2:]]
+        lengths = sum(by_column)
+        words = pa.concat_arrays([c.flatten() for c in docs.columns[2:]]).dictionary_encode()
+        doc = np.concatenate([np.repeat(np.arange(n), own) for own in by_column])
+        weight = np.repeat(np.asarray(weights, dtype=np.float64), [own.sum() for own in by_column])
         found, at = np.unique(words.indices.to_numpy().astype(np.int64) * n + doc, return_inverse=True)
-        f = np.bincount(at, np.asarray(weights, dtype=np.float64)[column], len(found))
+        f = np.bincount(at, weight, len(found))
         term, doc = found // n, found % n  # by term, then document
         starts = np.searchsorted(term, np.arange(len(words.dictionary) + 1))
         lists = pa.array(starts, pa.int32())
