@@ -46,8 +46,8 @@ WELL_FILLED = 0.995
 DISSOLVED = 0.2
 BLUR = 0.5
 HANDED = 1 / 8
-#: Bytes of words and ids that a task holds at most, as Python counts them.
-STORED_BYTES = 96 << 20
+#: Bytes of words and ids that a worker holds at most, as Python counts them.
+STORED_BYTES = 192 << 20
 
 
 def default_tokenizer() -> str:
@@ -70,6 +70,8 @@ PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]
 PLAIN = "\u0300"
 BEYOND = regex.compile("[\u0300-\U0010ffff]")
 MARKS = regex.compile(r"\p{M}")
+#: What most often follows a word's letters; each is a run of its own there.
+ENDS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -86,7 +88,8 @@ class WordIds:
     of its words end to end, and a word's those of its runs of letters, single digits and runs of other characters. Only
     such a run goes through the tokenizer's merges. Words with characters from ``PLAIN`` on, and texts with combining
     marks or a special token's string, are encoded by the tokenizer as they are. When ``STORED_BYTES`` are held, words
-    not met since the last time are forgotten.
+    not met since the last time are forgotten. ``shared``: one for all tasks of a worker, which so need not learn the
+    words of the tasks before again.
     """
 
     def __init__(self, path: str):
@@ -99,47 +102,64 @@ class WordIds:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *special]  # these controls part words in Python only
 
+    @classmethod
+    @lru_cache(maxsize=1)
+    def shared(cls, path: str) -> WordIds:
+        return cls(path)
+
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.stored[word] = ids
-        self.held += 190 + len(word) + len(ids)
-
     def _learn_runs(self, runs: set[str]) -> None:
-        new = [r for r in runs if r not in self.stored]
+        stored, older, merges, held = self.stored, self.older, self.merges, self.held
+        new = [r for r in runs if r not in stored]
         spelt = "\n".join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
         for run, letters in zip(new, spelt, strict=True) if new else ():
-            self._keep(run, self.older.get(run) or array("I", [t.id for t in self.merges(letters)]).tobytes())
+            ids = older.get(run) or array("I", [t.id for t in merges(letters)]).tobytes()
+            stored[run] = ids
+            held += 190 + len(run) + len(ids)
+        self.held = held
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str], plain: bool = False) -> None:
+        """``plain``: no word has a character from ``PLAIN`` on."""
         if self.held > STORED_BYTES / 2:
             self.stored, self.older, self.held = {}, self.stored, 0
-        stored, older = self.stored, self.older
+        stored, older, held = self.stored, self.older, self.held
         alone, mixed = set(), {}
         for w in words.difference(stored):
-            if w in older:
-                self._keep(w, older[w])
-            elif w.isalpha() and max(w) < PLAIN:
-                alone.add(w)
-            elif max(w) < PLAIN:
-                mixed[w] = PRETOKENS.findall(w)
-            else:
-                self._keep(w, self._encode(w))
+            ids = older.get(w)
+            if ids is None:
+                if plain or max(w) < PLAIN:
+                    if w.isalpha():
+                        alone.add(w)
+                    elif w[-1] in ENDS and w[:-1].isalpha():
+                        mixed[w] = (w[:-1], w[-1])
+                    else:
+                        mixed[w] = PRETOKENS.findall(w)
+                    continue
+                ids = self._encode(w)
+            stored[w] = ids
+            held += 190 + len(w) + len(ids)
+        self.held = held
         self._learn_runs(alone.union(*mixed.values()))
+        held = self.held
         for w, runs in mixed.items():
             if len(runs) > 1:
-                self._keep(w, b"".join(map(stored.__getitem__, runs)))
+                ids = stored[w] = b"".join([stored[r] for r in runs])
+                held += 190 + len(w) + len(ids)
+        self.held = held
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(x in text for x in self.odd) or (BEYOND.search(text) and MARKS.search(text)):
+        lower = text.replace("Σ", "σ").lower()
+        plain = lower.isascii() or not BEYOND.search(lower)
+        if any(x in text for x in self.odd) or (not plain and MARKS.search(text)):
             return self._encode(text)
-        words = text.replace("Σ", "σ").lower().split()
+        words = lower.split()
         own: list[bytes] = []
         for at in range(0, len(words), 50_000):  # a very long text may hold more words than are stored
             part = words[at : at + 50_000]
-            self.learn(set(part))
+            self.learn(set(part), plain)
             own.append(b"".join(map(self.stored.__getitem__, part)))
         return b"".join(own)
 
@@ -148,7 +168,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = WordIds.shared(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []

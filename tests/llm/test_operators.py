@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,6 +346,21 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_learns_a_word_once_a_worker(monkeypatch):
+    """A later task of a worker finds the words of the tasks before; all words get the tokenizer's own ids."""
+    texts = ["Plain words, with ends. And Łódź; İstanbul! naïve-ish ΣΑΣ Ⱥbc x2y ½ a.,b it's 'tis", "e\u0301te\u0301, words. with"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([t.encode() for t in texts])], names=["doc_id", "text"])
+    path = packing.default_tokenizer()
+    run, _ = packing._pieces(path, 4096, 1)
+    first = list(run(iter([batch])))
+    words = packing.WordIds.shared(path)
+    tok = packing.load_tokenizer(path)
+    for t in texts:
+        assert np.frombuffer(words.ids(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(packing.WordIds, "_learn_runs", lambda self, runs: pytest.fail("learnt again") if runs else None)
+    assert list(packing._pieces(path, 4096, 1)[0](iter([batch]))) == first
+
+
 def test_packing_by_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 50)
     monkeypatch.setattr(packing, "BUCKET_BINS", 8)
