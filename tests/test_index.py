@@ -107,3 +107,14 @@ def test_a_cell_of_many_words_has_several_blocks(spark, tmp_path, terms, monkeyp
     assert whole.groupBy("term", "cell").count().agg(F.max("count")).first()[0] > 1
     assert index.entries().count() == 42
     assert rows(index.top_k(terms, 5)) == expected(spark, chunks[:-1], terms, 5)
+
+
+def test_a_first_ingest_looks_for_no_older_entries_and_a_later_one_for_its_own(spark, tmp_path, monkeypatch):
+    seen = []
+    entries = idx.InvertedIndex.entries
+    monkeypatch.setattr(idx.InvertedIndex, "entries", lambda self, ids=None: seen.append(ids) or entries(self, ids))
+    index = idx.InvertedIndex(spark, f"file://{tmp_path}/i", cells=1)
+    index.ingest(spark.createDataFrame([(1, "alpha", None), (2, "beta", None)], CHUNKS), name="first")
+    assert seen == []
+    index.ingest(spark.createDataFrame([(1, "gamma", None)], CHUNKS), name="second")
+    assert [r[0] for r in seen[0].collect()] == [1]
