@@ -118,3 +118,15 @@ def test_a_first_ingest_looks_for_no_older_entries_and_a_later_one_for_its_own(s
     assert seen == []
     index.ingest(spark.createDataFrame([(1, "gamma", None)], CHUNKS), name="second")
     assert [r[0] for r in seen[0].collect()] == [1]
+
+
+def test_both_lists_come_from_one_search(spark, tmp_path, terms, monkeypatch):
+    rng = random.Random(17)
+    chunks = [chunk(rng, i) for i in range(60)]
+    index = idx.InvertedIndex(spark, f"file://{tmp_path}/i", cells=5)
+    index.ingest(spark.createDataFrame(chunks, CHUNKS))
+    calls, scores = [], idx.InvertedIndex._scores
+    monkeypatch.setattr(idx.InvertedIndex, "_scores", lambda self, *a: calls.append(1) or scores(self, *a))
+    got = idx.search_lists(index, terms, limit=5, pool=8)
+    assert len(calls) == 2  # the first cells and the rest
+    assert rows(got) == rows(search.search_mode(search.bm25(spark.createDataFrame(chunks, CHUNKS), terms), terms, limit=5, pool=8))
