@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, byte_view, write_out
+from loomspark.llm.common import bounded_batches, byte_view, forget, write_out
 from loomspark.llm.textbytes import LOWER
 from loomspark.llm.url_reputation import host_and_path, suffix_and_domain
 
@@ -95,6 +95,7 @@ def _likelihoods(model):
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_grams", pa.int64()), ("ll", pa.list_(pa.float64())), ("usual", pa.bool_()), ("letters", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = model.value
         for batch in batches:
             for i, j in bounded_batches(batch.column(2)):

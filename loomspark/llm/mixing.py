@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, byte_view, write_out
+from loomspark.llm.common import bounded_batches, byte_view, forget, write_out
 from loomspark.llm.textbytes import word_hashes
 
 DOMAINS = ("good", "poor", "toxic")
@@ -168,6 +168,7 @@ def _posteriors(model, tokenizer: str):
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("u", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m, encode = model.value, load_tokenizer(tokenizer).encode_ordinary
         for batch in batches:
             for i, j in bounded_batches(batch.column(1)):

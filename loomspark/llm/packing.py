@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import write_out
+from loomspark.llm.common import kept, write_out
 
 CAPACITY = 4096
 #: A bucket's pieces and bins: it has about as many pieces, but at least about as many bins.
@@ -89,7 +89,7 @@ class WordIds:
     such a run goes through the tokenizer's merges. Words with characters from ``PLAIN`` on, and texts with combining
     marks or a special token's string, are encoded by the tokenizer as they are. When ``STORED_BYTES`` are held, words
     not met since the last time are forgotten. ``shared``: one for all tasks of a worker, which so need not learn the
-    words of the tasks before again.
+    words of the tasks before again; a task of another operator drops it.
     """
 
     def __init__(self, path: str):
@@ -103,9 +103,8 @@ class WordIds:
         self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *special]  # these controls part words in Python only
 
     @classmethod
-    @lru_cache(maxsize=1)
     def shared(cls, path: str) -> WordIds:
-        return cls(path)
+        return kept("packing", path, lambda: cls(path))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()

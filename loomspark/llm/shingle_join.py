@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, byte_view, write_out
+from loomspark.llm.common import bounded_batches, byte_view, forget, write_out
 from loomspark.llm.components import connected_components
 from loomspark.llm.textbytes import mix, shingle_sets
 
@@ -76,6 +76,7 @@ def _survey(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("chunk", pa.int32()), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         cells = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             n, node, check = [], [], []
@@ -118,6 +119,7 @@ def _postings(k: int, percent: int, sketch):
     schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("frequent", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         cells = sketch.value
         bound = max(FREQUENT, FREQUENT_TIMES * float(cells.mean()))
         seen: set[int] = set()
@@ -183,6 +185,7 @@ def _meetings(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(tok), LONG, dtype=np.int8)), pa.array(tok), pa.array(node), pa.array(n), pa.array(np.zeros(len(tok), dtype=np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tok, n, node = (np.zeros(0, dtype=np.int64) for _ in range(3))
         known_long = None
 
@@ -368,6 +371,7 @@ def _search(percent: int):
         return [node for node, _ in order], [doc_id for _, doc_id in order], [least[r] for r in roots]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, rows = None, {}
         out: list[tuple] = []
 
@@ -398,6 +402,7 @@ def _own_sets(k: int):
     """Sets of the rows whose text has the class that the row was picked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             wanted = list(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True))
             keep, sets, held = [], [], 0

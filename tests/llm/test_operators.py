@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import components, ego_join, language_id, media, mixing, packing, pii, shingle_join, token_counts, toxicity, url_reputation
+from loomspark.llm import common, components, ego_join, language_id, media, mixing, packing, pii, shingle_join, token_counts, toxicity, url_reputation
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -361,6 +361,34 @@ def test_packing_learns_a_word_once_a_worker(monkeypatch):
     assert list(packing._pieces(path, 4096, 1)[0](iter([batch]))) == first
 
 
+def test_another_operator_drops_a_workers_words():
+    """Workers are used again: what packing learnt is not held while sets are made, which need the room."""
+    words = packing.WordIds.shared(packing.default_tokenizer())
+    assert packing.WordIds.shared(packing.default_tokenizer()) is words
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["a b c"])], names=["doc_id", "text"])
+    assert list(shingle_join._survey(2)[0](iter([batch])))
+    assert packing.WordIds.shared(packing.default_tokenizer()) is not words
+
+
+def test_written_tables_are_made_in_small_batches(spark, monkeypatch):
+    """A batch is bounded by bytes while a table is written, unless the session names a size; the setting is as before after it."""
+    setting = common.BATCH_SETTING
+    monkeypatch.setattr(common, "BATCH", "64k")
+
+    def most(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.num_rows for b in batches)])], names=["n"])
+
+    texts = spark.range(2000).coalesce(1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    assert common.write_out(texts.mapInArrow(most, "n long"), "sizes").first().n < 200
+    assert spark.conf.get(setting, None) is None
+    spark.conf.set(setting, "32m")
+    try:
+        assert common.write_out(texts.mapInArrow(most, "n long"), "sizes").first().n == 2000
+        assert spark.conf.get(setting) == "32m"
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_packing_by_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 50)
     monkeypatch.setattr(packing, "BUCKET_BINS", 8)
