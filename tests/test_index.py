@@ -130,3 +130,18 @@ def test_both_lists_come_from_one_search(spark, tmp_path, terms, monkeypatch):
     got = idx.search_lists(index, terms, limit=5, pool=8)
     assert len(calls) == 2  # the first cells and the rest
     assert rows(got) == rows(search.search_mode(search.bm25(spark.createDataFrame(chunks, CHUNKS), terms), terms, limit=5, pool=8))
+
+
+def test_postings_are_bytes_and_documents_of_a_batch_are_one_row(spark, tmp_path, terms):
+    rng = random.Random(19)
+    state = {i: chunk(rng, i) for i in range(30)}
+    index = idx.InvertedIndex(spark, f"file://{tmp_path}/i", cells=1)
+    index.ingest(spark.createDataFrame(list(state.values()), CHUNKS))
+    assert index.table.schema["posts"].dataType.simpleString() == "binary"
+    assert index.table.read().where("kind = 'entry'").count() == 1
+    new = [(i, "alpha nowhere", None) for i in range(0, 30, 2)]
+    index.ingest(spark.createDataFrame(new, CHUNKS), spark.createDataFrame([(1,)], "id long"))
+    state = {i: c for i, c in (state | {c[0]: c for c in new}).items() if i != 1}
+    df = {r["term"]: r["df"] for r in index.table.read().where("kind IN ('block', 'df')").groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    assert all(df[t] == sum(t in c[1].split() for c in state.values()) for t in ("alpha", "beta", "nowhere"))
+    assert rows(index.top_k(terms, 5)) == expected(spark, list(state.values()), terms, 5)
