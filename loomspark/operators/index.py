@@ -177,13 +177,16 @@ class InvertedIndex:
         """(query_id, id, score, strict): the best ``k`` documents of each (query_id, cell), of each kind: strict or not."""
         blocks = max(1, -(-asked.select("query_id").distinct().count() // QUESTIONS))
         group = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("group")
-        left = cells.select("query_id", "cell").join(asked, "query_id").select(group, "cell", "query_id", "term", "idf", "mean", "n_terms")
-        used = left.select("group", "cell", "term").distinct()
-        held = left.select("group", "cell").distinct()
-        posts = own.where("kind = 'block'").join(F.broadcast(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi").select("cell", "term", "version", "batch", "posts").join(used, ["cell", "term"])
+        chosen = cells.select("query_id", "cell")
+        questions = asked.groupBy("query_id").agg(F.first("n_terms").alias("n_terms"), F.collect_list("term").alias("terms"))
+        left = chosen.join(questions, "query_id").select(group, "cell", F.struct("query_id", "n_terms", "terms").alias("ask"))
+        used = chosen.join(asked, "query_id").select(group, "cell", "term").distinct()
+        held = chosen.select(group, "cell").distinct()
+        known = asked.select("bucket", "term", "idf", "mean").distinct()  # a term's idf is that of every question
+        posts = own.where("kind = 'block'").select("bucket", "term", "cell", "version", "batch", "posts").join(F.broadcast(known), ["bucket", "term"]).join(used, ["cell", "term"])
         docs = own.where("kind = 'entry'").select("cell", "version", "batch", "gone", "ids", "lengths").join(held, "cell")
-        ask, block, entry = F.struct("query_id", "term", "idf", "mean", "n_terms"), F.struct("term", "version", "batch", "posts"), F.struct("version", "batch", "gone", "ids", "lengths")
-        rows = left.select("group", "cell", ask.alias("ask"))
+        block, entry = F.struct("term", "idf", "mean", "version", "batch", "posts"), F.struct("version", "batch", "gone", "ids", "lengths")
+        rows = left
         for side in (posts.select("group", "cell", block.alias("block")), docs.select("group", "cell", entry.alias("entry"))):
             rows = rows.unionByName(side, allowMissingColumns=True)
         if allowed is not None:
@@ -386,36 +389,34 @@ def _documents_of():
 
 def _score_cell(k: int, kinds: tuple[bool, ...], only_allowed: bool):
     """A cell's questions with their terms, blocks and entries to the best ``k`` documents of each question, of each kind: strict or not."""
-    documents = _cell_documents()
+    documents, sizes_of = _cell_documents(), _sizes_of()
 
     def run(rows: pa.Table) -> pa.Table:
         types = (rows.schema.field("ask").type.field("query_id").type, rows.schema.field("entry").type.field("ids").type.value_type, pa.float64(), pa.bool_())
-        asks = rows.column("ask").combine_chunks().drop_null().to_pylist()
-        blocks, entries = (rows.column(c).combine_chunks().drop_null() for c in ("block", "entry"))
+        asks, blocks, entries = (rows.column(c).combine_chunks().drop_null() for c in ("ask", "block", "entry"))
         docs, lengths, live, sizes, at, f = documents(entries, blocks)
         if only_allowed:
             live &= pc.is_in(docs, rows.column("allowed").combine_chunks().drop_null()).to_numpy(zero_copy_only=False)
-        known_terms = {a["term"]: a for a in asks}
-        parts: dict[str, list] = {}
-        start = 0
-        for term, stop in zip(blocks.field("term").to_pylist(), np.cumsum(sizes).tolist(), strict=True):
-            own, g = at[start:stop], f[start:stop]
-            start = stop
-            kept = live[own]
-            own, g = own[kept], g[kept]
-            a = known_terms[term]  # a term's idf is that of every question
-            parts.setdefault(term, []).append((own, a["idf"] * g * (K1 + 1) / (g + K1 * (1 - B + B * lengths[own] / a["mean"]))))
+        # Postings of live documents by term.
+        terms = blocks.field("term").dictionary_encode()
+        term = np.repeat(terms.indices.to_numpy(), sizes)
+        idf, mean = (np.repeat(blocks.field(c).to_numpy(), sizes) for c in ("idf", "mean"))
+        order = np.argsort(term, kind="stable")
+        order = order[live[at[order]]]
+        at, f, idf, mean = at[order], f[order], idf[order], mean[order]
+        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[at] / mean))
+        starts = np.searchsorted(term[order], np.arange(len(terms.dictionary) + 1)).tolist()
+        # Terms that the cell has not are missing here.
+        own_of = pc.fill_null(pc.index_in(asks.field("terms").flatten(), terms.dictionary), -1).to_numpy().tolist()
         out: list[list] = [[], [], [], []]
-        own_of: dict = {}
-        for a in asks:
-            own_of.setdefault(a["query_id"], []).append(a)
-        for q, own in own_of.items():
-            n_terms = own[0]["n_terms"]
-            score, met = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
-            for a in own:
-                for where, part in parts.get(a["term"], ()):
-                    score[where] += part
-                    met[where] += 1
+        stop = 0
+        for q, n_terms, n in zip(asks.field("query_id"), asks.field("n_terms").to_pylist(), sizes_of(asks.field("terms")).tolist(), strict=True):
+            start, stop = stop, stop + n
+            own = [slice(starts[t], starts[t + 1]) for t in own_of[start:stop] if t >= 0]
+            where = np.concatenate([at[s] for s in own] or [at[:0]])
+            if not len(where):
+                continue
+            score, met = np.bincount(where, np.concatenate([part[s] for s in own]), len(docs)), np.bincount(where, minlength=len(docs))
             best = np.zeros(len(docs), dtype=bool)
             for strict in kinds:
                 hit = np.flatnonzero(met == n_terms if strict else met > 0)
@@ -424,7 +425,7 @@ def _score_cell(k: int, kinds: tuple[bool, ...], only_allowed: bool):
                     hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-8]
                 best[hit] = True
             hit = np.flatnonzero(best)
-            out[0].append(pa.repeat(pa.scalar(q, types[0]), len(hit)))
+            out[0].append(pa.repeat(q, len(hit)))
             out[1].append(docs.take(pa.array(hit)))
             out[2].append(pa.array(score[hit]))
             out[3].append(pa.array(met[hit] == n_terms))
