@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import detect_language, symbol_id
 from loomspark.operators import code, metadata, resolve
 from loomspark.operators.graph import co_changes, top_partners
+from loomspark.operators.masking import lines_of, masked_files, with_depths
 from loomspark.operators.mentions import phrase_mentions
 from loomspark.sources.shared import stored
 
-#: Kinds of declarations that are types, entities that prose may mention, languages with packages.
+#: Kinds of declarations that are types, entities that prose may mention, languages with packages, of scripts, of markup.
 TYPE_KINDS = ("class", "interface", "enum", "trigger", "record", "struct", "trait", "object", "module", "namespace", "protocol", "extension", "impl")
 MENTIONED = ("symbol", "object", "service", "team", "component", "flow")
 PACKAGED = ("java", "kotlin", "groovy", "scala")
+SCRIPTS, MARKUP = ("javascript", "typescript"), "html"
 
 #: What a trigger stands on, what a query reads, names in code, folders of components.
 TRIGGER_ON = r"(?i)\btrigger\s+\w+\s+on\s+(\w+)"
@@ -82,6 +84,19 @@ def merged_edges(rows: DataFrame, entities: DataFrame) -> DataFrame:
     return one.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind", "n", "via")
 
 
+def source_of(files: DataFrame) -> DataFrame:
+    """What the graph needs of source files (path, text, language), found in one pass over their texts.
+
+    (path, language, code, imports, heads, text): masked lines; names that packaged languages import; (start_line, head) of
+    lines that may begin a trigger, with the two lines after each; the text of scripts and markup only.
+    """
+    head = lambda line, i: F.when(F.contains(line, F.lit("trigger")), F.struct((i + 1).alias("start_line"), F.array_join(F.slice("lines", i + 1, F.lit(3)), "\n").alias("head")))
+    heads = F.filter(F.transform("lines", head), lambda h: h.isNotNull())
+    imports = F.when(F.col("language").isin(*PACKAGED), resolve.imported_names(F.col("text")))
+    text = F.when(F.col("language").isin(*SCRIPTS, MARKUP), F.col("text"))
+    return masked_files(files).select("path", "language", "code", imports.alias("imports"), heads.alias("heads"), text.alias("text"))
+
+
 def structure(files: DataFrame, lines: DataFrame, declared: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """Entities and edges of code, and (path, src): the entity that a file's references start from.
 
@@ -94,10 +109,9 @@ def structure(files: DataFrame, lines: DataFrame, declared: DataFrame) -> tuple[
     top = ~F.contains("qualified", F.lit("."))
     parent = F.regexp_extract("qualified", r"^(.*)\.[^.]+$", 1)
     edges = [_edges(decl.where(top), 3, own, sym, "declares"), _edges(decl.where(~top), 3, symbol_id(parent, F.col("path")), sym, "contains")]
-    heads = lines.select("path", F.col("line_no").alias("start_line"), F.col("line").alias("head"))
-    near = [heads.select("path", (F.col("start_line") - i).alias("start_line"), F.lit(i).alias("i"), "head") for i in range(3)]
-    around = decl.where("kind = 'trigger'").join(_union(near), ["path", "start_line"]).groupBy("qualified", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "head"))), lambda x: x["head"]), "\n").alias("head"))
-    on = around.withColumn("object", F.regexp_extract("head", TRIGGER_ON, 1)).where("object <> ''")
+    heads = files.select("path", F.inline("heads"))
+    on = decl.where("kind = 'trigger'").join(heads, ["path", "start_line"]).select("qualified", "path", "head")
+    on = on.withColumn("object", F.regexp_extract("head", TRIGGER_ON, 1)).where("object <> ''")
     standard = lambda c: ~c.endswith("__c")
     entities.append(_entities(on, 3, "object", _of("object", F.col("object")), F.col("object"), standard=standard(F.col("object"))))
     edges.append(_edges(on, 3, sym, _of("object", F.col("object")), "triggers_on"))
@@ -133,7 +147,7 @@ def reference_edges(files: DataFrame, lines: DataFrame, primary: DataFrame, enti
     targets = custom.join(objects, "key", "left").join(whole, "key", "left").join(simple, "key", "left")
     to = F.coalesce(F.when(F.col("object").isNotNull(), F.array("object")), F.when(F.col("field").isNotNull(), F.array("field")), "of_name")
     out.append(_edges(targets.select("src", "n", F.explode(to).alias("to")), 5, F.col("src"), F.col("to"), "references", F.col("n")))
-    scripts = files.where("language in ('javascript', 'typescript')")
+    scripts = files.where(F.col("language").isin(*SCRIPTS))
     single = types.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1").select("id", F.col("key").alias("name"))
     methods = names.where((F.col("type") == "symbol") & F.contains("key", F.lit("."))).select("id", F.col("key").alias("name"))
     things = objects.select(F.col("object").alias("id"), F.col("key").alias("name")).unionByName(fields.select("id", F.col("key").alias("name")))
@@ -141,7 +155,7 @@ def reference_edges(files: DataFrame, lines: DataFrame, primary: DataFrame, enti
     out.append(_edges(imported.where("via = 'import'"), 5, F.col("src"), F.col("target"), "calls"))
     out.append(_edges(imported.where("via = 'schema'"), 5, F.col("src"), F.col("target"), "references", F.lit(1)))
     components = names.where("type = 'component'").select("id", F.col("key").alias("name"))
-    tags = resolve.component_tags(files.where("language = 'html'"), components).join(primary, "path")
+    tags = resolve.component_tags(files.where(F.col("language") == MARKUP), components).join(primary, "path")
     out.append(_edges(tags, 5, F.col("src"), F.col("target"), "uses"))
     return out
 
@@ -177,8 +191,8 @@ def build_graph(files: DataFrame, ownership: DataFrame | None = None, owners: Da
         edges.append(ownership.select("src", "dst", "kind", F.lit(None).cast("long").alias("n"), "via", F.lit(1).alias("step")))
     if owners is not None:
         entities.append(_entities(owners, 2, "file", _of("file", F.col("path")), F.col("path"), service=F.col("service"), owner=F.col("owner")))
-    source = keep(plain.where("source_type = 'code' AND text is not null"), "source")
-    lines = keep(code.code_lines(source.select("path", "text", "language")), "lines")
+    source = keep(source_of(plain.where("source_type = 'code' AND text is not null")), "source")
+    lines = keep(with_depths(lines_of(source)), "lines")
     declared = keep(code.declarations(lines), "declared")
     own_entities, own_edges, primary = structure(source, lines, declared)
     primary = keep(primary, "primary")

@@ -20,8 +20,8 @@ CALL = r"(?:([A-Za-z_]\w*)\s*\.\s*)?([A-Za-z_]\w*)\s*\("
 
 
 def code_lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, line, code, before, after): each line's code without strings and comments, and the brace depth around it."""
-    return with_depths(masked_lines(files)).select("path", "line_no", "line", "code", "before", "after")
+    """(path, line_no, code, before, after): each line's code without strings and comments, and the brace depth around it."""
+    return with_depths(masked_lines(files)).select("path", "line_no", "code", "before", "after")
 
 
 def declarations(lines: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 What a line does to a lexer depends on where the lexer stands when the line begins: in code, in a block comment or in a
 template literal (other strings end with their line). So a line is a function from three states to three, which built-in
 expressions find by letting one pattern run from each state. Functions compose associatively: they are composed in groups
-of ``GROUP`` lines, the groups' functions in groups of ``GROUP``, and so on; from the top down each group then hands the
-state that it begins in to its members. No task holds more than ``GROUP`` members of a file, however long it is.
+of ``GROUP`` lines, and each group then hands the state that it begins in to its lines. All of it happens in the row that
+holds the file's text: no text is shuffled, and only what is left of the code is written.
 
 Depth is a running sum of braces that a closing brace without an opening one does not take below 0: the sum less its
 running minimum, both plain windows.
@@ -75,26 +75,16 @@ def line_function(line: Column, language: Column) -> Column:
     return F.when(line.rlike(_STARTS), F.array(*ends)).otherwise(F.array(*map(F.lit, (CODE, COMMENT, TEMPLATE))))
 
 
-def line_states(lines: DataFrame, function: str = "f") -> DataFrame:
-    """(path, line_no, state) from lines (path, line_no, f): the state that each line begins in."""
-    # Dealt by file once: a file's members, groups and states then meet without a further shuffle.
-    members = lines.select("path", (F.col("line_no") - 1).cast("long").alias("n"), F.col(function).alias("f")).repartition("path")
-    levels, most = [], members.agg(F.max("n")).first()[0] or 0
-    while True:
-        groups = members.groupBy("path", F.expr(f"n div {GROUP}").alias("g")).agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("members"))
-        levels.append(groups)
-        most //= GROUP
-        if not most:
-            break
-        whole = F.expr("aggregate(members, array(0, 1, 2), (s, m) -> transform(s, x -> m.f[x]))")
-        members = groups.select("path", F.col("g").alias("n"), whole.alias("f"))
-    starts = levels[-1].select("path", "g", F.lit(CODE).alias("state"))
-    for groups in reversed(levels):
-        # The states before each member, and one after the last.
-        walked = F.expr("aggregate(members, array(state), (s, m) -> concat(s, array(m.f[element_at(s, -1)])))")
-        met = groups.join(starts, ["path", "g"]).withColumn("walked", walked)
-        starts = met.select("path", F.inline(F.expr("transform(members, (m, i) -> named_struct('g', m.n, 'state', walked[i]))")))
-    return starts.select("path", (F.col("g") + 1).cast("int").alias("line_no"), "state")
+def line_states(functions: Column) -> Column:
+    """The state that each line begins in, of the lines' functions in order."""
+    starts = F.sequence(F.lit(1), F.size(functions), F.lit(GROUP))
+    groups = F.when(F.size(functions) > 0, F.transform(starts, lambda i: F.slice(functions, i, F.lit(GROUP)))).otherwise(F.array())
+    last = lambda states: F.element_at(states, -1)
+    # The states before each of some functions, and one after the last.
+    walk = lambda fs, start: F.aggregate(fs, F.array(start), lambda s, f: F.concat(s, F.array(f[last(s)])))
+    whole = F.transform(groups, lambda g: F.aggregate(g, F.array(*map(F.lit, (CODE, COMMENT, TEMPLATE))), lambda s, f: F.transform(s, lambda x: f[x])))
+    each = F.zip_with(groups, F.slice(walk(whole, F.lit(CODE)), F.lit(1), F.size(groups)), lambda g, start: F.slice(walk(g, start), F.lit(1), F.size(g)))
+    return F.flatten(each)
 
 
 def masked(line: Column, language: Column, state: Column) -> Column:
@@ -127,15 +117,25 @@ def masked(line: Column, language: Column, state: Column) -> Column:
     return out.otherwise(blank(line))
 
 
-def masked_lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, line, code) of files (path, text, and their language if it is known): each line as it is and masked."""
+def masked_files(files: DataFrame) -> DataFrame:
+    """Files (path, text, and their language if it is known) with their ``lines`` and, masked, their ``code``, as arrays."""
     language = F.col("language") if "language" in files.columns else detect_language(F.col("path"))
-    rows = files.select("path", language.alias("language"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
-    rows = rows.select("path", "language", (F.col("at") + 1).alias("line_no"), "line")
-    # Stored with their functions, which several levels read.
-    rows = stored(rows.withColumn("f", line_function(F.col("line"), F.col("language"))), "functions")
-    shown = rows.drop("f").repartition("path").join(line_states(rows), ["path", "line_no"])
-    return shown.select("path", "line_no", "line", masked(F.col("line"), F.col("language"), F.col("state")).alias("code"))
+    rows = files.withColumn("language", language).withColumn("lines", split_lines(F.col("text")))
+    rows = rows.withColumn("functions", F.transform("lines", lambda line: line_function(line, F.col("language"))))
+    code = F.zip_with("lines", line_states(F.col("functions")), lambda line, state: masked(line, F.col("language"), state))
+    return rows.withColumn("code", code).drop("functions")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(path, line_no, code) of masked files (path, code)."""
+    rows = files.select("path", F.posexplode("code").alias("at", "code"))
+    return rows.select("path", (F.col("at") + 1).alias("line_no"), "code")
+
+
+def masked_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no, code) of files (path, text, and their language if it is known): each line masked."""
+    # Stored, so that no reader runs the patterns again.
+    return lines_of(stored(masked_files(files).select("path", "code"), "masked"))
 
 
 def with_depths(lines: DataFrame) -> DataFrame:

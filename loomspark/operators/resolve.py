@@ -14,9 +14,14 @@ COMPONENT_TAG = r"<c-([a-z0-9]+(?:-[a-z0-9]+)*)"
 IMPORT_LINE = r"(?m)^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;?\s*$"
 
 
+def imported_names(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(IMPORT_LINE), F.lit(1))
+
+
 def imports_of(files: DataFrame) -> DataFrame:
-    """(path, pos, package): the imports of source files (path, text) in order, as folders."""
-    rows = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(IMPORT_LINE), F.lit(1))).alias("pos", "name"))
+    """(path, pos, package): the imports of source files (path, and text or its ``imports``) in order, as folders."""
+    names = F.col("imports") if "imports" in files.columns else imported_names(F.col("text"))
+    rows = files.select("path", F.posexplode(names).alias("pos", "name"))
     return rows.select("path", "pos", F.replace("name", F.lit("."), F.lit("/")).alias("package"))
 
 

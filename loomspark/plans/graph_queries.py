@@ -27,7 +27,9 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     """(id, path, text, source_type): a Java file a document."""
     docs = corpus(spark, d).select("id", "source_id", "lang", "text")
     ahead = docs.select((F.col("id") - AHEAD).alias("id"), F.concat_ws(".", "source_id", "lang").alias("package"))
-    rows = docs.join(ahead.where("id % 3 = 0"), "id", "left")
+    # Texts are shuffled of those documents only that can have an import.
+    third = F.coalesce(F.col("id") % 3 == 0, F.lit(False))
+    rows = docs.where(third).join(ahead.where(third), "id", "left").unionByName(docs.where(~third).withColumn("package", F.lit(None).cast("string")))
     own, other = F.col("id") % NAMES, F.when(F.col("package").isNotNull(), (F.col("id") + AHEAD) % NAMES).otherwise((F.col("id") + 1) % NAMES)
     imported = F.when(F.col("package").isNotNull(), F.concat(F.lit("import "), "package", F.lit(".Kind"), other, F.lit(";\n"))).otherwise("")
     body = F.concat(F.lit("package "), "source_id", F.lit("."), "lang", F.lit(";\n"), imported, F.lit("/* "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit(" ")), F.lit(" */\npublic class Kind"), own, F.lit(" {\n  Kind"), other, F.lit(" other;\n  void go() {\n    stop();\n  }\n  void stop() {\n  }\n}\n"))

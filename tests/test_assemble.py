@@ -114,3 +114,20 @@ def test_phrases_equal_an_alternation_of_all_names(spark):
     for most in (20, 2):
         got = mentions.phrase_mentions(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(names, "entity_id string, name string"), 2, most)
         assert sorted((r["id"], r["entity_id"]) for r in got.collect()) == brute(texts, names, 2, most)
+
+
+def test_comments_are_not_stored(spark, tmp_path):
+    """What the graph stores grows with the code, not with what comments hold; lines keep their numbers."""
+    rng = random.Random(4)
+    prose = lambda: "\n".join("".join(rng.choice("abcdefghij klmnopqrstuvwxyz.") for _ in range(80)) for _ in range(500))
+    files = [(f"src/C{i}.java", f"/* {prose()} */\nclass C{i} {{\n  C{(i + 1) % 4} x;\n  void go() {{\n  }}\n}}\n") for i in range(4)]
+
+    def keep(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    g = graph(spark, files, keep=keep)
+    assert len(edges(g, "references")) == 4 and len(edges(g, "contains")) == 4
+    start = F.variant_get("attrs", "$.start_line", "int")
+    assert {r["s"] for r in g.entities.where("type = 'symbol' and name like 'C_'").select(start.alias("s")).collect()} == {501}
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(len(t) for _, t in files) / 2
