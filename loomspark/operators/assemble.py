@@ -97,7 +97,7 @@ def source_of(files: DataFrame) -> DataFrame:
     return masked_files(files).select("path", "language", "code", imports.alias("imports"), heads.alias("heads"), text.alias("text"))
 
 
-def structure(files: DataFrame, lines: DataFrame, declared: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+def structure(files: DataFrame, declared: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """Entities and edges of code, and (path, src): the entity that a file's references start from.
 
     That is the file's component, else its first type, else the file.
@@ -118,8 +118,7 @@ def structure(files: DataFrame, lines: DataFrame, declared: DataFrame) -> tuple[
     parts = files.select("path", F.regexp_extract("path", COMPONENT_FOLDER, 1).alias("kind"), F.regexp_extract("path", COMPONENT_FOLDER, 2).alias("component")).where("component <> ''")
     entities.append(_entities(parts, 3, "component", _of("component", F.col("component")), F.col("component"), kind=F.col("kind")))
     edges.append(_edges(parts, 3, own, _of("component", F.col("component")), "part_of"))
-    apex = lines.join(files.where("language = 'apex'").select("path"), "path", "left_semi")
-    read = apex.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n").alias("code"))
+    read = files.where("language = 'apex'").select(F.array_join("code", "\n").alias("code"))
     asked = read.select(F.explode(F.regexp_extract_all("code", F.lit(QUERY_FROM), F.lit(1))).alias("object")).where(F.col("object").rlike("^[A-Z]")).distinct()
     entities.append(_entities(asked, 3, "object", _of("object", F.col("object")), F.col("object"), standard=standard(F.col("object"))))
     types = decl.where(top & F.col("kind").isin(*TYPE_KINDS)).groupBy("path").agg(F.min_by(sym, F.struct("start_line", -F.col("end_line"))).alias("type"))
@@ -194,7 +193,7 @@ def build_graph(files: DataFrame, ownership: DataFrame | None = None, owners: Da
     source = keep(source_of(plain.where("source_type = 'code' AND text is not null")), "source")
     lines = keep(with_depths(lines_of(source)), "lines")
     declared = keep(code.declarations(lines), "declared")
-    own_entities, own_edges, primary = structure(source, lines, declared)
+    own_entities, own_edges, primary = structure(source, declared)
     primary = keep(primary, "primary")
     entities, edges = entities + own_entities, edges + own_edges
     data = files.where(F.col("path").endswith("-meta.xml") & F.col("text").isNotNull()).select("path", "text")
