@@ -1,6 +1,7 @@
 import math
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import chunking, graph, search, tables
@@ -157,3 +158,35 @@ def test_search_mode_scores_hits_once(spark):
     out = search.search_mode(hits, terms, limit=3, pool=3)
     assert "0.125" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["id"], r["mode"]) for r in out.orderBy("rank").collect()] == [(8, "all"), (6, "all"), (4, "all")]
+
+
+@pytest.mark.parametrize("cell", [10, 1_000_000])
+def test_neighbourhood_is_whole(spark, monkeypatch, cell):
+    """All vertices within two steps, however many a vertex has and in however many cells they are found."""
+    monkeypatch.setattr(graph, "CELL", cell)
+    kind = lambda i: "contains" if i % 11 == 0 else "uses"
+    rows = [("hub", f"x{i}", kind(i)) for i in range(60)] + [(f"y{i}", f"x{i % 7 * 5}", "uses") for i in range(80)] + [("y1", "hub", "uses"), ("x1", "x1", "uses"), ("x2", "far", "uses"), ("far", "farther", "uses"), (None, "hub", "uses")]
+    near = {}
+    for a, b, k in rows:
+        if k == "uses" and a and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    starts = ["hub", "y3", "x2", "alone", "hub", None]
+    want = {(s, s, 0) for s in starts}
+    for s in starts:
+        one = near.get(s, set())
+        two = {v for m in one for v in near[m]} - one - {s}
+        want |= {(s, v, 1) for v in one} | {(s, v, 2) for v in two}
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string")
+    got = graph.neighbourhood(edges, spark.createDataFrame([(s,) for s in starts], "start string")).collect()
+    assert len(want) > 150 and len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_neighbourhood_shuffles_edges_not_paths(spark, monkeypatch):
+    """Between the join of a step and its distinct ends there is no shuffle."""
+    monkeypatch.setattr(graph, "CELL", 10)
+    edges = spark.createDataFrame([(f"p{i}", f"s{i * j % 5}", "uses") for i in range(20) for j in range(3)], "src string, dst string, kind string")
+    out = graph.neighbourhood(edges, edges.select(F.col("src").alias("start")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("HashAggregate") : plan.index("Join")]
+    assert "min(depth" in above and "Exchange" not in above
